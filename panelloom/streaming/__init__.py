@@ -1,0 +1 @@
+"""Left empty on purpose: every source, operator and sink of this engine is batch."""
