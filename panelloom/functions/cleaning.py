@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from panelloom.constants import NULL_TOKENS
 
 # Spark's own string casts also take Java suffixes ("1.5d"), "nan" and "infinity": match first.
-_DECIMAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
-_WHOLE = r"^[+-]?[0-9]+([.]0*)?$"
+# None of the missing-value tokens matches either pattern.
+_DECIMAL = r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
+_WHOLE = r"^\s*([+-]?[0-9]+)([.]0*)?\s*$"
 
 
 def blank_tokens(text: Column, tokens: list[str] = NULL_TOKENS) -> Column:
@@ -19,15 +20,13 @@ def blank_tokens(text: Column, tokens: list[str] = NULL_TOKENS) -> Column:
 
 
 def lenient_double(text: Column) -> Column:
-    """Number or NULL; letter codes and junk become NULL."""
-    clean = blank_tokens(text)
-    return F.when(clean.rlike(_DECIMAL), clean.try_cast("double"))
+    """Number or NULL; missing-value tokens, letter codes and junk become NULL."""
+    return F.when(text.rlike(_DECIMAL), text.try_cast("double"))
 
 
 def lenient_long(text: Column) -> Column:
     """Whole number or NULL; `12.0` is 12, `12.5` and `Z` are NULL."""
-    clean = blank_tokens(text)
-    return F.when(clean.rlike(_WHOLE), F.split_part(clean, F.lit("."), F.lit(1)).try_cast("bigint"))
+    return F.regexp_extract(text, _WHOLE, 1).try_cast("bigint")
 
 
 def strict_double(text: Column) -> Column:

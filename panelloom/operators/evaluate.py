@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelloom.constants import ROWS_PER_TASK, SEGMENT_SIZE
+from panelloom.constants import VALUES_PER_TASK, SEGMENT_SIZE
 from panelloom.functions.cleaning import is_finite
 from panelloom.operators.orderstats import group_quantiles
 
@@ -95,13 +95,13 @@ def yearly_diagnostics(preds: DataFrame) -> DataFrame:
 
 
 def forecast_quantiles(preds: DataFrame, probs: list[float] = (0.01, 0.5, 0.99), method: str = "disc",
-                       rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                       values_per_task: int = VALUES_PER_TASK) -> DataFrame:
     """One row: the quantiles of target and forecast over all rows."""
     found = group_quantiles(preds.select("y", "prediction"), [], ["y", "prediction"], list(probs),
-                            method, rows_per_task)
+                            method, values_per_task)
     return found.agg(*[
-        F.max(F.when(F.col("feature") == column, F.get("q", F.lit(i)))).alias(f"{short}_p{round(100 * p):02d}")
-        for column, short in (("y", "y"), ("prediction", "pred")) for i, p in enumerate(probs)])
+        F.max(F.when(F.col("feature") == c, F.get("q", F.lit(i)))).alias(f"{short}_p{round(100 * p):02d}")
+        for c, short in enumerate(["y", "pred"]) for i, p in enumerate(probs)])
 
 
 def drift_table(df: DataFrame, windows: list[tuple[int, int]], year: str = "target_year",

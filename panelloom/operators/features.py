@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelloom.constants import MACROS, ROWS_PER_TASK
+from panelloom.constants import MACROS, VALUES_PER_TASK
 from panelloom.operators.joins import join_small
-from panelloom.operators.orderstats import average_ranks, group_medians, group_quantiles, group_sizes
+from panelloom.operators.orderstats import average_ranks, group_medians, group_quantiles, quoted
 from panelloom.operators.timeseries import attach_next_period
+from panelloom.sources.storage import materialize
 
 KEY = ["permno", "month_id"]
 GROUP = ["month_id"]
@@ -51,42 +52,41 @@ def target_sample(df: DataFrame, first: int, last: int) -> DataFrame:
 # -- fill and ranks ------------------------------------------------------------------------
 
 def fill_with_median(df: DataFrame, columns: list[str], group: list[str] = GROUP,
-                     precision: str = "double", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                     precision: str = "double", values_per_task: int = VALUES_PER_TASK) -> DataFrame:
     """Add `<c>_filled`: the value, else its group median, else zero; also the group size `_n_month`."""
-    medians = group_medians(df, group, columns, "_median_", rows_per_task)
-    medians = medians.withColumnRenamed("group_rows", "_n_month")
-    return join_small(df, medians, group, "left").select(
-        *df.columns, "_n_month",
-        *[F.coalesce(F.col(c).cast("double"), F.col("_median_" + c), F.lit(0.0)).cast(precision)
-           .alias(c + "_filled") for c in columns])
-
-
-def spread_ranks(rank: Column, n: Column) -> Column:
-    """Ranks 1..n onto [-1, 1]; a lone row sits at 0."""
-    return F.when(n > 1, 2.0 * (rank - 1.0) / (n - 1.0) - 1.0).otherwise(F.lit(0.0))
+    medians = group_medians(df, group, columns, "_median_", values_per_task)
+    medians = materialize(medians.withColumnRenamed("group_rows", "_n_month"), "medians")
+    return join_small(df, medians, group, "left").selectExpr(
+        *map(quoted, df.columns), "_n_month",
+        *[f"CAST(coalesce(CAST({quoted(c)} AS DOUBLE), {quoted('_median_' + c)}, 0D) AS {precision}) "
+          f"AS {quoted(c + '_filled')}" for c in columns])
 
 
 def rank_transform(df: DataFrame, columns: list[str], key: list[str] = KEY, group: list[str] = GROUP,
-                   precision: str = "double", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Add `<c>_rank` in [-1, 1] from `<c>_filled` and `_n_month` (see `fill_with_median`)."""
+                   precision: str = "double", values_per_task: int = VALUES_PER_TASK) -> DataFrame:
+    """Add `<c>_rank` from `<c>_filled` and `_n_month` (see `fill_with_median`).
+
+    Ranks 1..n are spread over [-1, 1]; the only row of a group sits at 0.
+    """
     filled = [c + "_filled" for c in columns]
-    ranked = average_ranks(df, key, group, filled, "_avg_rank", rows_per_task)
-    return ranked.select(
-        *df.columns,
-        *[spread_ranks(F.col(f + "_avg_rank"), F.col("_n_month")).cast(precision).alias(c + "_rank")
-          for c, f in zip(columns, filled)])
+    ranked = average_ranks(df, key, group, filled, "_avg_rank", values_per_task)
+    return ranked.selectExpr(
+        *map(quoted, df.columns),
+        *[f"CAST(if(_n_month > 1, 2D * ({quoted(f + '_avg_rank')} - 1D) / (_n_month - 1D) - 1D, 0D) AS {precision}) "
+          f"AS {quoted(c + '_rank')}" for c, f in zip(columns, filled)])
 
 
 # -- macro states --------------------------------------------------------------------------
 
 def fill_macros_global(df: DataFrame, macros: dict[str, str], precision: str = "float",
-                       rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                       values_per_task: int = VALUES_PER_TASK) -> DataFrame:
     """`macro_<name>` filled with the median over all rows, later ones included.
 
     Reproduces published results; for forecasting use `fill_macros_expanding`.
     """
-    found = group_quantiles(df, [], list(macros.values()), [0.5], "linear", rows_per_task).collect()
-    median = {r["feature"]: r["q"][0] for r in found}
+    columns = list(macros.values())
+    found = group_quantiles(df, [], columns, [0.5], "linear", values_per_task).collect()
+    median = {columns[r["feature"]]: r["q"][0] for r in found}
     return _macro_columns(df, macros, precision, lambda c: F.lit(median.get(c)).cast("double"))
 
 
@@ -103,7 +103,7 @@ def fill_macros_expanding(df: DataFrame, macros: dict[str, str], time: str = "mo
     running = monthly.select(time, *[
         F.percentile(F.col(c).cast("double"), F.lit(0.5)).over(so_far).alias("_running_" + c)
         for c in columns])
-    joined = join_small(df, running, [time], "left")
+    joined = join_small(df, materialize(running, "running-medians"), [time], "left")
     filled = _macro_columns(joined, macros, precision, lambda c: F.col("_running_" + c))
     return filled.drop(*["_running_" + c for c in columns])
 
@@ -123,8 +123,8 @@ def interaction_names(columns: list[str], macros: list[str] = MACROS) -> list[st
 def add_interactions(df: DataFrame, columns: list[str], macros: list[str] = MACROS,
                      precision: str = "float") -> DataFrame:
     """Add `<c>_x_<m>` for every rank and macro state: columns x (1 + macros) features in all."""
-    return df.select("*", *[
-        (F.col(f"{c}_rank") * F.col(f"macro_{m}")).cast(precision).alias(f"{c}_x_{m}")
+    return df.selectExpr("*", *[
+        f"CAST({quoted(c + '_rank')} * {quoted('macro_' + m)} AS {precision}) AS {quoted(f'{c}_x_{m}')}"
         for c in columns for m in macros])
 
 

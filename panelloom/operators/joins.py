@@ -20,7 +20,8 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
 
     Within `max_cells` the right side is broadcast and `left` does not move. A larger one is
     repeated `salts` times and joined on (key, salt), so that a key holding a large share of
-    `left` is spread over `salts` tasks. Both give the same rows.
+    `left` is spread over `salts` tasks. Both give the same rows. The right side is counted first,
+    so store it if it is costly to compute.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")

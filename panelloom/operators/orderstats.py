@@ -1,7 +1,8 @@
 """Exact quantiles and average ranks within groups of any size.
 
-Groups within `rows_per_task` use the plain aggregate or window. A larger group is never sorted
-or held in one place; it is cut at split values instead:
+Groups are counted first. One with at most `values_per_task` values (rows x columns) is handled
+whole by one task; the columns of a larger one go to different tasks; and a column that is still
+too long is never sorted or held in one place but cut at split values:
 
 1. a quantile sketch per (group, feature) proposes split values; they only balance the work,
    and are written down once so that every later pass sees the same ones;
@@ -15,19 +16,27 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelloom.constants import FEW_COLUMNS, MAX_BUCKETS, ROWS_PER_TASK
+from panelloom.constants import FEW_COLUMNS, MAX_BUCKETS, VALUES_PER_TASK
 from panelloom.operators.joins import join_small
 from panelloom.sources.storage import materialize
 
 
 def to_long(df: DataFrame, ids: list[str], values: list[str]) -> DataFrame:
-    """One row per (row, value column): ids, `feature`, `value` as double."""
-    plain = df.select(*ids, *[F.col(v).cast("double").alias(v) for v in values])
-    return plain.unpivot(ids, values, "feature", "value")
+    """One row per (row, value column): ids, `feature` (position in `values`) and `value` as double."""
+    together = ", ".join(f"CAST({quoted(v)} AS DOUBLE)" for v in values)
+    return df.select(*ids, F.expr(f"posexplode(array({together})) AS (feature, value)"))
+
+
+def quoted(name: str) -> str:
+    """A column name inside an SQL expression. Long column lists are written as SQL text: one call per list."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def group_sizes(df: DataFrame, group: list[str]) -> DataFrame:
@@ -40,8 +49,8 @@ def largest_group(df: DataFrame, group: list[str]) -> int:
 
 # -- splitting hot groups ------------------------------------------------------------------
 
-def _bucket_count(largest: int, rows_per_task: int) -> int:
-    return max(2, min(MAX_BUCKETS, math.ceil(largest / rows_per_task) + 1))
+def _bucket_count(largest: int, values_per_task: int) -> int:
+    return max(2, min(MAX_BUCKETS, math.ceil(largest / values_per_task) + 1))
 
 
 def _split_values(hot_long: DataFrame, keys: list[str], buckets: int) -> DataFrame:
@@ -88,9 +97,18 @@ def _bucket_offsets(bucketed: DataFrame, keys: list[str]) -> DataFrame:
         "below_rows", F.coalesce(F.sum("bucket_rows").over(lower), F.lit(0))), "offsets")
 
 
-def _hot_groups(df: DataFrame, group: list[str], rows_per_task: int) -> DataFrame:
-    """Groups above `rows_per_task`: at most (rows / rows_per_task) of them."""
-    return materialize(group_sizes(df, group).filter(F.col("group_rows") > rows_per_task), "hot")
+def part_large_groups(df: DataFrame, group: list[str], max_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups within `max_rows`, and rows of larger groups (None if there are none).
+
+    Larger groups are few, at most one per `max_rows` rows of `df`.
+    """
+    sizes = group_sizes(df, group)
+    if (sizes.agg(F.max("group_rows")).first()[0] or 0) <= max_rows:
+        return df, None
+    large = materialize(sizes.filter(F.col("group_rows") > max_rows).select(*group, F.lit(True).alias("_large")),
+                        "large-groups")
+    marked = join_small(df, large, group, "left")
+    return marked.filter(F.col("_large").isNull()).drop("_large"), marked.filter(F.col("_large")).drop("_large")
 
 
 # -- quantiles -----------------------------------------------------------------------------
@@ -155,43 +173,49 @@ def _split_quantiles(hot_long: DataFrame, keys: list[str], probs: list[float], m
 
 
 def group_quantiles(df: DataFrame, group: list[str], values: list[str], probs: list[float],
-                    method: str = "linear", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                    method: str = "linear", values_per_task: int = VALUES_PER_TASK) -> DataFrame:
     """Exact quantiles of each value column within each group, NULLs left out.
 
-    Returns group, `feature`, `n` (values seen) and `q`, an array in the order of `probs`.
-    `method` is "linear" (interpolated) or "disc" (an observed value). `df` is read several times
-    when a group is hot: pass a stored table.
+    Returns group, `feature` (position in `values`), `n` (values seen) and `q`, an array in the order
+    of `probs`. `method` is "linear" (interpolated) or "disc" (an observed value). `df` is read
+    several times when a group is large: pass a stored table.
     """
     if method not in ("linear", "disc"):
         raise ValueError("method must be 'linear' or 'disc'")
     keys = group + ["feature"]
-    long = to_long(df, group, values).filter(F.col("value").isNotNull())
-    largest = largest_group(df, group)
-    if largest <= rows_per_task:
-        return _plain_quantiles(long, keys, probs, method)
-    buckets = _bucket_count(largest, rows_per_task)
+
+    def long(part: DataFrame) -> DataFrame:
+        return to_long(part, group, values).filter(F.col("value").isNotNull())
+
     if not group:
-        return _split_quantiles(long, keys, probs, method, buckets)
-    hot = _hot_groups(df, group, rows_per_task).select(*group, F.lit(True).alias("_hot"))
-    marked = join_small(long, hot, group, "left")
-    cold = marked.filter(F.col("_hot").isNull()).drop("_hot")
-    hot_long = marked.filter(F.col("_hot")).drop("_hot")
-    return _plain_quantiles(cold, keys, probs, method).unionByName(
-        _split_quantiles(hot_long, keys, probs, method, buckets))
+        total = df.count()
+        if total <= values_per_task:
+            return _plain_quantiles(long(df), keys, probs, method)
+        return _split_quantiles(long(df), keys, probs, method, _bucket_count(total, values_per_task))
+    small, large = part_large_groups(df, group, values_per_task)
+    found = _plain_quantiles(long(small), keys, probs, method)
+    if large is None:
+        return found
+    buckets = _bucket_count(largest_group(large, group), values_per_task)
+    return found.unionByName(_split_quantiles(long(large), keys, probs, method, buckets))
 
 
 def group_medians(df: DataFrame, group: list[str], values: list[str], prefix: str = "median_",
-                  rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                  values_per_task: int = VALUES_PER_TASK) -> DataFrame:
     """One row per group: its number of rows as `group_rows` and the median of every value column."""
-    if len(values) <= FEW_COLUMNS and largest_group(df, group) <= rows_per_task:
-        return df.groupBy(*group).agg(
-            F.count(F.lit(1)).alias("group_rows"),
-            *[F.percentile(F.col(v).cast("double"), F.lit(0.5)).alias(prefix + v) for v in values])
-    long = group_quantiles(df, group, values, [0.5], "linear", rows_per_task)
-    wide = long.groupBy(*group).agg(
-        *[F.max(F.when(F.col("feature") == v, F.get("q", F.lit(0)))).alias(prefix + v) for v in values])
+    def whole(part: DataFrame) -> DataFrame:
+        return part.groupBy(*group).agg(F.count(F.lit(1)).alias("group_rows"), *[
+            F.expr(f"median(CAST({quoted(v)} AS DOUBLE)) AS {quoted(prefix + v)}") for v in values])
+
+    small, large = part_large_groups(df, group, values_per_task // len(values))
+    if large is None:
+        return whole(small)
+    long = group_quantiles(large, group, values, [0.5], "linear", values_per_task)
+    found = long.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("feature", F.col("q")[0]))).alias("_q"))
     # the sizes carry the groups in which every value is missing
-    return group_sizes(df, group).join(wide, group, "left")
+    wide = group_sizes(large, group).join(found, group, "left").selectExpr(
+        *group, "group_rows", *[f"_q[{i}] AS {quoted(prefix + v)}" for i, v in enumerate(values)])
+    return whole(small).unionByName(wide)
 
 
 # -- average ranks -------------------------------------------------------------------------
@@ -207,41 +231,70 @@ def _ranks_by_column(df: DataFrame, group: list[str], values: list[str], suffix:
         _local_rank(W.partitionBy(*group).orderBy(v)).alias(v + suffix) for v in values])
 
 
+def _ranks_by_group(df: DataFrame, group: list[str], values: list[str], suffix: str) -> DataFrame:
+    """A group at a time, all columns, in Arrow batches; other columns pass through untouched."""
+    schema = T.StructType(df.schema.fields + [T.StructField(v + suffix, T.DoubleType()) for v in values])
+
+    def rank_all(table: pa.Table) -> pa.Table:
+        for v in values:
+            column = table.column(v).to_numpy().astype(np.float64)
+            table = table.append_column(v + suffix, pa.array(shared_ranks(column)))
+        return table
+
+    return df.groupBy(*group).applyInArrow(rank_all, schema)
+
+
+def shared_ranks(values: np.ndarray) -> np.ndarray:
+    """1-based ranks of an array, equal values (NaN included) sharing the mean of their positions."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    new = np.append(True, (ordered[1:] != ordered[:-1]) & ~np.isnan(ordered[:-1]))
+    first = np.flatnonzero(new)
+    length = np.diff(np.append(first, len(values)))
+    ranks = np.empty(len(values))
+    ranks[order] = np.repeat(first + (length + 1) / 2.0, length)
+    return ranks
+
+
 def _ranks_by_reshaping(df: DataFrame, key: list[str], group: list[str], values: list[str],
-                        suffix: str, largest: int, rows_per_task: int) -> DataFrame:
+                        suffix: str, values_per_task: int) -> DataFrame:
+    """All columns as one long table, spread over (group, feature) and, where cut, over buckets."""
     ids = key + [c for c in group if c not in key]
     keys = group + ["feature"]
-    long = to_long(df, ids, values)
-    if largest <= rows_per_task:
-        ranked = long.withColumn("_rank", _local_rank(W.partitionBy(*keys).orderBy("value")))
+    largest = largest_group(df, group)
+    if largest <= values_per_task:
+        ranked = to_long(df, ids, values).withColumn("_rank", _local_rank(W.partitionBy(*keys).orderBy("value")))
     else:
-        buckets = _bucket_count(largest, rows_per_task)
-        hot = _hot_groups(df, group, rows_per_task).select(*group)
-        hot_long = join_small(long, hot, group, "inner")
-        splits = _split_values(hot_long, keys, buckets)
-        offsets = _bucket_offsets(_with_bucket(hot_long, splits, keys, buckets), keys)
-        placed = join_small(_with_bucket(long, splits, keys, buckets), offsets, keys + ["bucket"], "left")
+        buckets = _bucket_count(largest, values_per_task)
+        long = to_long(df, ids, values)
+        splits = _split_values(long, keys, buckets)
+        bucketed = _with_bucket(long, splits, keys, buckets)
+        placed = join_small(bucketed, _bucket_offsets(bucketed, keys), keys + ["bucket"], "inner")
         # all rows of a split's own bucket are equal, so they need no common task
         at_split = F.col("bucket") % 2 == 1
-        parts = F.ceil(F.col("bucket_rows") / F.lit(rows_per_task))
+        parts = F.ceil(F.col("bucket_rows") / F.lit(values_per_task))
         placed = placed.withColumn("_part", F.when(at_split, F.pmod(F.xxhash64(*key), parts)).otherwise(F.lit(0)))
         local = _local_rank(W.partitionBy(*keys, "bucket", "_part").orderBy("value"))
-        ranked = placed.withColumn("_rank", F.coalesce("below_rows", F.lit(0)) + F.when(
-            at_split, (F.col("bucket_rows") + 1) / F.lit(2.0)).otherwise(local))
-    wide = ranked.groupBy(*key).agg(
-        *[F.max(F.when(F.col("feature") == v, F.col("_rank"))).alias(v + suffix) for v in values])
-    return df.join(wide, key, "inner")
+        ranked = placed.withColumn("_rank", F.when(at_split, F.col("below_rows") + (F.col("bucket_rows") + 1) / 2.0)
+                                              .otherwise(F.col("below_rows") + local))
+    # one entry per feature, so sorting by feature puts each at its position
+    back = ranked.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("feature", "_rank"))).alias("_ranks"))
+    joined = df.join(back, key, "inner")
+    return joined.selectExpr(*map(quoted, df.columns), *[
+        f"_ranks[{i}]._rank AS {quoted(v + suffix)}" for i, v in enumerate(values)])
 
 
 def average_ranks(df: DataFrame, key: list[str], group: list[str], values: list[str],
-                  suffix: str = "_avg_rank", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Add the average rank (1-based) of every value column within its group.
+                  suffix: str = "_avg_rank", values_per_task: int = VALUES_PER_TASK) -> DataFrame:
+    """Add the average rank (1-based) of every value column within its group; `key` identifies a row.
 
-    `key` identifies a row. With few columns and no hot group each column has its own sort after
-    one common shuffle; otherwise all columns are ranked as one long table, which spreads the work
-    over (group, feature), and hot groups over their buckets as well.
+    A few columns each get a sort after one common shuffle; many columns of a group are ranked
+    together in one task; groups too large for that take the long way round. Groups of different
+    sizes in one table are told apart and handled each in its own way.
     """
-    largest = largest_group(df, group)
-    if largest <= rows_per_task and len(values) <= FEW_COLUMNS:
-        return _ranks_by_column(df, group, values, suffix)
-    return _ranks_by_reshaping(df, key, group, values, suffix, largest, rows_per_task)
+    small, large = part_large_groups(df, group, values_per_task // len(values))
+    whole = _ranks_by_column if len(values) <= FEW_COLUMNS else _ranks_by_group
+    ranked = whole(small, group, values, suffix)
+    if large is None:
+        return ranked
+    return ranked.unionByName(_ranks_by_reshaping(large, key, group, values, suffix, values_per_task))

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.constants import HUBER_FLOOR, HUBER_QUANTILE, ROWS_PER_TASK
+from panelloom.constants import HUBER_FLOOR, HUBER_QUANTILE, VALUES_PER_TASK
 from panelloom.functions.cleaning import is_finite
 from panelloom.functions.finance import huber_weight
 from panelloom.operators.orderstats import group_quantiles
@@ -117,10 +117,10 @@ def window_rows(rows: DataFrame, windows: list[Window], extra: dict[int, dict[st
 
 
 def huber_thresholds(rows: DataFrame, windows: list[Window], quantile: float = HUBER_QUANTILE,
-                     rows_per_task: int = ROWS_PER_TASK) -> dict[int, float]:
+                     values_per_task: int = VALUES_PER_TASK) -> dict[int, float]:
     """Test year -> interpolated quantile of |y| over its training rows."""
     sizes = window_rows(rows.select("year", F.abs("y").alias("abs_y")), windows)
-    found = group_quantiles(sizes, ["test_year"], ["abs_y"], [quantile], "linear", rows_per_task).collect()
+    found = group_quantiles(sizes, ["test_year"], ["abs_y"], [quantile], "linear", values_per_task).collect()
     xi = {r["test_year"]: r["q"][0] for r in found}
     return {t: v if math.isfinite(v) and v > 0 else HUBER_FLOOR for t, v in xi.items()}
 
@@ -140,7 +140,7 @@ def _exceeding_sums(rows: DataFrame, active: list[LinearFit], p: int, top: np.nd
 
 def fit_huber(df: DataFrame, features: list[str], windows: list[Window], quantile: float = HUBER_QUANTILE,
               tolerance: float = 1e-11, max_passes: int = 1000, year: str = "target_year", y: str = "y",
-              rows_per_task: int = ROWS_PER_TASK) -> list[LinearFit]:
+              values_per_task: int = VALUES_PER_TASK) -> list[LinearFit]:
     """Minimise the mean Huber loss per window, the threshold fixed beforehand.
 
     The loss is convex: reweighting from the least-squares start never increases it and stops at
@@ -151,7 +151,7 @@ def fit_huber(df: DataFrame, features: list[str], windows: list[Window], quantil
     yearly = yearly_product_sums(rows, p).collect()
     sums = _window_sums(yearly, windows, p)
     top = np.array([1.0] + [max(r[f"top_{i + 1}"] for r in yearly) for i in range(p)])
-    xi = huber_thresholds(rows, windows, quantile, rows_per_task)
+    xi = huber_thresholds(rows, windows, quantile, values_per_task)
     fits = [LinearFit(t, e, sums[t][0], _solve(sums[t][1], sums[t][2]), xi[t]) for t, e in windows]
     active = list(fits)
     for done in range(1, max_passes + 1):

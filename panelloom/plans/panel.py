@@ -80,12 +80,13 @@ def master_panel(characteristics: DataFrame, securities: DataFrame, risk_free: D
 
 
 def build_master_panel(spark: SparkSession, csv_sources: dict[str, str], folder: str) -> str:
-    """CSV files (author, wrds, ff3mom, goyal) to a stored master panel; returns its path.
+    """CSV files (author, wrds, ff3mom, goyal; others are only converted) to a stored master panel.
 
-    Each source is converted once and read back from its parquet copy.
+    Each source is read as text once and kept typed, so the joins start from columns that filters
+    and pruning reach. Sources stored by an earlier run are left alone. Returns the panel's path.
     """
-    stored = csv_to_parquet(spark, csv_sources, folder, numeric_if_present=[])
-    raw = {name: read_parquet(spark, path) for name, path in stored.items()}
-    panel = master_panel(clean_characteristics(raw["author"]), clean_securities(raw["wrds"]),
-                         clean_risk_free(raw["ff3mom"]), clean_macro(raw["goyal"]))
-    return write_parquet(panel, f"{folder.rstrip('/')}/master_panel.parquet")
+    cleaners = {"author": clean_characteristics, "wrds": clean_securities, "ff3mom": clean_risk_free,
+                "goyal": clean_macro}
+    stored = csv_to_parquet(spark, csv_sources, folder, cleaners)
+    author, wrds, ff3mom, goyal = (read_parquet(spark, stored[name]) for name in cleaners)
+    return write_parquet(master_panel(author, wrds, ff3mom, goyal), f"{folder.rstrip('/')}/master_panel.parquet")

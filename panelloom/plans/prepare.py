@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.constants import (CHARACTERISTICS, FIRST_TARGET_MONTH, LAST_TARGET_MONTH, MACROS,
-                                 ROWS_PER_TASK)
+from panelloom.constants import (CHARACTERISTICS, FIRST_TARGET_MONTH, ID_COLUMNS, LAST_TARGET_MONTH,
+                                 VALUES_PER_TASK)
 from panelloom.operators.features import (add_interactions, attach_target, fill_macros_expanding,
                                           fill_macros_global, fill_with_median, interaction_names,
                                           rank_transform, target_sample)
@@ -31,20 +31,23 @@ def target_panel(panel: DataFrame, columns: list[str], mode: str = "next_month",
 def prepare_panel(panel: DataFrame, columns: list[str] = CHARACTERISTICS, mode: str = "next_month",
                   macros: list[str] | None = None, macro_fill: str = "expanding", precision: str = "double",
                   first: int = FIRST_TARGET_MONTH, last: int = LAST_TARGET_MONTH, extra: list[str] = (),
-                  rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, list[str]]:
+                  values_per_task: int = VALUES_PER_TASK) -> tuple[DataFrame, list[str]]:
     """Target, sample filter, fill, ranks and optional macro interactions, stored by target year.
 
-    Returns the stored table and its feature columns. Everything downstream (fits, forecasts,
-    drift) reads only the years and columns it needs.
+    Returns the stored table (ids, `extra`, features) and the names of its feature columns. Everything
+    downstream (fits, forecasts, drift) reads only the years and columns it needs.
     """
     resolved = resolve_macro_columns(panel.columns, macros) if macros else None
     sample = materialize(target_panel(panel, columns, mode, first, last, resolved, extra), "target")
-    filled = fill_with_median(sample, columns, ["month_id"], precision, rows_per_task)
-    ranked = rank_transform(filled, columns, precision=precision, rows_per_task=rows_per_task)
+    filled = fill_with_median(sample, columns, ["month_id"], precision, values_per_task)
+    carried = list(dict.fromkeys([*ID_COLUMNS, *(resolved or {}).values(), *extra]))
+    narrow = filled.select(*carried, "_n_month", *[f"{c}_filled" for c in columns])
+    ranked = rank_transform(narrow, columns, precision=precision, values_per_task=values_per_task)
     features = [f"{c}_rank" for c in columns]
+    ranked = ranked.select(*carried, *features)
     if resolved:
         if macro_fill == "global":
-            ranked = fill_macros_global(ranked, resolved, precision, rows_per_task)
+            ranked = fill_macros_global(ranked, resolved, precision, values_per_task)
         elif macro_fill == "expanding":
             ranked = fill_macros_expanding(ranked, resolved, precision=precision)
         else:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.constants import (CHARACTERISTICS, HUBER_QUANTILE, ID_COLUMNS, LINEAR_CHARACTERISTICS,
-                                 LINEAR_TEST_YEARS, MACROS, ROWS_PER_TASK, SEGMENT_SIZE, TRAIN_GAP,
+                                 LINEAR_TEST_YEARS, MACROS, VALUES_PER_TASK, SEGMENT_SIZE, TRAIN_GAP,
                                  TREE_TEST_YEARS)
 from panelloom.operators.evaluate import r2_summary
 from panelloom.operators.regression import fit_huber, predict_linear
@@ -43,9 +43,9 @@ def label_predictions(df: DataFrame, model: str, train_end: int | None = None) -
 
 def linear_walk_forward(features_table: DataFrame, features: list[str], windows: list[tuple[int, int]],
                         model: str = "OLS3_Huber", quantile: float = HUBER_QUANTILE,
-                        rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                        values_per_task: int = VALUES_PER_TASK) -> DataFrame:
     """Huber regressions of all windows fitted together, then one lazy pass of forecasts."""
-    fits = fit_huber(features_table, features, windows, quantile, rows_per_task=rows_per_task)
+    fits = fit_huber(features_table, features, windows, quantile, values_per_task=values_per_task)
     return label_predictions(predict_linear(features_table, fits, features), model)
 
 

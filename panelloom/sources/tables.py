@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 
 from panelloom.functions.cleaning import blank_tokens, lenient_double
 
+# Columns that hold returns mixed with letter codes.
+RETURN_COLUMNS = ["RET", "DLRET"]
+
 
 def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
     """Every column as a string: no inference pass and no value lost to a wrong guess.
@@ -27,17 +30,24 @@ def read_csv_clean(spark: SparkSession, path: str) -> DataFrame:
     return raw.select([blank_tokens(F.col(f"`{c}`")).alias(c) for c in raw.columns])
 
 
+def numbers_where_present(columns: list[str] = RETURN_COLUMNS) -> Callable[[DataFrame], DataFrame]:
+    """Turns those of `columns` that a table has into doubles and leaves the rest as cleaned text."""
+    def convert(raw: DataFrame) -> DataFrame:
+        return raw.select([
+            (lenient_double if c in columns else blank_tokens)(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    return convert
+
+
 def csv_to_parquet(spark: SparkSession, sources: Mapping[str, str], folder: str,
-                   numeric_if_present: list[str] = ("RET", "DLRET")) -> dict[str, str]:
-    """Convert each named CSV once; an output that exists already is left alone."""
+                   cleaners: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None) -> dict[str, str]:
+    """Convert each named CSV once; an output that exists already is left alone.
+
+    A source without a cleaner of its own keeps its columns as text, return columns as numbers.
+    """
     written = {}
     for name, path in sources.items():
-        clean = read_csv_clean(spark, path)
-        typed = clean.select([
-            (lenient_double(F.col(f"`{c}`")) if c in numeric_if_present else F.col(f"`{c}`")).alias(c)
-            for c in clean.columns
-        ])
         written[name] = f"{folder.rstrip('/')}/{name}.parquet"
+        typed = (cleaners or {}).get(name, numbers_where_present())(read_csv_strings(spark, path))
         typed.write.mode("ignore").option("compression", "zstd").parquet(written[name])
     return written
 

@@ -168,29 +168,23 @@ def oracle_sql():
     out["yyyymm_split"] = """SELECT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT) AS yyyymm,
         count(*) AS n, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS month_id
         FROM orders GROUP BY 1, 3"""
-    money = ["ret", "dlret", "ret_adj", "price_abs", "mktcap", "mktcap_lag"]
-    out["csv_parquet_roundtrip"] = with_ctes(
-        f"SELECT permno, month_id, {rounded(money, 6)}, vol, shrcd, exchcd, siccd_crsp FROM security")
+    out["csv_parquet_roundtrip"] = with_ctes("SELECT * FROM security")
     out["prediction_store"] = with_ctes(
         f"SELECT permno, month_id, target_year, {rounded(['prediction'])} FROM preds")
     out["prediction_concat"] = with_ctes(
         f"""SELECT target_year, count(*) AS n, round(sum(prediction), 6) + 0e0 AS total FROM preds
         WHERE target_year BETWEEN {min(TEST_YEARS)} AND {max(TEST_YEARS)} GROUP BY 1""")
-    out["delist_adjusted_return"] = with_ctes(
-        f"SELECT permno, month_id, {rounded(['ret', 'dlret', 'ret_adj'])} FROM security")
-    out["market_cap"] = with_ctes(f"SELECT permno, month_id, {rounded(['price_abs', 'mktcap'], 6)} FROM security")
+    out["delist_adjusted_return"] = with_ctes("SELECT permno, month_id, ret, dlret, ret_adj FROM security")
+    out["market_cap"] = with_ctes("SELECT permno, month_id, price_abs, mktcap FROM security")
     out["security_codes"] = with_ctes(
         "SELECT shrcd, exchcd, siccd_crsp, count(*) AS n, sum(vol) AS vol FROM security GROUP BY ALL")
-    out["lag_by_row"] = with_ctes(f"SELECT permno, month_id, {rounded(['mktcap', 'mktcap_lag'], 6)} FROM security")
+    out["lag_by_row"] = with_ctes("SELECT permno, month_id, mktcap, mktcap_lag FROM security")
     out["risk_free"] = with_ctes("SELECT month_id, rf FROM risk_free")
     macros = [f"macro_{m}" for m in MACROS]
     out["macro_predictors"] = with_ctes(f"SELECT month_id, {rounded(macros)} FROM macro")
-    doubles = ["mvel1", "bm", "mom12m", "turn", "retvol", "dolvol", "ret", "dlret", "ret_adj", "price_abs", "mktcap",
-               "mktcap_lag", "vol", "rf", *macros, "ret_excess"]
-    out["master_panel"] = with_ctes(f"""SELECT permno, month, month_id, sic2, shrcd, exchcd, siccd_crsp,
-        {rounded(doubles, 6)} FROM panel""")
-    out["excess_return"] = with_ctes(
-        f"SELECT permno, month_id, {rounded(['ret_adj', 'rf', 'ret_excess'])} FROM panel")
+    out["master_panel"] = with_ctes(f"""SELECT * EXCLUDE (macro_dp, macro_ep),
+        {rounded(["macro_dp", "macro_ep"])} FROM panel""")
+    out["excess_return"] = with_ctes("SELECT permno, month_id, ret_adj, rf, ret_excess FROM panel")
     out["macro_resolution"] = with_ctes("SELECT month_id, " + ", ".join(
         f"round(max(macro_{m}), 9) + 0e0 AS {m}" for m in MACROS) + " FROM panel GROUP BY month_id")
     out["key_uniqueness"] = """SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem
@@ -201,11 +195,11 @@ def oracle_sql():
         count(*) FILTER (WHERE mktcap_lag IS NULL) AS missing_mktcap_lag FROM panel""")
     out["panel_coverage"] = with_ctes("""SELECT CAST(year(month) AS BIGINT) AS year, count(*) AS n_rows,
         count(DISTINCT permno) AS n_stocks FROM panel GROUP BY 1""")
-    out["next_month_target"] = with_ctes(f"""SELECT permno, month_id, target_month, target_month_id, target_year,
-        {rounded(['y', 'size_for_ranking'], 6)} FROM target""")
+    out["next_month_target"] = with_ctes("""SELECT permno, month_id, target_month, target_month_id, target_year,
+        y, size_for_ranking FROM target""")
     out["same_month_target"] = with_ctes(f"""SELECT permno, month_id, month AS target_month,
         month_id AS target_month_id, CAST(year(month) AS BIGINT) AS target_year,
-        round(ret_excess, 6) + 0e0 AS y, round(mktcap_lag, 6) + 0e0 AS size_for_ranking
+        ret_excess AS y, mktcap_lag AS size_for_ranking
         FROM panel WHERE ret_excess IS NOT NULL AND month_id BETWEEN {FIRST_TARGET} AND {LAST_TARGET}""")
     filled = [f"{c}_filled" for c in FEATURES]
     ranks = [f"{c}_rank" for c in FEATURES]
@@ -225,6 +219,7 @@ def oracle_sql():
             "wide_filled": _filled(WIDE_NAMES, "wide"), "wide_ranked": _ranked(WIDE_NAMES, "wide_filled")}
     out["wide_rank_transform"] = with_ctes(
         f"SELECT permno, month_id, {rounded([f'{c}_rank' for c in WIDE_NAMES])} FROM wide_ranked", wide)
+    out["wide_rank_transform_split"] = out["wide_rank_transform"]
     out["macro_global_fill"] = with_ctes("SELECT permno, month_id, " + ", ".join(
         f"round(coalesce({m}, median({m}) OVER (), 0e0), 9) + 0e0 AS {m}" for m in macros) + " FROM target")
     running = {"series": "SELECT month_id, " + ", ".join(f"max({m}) AS {m}" for m in macros)
@@ -251,8 +246,8 @@ def oracle_sql():
             ORDER BY size_for_ranking, permno) AS small FROM {source} WHERE size_for_ranking IS NOT NULL"""
 
     out["top_bottom_k"] = with_ctes(f"""SELECT 'top' AS segment, target_month_id, big AS size_rank, permno,
-        {rounded(['size_for_ranking'], 6)} FROM ends WHERE big <= {K} UNION ALL SELECT 'bottom', target_month_id,
-        small, permno, {rounded(['size_for_ranking'], 6)} FROM ends WHERE small <= {K}""", {"ends": ends("preds")})
+        size_for_ranking FROM ends WHERE big <= {K} UNION ALL SELECT 'bottom', target_month_id,
+        small, permno, size_for_ranking FROM ends WHERE small <= {K}""", {"ends": ends("preds")})
 
     def summary(source, model, digits, n_features, extra=None):
         extra = {**(extra or {}), "ends": ends(source)}

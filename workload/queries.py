@@ -42,7 +42,7 @@ def rounded(value: str | Column, digits: int = 9) -> Column:
 
 
 def _round_all(df: DataFrame, names: list[str], digits: int = 9) -> DataFrame:
-    return df.select(*[rounded(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
+    return df.selectExpr(*[f"round(`{c}`, {digits}) + 0D AS `{c}`" if c in names else f"`{c}`" for c in df.columns])
 
 
 # -- sources and scalar functions ----------------------------------------------------------
@@ -105,14 +105,13 @@ def yyyymm_split(spark, sf_dir):
 
 
 def csv_parquet_roundtrip(spark, sf_dir):
-    """Strings to CSV, CSV to parquet once, then typed securities."""
+    """Strings to CSV, CSV to typed parquet once."""
     folder = scratch_path(spark, "csv")
     raw = tb.raw_securities(tb.cells(spark, sf_dir))
     raw.write.option("header", True).csv(f"{folder}/wrds.csv")
     for _ in range(2):  # the second call finds the output and leaves it alone
-        stored = csv_to_parquet(spark, {"wrds": f"{folder}/wrds.csv"}, folder)
-    return _round_all(clean_securities(read_parquet(spark, stored["wrds"])),
-                      ["ret", "dlret", "ret_adj", "price_abs", "mktcap", "mktcap_lag"], 6)
+        stored = csv_to_parquet(spark, {"wrds": f"{folder}/wrds.csv"}, folder, {"wrds": clean_securities})
+    return read_parquet(spark, stored["wrds"])
 
 
 def prediction_store(spark, sf_dir):
@@ -150,13 +149,11 @@ def summary_csv(spark, sf_dir):
 # -- panel ---------------------------------------------------------------------------------
 
 def delist_adjusted_return(spark, sf_dir):
-    return _round_all(tb.securities(spark, sf_dir).select("permno", "month_id", "ret", "dlret", "ret_adj"),
-                      ["ret", "dlret", "ret_adj"])
+    return tb.securities(spark, sf_dir).select("permno", "month_id", "ret", "dlret", "ret_adj")
 
 
 def market_cap(spark, sf_dir):
-    return _round_all(tb.securities(spark, sf_dir).select("permno", "month_id", "price_abs", "mktcap"),
-                      ["price_abs", "mktcap"], 6)
+    return tb.securities(spark, sf_dir).select("permno", "month_id", "price_abs", "mktcap")
 
 
 def security_codes(spark, sf_dir):
@@ -165,8 +162,7 @@ def security_codes(spark, sf_dir):
 
 
 def lag_by_row(spark, sf_dir):
-    return _round_all(tb.securities(spark, sf_dir).select("permno", "month_id", "mktcap", "mktcap_lag"),
-                      ["mktcap", "mktcap_lag"], 6)
+    return tb.securities(spark, sf_dir).select("permno", "month_id", "mktcap", "mktcap_lag")
 
 
 def risk_free(spark, sf_dir):
@@ -179,14 +175,11 @@ def macro_predictors(spark, sf_dir):
 
 
 def master_panel(spark, sf_dir):
-    panel = tb.panel(spark, sf_dir)
-    doubles = [name for name, kind in panel.dtypes if kind == "double"]
-    return _round_all(panel, doubles, 6)
+    return _round_all(tb.panel(spark, sf_dir), ["macro_dp", "macro_ep"])
 
 
 def excess_return(spark, sf_dir):
-    return _round_all(tb.panel(spark, sf_dir).select("permno", "month_id", "ret_adj", "rf", "ret_excess"),
-                      ["ret_adj", "rf", "ret_excess"])
+    return tb.panel(spark, sf_dir).select("permno", "month_id", "ret_adj", "rf", "ret_excess")
 
 
 def macro_resolution(spark, sf_dir):
@@ -219,11 +212,11 @@ TARGET_COLUMNS = ["permno", "month_id", "target_month", "target_month_id", "targ
 
 
 def next_month_target(spark, sf_dir):
-    return _round_all(_sample(spark, sf_dir).select(TARGET_COLUMNS), ["y", "size_for_ranking"], 6)
+    return _sample(spark, sf_dir).select(TARGET_COLUMNS)
 
 
 def same_month_target(spark, sf_dir):
-    return _round_all(_sample(spark, sf_dir, "same_month").select(TARGET_COLUMNS), ["y", "size_for_ranking"], 6)
+    return _sample(spark, sf_dir, "same_month").select(TARGET_COLUMNS)
 
 
 def month_median_fill(spark, sf_dir):
@@ -250,13 +243,14 @@ def rank_transform_float(spark, sf_dir):
 
 
 def _wide(spark, sf_dir):
-    sources = {"qty": F.col("l_quantity").cast("bigint"), "price": tb.hundredths(F.col("l_extendedprice")),
-               "discount": tb.hundredths(F.col("l_discount")), "tax": tb.hundredths(F.col("l_tax"))}
-    sums = [F.sum(F.when((F.col("l_linenumber") == line) & (F.col("l_returnflag") == flag), sources[m])).alias(name)
+    lines = tb.table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("permno"), clean.month_index(F.col("l_shipdate")).alias("month_id"),
+        F.concat("l_linenumber", F.lower("l_returnflag")).alias("slot"),
+        F.col("l_quantity").cast("bigint").alias("qty"), tb.hundredths(F.col("l_extendedprice")).alias("price"),
+        tb.hundredths(F.col("l_discount")).alias("discount"), tb.hundredths(F.col("l_tax")).alias("tax"))
+    sums = [F.expr(f"sum(if(slot = '{line}{flag.lower()}', {m}, NULL)) AS {name}")
             for name, (line, flag, m) in zip(WIDE_NAMES, WIDE)]
-    return materialize(tb.table(spark, sf_dir, "lineitem").groupBy(
-        F.col("l_suppkey").alias("permno"), clean.month_index(F.col("l_shipdate")).alias("month_id")).agg(*sums),
-        "wide")
+    return materialize(lines.groupBy("permno", "month_id").agg(*sums), "wide")
 
 
 def wide_rank_transform(spark, sf_dir):
@@ -266,11 +260,19 @@ def wide_rank_transform(spark, sf_dir):
     return _round_all(ft.rank_transform(filled, WIDE_NAMES).select("permno", "month_id", *names), names)
 
 
+def wide_rank_transform_split(spark, sf_dir):
+    """The same with every month too large for one task: columns apart, some of them cut."""
+    filled = ft.fill_with_median(_wide(spark, sf_dir), WIDE_NAMES, values_per_task=60)
+    names = [f"{c}_rank" for c in WIDE_NAMES]
+    return _round_all(ft.rank_transform(filled, WIDE_NAMES, values_per_task=60)
+                        .select("permno", "month_id", *names), names)
+
+
 def rank_transform_split(spark, sf_dir):
     """The same ranks with every month treated as too large for one task."""
-    filled = ft.fill_with_median(_sample(spark, sf_dir), tb.FEATURES, rows_per_task=16)
+    filled = ft.fill_with_median(_sample(spark, sf_dir), tb.FEATURES, values_per_task=16)
     names = [f"{c}_rank" for c in tb.FEATURES]
-    return _round_all(ft.rank_transform(filled, tb.FEATURES, rows_per_task=16)
+    return _round_all(ft.rank_transform(filled, tb.FEATURES, values_per_task=16)
                         .select("permno", "month_id", *names), names)
 
 
@@ -334,8 +336,8 @@ def finite_pairs(spark, sf_dir):
 def top_bottom_k(spark, sf_dir):
     preds = materialize(_trivial_forecast(spark, sf_dir), "forecast")
     ends = ev.largest_and_smallest(preds, K)
-    return _round_all(ends.select("segment", "target_month_id", F.col("size_rank").cast("bigint").alias("size_rank"),
-                                  "permno", "size_for_ranking"), ["size_for_ranking"], 6)
+    return ends.select("segment", "target_month_id", F.col("size_rank").cast("bigint").alias("size_rank"),
+                       "permno", "size_for_ranking")
 
 
 def oos_r2_summary(spark, sf_dir):
@@ -361,7 +363,7 @@ def forecast_quantiles(spark, sf_dir):
 def forecast_quantiles_split(spark, sf_dir):
     """Interpolated, with the whole sample treated as too large for one task."""
     table = ev.forecast_quantiles(materialize(_trivial_forecast(spark, sf_dir), "forecast"), method="linear",
-                                  rows_per_task=500)
+                                  values_per_task=500)
     return _round_all(table, table.columns)
 
 
@@ -435,7 +437,7 @@ QUERIES = {f.__name__: f for f in [
     prediction_store, prediction_concat, summary_csv, delist_adjusted_return, market_cap, security_codes, lag_by_row,
     risk_free, macro_predictors, master_panel, excess_return, macro_resolution, key_uniqueness, panel_qa,
     panel_coverage, next_month_target, same_month_target, month_median_fill, rank_transform, rank_transform_float,
-    rank_transform_split, wide_rank_transform, macro_global_fill, macro_expanding_fill, macro_interactions,
+    rank_transform_split, wide_rank_transform, wide_rank_transform_split, macro_global_fill, macro_expanding_fill, macro_interactions,
     industry_dummies, finite_pairs, top_bottom_k, oos_r2_summary, yearly_r2, yearly_diagnostics, forecast_quantiles,
     forecast_quantiles_split, drift_table, huber_loss_terms, expanding_window_ols, huber_thresholds,
     huber_coefficients, huber_walkforward, huber_r2, gbt_walkforward, forest_walkforward]}

@@ -144,10 +144,9 @@ def securities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The master panel over the whole tables."""
+    """The master panel over the whole tables; text is parsed once, into stored typed sources."""
     cell, months = stored_cells(spark, sf_dir), stored_months(spark, sf_dir)
+    author = clean_characteristics(raw_characteristics(cell, table(spark, sf_dir, "supplier")), CHARACTERISTICS)
     return master_panel(
-        clean_characteristics(raw_characteristics(cell, table(spark, sf_dir, "supplier")), CHARACTERISTICS),
-        clean_securities(raw_securities(cell)),
-        clean_risk_free(raw_risk_free(months)), clean_macro(raw_macro(months)),
-        FIRST_YEAR, LAST_YEAR)
+        materialize(author, "characteristics"), materialize(clean_securities(raw_securities(cell)), "securities"),
+        clean_risk_free(raw_risk_free(months)), clean_macro(raw_macro(months)), FIRST_YEAR, LAST_YEAR)
