@@ -15,6 +15,7 @@ too long is never sorted or held in one place but cut at split values:
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -234,6 +235,7 @@ def _ranks_by_column(df: DataFrame, group: list[str], values: list[str], suffix:
 def _ranks_by_group(df: DataFrame, group: list[str], values: list[str], suffix: str) -> DataFrame:
     """A group at a time, all columns, in Arrow batches; other columns pass through untouched."""
     schema = T.StructType(df.schema.fields + [T.StructField(v + suffix, T.DoubleType()) for v in values])
+    shared_ranks = array_ranker()
 
     def rank_all(table: pa.Table) -> pa.Table:
         for v in values:
@@ -244,16 +246,22 @@ def _ranks_by_group(df: DataFrame, group: list[str], values: list[str], suffix:
     return df.groupBy(*group).applyInArrow(rank_all, schema)
 
 
-def shared_ranks(values: np.ndarray) -> np.ndarray:
-    """1-based ranks of an array, equal values (NaN included) sharing the mean of their positions."""
-    order = np.argsort(values, kind="stable")
-    ordered = values[order]
-    new = np.append(True, (ordered[1:] != ordered[:-1]) & ~np.isnan(ordered[:-1]))
-    first = np.flatnonzero(new)
-    length = np.diff(np.append(first, len(values)))
-    ranks = np.empty(len(values))
-    ranks[order] = np.repeat(first + (length + 1) / 2.0, length)
-    return ranks
+def array_ranker() -> Callable[[np.ndarray], np.ndarray]:
+    """A function for 1-based ranks of an array, equal values (NaN included) sharing the mean of their positions.
+
+    Built inside a function so that it travels to the workers whole, without this package.
+    """
+    def shared_ranks(values: np.ndarray) -> np.ndarray:
+        order = np.argsort(values, kind="stable")
+        ordered = values[order]
+        new = np.append(True, (ordered[1:] != ordered[:-1]) & ~np.isnan(ordered[:-1]))
+        first = np.flatnonzero(new)
+        length = np.diff(np.append(first, len(values)))
+        ranks = np.empty(len(values))
+        ranks[order] = np.repeat(first + (length + 1) / 2.0, length)
+        return ranks
+
+    return shared_ranks
 
 
 def _ranks_by_reshaping(df: DataFrame, key: list[str], group: list[str], values: list[str],
