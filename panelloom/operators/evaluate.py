@@ -20,15 +20,16 @@ def r2_against_zero(y: Column, prediction: Column) -> Column:
     return F.lit(1.0) - F.try_divide(sse, sst)
 
 
-def first_in_group(df: DataFrame, group: list[str], order: list[Column], k: int,
-                   spread_by: list[str], parts: int = 64, rank: str = "size_rank") -> DataFrame:
+def first_in_group(df: DataFrame, group: list[str], order: list[Column], k: int, parts: int = 256,
+                   rank: str = "size_rank") -> DataFrame:
     """The first `k` rows of each group in `order`, numbered from 1 in column `rank`.
 
-    Two rounds: the first keeps the best `k` of each of `parts` slices of a group (Spark trims
-    before that shuffle too), so the second sees at most `k * parts` rows of any group.
-    `order` must be total for a repeatable result.
+    Two rounds. Rows are sliced by the task that reads them, which leaves at most `k` per group and
+    task to shuffle (Spark trims them beforehand) and shares a large group out over `parts` tasks;
+    the second round then sees at most `k * parts` rows of any group. How rows are sliced does not
+    matter to the result. `order` must be total for a repeatable one.
     """
-    slices = df.withColumn("_part", F.pmod(F.xxhash64(*spread_by), F.lit(parts)))
+    slices = df.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(parts)))
     within = W.partitionBy(*group, "_part").orderBy(*order)
     short = slices.withColumn("_row", F.row_number().over(within)).filter(F.col("_row") <= k)
     overall = W.partitionBy(*group).orderBy(*order)
@@ -45,7 +46,7 @@ def largest_and_smallest(preds: DataFrame, k: int = SEGMENT_SIZE, size: str = "s
     sized = preds.filter(F.col(size).isNotNull())
     ends = {"top": F.col(size).desc(), "bottom": F.col(size).asc()}
     top, bottom = (
-        first_in_group(sized, [group], [direction, F.col(entity).asc()], k, [entity])
+        first_in_group(sized, [group], [direction, F.col(entity).asc()], k)
         .withColumn("segment", F.lit(label)) for label, direction in ends.items())
     return top.unionByName(bottom)
 

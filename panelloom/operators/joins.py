@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from panelloom.constants import BROADCAST_CELLS
 
 
-def fits_broadcast(df: DataFrame, max_cells: int = BROADCAST_CELLS) -> bool:
-    """Whether rows x columns stays within `max_cells`; counts no further than that."""
-    max_rows = max_cells // max(1, len(df.columns))
+def fits_broadcast(df: DataFrame, max_cells: int = BROADCAST_CELLS, cells_per_row: int | None = None) -> bool:
+    """Whether rows x cells per row stays within `max_cells`; counts no further than that.
+
+    A column is one cell unless `cells_per_row` says otherwise (arrays).
+    """
+    max_rows = max_cells // (cells_per_row or len(df.columns))
     return df.limit(max_rows + 1).count() <= max_rows
 
 
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
-               max_cells: int = BROADCAST_CELLS, salts: int = 32) -> DataFrame:
+               max_cells: int = BROADCAST_CELLS, cells_per_row: int | None = None, salts: int = 32) -> DataFrame:
     """Join the rows of `left` to a right side that should be small.
 
     Within `max_cells` the right side is broadcast and `left` does not move. A larger one is
@@ -25,7 +28,7 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
-    if fits_broadcast(right, max_cells):
+    if fits_broadcast(right, max_cells, cells_per_row):
         return left.join(F.broadcast(right), on, how)
     spread = [F.col(c) for c in left.columns]
     salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))

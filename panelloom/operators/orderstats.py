@@ -78,7 +78,7 @@ def _with_bucket(long: DataFrame, splits: DataFrame, keys: list[str], buckets: i
     step = _step(buckets)
     value = F.col("value")
     none = F.array().cast("array<double>")
-    joined = join_small(long, splits, keys, "left")
+    joined = join_small(long, splits, keys, "left", cells_per_row=2 * buckets + len(keys))
     found = joined.select(
         *long.columns,
         F.coalesce("splits", none).alias("_splits"),
