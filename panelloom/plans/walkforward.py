@@ -16,7 +16,7 @@ from panelloom.operators.regression import fit_huber, predict_linear
 from panelloom.operators.trees import (BoostSettings, ForestSettings, fit_boosted_trees, fit_forest,
                                        predict_boosted, predict_forest)
 from panelloom.plans.prepare import prepare_panel
-from panelloom.sources.tables import write_by_year, write_parquet, write_summary_csv
+from panelloom.sources.tables import write_by_year, write_summary_csv
 
 
 def walk_forward_windows(test_years: Iterable[int], gap: int = TRAIN_GAP) -> list[tuple[int, int]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.constants import MACROS
@@ -437,7 +437,7 @@ QUERIES = {f.__name__: f for f in [
     prediction_store, prediction_concat, summary_csv, delist_adjusted_return, market_cap, security_codes, lag_by_row,
     risk_free, macro_predictors, master_panel, excess_return, macro_resolution, key_uniqueness, panel_qa,
     panel_coverage, next_month_target, same_month_target, month_median_fill, rank_transform, rank_transform_float,
-    rank_transform_split, wide_rank_transform, wide_rank_transform_split, macro_global_fill, macro_expanding_fill, macro_interactions,
-    industry_dummies, finite_pairs, top_bottom_k, oos_r2_summary, yearly_r2, yearly_diagnostics, forecast_quantiles,
+    rank_transform_split, wide_rank_transform, wide_rank_transform_split, macro_global_fill,
+    macro_expanding_fill, macro_interactions, industry_dummies, finite_pairs, top_bottom_k, oos_r2_summary, yearly_r2, yearly_diagnostics, forecast_quantiles,
     forecast_quantiles_split, drift_table, huber_loss_terms, expanding_window_ols, huber_thresholds,
     huber_coefficients, huber_walkforward, huber_r2, gbt_walkforward, forest_walkforward]}
