@@ -53,6 +53,11 @@ def usable_rows(df: DataFrame, features: list[str], year: str = "target_year", y
         *[F.col(c).cast("double").alias(f"x{i + 1}") for i, c in enumerate(features)])
 
 
+def _training_rows(df: DataFrame, features: list[str], windows: list[Window], year: str, y: str) -> DataFrame:
+    """Usable rows of the years that any window trains on; later partitions are not read."""
+    return usable_rows(df, features, year, y).filter(F.col("year") <= max(end for _, end in windows))
+
+
 def _design(p: int) -> list[Column]:
     return [F.lit(1.0)] + [F.col(f"x{i + 1}") for i in range(p)]
 
@@ -98,7 +103,7 @@ def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def fit_least_squares(df: DataFrame, features: list[str], windows: list[Window],
                       year: str = "target_year", y: str = "y") -> list[LinearFit]:
     p = len(features)
-    yearly = yearly_product_sums(usable_rows(df, features, year, y), p).collect()
+    yearly = yearly_product_sums(_training_rows(df, features, windows, year, y), p).collect()
     sums = _window_sums(yearly, windows, p)
     return [LinearFit(t, e, sums[t][0], _solve(sums[t][1], sums[t][2])) for t, e in windows]
 
@@ -125,10 +130,16 @@ def huber_thresholds(rows: DataFrame, windows: list[Window], quantile: float = H
     return {t: v if math.isfinite(v) and v > 0 else HUBER_FLOOR for t, v in xi.items()}
 
 
+def rows_beyond(rows: DataFrame, reach: float) -> DataFrame:
+    """Rows whose |y| may exceed `reach`, a little slack included; stated on `y` so that the scan can skip."""
+    low = reach * (1 - 1e-9)
+    return rows if reach <= 0 else rows.filter((F.col("y") > low) | (F.col("y") < -low))
+
+
 def _exceeding_sums(rows: DataFrame, active: list[LinearFit], p: int, top: np.ndarray) -> dict[int, tuple]:
     """Per test year: product sums over rows beyond the threshold, weighted by what they lose."""
     reach = min(f.xi - float(np.abs(f.beta) @ top) for f in active)
-    near = rows if reach <= 0 else rows.filter((F.col("y") > reach * (1 - 1e-9)) | (F.col("y") < -reach * (1 - 1e-9)))
+    near = rows_beyond(rows, reach)
     extra = {f.test_year: {"xi": f.xi, **{f"beta_{i}": v for i, v in enumerate(f.beta)}} for f in active}
     spread = window_rows(near, [(f.test_year, f.train_end) for f in active], extra)
     fitted = sum((F.col(f"beta_{i}") * x for i, x in enumerate(_design(p))), F.lit(0.0))
@@ -147,7 +158,7 @@ def fit_huber(df: DataFrame, features: list[str], windows: list[Window], quantil
     its minimum. `tolerance` bounds the largest slope of the mean loss, relative to the threshold.
     """
     p = len(features)
-    rows = usable_rows(df, features, year, y)
+    rows = _training_rows(df, features, windows, year, y)
     yearly = yearly_product_sums(rows, p).collect()
     sums = _window_sums(yearly, windows, p)
     top = np.array([1.0] + [max(r[f"top_{i + 1}"] for r in yearly) for i in range(p)])

@@ -58,6 +58,13 @@ def test_huber_fit_reaches_the_minimum(sample, table, share, limit):
         assert np.abs(slope).max() < 1e-9
 
 
+def test_passes_read_only_training_years_and_rows_beyond_the_threshold(table):
+    rows = rg.rows_beyond(rg._training_rows(table, X, [(1995, 1992)], "target_year", "y"), 2.0)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "target_year" in plan.split("PartitionFilters:")[1].split("]")[0] and "<= 1992" in plan
+    assert "Or(GreaterThan(y,1.9" in plan and "LessThan(y,-1" in plan  # the plan's text is cut off there
+
+
 def test_least_squares_windows(sample, table):
     for fit in rg.fit_least_squares(table, X, [(1995, 1992), (2000, 1998)]):
         part = sample[sample.target_year <= fit.train_end]
