@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import licenses, packing, quality, sharding, simhash, warc
+from panelloom.llm import langid, licenses, packing, quality, sharding, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs.withColumn("held_out", langid.held_out(F.col("doc_id"))), langid.fit(docs), ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "position_share")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(_table(spark, sf_dir, "pages"))
 
@@ -44,6 +50,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_langid": op2_langid,
     "op3_warc": op3_warc,
     "op4_quality": op4_quality,
     "op6_packing": op6_packing,
