@@ -71,6 +71,26 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, n_rows: str, total
             .unionByName(rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)))
 
 
+#: Bits of a membership filter: 64 in a row, so that its table has so many rows at most whatever it holds.
+FILTER_BITS = 1 << 23
+
+
+def maybe_in(df: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
+    """`df` with a boolean column: false only where `key` is surely not in `keys`; null keys are in none.
+
+    The filter is one bit for a hash of each key, gathered by the executors into FILTER_BITS / 64 rows, which bounds the
+    broadcast. The more keys there are, the more rows are let through for nothing: an exact join has to follow.
+    """
+    def place(column):
+        return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+    bits = (keys.filter(F.col(key).isNotNull()).select(place(key).alias("_at"))
+            .groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at & 63 AS int))")).alias("_bits")))
+    joined = df.withColumn("_at", place(key)).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(bits), "_word", "left")
+    hit = F.expr("coalesce(shiftright(_bits, cast(_at & 63 AS int)) & 1 = 1, false)") & F.col(key).isNotNull()
+    return joined.withColumn(flag, hit).drop("_at", "_word", "_bits")
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and where each row starts in them (one more entry than rows). Null is empty."""
     if isinstance(column, pa.ChunkedArray):

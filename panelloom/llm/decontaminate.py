@@ -276,6 +276,15 @@ def _schema(id_type: T.DataType, item_type: T.DataType) -> T.StructType:
                         + [T.StructField(c, T.LongType()) for c in ("distance", "start", "end")])
 
 
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, bytes]]]:
+    """The items in blocks of about BLOCK; each block is read when its turn comes."""
+    items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
+    count = max(1, -(-items.count() // BLOCK))
+    for k in range(count):
+        block = items.filter(F.pmod(F.xxhash64("text"), F.lit(count)) == k).collect()
+        yield [(r["item_id"], plain(r["text"])) for r in block]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: float = RECALL) -> DataFrame:
     """Items of `benchmark` (item_id, text) found in `docs` (doc_id, text): one row for each row of docs and item.
 
@@ -287,25 +296,45 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: flo
     """
     ship(docs.sparkSession)
     schema = _schema(docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType)
-    items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
-    blocks = max(1, -(-items.count() // BLOCK))
     found = None
-    for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()  # about BLOCK items
-        part = _search(docs, [(r["item_id"], plain(r["text"])) for r in block], rate, recall, schema)
+    for block in _blocks(benchmark):
+        part = _search(docs, block, rate, recall, schema)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _search(docs: DataFrame, items: list[tuple[object, bytes]], rate: float, recall: float, schema: T.StructType) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: float = RECALL) -> DataFrame:
+    """The rows of `docs`, all columns as they are, in whose text no item is found (see `leaks`)."""
+    ship(docs.sparkSession)
+    where = docs.columns.index("text")
+    for block in _blocks(benchmark):
+        plans = _plans(block, recall, rate)
+
+        def clean(batches: Iterator[pa.RecordBatch], plans=plans) -> Iterator[pa.RecordBatch]:
+            queries = [prepare(ids, texts, span, n) for span, ids, texts, n in plans]
+            for batch in batches:
+                for first, last in slices(batch.column(where)):
+                    part = batch.slice(first, last - first)
+                    keep = np.ones(part.num_rows, bool)
+                    if queries:
+                        keep[[r[0] for r in find(*utf8(part.column(where)), queries, rate)]] = False
+                    yield part.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
+def _plans(items: list[tuple[object, bytes]], recall: float, rate: float) -> list[tuple]:
+    """For each span its item ids, texts and repetitions."""
     groups: dict[int, list[tuple[object, bytes]]] = {}
     for item_id, text in items:
         if text:
             groups.setdefault(next((s for s in SPANS if len(text) >= s), len(text)), []).append((item_id, text))
-    plans = []
-    for span, own in groups.items():
-        texts = [t for _, t in own]
-        plans.append((span, [i for i, _ in own], texts, calibrate(texts, span, rate, recall)))
+    return [(span, [i for i, _ in own], [t for _, t in own], calibrate([t for _, t in own], span, rate, recall)) for span, own in groups.items()]
+
+
+def _search(docs: DataFrame, items: list[tuple[object, bytes]], rate: float, recall: float, schema: T.StructType) -> DataFrame:
+    plans = _plans(items, recall, rate)
     item_type = schema["item_id"].dataType
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -230,12 +230,12 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last in slices(batch.column(0), 8 << 20):
+            for first, last in slices(batch.column(where), 8 << 20):
                 part = batch.slice(first, last - first)
-                lettered = np.array(part.column(1).to_pylist(), bool)
+                lettered = np.array(part.column(0).to_pylist(), bool)
                 if model is None:
                     lettered[:] = False
-                raw, at = utf8(part.column(0))
+                raw, at = utf8(part.column(where))
                 best, score, share = np.zeros(len(lettered), int), np.zeros(len(lettered)), np.zeros(len(lettered))
                 if lettered.any():
                     mean, votes = predict(model, raw, at)
@@ -244,11 +244,12 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
                     score, share = np.minimum(mean[rows, best], 1) * lettered, votes[rows, best] * lettered
                 names = [languages[k] if ok else UNKNOWN for k, ok in zip(best, lettered)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[2:], pa.array(names, pa.string()), pa.array(score), pa.array(np.minimum(share, 1.0))],
+                    [*part.columns[1: 1 + len(keep)], pa.array(names, pa.string()), pa.array(score), pa.array(np.minimum(share, 1.0))],
                     [*keep, "lang_pred", "score", "position_share"])
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col("text").alias("_text"), lettered.alias("_lettered"), *keep)
+    rows = docs.select(lettered.alias("_lettered"), *keep, *([] if "text" in keep else ["text"]))
+    where = rows.columns.index("text")
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                                                             T.StructField("position_share", T.DoubleType())])
     return rows.mapInArrow(label, schema)
