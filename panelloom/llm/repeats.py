@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelloom.llm.common import ship, slices, utf8
+from panelloom.llm.common import join_groups, maybe_in, ship, slices, utf8
 from panelloom.sources.storage import materialize
 
 LENGTH = 400
@@ -207,9 +207,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = keyed(docs)
     cut = materialize(piece_table(texts.filter(F.octet_length("text") >= length), length), "pieces")
     marks = (cut.groupBy("mark").agg(F.count(F.lit(1)).alias("_n"), F.min("piece").alias("_least"), F.max("piece").alias("_most"))
-             .filter("_n > 1").select("mark", (F.col("_least") != F.col("_most")).alias("differ")))
+             .filter("_n > 1").select("mark", "_n", (F.col("_least") != F.col("_most")).alias("differ")))
+    marks = materialize(marks, "shared-marks")
     # copies of a text have the same pieces: they count, but one of them stands for all
-    known = materialize(cut.join(marks, "mark").groupBy("digest", "start", "windows", "anchor", "mark", "piece", "differ")
+    known = materialize(join_groups(cut, marks, "mark", "_n", cut.count()).groupBy("digest", "start", "windows", "anchor", "mark", "piece", "differ")
                         .agg(F.count(F.lit(1)).alias("n"), F.min("copy").alias("copy")), "known-pieces")
     kinds = materialize(known.groupBy("mark", "piece", "differ").agg(
         F.sum("n").alias("n"), F.min(F.struct("digest", "copy", "start", "windows", "anchor")).alias("one")), "piece-kinds")
@@ -234,7 +235,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 def _fetch(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """The bytes of each wanted piece: mark, piece, anchor, data. The texts that hold them are met once each."""
     lists = wanted.groupBy("digest", "copy").agg(F.collect_list(F.struct("mark", "piece", "anchor", "start", "windows")).alias("parts"))
-    met = texts.select("digest", "copy", "text").join(lists, ["digest", "copy"])
+    lists = materialize(lists, "wanted-pieces")
+    may = maybe_in(texts.select("digest", "copy", "text"), lists, "digest", "_may").filter("_may").drop("_may")
+    met = may.join(lists, ["digest", "copy"])
     rows = met.select(F.col("text").cast("binary").alias("raw"), F.explode("parts").alias("p"))
     data = F.substring(F.col("raw"), (F.col("p.start") + 1).cast("int"), (F.col("p.windows") + (length - 1)).cast("int"))
     return rows.select("p.mark", "p.piece", "p.anchor", data.alias("data")).dropDuplicates(["mark", "piece"])
@@ -277,4 +280,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     fields = [docs.schema["doc_id"]] + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
     fields.append(T.StructField("kept_sha256", T.StringType()))
     schema = T.StructType(fields + ([T.StructField("kept", T.BinaryType())] if keep_text else []))
-    return keyed(docs).join(spans, "digest", "left").select("doc_id", "text", "spans").mapInArrow(take, schema)
+    texts = maybe_in(keyed(docs), spans, "digest", "_may")
+    whole = texts.filter("NOT _may").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    rows = texts.filter("_may").join(spans, "digest", "left").select(*whole.columns).unionByName(whole)
+    return rows.select("doc_id", "text", "spans").mapInArrow(take, schema)
