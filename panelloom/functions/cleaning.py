@@ -26,7 +26,8 @@ def lenient_double(text: Column) -> Column:
 
 def lenient_long(text: Column) -> Column:
     """Whole number or NULL; `12.0` is 12, `12.5` and `Z` are NULL."""
-    return F.regexp_extract(text, _WHOLE, 1).try_cast("bigint")
+    # a failed cast is far dearer than a failed match
+    return F.when(text.rlike(_WHOLE), F.regexp_extract(text, _WHOLE, 1).try_cast("bigint"))
 
 
 def strict_double(text: Column) -> Column:

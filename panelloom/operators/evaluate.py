@@ -95,7 +95,7 @@ def yearly_diagnostics(preds: DataFrame) -> DataFrame:
             .orderBy("year"))
 
 
-def forecast_quantiles(preds: DataFrame, probs: list[float] = (0.01, 0.5, 0.99), method: str = "disc",
+def forecast_quantiles(preds: DataFrame, probs: list[float] = (0.01, 0.5, 0.99), method: str = "nearest",
                        values_per_task: int = VALUES_PER_TASK) -> DataFrame:
     """One row: the quantiles of target and forecast over all rows."""
     found = group_quantiles(preds.select("y", "prediction"), [], ["y", "prediction"], list(probs),

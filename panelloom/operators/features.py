@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from panelloom.constants import MACROS, VALUES_PER_TASK
 from panelloom.operators.joins import join_small
-from panelloom.operators.orderstats import average_ranks, group_medians, group_quantiles, quoted
+from panelloom.operators.orderstats import (average_ranks, fill_and_rank, group_medians, group_quantiles,
+                                            part_large_groups, quoted)
 from panelloom.operators.timeseries import attach_next_period
 from panelloom.sources.storage import materialize
 
@@ -76,6 +77,25 @@ def rank_transform(df: DataFrame, columns: list[str], key: list[str] = KEY, grou
           f"AS {quoted(c + '_rank')}" for c, f in zip(columns, filled)])
 
 
+def ranked_features(df: DataFrame, columns: list[str], key: list[str] = KEY, group: list[str] = GROUP,
+                    precision: str = "double", values_per_task: int = VALUES_PER_TASK) -> DataFrame:
+    """`fill_with_median` and `rank_transform` in one: the other columns of `df` and `<c>_rank`.
+
+    Months that fit a task take one shuffle; larger ones go the long way, with the same result. `df` is read for
+    the sizes and then for the work: pass a stored table.
+    """
+    others = [c for c in df.columns if c not in columns]
+    names = [f"{c}_rank" for c in columns]
+    small, large = part_large_groups(df, group, values_per_task // len(columns))
+    made = fill_and_rank(small, group, columns, precision)
+    if large is None:
+        return made
+    filled = fill_with_median(large, columns, group, precision, values_per_task)
+    narrow = filled.select(*others, "_n_month", *[f"{c}_filled" for c in columns])
+    wide = rank_transform(narrow, columns, key, group, precision, values_per_task)
+    return made.unionByName(wide.select(*others, *names))
+
+
 # -- macro states --------------------------------------------------------------------------
 
 def fill_macros_global(df: DataFrame, macros: dict[str, str], precision: str = "float",

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelloom.constants import FEW_COLUMNS, MAX_BUCKETS, VALUES_PER_TASK
+from panelloom.constants import FEW_COLUMNS, VALUES_PER_TASK
 from panelloom.operators.joins import join_small
 from panelloom.sources.storage import materialize
 
@@ -51,7 +51,7 @@ def largest_group(df: DataFrame, group: list[str]) -> int:
 # -- splitting hot groups ------------------------------------------------------------------
 
 def _bucket_count(largest: int, values_per_task: int) -> int:
-    return max(2, min(MAX_BUCKETS, math.ceil(largest / values_per_task) + 1))
+    return max(2, math.ceil(largest / values_per_task) + 1)
 
 
 def _split_values(hot_long: DataFrame, keys: list[str], buckets: int) -> DataFrame:
@@ -114,16 +114,25 @@ def part_large_groups(df: DataFrame, group: list[str], max_rows: int) -> tuple[D
 
 # -- quantiles -----------------------------------------------------------------------------
 
-def _plain_quantile(value: Column, p: float, method: str) -> Column:
-    if method == "linear":
-        return F.percentile(value, F.lit(p))
-    return F.expr(f"percentile_disc({p!r}) WITHIN GROUP (ORDER BY value)")
+def _row_position(p: float, n: Column, method: str) -> Column:
+    """0-based position of the observed value that a method other than "linear" takes."""
+    if method == "nearest":  # halves go up
+        return F.floor(F.lit(p) * (n - 1) + 0.5)
+    # first row whose share of rows up to and including itself reaches p
+    rank = F.ceil(F.lit(p) * n)
+    rank = F.when((rank - 1) / n >= p, rank - 1).otherwise(rank)
+    return F.greatest(rank - 1, F.lit(0))
 
 
 def _plain_quantiles(long: DataFrame, keys: list[str], probs: list[float], method: str) -> DataFrame:
-    return long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[_plain_quantile(F.col("value"), p, method) for p in probs]).alias("q"))
+    """One map of values and counts for each key; the probabilities share it."""
+    if method == "linear":
+        return long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
+                                       F.percentile("value", F.array(*map(F.lit, probs))).alias("q"))
+    # the exact share of a position, so that interpolation meets an observed value
+    counted = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("value")).alias("_all"))
+    return counted.select(*keys, "n", F.array(*[F.get("_all", _row_position(p, F.col("n"), method).cast("int"))
+                                                for p in probs]).alias("q"))
 
 
 def _wanted_positions(offsets: DataFrame, keys: list[str], probs: list[float], method: str) -> DataFrame:
@@ -133,15 +142,12 @@ def _wanted_positions(offsets: DataFrame, keys: list[str], probs: list[float], m
     for i, p in enumerate(probs):
         if method == "linear":
             spot = F.lit(p) * (F.col("n") - 1)
-            low, frac = F.floor(spot), spot - F.floor(spot)
+            low, frac = F.floor(spot).cast("bigint"), spot - F.floor(spot)
             wanted.append(F.struct(F.lit(i).alias("p_index"), low.alias("pos"), (1 - frac).alias("share")))
             wanted.append(F.struct(F.lit(i).alias("p_index"), F.least(low + 1, F.col("n") - 1).alias("pos"),
                                    frac.alias("share")))
         else:
-            # first row whose share of rows up to and including itself reaches p
-            rank = F.ceil(F.lit(p) * F.col("n"))
-            rank = F.when((rank - 1) / F.col("n") >= p, rank - 1).otherwise(rank)
-            wanted.append(F.struct(F.lit(i).alias("p_index"), F.greatest(rank - 1, F.lit(0)).alias("pos"),
+            wanted.append(F.struct(F.lit(i).alias("p_index"), _row_position(p, F.col("n"), method).cast("bigint").alias("pos"),
                                    F.lit(1.0).alias("share")))
     return totals.select(*keys, "n", F.inline(F.array(*wanted)))
 
@@ -178,11 +184,12 @@ def group_quantiles(df: DataFrame, group: list[str], values: list[str], probs: l
     """Exact quantiles of each value column within each group, NULLs left out.
 
     Returns group, `feature` (position in `values`), `n` (values seen) and `q`, an array in the order
-    of `probs`. `method` is "linear" (interpolated) or "disc" (an observed value). `df` is read
-    several times when a group is large: pass a stored table.
+    of `probs`. `method` is "linear" (interpolated), "nearest" (the observed value closest to that place) or "disc"
+    (the first observed value that reaches the share). `df` is read several times when a group is large: pass a
+    stored table.
     """
-    if method not in ("linear", "disc"):
-        raise ValueError("method must be 'linear' or 'disc'")
+    if method not in ("linear", "nearest", "disc"):
+        raise ValueError("method must be 'linear', 'nearest' or 'disc'")
     keys = group + ["feature"]
 
     def long(part: DataFrame) -> DataFrame:
@@ -221,15 +228,16 @@ def group_medians(df: DataFrame, group: list[str], values: list[str], prefix: st
 
 # -- average ranks -------------------------------------------------------------------------
 
-def _local_rank(window) -> Column:
-    """1-based rank in which equal values share the mean of their positions."""
+def _local_rank(group: list[str], value: str) -> Column:
+    """1-based rank in which equal values share the mean of their positions; NULL for NULL, which counts nowhere."""
+    window = W.partitionBy(*group).orderBy(F.col(value).asc_nulls_last())
     ties = F.count(F.lit(1)).over(window.rangeBetween(W.currentRow, W.currentRow))
-    return F.rank().over(window) + (ties - 1) / F.lit(2.0)
+    return F.when(F.col(value).isNotNull(), F.rank().over(window) + (ties - 1) / F.lit(2.0))
 
 
 def _ranks_by_column(df: DataFrame, group: list[str], values: list[str], suffix: str) -> DataFrame:
     return df.select("*", *[
-        _local_rank(W.partitionBy(*group).orderBy(v)).alias(v + suffix) for v in values])
+        _local_rank(group, v).alias(v + suffix) for v in values])
 
 
 def _ranks_by_group(df: DataFrame, group: list[str], values: list[str], suffix: str) -> DataFrame:
@@ -239,8 +247,11 @@ def _ranks_by_group(df: DataFrame, group: list[str], values: list[str], suffix:
 
     def rank_all(table: pa.Table) -> pa.Table:
         for v in values:
-            column = table.column(v).to_numpy().astype(np.float64)
-            table = table.append_column(v + suffix, pa.array(shared_ranks(column)))
+            column = table.column(v).combine_chunks()
+            there = column.is_valid().to_numpy(zero_copy_only=False)
+            ranks = np.zeros(len(there))
+            ranks[there] = shared_ranks(column.drop_null().to_numpy(zero_copy_only=False).astype(np.float64))
+            table = table.append_column(v + suffix, pa.array(ranks, mask=~there))
         return table
 
     return df.groupBy(*group).applyInArrow(rank_all, schema)
@@ -264,6 +275,35 @@ def array_ranker() -> Callable[[np.ndarray], np.ndarray]:
     return shared_ranks
 
 
+def fill_and_rank(df: DataFrame, group: list[str], values: list[str], precision: str = "double") -> DataFrame:
+    """Groups that fit a task: missing values filled with the group's median (zero without one), then ranked.
+
+    One shuffle and one Arrow function for a group at a time: no map of values is built and no median table joined.
+    `values` are replaced by `<value>_rank`, average ranks spread over [-1, 1]; the only row of a group sits at 0.
+    """
+    others = [f for f in df.schema.fields if f.name not in values]
+    kind = T.FloatType() if precision == "float" else T.DoubleType()
+    schema = T.StructType(others + [T.StructField(f"{v}_rank", kind) for v in values])
+    shared_ranks = array_ranker()
+    names, number = [f.name for f in others], np.float32 if precision == "float" else np.float64
+
+    def both(table: pa.Table) -> pa.Table:
+        n, columns = table.num_rows, [table.column(c) for c in names]
+        for v in values:
+            column = table.column(v).combine_chunks()
+            there = column.is_valid().to_numpy(zero_copy_only=False)
+            full = np.zeros(n)
+            full[there] = seen = column.drop_null().to_numpy(zero_copy_only=False).astype(np.float64)
+            if len(seen):
+                full[~there] = np.median(seen)
+            ranks = shared_ranks(full.astype(number).astype(np.float64))
+            spread = 2 * (ranks - 1) / (n - 1) - 1 if n > 1 else np.zeros(n)
+            columns.append(pa.array(spread.astype(number)))
+        return pa.Table.from_arrays(columns, schema.names)
+
+    return df.groupBy(*group).applyInArrow(both, schema)
+
+
 def _ranks_by_reshaping(df: DataFrame, key: list[str], group: list[str], values: list[str],
                         suffix: str, values_per_task: int) -> DataFrame:
     """All columns as one long table, spread over (group, feature) and, where cut, over buckets."""
@@ -271,10 +311,10 @@ def _ranks_by_reshaping(df: DataFrame, key: list[str], group: list[str], values:
     keys = group + ["feature"]
     largest = largest_group(df, group)
     if largest <= values_per_task:
-        ranked = to_long(df, ids, values).withColumn("_rank", _local_rank(W.partitionBy(*keys).orderBy("value")))
+        ranked = to_long(df, ids, values).withColumn("_rank", _local_rank(keys, "value"))
     else:
         buckets = _bucket_count(largest, values_per_task)
-        long = to_long(df, ids, values)
+        long = to_long(df, ids, values).filter(F.col("value").isNotNull())
         splits = _split_values(long, keys, buckets)
         bucketed = _with_bucket(long, splits, keys, buckets)
         placed = join_small(bucketed, _bucket_offsets(bucketed, keys), keys + ["bucket"], "inner")
@@ -282,19 +322,21 @@ def _ranks_by_reshaping(df: DataFrame, key: list[str], group: list[str], values:
         at_split = F.col("bucket") % 2 == 1
         parts = F.ceil(F.col("bucket_rows") / F.lit(values_per_task))
         placed = placed.withColumn("_part", F.when(at_split, F.pmod(F.xxhash64(*key), parts)).otherwise(F.lit(0)))
-        local = _local_rank(W.partitionBy(*keys, "bucket", "_part").orderBy("value"))
+        local = _local_rank([*keys, "bucket", "_part"], "value")
         ranked = placed.withColumn("_rank", F.when(at_split, F.col("below_rows") + (F.col("bucket_rows") + 1) / 2.0)
                                               .otherwise(F.col("below_rows") + local))
-    # one entry per feature, so sorting by feature puts each at its position
-    back = ranked.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("feature", "_rank"))).alias("_ranks"))
-    joined = df.join(back, key, "inner")
+    # a repeated key would repeat a feature, which the map refuses
+    back = ranked.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("feature", "_rank"))).alias("_ranks"))
+    joined = df.join(back, key, "left")
     return joined.selectExpr(*map(quoted, df.columns), *[
-        f"_ranks[{i}]._rank AS {quoted(v + suffix)}" for i, v in enumerate(values)])
+        f"try_element_at(_ranks, {i}) AS {quoted(v + suffix)}" for i, v in enumerate(values)])
 
 
 def average_ranks(df: DataFrame, key: list[str], group: list[str], values: list[str],
                   suffix: str = "_avg_rank", values_per_task: int = VALUES_PER_TASK) -> DataFrame:
-    """Add the average rank (1-based) of every value column within its group; `key` identifies a row.
+    """Add the average rank (1-based) of every value column within its group; `key` identifies a row (not checked).
+
+    A NULL has no rank and counts in nobody's.
 
     A few columns each get a sort after one common shuffle; many columns of a group are ranked
     together in one task; groups too large for that take the long way round. Groups of different

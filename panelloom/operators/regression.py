@@ -27,6 +27,7 @@ from panelloom.constants import HUBER_FLOOR, HUBER_QUANTILE, VALUES_PER_TASK
 from panelloom.functions.cleaning import is_finite
 from panelloom.functions.finance import huber_weight
 from panelloom.operators.orderstats import group_quantiles
+from panelloom.sources.storage import materialize
 
 Window = tuple[int, int]
 
@@ -123,10 +124,41 @@ def window_rows(rows: DataFrame, windows: list[Window], extra: dict[int, dict[st
 
 def huber_thresholds(rows: DataFrame, windows: list[Window], quantile: float = HUBER_QUANTILE,
                      values_per_task: int = VALUES_PER_TASK) -> dict[int, float]:
-    """Test year -> interpolated quantile of |y| over its training rows."""
+    """Test year -> interpolated quantile of |y| over its training rows.
+
+    Only the largest |y| matter. In each year the share 1 - quantile lies above that year's own quantile, so the least
+    of the yearly quantiles, sketched a little low, bounds every window's from below; counts confirm it. Rows beyond
+    the bound are found by a filter that reaches the scan, and only these are repeated for their windows.
+    """
+    size = F.abs("y")
+    accuracy = min(1_000_000, math.ceil(20 / (1 - quantile))) if quantile < 1 else 1_000_000
+    low = quantile - 0.25 * (1 - quantile)
+    yearly = rows.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(size, low, accuracy).alias("low")).collect()
+    bound = min((r["low"] for r in yearly), default=0.0)
+    total = {t: sum(r["n"] for r in yearly if r["year"] <= end) for t, end in windows}
+    top = materialize(rows_beyond(rows, bound).select("year", size.alias("abs_y")), "largest")
+    beyond = {r["year"]: r["n"] for r in top.groupBy("year").agg(F.count(F.lit(1)).alias("n")).collect()}
+    place = {}
+    for t, end in windows:
+        n_top = sum(n for y, n in beyond.items() if y <= end)
+        spot = quantile * (total[t] - 1) - (total[t] - n_top)
+        if total[t] and spot < 0:  # the sketch was too high after all: look at every row
+            return huber_thresholds_of_all(rows, windows, quantile, values_per_task)
+        place[t] = spot / (n_top - 1) if n_top > 1 else 0.0
+    probs = sorted(set(place.values()))
+    found = group_quantiles(window_rows(top, windows), ["test_year"], ["abs_y"], probs, "linear", values_per_task).collect()
+    return _usable_thresholds({r["test_year"]: r["q"][probs.index(place[r["test_year"]])] for r in found})
+
+
+def huber_thresholds_of_all(rows: DataFrame, windows: list[Window], quantile: float = HUBER_QUANTILE,
+                            values_per_task: int = VALUES_PER_TASK) -> dict[int, float]:
+    """The same from every row, repeated for its windows."""
     sizes = window_rows(rows.select("year", F.abs("y").alias("abs_y")), windows)
     found = group_quantiles(sizes, ["test_year"], ["abs_y"], [quantile], "linear", values_per_task).collect()
-    xi = {r["test_year"]: r["q"][0] for r in found}
+    return _usable_thresholds({r["test_year"]: r["q"][0] for r in found})
+
+
+def _usable_thresholds(xi: dict[int, float]) -> dict[int, float]:
     return {t: v if math.isfinite(v) and v > 0 else HUBER_FLOOR for t, v in xi.items()}
 
 

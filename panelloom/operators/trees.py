@@ -6,11 +6,16 @@ import random
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.functions.cleaning import is_finite
+from panelloom.sources.storage import delete, scratch_path
+
+#: Boosting stores the running score after so many trees.
+STORE_EVERY = 10
 
 
 @dataclass(frozen=True)
@@ -37,41 +42,51 @@ class ForestSettings:
     node_share: float = 0.2
     min_child_weight: int = 500
     bins: int = 32
+    shrinkage: float = 10.0
     seed: int = 42
+    # Draws of column_share of the columns; the trees of a draw grow together in the same passes over the data.
+    draws: int = 10
 
 
-# -- reading a fitted tree -----------------------------------------------------------------
+# -- a fitted tree as columns --------------------------------------------------------------
 
-class _Node:
-    """A fitted tree as conditions on plain columns, so that scoring stays in generated code."""
+#: A leaf's number, or column, threshold, and the nodes for values up to it and above it.
+Node = int | tuple[str, float, "Node", "Node"]
 
-    def __init__(self, column=None, threshold=None, left=None, right=None, leaf=None):
-        self.column, self.threshold, self.left, self.right, self.leaf = column, threshold, left, right, leaf
 
-    def choose(self, values) -> Column:
-        if self.leaf is not None:
-            return F.lit(values[self.leaf])
-        return (F.when(F.col(f"`{self.column}`") <= self.threshold, self.left.choose(values))
-                 .otherwise(self.right.choose(values)))
+def read_tree(model, columns: list[str]) -> tuple[Node, int]:
+    """The nodes of a fitted Spark ML tree over vectors of `columns`, and its number of leaves.
 
-
-def _read_tree(text: str, columns: list[str]) -> tuple[_Node, int]:
-    """The tree in a model's printed form, and its number of leaves."""
-    lines = iter([ln.strip() for ln in text.splitlines()[1:] if ln.strip()])
+    Leaves are numbered from left to right, as in the model's own leaf column.
+    """
     leaves = 0
 
-    def node() -> _Node:
+    def read(node) -> Node:
         nonlocal leaves
-        line = next(lines)
-        if line.startswith("Predict"):
+        if node.numDescendants() == 0:
             leaves += 1
-            return _Node(leaf=leaves - 1)
-        _, index, _, threshold = line[line.index("(") + 1:line.rindex(")")].split()
-        left = node()
-        next(lines)  # the matching "Else"
-        return _Node(columns[int(index)], float(threshold), left, node())
+            return leaves - 1
+        split = node.split()
+        return (columns[split.featureIndex()], float(split.threshold()), read(node.leftChild()), read(node.rightChild()))
 
-    return node(), leaves
+    return read(model._java_obj.rootNode()), leaves
+
+
+def choose(node: Node, values: list[float]) -> Column:
+    """The value of the leaf that a row falls into."""
+    if isinstance(node, int):
+        return F.lit(values[node])
+    column, threshold, left, right = node
+    return F.when(F.col(f"`{column}`") <= threshold, choose(left, values)).otherwise(choose(right, values))
+
+
+@dataclass
+class Tree:
+    root: Node
+    values: list[float]
+
+    def score(self) -> Column:
+        return choose(self.root, self.values)
 
 
 # -- boosting ------------------------------------------------------------------------------
@@ -87,15 +102,21 @@ def pseudo_huber_curvature(error: Column) -> Column:
 @dataclass
 class BoostedTrees:
     base: float
-    trees: list[tuple[_Node, list[float]]]
+    trees: list[Tree]
 
-    def score(self) -> Column:
-        """Base value plus the chosen leaf of every tree."""
-        leaves = [node.choose(values) for node, values in self.trees]
-        if not leaves:
-            return F.lit(self.base)
-        # an array, because Spark generates one method per few elements; one long sum would not compile well
-        return F.aggregate(F.array(*leaves), F.lit(self.base), lambda total, leaf: total + leaf)
+
+def with_score(df: DataFrame, base: float | Column, trees: list[Tree], name: str, block: int = 10) -> DataFrame:
+    """Adds `name`: the base plus a leaf of every tree, in one projection for each block of trees.
+
+    A block's sum is small enough to be compiled with its stage; one sum over all trees is not.
+    """
+    df = df.withColumn(name, base if isinstance(base, Column) else F.lit(float(base)))
+    for k in range(0, len(trees), block):
+        total = F.col(name)
+        for tree in trees[k: k + block]:
+            total = total + tree.score()
+        df = df.withColumn(name, total)
+    return df
 
 
 def _chosen(key: list[str], share: float, seed: int) -> Column:
@@ -109,60 +130,105 @@ def fit_boosted_trees(train: DataFrame, features: list[str], settings: BoostSett
 
     Its leaves are then set to -slope sum / (curvature sum + shrinkage). Split search ignores the
     shrinkage term and counts rows where the limit is on curvature (which is below one per row).
-    `train` is read a few times per tree: pass a stored table.
+    The feature vectors are stored once; the running score is stored anew every few trees, so that a tree scores
+    only the few before it, and the copy before is deleted.
     """
+    spark = train.sparkSession
     chooser = random.Random(settings.seed)
-    target = F.col(y).cast("double")
     rows = train.filter(is_finite(F.col(y))).select(
-        *key, target.alias("_y"), *[F.col(c).cast("double").alias(c) for c in features])
+        *key, F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in features])
 
-    def slopes(df: DataFrame, score: Column) -> DataFrame:
-        error = score - F.col("_y")
-        return df.select(*df.columns, pseudo_huber_slope(error).alias("_g"), pseudo_huber_curvature(error).alias("_h"))
+    def sloped(df: DataFrame, score: str) -> DataFrame:
+        error = F.col(score) - F.col("_y")
+        return df.withColumn("_g", pseudo_huber_slope(error)).withColumn("_h", pseudo_huber_curvature(error))
 
-    start = slopes(rows, F.lit(0.0)).agg(F.sum("_g").alias("g"), F.sum("_h").alias("h")).first()
+    start = sloped(rows.withColumn("_s", F.lit(0.0)), "_s").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h")).first()
     if start["h"] is None:
         raise ValueError("No usable training rows")
     model = BoostedTrees(-start["g"] / start["h"], [])
     n_columns = max(1, int(settings.column_share * len(features)))
+    path = scratch_path(spark, "boosting")
+    rows.withColumn("_score", F.lit(model.base)).write.parquet(path)
+    stored, since = spark.read.parquet(path), 0
     for turn in range(settings.trees):
-        picked = chooser.sample(range(len(features)), n_columns)
-        columns = [features[i] for i in sorted(picked)]
-        sample = slopes(rows.filter(_chosen(key, settings.row_share, settings.seed + turn)), model.score())
+        if turn - since >= STORE_EVERY:
+            fresh = scratch_path(spark, "boosting")
+            with_score(stored, F.col("_score"), model.trees[since:], "_score").write.parquet(fresh)
+            delete(spark, path)
+            path, stored, since = fresh, spark.read.parquet(fresh), turn
+        columns = [features[i] for i in sorted(chooser.sample(range(len(features)), n_columns))]
+        scored = with_score(stored.filter(_chosen(key, settings.row_share, settings.seed + turn)), F.col("_score"),
+                            model.trees[since:], "_now")
+        sample = sloped(scored, "_now")
         assembled = VectorAssembler(inputCols=columns, outputCol="_x").transform(sample).select(
-            "_x", (-F.col("_g") / F.col("_h")).alias("_goal"), "_h")
+            "_x", "_g", "_h", (-F.col("_g") / F.col("_h")).alias("_goal"))
         learner = DecisionTreeRegressor(
-            featuresCol="_x", labelCol="_goal", weightCol="_h", maxDepth=settings.depth, maxBins=settings.bins,
+            featuresCol="_x", labelCol="_goal", weightCol="_h", leafCol="_leaf", maxDepth=settings.depth, maxBins=settings.bins,
             minInstancesPerNode=max(1, int(settings.min_child_weight)), seed=settings.seed + turn)
-        node, leaves = _read_tree(learner.fit(assembled).toDebugString, columns)
-        sums = sample.groupBy(node.choose(list(range(leaves))).alias("leaf")).agg(
+        fitted = learner.fit(assembled)
+        root, leaves = read_tree(fitted, columns)
+        sums = fitted.transform(assembled).groupBy(F.col("_leaf").cast("int").alias("leaf")).agg(
             F.sum("_g").alias("g"), F.sum("_h").alias("h")).collect()
         values = [0.0] * leaves
         for r in sums:
             values[r["leaf"]] = -settings.rate * r["g"] / (r["h"] + settings.shrinkage)
-        model.trees.append((node, values))
+        model.trees.append(Tree(root, values))
+    delete(spark, path)
     return model
 
 
 def predict_boosted(df: DataFrame, model: BoostedTrees, precision: str = "float") -> DataFrame:
-    return df.select("*", model.score().cast(precision).alias("prediction"))
+    scored = with_score(df, model.base, model.trees, "_score")
+    return scored.select(*df.columns, F.col("_score").cast(precision).alias("prediction"))
 
 
 # -- forest --------------------------------------------------------------------------------
 
-def fit_forest(train: DataFrame, features: list[str], settings: ForestSettings = ForestSettings(), y: str = "y"):
-    """All trees grow together, a few passes over the data per level."""
-    rows = train.filter(is_finite(F.col(y))).select(F.col(y).cast("double").alias("_y"), *features)
-    assembled = VectorAssembler(inputCols=features, outputCol="_x").transform(rows).select("_x", "_y")
-    learner = RandomForestRegressor(
-        featuresCol="_x", labelCol="_y", numTrees=settings.trees, maxDepth=settings.depth,
-        maxBins=settings.bins, subsamplingRate=settings.row_share, bootstrap=False,
-        featureSubsetStrategy=str(round(settings.column_share * settings.node_share, 6)),
-        minInstancesPerNode=settings.min_child_weight, seed=settings.seed)
-    return learner.fit(assembled)
-
-
-def predict_forest(df: DataFrame, model, features: list[str], precision: str = "float") -> DataFrame:
-    assembled = VectorAssembler(inputCols=features, outputCol="_x").transform(df)
-    scored = model.setFeaturesCol("_x").setPredictionCol("_score").transform(assembled)
-    return scored.select(*df.columns, F.col("_score").cast(precision).alias("prediction"))
+@dataclass
+class Forest:
+    """The mean of its trees over the base value; leaves are shrunk towards the base."""
+
+    base: float
+    trees: list[Tree]
+
+
+def fit_forest(train: DataFrame, features: list[str], settings: ForestSettings = ForestSettings(), y: str = "y") -> Forest:
+    """Trees in groups that share a draw of the columns; the trees of a group grow together, level by level.
+
+    A tree sees column_share of the columns and every node node_share of those. Leaves are set from the sums of all
+    usable training rows: base + sum of (y - base) / (rows + shrinkage). The vectors are stored once.
+    """
+    spark = train.sparkSession
+    path = scratch_path(spark, "forest")
+    train.filter(is_finite(F.col(y))).select(F.col(y).cast("double").alias("_y"), *features).write.parquet(path)
+    rows = spark.read.parquet(path)
+    base = rows.agg(F.avg("_y")).first()[0]
+    if base is None:
+        raise ValueError("No usable training rows")
+    chooser, found = random.Random(settings.seed), []
+    n_columns = max(1, int(settings.column_share * len(features)))
+    draws = min(settings.draws, settings.trees)
+    for draw in range(draws):
+        columns = [features[i] for i in sorted(chooser.sample(range(len(features)), n_columns))]
+        trees = settings.trees * (draw + 1) // draws - settings.trees * draw // draws
+        assembled = VectorAssembler(inputCols=columns, outputCol="_x").transform(rows).select("_x", "_y")
+        learner = RandomForestRegressor(
+            featuresCol="_x", labelCol="_y", leafCol="_leaf", numTrees=trees, maxDepth=settings.depth,
+            maxBins=settings.bins, subsamplingRate=settings.row_share, bootstrap=False,
+            featureSubsetStrategy=str(round(settings.node_share, 6)),
+            minInstancesPerNode=settings.min_child_weight, seed=settings.seed + draw)
+        fitted = learner.fit(assembled)
+        leaf = fitted.transform(assembled).select("_y", F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
+        sums = leaf.groupBy("tree", "leaf").agg(F.sum(F.col("_y") - base).alias("s"), F.count(F.lit(1)).alias("n")).collect()
+        shapes = [read_tree(tree, columns) for tree in fitted.trees]
+        values = [[base] * leaves for _, leaves in shapes]
+        for r in sums:
+            values[r["tree"]][int(r["leaf"])] = base + r["s"] / (r["n"] + settings.shrinkage)
+        found += [Tree(root, own) for (root, _), own in zip(shapes, values)]
+    delete(spark, path)
+    return Forest(base, found)
+
+
+def predict_forest(df: DataFrame, model: Forest, features: list[str] | None = None, precision: str = "float") -> DataFrame:
+    scored = with_score(df, 0.0, model.trees, "_score")
+    return scored.select(*df.columns, (F.col("_score") / len(model.trees)).cast(precision).alias("prediction"))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from panelloom.constants import CHARACTERISTICS, MACROS, PANEL_FIRST_YEAR, PANEL_LAST_YEAR
 from panelloom.functions import cleaning as clean
 from panelloom.functions import finance
+from panelloom.operators.evaluate import panel_coverage, panel_qa
 from panelloom.operators.joins import join_small
-from panelloom.operators.timeseries import lag_by_row
-from panelloom.sources.tables import csv_to_parquet, read_parquet, write_parquet
+from panelloom.operators.timeseries import lag_by_row, require_unique
+from panelloom.sources.tables import csv_to_parquet, read_parquet, write_parquet, write_summary_csv
 
 
 def clean_characteristics(raw: DataFrame, columns: list[str] = CHARACTERISTICS) -> DataFrame:
@@ -37,7 +38,9 @@ def clean_securities(raw: DataFrame) -> DataFrame:
 
 def add_security_measures(typed: DataFrame) -> DataFrame:
     """Adjusted return, price, cap and lagged cap from typed security rows."""
-    measured = typed.select(
+    # rows without a key match nothing later on; together they would all go to one task of the lag
+    keyed = typed.filter(F.col("permno").isNotNull() & F.col("month_id").isNotNull())
+    measured = keyed.select(
         "*", finance.delisting_adjusted(F.col("ret"), F.col("dlret")).alias("ret_adj"),
         finance.absolute_price(F.col("prc")).alias("price_abs"),
         finance.market_cap(F.col("prc"), F.col("shrout")).alias("mktcap"))
@@ -80,13 +83,21 @@ def master_panel(characteristics: DataFrame, securities: DataFrame, risk_free: D
 
 
 def build_master_panel(spark: SparkSession, csv_sources: dict[str, str], folder: str) -> str:
-    """CSV files (author, wrds, ff3mom, goyal; others are only converted) to a stored master panel.
+    """CSV files (author, wrds, ff3mom, goyal; others are only converted) to a stored master panel and its QA.
 
     Each source is read as text once and kept typed, so the joins start from columns that filters
-    and pruning reach. Sources stored by an earlier run are left alone. Returns the panel's path.
+    and pruning reach. Sources stored by an earlier run are left alone. A security with two rows in one month is an
+    error: its previous row would depend on their order. Beside the panel go `panel_qa.csv` and `panel_coverage.csv`.
+    Returns the panel's path.
     """
     cleaners = {"author": clean_characteristics, "wrds": clean_securities, "ff3mom": clean_risk_free,
                 "goyal": clean_macro}
     stored = csv_to_parquet(spark, csv_sources, folder, cleaners)
     author, wrds, ff3mom, goyal = (read_parquet(spark, stored[name]) for name in cleaners)
-    return write_parquet(master_panel(author, wrds, ff3mom, goyal), f"{folder.rstrip('/')}/master_panel.parquet")
+    require_unique(wrds, ["permno", "month_id"])
+    folder = folder.rstrip("/")
+    path = write_parquet(master_panel(author, wrds, ff3mom, goyal), f"{folder}/master_panel.parquet")
+    panel = read_parquet(spark, path)
+    write_summary_csv(panel_qa(panel), f"{folder}/panel_qa.csv")
+    write_summary_csv(panel_coverage(panel), f"{folder}/panel_coverage.csv")
+    return path

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.constants import (CHARACTERISTICS, HUBER_QUANTILE, ID_COLUMNS, LINEAR_CHARACTERISTICS,
-                                 LINEAR_TEST_YEARS, MACROS, VALUES_PER_TASK, SEGMENT_SIZE, TRAIN_GAP,
+                                 LINEAR_TEST_YEARS, MACROS, SEGMENT_SIZE, TRAIN_GAP, VALUES_PER_TASK,
                                  TREE_TEST_YEARS)
-from panelloom.operators.evaluate import r2_summary
+from panelloom.operators.evaluate import (drift_table, forecast_quantiles, r2_summary, yearly_diagnostics,
+                                         yearly_r2)
 from panelloom.operators.regression import fit_huber, predict_linear
 from panelloom.operators.trees import (BoostSettings, ForestSettings, fit_boosted_trees, fit_forest,
                                        predict_boosted, predict_forest)
 from panelloom.plans.prepare import prepare_panel
-from panelloom.sources.tables import write_by_year, write_summary_csv
+from panelloom.sources.storage import materialize, scratch
+from panelloom.sources.tables import write_finished, write_parquet, write_summary_csv
+
+#: Windows fitted at the same time.
+WINDOWS_AT_ONCE = 4
 
 
 def walk_forward_windows(test_years: Iterable[int], gap: int = TRAIN_GAP) -> list[tuple[int, int]]:
@@ -50,13 +57,16 @@ def linear_walk_forward(features_table: DataFrame, features: list[str], windows:
 
 
 def _by_window(features_table: DataFrame, windows, forecast) -> DataFrame:
-    parts = []
-    for test_year, train_end in windows:
+    """Windows are fitted side by side: their small jobs share the cluster instead of waiting for each other."""
+    def one(window):
+        test_year, train_end = window
         train = split(features_table, train_max_year=train_end)
         if train.isEmpty():
             raise ValueError(f"No usable training rows up to {train_end} for test year {test_year}")
-        parts.append(forecast(train, split(features_table, test_year=test_year), train_end))
-    return reduce(DataFrame.unionByName, parts)
+        return forecast(train, split(features_table, test_year=test_year), train_end)
+
+    with ThreadPoolExecutor(min(WINDOWS_AT_ONCE, len(windows))) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, windows))
 
 
 def boosted_walk_forward(features_table: DataFrame, features: list[str], windows: list[tuple[int, int]],
@@ -77,34 +87,76 @@ def forest_walk_forward(features_table: DataFrame, features: list[str], windows:
     return _by_window(features_table, windows, forecast)
 
 
-def store_and_summarise(preds: DataFrame, folder: str, model: str, mode: str, k: int = SEGMENT_SIZE,
-                        n_features: int | None = None) -> DataFrame:
-    """Predictions by target year, then the R2 summary as a table and a one-file CSV."""
+def stored_years(spark: SparkSession, path: str, run: str, windows: list[tuple[int, int]]) -> list[int]:
+    """Test years of `windows` whose forecasts a finished write of the same run has left at `path`."""
+    years = []
+    for test_year, _ in windows:
+        if write_finished(spark, f"{path}/run={run}/{test_year}"):
+            years.append(test_year)
+    return years
+
+
+def read_forecasts(spark: SparkSession, path: str, run: str, windows: list[tuple[int, int]]) -> DataFrame:
+    """The forecasts of this run's windows and no others."""
+    return spark.read.parquet(*[f"{path}/run={run}/{t}" for t, _ in windows])
+
+
+def _store(forecasts: DataFrame, path: str, run: str, test_year: int) -> None:
+    write_parquet(forecasts.filter(F.col("target_year") == test_year), f"{path}/run={run}/{test_year}")
+
+
+def run_name(*settings) -> str:
+    """Names a run by its settings: forecasts of other settings are never mixed with it or taken for its own."""
+    return hashlib.sha256(repr(settings).encode()).hexdigest()[:12]
+
+
+def report(preds: DataFrame, folder: str, model: str, mode: str, windows: list[tuple[int, int]], features_table: DataFrame | None = None,
+           k: int = SEGMENT_SIZE, n_features: int | None = None, path: str | None = None) -> DataFrame:
+    """Everything said about a run, stored as one-file CSVs beside it; returns the R2 summary.
+
+    r2_summary, yearly (moments, correlation, R2), yearly_r2, quantiles of target and forecast, and with the feature
+    table drift: the target in the training window against the test year.
+    """
     folder = folder.rstrip("/")
-    path = write_by_year(preds, f"{folder}/predictions_{model}_{mode}.parquet")
-    summary = r2_summary(preds.sparkSession.read.parquet(path), model, mode, k, n_features, path)
-    write_summary_csv(summary, f"{folder}/r2_summary_{model}_{mode}.csv")
-    return summary
+    summary = r2_summary(preds, model, mode, k, n_features, path)
+    tables = {"r2_summary": summary, "yearly": yearly_diagnostics(preds), "yearly_r2": yearly_r2(preds).orderBy("target_year"),
+              "quantiles": forecast_quantiles(preds)}
+    if features_table is not None:
+        tables["drift"] = drift_table(features_table, windows)
+    for name, table in tables.items():
+        write_summary_csv(table, f"{folder}/{name}_{model}_{mode}.csv")
+    return preds.sparkSession.read.option("header", True).option("inferSchema", True).csv(f"{folder}/r2_summary_{model}_{mode}.csv")
 
 
 def run_linear(panel: DataFrame, folder: str, mode: str = "next_month",
                columns: list[str] = LINEAR_CHARACTERISTICS, test_years: Iterable[int] = LINEAR_TEST_YEARS,
                gap: int = TRAIN_GAP, **prepare) -> DataFrame:
-    table, features = prepare_panel(panel, columns, mode, **prepare)
-    preds = linear_walk_forward(table, features, walk_forward_windows(test_years, gap))
-    return store_and_summarise(preds, folder, "OLS3_Huber", mode)
+    name, windows = "OLS3_Huber", walk_forward_windows(test_years, gap)
+    path, run = f"{folder.rstrip('/')}/predictions_{name}_{mode}.parquet", run_name(name, mode, columns, gap, prepare)
+    with scratch(panel.sparkSession):
+        table, features = prepare_panel(panel, columns, mode, **prepare)
+        preds = materialize(linear_walk_forward(table, features, windows), "forecasts")
+        for test_year, _ in windows:
+            _store(preds, path, run, test_year)
+        return report(read_forecasts(panel.sparkSession, path, run, windows), folder, name, mode, windows, table, path=path)
 
 
 def _run_trees(walk_forward, panel, folder, name, mode, columns, test_years, gap, settings, **prepare):
-    """One window at a time: a rerun after a failure can start at the first missing year."""
-    table, features = prepare_panel(panel, columns, mode, precision="float", **prepare)
+    """Each window's forecasts are stored when they are done; a rerun with the same settings fits only missing years."""
+    spark, windows = panel.sparkSession, walk_forward_windows(test_years, gap)
     path = f"{folder.rstrip('/')}/predictions_{name}_{mode}.parquet"
-    for window in walk_forward_windows(test_years, gap):
-        write_by_year(walk_forward(table, features, [window], name, settings), path)
-    preds = table.sparkSession.read.parquet(path)
-    summary = r2_summary(preds, name, mode, SEGMENT_SIZE, len(features), path)
-    write_summary_csv(summary, f"{folder.rstrip('/')}/r2_summary_{name}_{mode}.csv")
-    return summary
+    run = run_name(name, mode, columns, gap, settings, prepare)
+    with scratch(spark):
+        table, features = prepare_panel(panel, columns, mode, precision="float", **prepare)
+        done = stored_years(spark, path, run, windows)
+        missing = [w for w in windows if w[0] not in done]
+
+        def fit(window):
+            _store(walk_forward(table, features, [window], name, settings), path, run, window[0])
+
+        with ThreadPoolExecutor(WINDOWS_AT_ONCE) as pool:
+            list(pool.map(fit, missing))
+        return report(read_forecasts(spark, path, run, windows), folder, name, mode, windows, table, n_features=len(features), path=path)
 
 
 def run_boosted(panel: DataFrame, folder: str, mode: str = "next_month", columns: list[str] = CHARACTERISTICS,
@@ -117,5 +169,6 @@ def run_boosted(panel: DataFrame, folder: str, mode: str = "next_month", columns
 def run_forest(panel: DataFrame, folder: str, mode: str = "next_month", columns: list[str] = CHARACTERISTICS,
                macros: list[str] = MACROS, test_years: Iterable[int] = TREE_TEST_YEARS, gap: int = TRAIN_GAP,
                settings: ForestSettings = ForestSettings(), **prepare) -> DataFrame:
+    """With `industry="sic2"` the dummies of its codes join the ranks and interactions."""
     return _run_trees(forest_walk_forward, panel, folder, "RF_macro", mode, columns, test_years, gap,
                       settings, macros=macros, **prepare)

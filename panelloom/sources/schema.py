@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
-from panelloom.constants import (MACRO_ALSO_CHARACTERISTIC, MACRO_EXTRA_SUFFIX, MACRO_SUFFIXES,
-                                 MACROS)
+from panelloom.constants import MACROS
 
 
 def require_columns(available: Iterable[str], wanted: Iterable[str], what: str = "columns") -> None:
@@ -15,22 +14,21 @@ def require_columns(available: Iterable[str], wanted: Iterable[str], what: str =
         raise ValueError(f"Missing {what}: {missing[:20]}")
 
 
-def macro_name_candidates(macro: str) -> list[str]:
-    """Names to try for one macro series, best first."""
-    if macro in MACRO_ALSO_CHARACTERISTIC:
-        bare, suffixes = [], MACRO_SUFFIXES + [MACRO_EXTRA_SUFFIX]
-    else:
-        bare, suffixes = [macro], MACRO_SUFFIXES
-    return [f"macro_{macro}"] + bare + [f"{macro}_{s}" for s in suffixes]
+def resolve_macro_columns(available: Iterable[str], macros: list[str] = MACROS,
+                          names: Mapping[str, str | list[str]] | None = None) -> dict[str, str]:
+    """Short macro name -> the panel column that holds it.
 
-
-def resolve_macro_columns(available: Iterable[str], macros: list[str] = MACROS) -> dict[str, str]:
-    """Short macro name -> the panel column that holds it."""
-    have = set(available)
-    found = {m: next((c for c in macro_name_candidates(m) if c in have), None) for m in macros}
+    A series is sought under the caller's `names` for it, best first, and then as `macro_<name>`, which is what
+    `build_master_panel` writes. The bare name is never guessed: `bm` and `ep` are characteristics too.
+    """
+    have, found = set(available), {}
+    for macro in macros:
+        given = (names or {}).get(macro, [])
+        tried = [given] if isinstance(given, str) else list(given)
+        found[macro] = next((c for c in [*tried, f"macro_{macro}"] if c in have), None)
     missing = [m for m, c in found.items() if c is None]
     if missing:
         alike = sorted(c for c in have if any(m in c.lower() for m in macros))
-        raise ValueError(f"No column found for macro series {missing}; columns with similar names: "
-                         f"{alike[:100]}. The characteristics `bm` and `ep` are not macro series.")
+        raise ValueError(f"No column found for macro series {missing}; pass `names`. Columns with similar names: "
+                         f"{alike[:100]}")
     return found

@@ -40,18 +40,26 @@ def numbers_where_present(columns: list[str] = RETURN_COLUMNS) -> Callable[[Data
 
 def csv_to_parquet(spark: SparkSession, sources: Mapping[str, str], folder: str,
                    cleaners: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None) -> dict[str, str]:
-    """Convert each named CSV once; an output that exists already is left alone.
+    """Convert each named CSV once; an output that was written to its end is left alone.
 
-    A source without a cleaner of its own keeps its columns as text, return columns as numbers.
+    A source without a cleaner of its own keeps its columns as text, return columns as numbers. An output without
+    the mark of a finished write, left by a killed job, is written again.
     """
     written = {}
     for name, path in sources.items():
         written[name] = f"{folder.rstrip('/')}/{name}.parquet"
-        typed = (cleaners or {}).get(name, numbers_where_present())(read_csv_strings(spark, path))
-        typed.write.mode("ignore").option("compression", "zstd").parquet(written[name])
+        if not write_finished(spark, written[name]):
+            typed = (cleaners or {}).get(name, numbers_where_present())(read_csv_strings(spark, path))
+            write_parquet(typed, written[name])
     return written
 
 
+def write_finished(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds the `_SUCCESS` mark that Spark leaves when all tasks have been committed."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -140,6 +140,13 @@ def test_prepared_panel_ranks_only_rows_with_a_target(spark):
         prepare_panel(df, ["bm"], macros=MACROS)
 
 
+@pytest.mark.parametrize("mode", ["same_month", "next_month"])
+def test_a_repeated_month_is_an_error(spark, mode):
+    df = panel(spark, [(1, 100, 0.1, 1.0), (1, 100, 0.2, 2.0), (2, 100, 0.3, 3.0), (1, 101, 0.1, 1.0)])
+    with pytest.raises(Exception, match="not unique|repeated"):
+        prepare_panel(df, ["bm"], mode, first=0, last=10_000)
+
+
 def test_prepared_panel_with_macros_over_all_routes(spark):
     first = None
     for limit in (4_000_000, 3):

@@ -103,10 +103,10 @@ def test_linear_predictions(sample, table):
 def test_a_tree_read_back_predicts_the_same(table):
     assembled = VectorAssembler(inputCols=X, outputCol="v").transform(table)
     model = DecisionTreeRegressor(featuresCol="v", labelCol="y", maxDepth=3, predictionCol="p").fit(assembled)
-    node, leaves = trees._read_tree(model.toDebugString, X)
+    root, leaves = trees.read_tree(model, X)
     leaf_values = [float(ln.split()[-1]) for ln in model.toDebugString.splitlines() if "Predict" in ln]
     assert leaves == len(leaf_values) == 8
-    gap = model.transform(assembled).agg(F.max(F.abs(F.col("p") - node.choose(leaf_values)))).first()[0]
+    gap = model.transform(assembled).agg(F.max(F.abs(F.col("p") - trees.choose(root, leaf_values)))).first()[0]
     assert gap == 0
 
 
@@ -118,9 +118,9 @@ def test_first_boosting_step_by_hand(sample, table):
     slope, curve = (lambda e: e / np.sqrt(1 + e * e)), (lambda e: (1 + e * e) ** -1.5)
     base = -slope(-y).sum() / curve(-y).sum()
     assert model.base == pytest.approx(base)
-    node, values = model.trees[0]
-    left = (sample[node.column] <= node.threshold).to_numpy()
-    for side, leaf in ((left, node.left.leaf), (~left, node.right.leaf)):
+    values, (column, threshold, low, high) = model.trees[0].values, model.trees[0].root
+    left = (sample[column] <= threshold).to_numpy()
+    for side, leaf in ((left, low), (~left, high)):
         e = base - y[side]
         assert values[leaf] == pytest.approx(-0.03 * slope(e).sum() / (curve(e).sum() + 10.0))
     # the split found is about as good as the best cut of an exhaustive search
@@ -136,7 +136,7 @@ def test_boosting_is_repeatable_and_improves(table):
     settings = trees.BoostSettings(trees=6, rate=0.3, min_child_weight=50)
     train = table.filter("target_year <= 1998")
     one, two = (trees.fit_boosted_trees(train.repartition(n), X, settings) for n in (2, 5))
-    scored = train.select("y", one.score().alias("p"), two.score().alias("q"))
+    scored = trees.with_score(trees.with_score(train, one.base, one.trees, "p", 4), two.base, two.trees, "q", 4)
     loss = lambda c: F.avg(F.sqrt(1 + (F.col("y") - c) ** 2) - 1)
     gap, fitted, base = scored.agg(F.max(F.abs(F.col("p") - F.col("q"))), loss(F.col("p")), loss(F.lit(one.base))).first()
     assert gap < 1e-9 and fitted < base
@@ -154,10 +154,47 @@ def test_forest_forecasts_stay_within_targets(sample, table):
         wf.forest_walk_forward(table, X, [(1985, 1980)], settings=settings)
 
 
-def test_stored_run_with_summary(spark, table, tmp_path):
-    preds = wf.linear_walk_forward(table, X, [(1999, 1996), (2000, 1997)])
-    summary = wf.store_and_summarise(preds, str(tmp_path), "OLS3_Huber", "next_month", 5).first()
-    path = f"{tmp_path}/predictions_OLS3_Huber_next_month.parquet"
-    assert summary["prediction_file"] == path and summary["n_obs"] == spark.read.parquet(path).count()
-    csv = spark.read.option("header", True).csv(f"{tmp_path}/r2_summary_OLS3_Huber_next_month.csv").first()
-    assert float(csv["r2_all_pct"]) == pytest.approx(summary["r2_all_pct"])
+def test_running_score_is_stored_without_changing_the_trees(table, monkeypatch):
+    settings = trees.BoostSettings(trees=5, rate=0.3, min_child_weight=50)
+    train = table.filter("target_year <= 1998")
+    whole = trees.fit_boosted_trees(train, X, settings)
+    monkeypatch.setattr(trees, "STORE_EVERY", 2)
+    again = trees.fit_boosted_trees(train, X, settings)
+    for one, two in zip(whole.trees, again.trees):
+        assert one.root == two.root and one.values == pytest.approx(two.values)
+
+
+def test_forest_leaves_are_shrunk_means(sample, table):
+    """One tree, every row: leaves from sums of all rows, drawn towards the mean."""
+    settings = trees.ForestSettings(trees=1, depth=1, draws=1, row_share=1.0, column_share=1.0, node_share=1.0, min_child_weight=10)
+    forest = trees.fit_forest(table, X, settings)
+    y = sample.y.to_numpy()
+    assert forest.base == pytest.approx(y.mean())
+    column, threshold, low, high = forest.trees[0].root
+    left = (sample[column] <= threshold).to_numpy()
+    for side, leaf in ((left, low), (~left, high)):
+        assert forest.trees[0].values[leaf] == pytest.approx(y.mean() + (y[side] - y.mean()).sum() / (side.sum() + 10.0))
+
+
+def test_a_report_holds_its_own_windows_only(spark, table, tmp_path):
+    """Years stored by another run, or by one with other settings, are not scored."""
+    path = str(tmp_path / "predictions")
+    first, second = [(1998, 1995), (1999, 1996)], [(1999, 1996), (2000, 1997)]
+    for run, windows in (("a", first), ("b", second)):
+        preds = wf.linear_walk_forward(table, X, windows)
+        for t, _ in windows:
+            wf._store(preds, path, run, t)
+    own = wf.read_forecasts(spark, path, "b", second)
+    summary = wf.report(own, str(tmp_path), "OLS3_Huber", "next_month", second, table, 5, 3, path).first()
+    assert summary["n_obs"] == table.filter("target_year IN (1999, 2000)").count()
+    assert wf.stored_years(spark, path, "a", second) == [1999] and wf.stored_years(spark, path, "c", second) == []
+    for name in ("yearly", "yearly_r2", "quantiles", "drift"):
+        assert spark.read.option("header", True).csv(f"{tmp_path}/{name}_OLS3_Huber_next_month.csv").count() in (1, 2)
+
+
+def test_thresholds_from_the_largest_rows_equal_those_of_all(sample, table):
+    windows = [(1995, 1992), (2000, 1998)]
+    rows = rg.usable_rows(table, X)
+    for share in (0.5, 0.99, 0.999):
+        got, want = rg.huber_thresholds(rows, windows, share), rg.huber_thresholds_of_all(rows, windows, share)
+        assert got == pytest.approx(want)

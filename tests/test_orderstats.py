@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from panelloom.operators import orderstats
+from panelloom.operators.features import ranked_features
 from panelloom.operators.joins import join_small
 from panelloom.sources.storage import materialize
 
@@ -27,11 +28,15 @@ def skewed(spark):
 
 
 @pytest.mark.parametrize("limit", [10_000, 300, 20])
-@pytest.mark.parametrize("method", ["linear", "disc"])
+@pytest.mark.parametrize("method", ["linear", "disc", "nearest"])
 def test_quantiles_on_every_route(skewed, limit, method):
     pdf, df = skewed
     probs = [0.01, 0.5, 0.999]
-    how = "linear" if method == "linear" else "inverted_cdf"
+    def wanted(values):
+        if method == "nearest":
+            return [sorted(values)[int(np.floor(p * (len(values) - 1) + 0.5))] for p in probs]
+        return list(np.quantile(values, probs, method="linear" if method == "linear" else "inverted_cdf"))
+
     for group in (["month_id"], []):
         got = orderstats.group_quantiles(df, group, NAMES, probs, method, limit).toPandas()
         keyed = pdf.groupby("month_id") if group else [(None, pdf)]
@@ -40,7 +45,7 @@ def test_quantiles_on_every_route(skewed, limit, method):
                 row = got[(got.feature == i) & ((got.month_id == key) if group else True)].iloc[0]
                 values = part[c].dropna()
                 assert row["n"] == len(values)
-                assert list(row["q"]) == pytest.approx(list(np.quantile(values, probs, method=how)), abs=1e-12)
+                assert list(row["q"]) == pytest.approx(wanted(values), abs=1e-12)
 
 
 @pytest.mark.parametrize("limit", [10_000, 700, 20])
@@ -66,6 +71,27 @@ def test_ranks_on_every_route(skewed, limit, few, monkeypatch):
     assert np.array_equal(got[["a_r", "b_r"]].to_numpy(), want.to_numpy())
 
 
+@pytest.mark.parametrize("few", [8, 1])
+@pytest.mark.parametrize("limit", [10_000, 700, 20])
+def test_null_has_no_rank_on_any_route(skewed, limit, few, monkeypatch):
+    pdf, df = skewed
+    monkeypatch.setattr(orderstats, "FEW_COLUMNS", few)
+    ranked = orderstats.average_ranks(df, ["permno"], ["month_id"], NAMES, "_r", limit)
+    got = ranked.toPandas().set_index("permno").sort_index()
+    want = pdf.groupby("month_id")[NAMES].rank("average")
+    assert np.array_equal(got[["a_r", "b_r"]].to_numpy(float), want.to_numpy(), equal_nan=True)
+
+
+@pytest.mark.parametrize("limit", [10_000, 700, 20])
+def test_fill_and_rank_is_one_result(skewed, limit):
+    pdf, df = skewed
+    filled = pdf[NAMES].fillna(pdf.groupby("month_id")[NAMES].transform("median"))
+    n = pdf.groupby("month_id")["b"].transform("size").to_numpy()[:, None]
+    want = 2 * (filled.groupby(pdf["month_id"]).rank("average").to_numpy() - 1) / (n - 1) - 1
+    got = ranked_features(df, NAMES, ["permno"], ["month_id"], values_per_task=limit).toPandas().set_index("permno").sort_index()
+    assert np.allclose(got[["a_rank", "b_rank"]].to_numpy(), want, atol=1e-12)
+
+
 def test_a_cut_month_is_spread_over_tasks(skewed):
     pdf, df = skewed
     hot = df.filter("month_id = 7")

@@ -6,6 +6,7 @@ import pytest
 
 from panelloom.operators.trees import BoostSettings, ForestSettings
 from panelloom.plans import walkforward as wf
+from panelloom.sources import storage
 from panelloom.sources.storage import materialize
 from workload import tables as tb
 
@@ -21,7 +22,8 @@ def panel(spark):
 
 def check(spark, summary, folder, model, n_features=None):
     row = summary.first()
-    preds = spark.read.parquet(f"{folder}/predictions_{model}_next_month.parquet")
+    preds = spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/predictions_{model}_next_month.parquet")
+    assert {p.split("_")[0] for p in os.listdir(folder)} == {"predictions", "r2", "yearly", "quantiles", "drift"}
     assert row["n_obs"] == preds.count() > 0 and row["model"] == model
     assert {r[0] for r in preds.select("target_year").distinct().collect()} == {2000, 2001}
     assert {r[0] for r in preds.select("train_end_year").distinct().collect()} == {1998, 1999}
@@ -43,9 +45,27 @@ def test_boosted_run(spark, panel, tmp_path):
 
 
 def test_forest_run(spark, panel, tmp_path):
-    settings = ForestSettings(trees=4, min_child_weight=20)
-    summary = wf.run_forest(panel, str(tmp_path), columns=tb.FEATURES, settings=settings, **YEARS)
-    check(spark, summary, str(tmp_path), "RF_macro", 27)
+    settings = ForestSettings(trees=4, draws=2, min_child_weight=20)
+    codes = panel.select("sic2").distinct().filter("sic2 IS NOT NULL").count()
+    summary = wf.run_forest(panel, str(tmp_path), columns=tb.FEATURES, settings=settings, industry="sic2", **YEARS)
+    check(spark, summary, str(tmp_path), "RF_macro")
+    assert 27 < summary.first()["n_features"] <= 27 + codes
+
+
+def test_a_rerun_fits_only_missing_years(spark, panel, tmp_path, monkeypatch):
+    settings = BoostSettings(trees=1, min_child_weight=20)
+    wf.run_boosted(panel, str(tmp_path), columns=tb.FEATURES, settings=settings, **{**YEARS, "test_years": [2000]})
+    fitted = []
+    plain = wf.boosted_walk_forward
+    monkeypatch.setattr(wf, "boosted_walk_forward", lambda t, f, w, *a: fitted.extend(w) or plain(t, f, w, *a))
+    wf.run_boosted(panel, str(tmp_path), columns=tb.FEATURES, settings=settings, **YEARS)
+    assert fitted == [(2001, 1999)]
+
+
+def test_nothing_is_left_in_the_shared_folder(spark, panel, tmp_path):
+    before = set(os.listdir(storage.shared_folder(spark).removeprefix("file:")))
+    wf.run_linear(panel, str(tmp_path), **YEARS)
+    assert set(os.listdir(storage.shared_folder(spark).removeprefix("file:"))) == before
 
 
 def test_same_month_run_keeps_modes_apart(spark, panel, tmp_path):

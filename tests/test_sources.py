@@ -59,11 +59,23 @@ def test_missing_columns_are_named():
 
 
 def test_macro_resolution():
-    bare = [m for m in MACROS if m not in ("ep", "bm")]
-    assert schema.resolve_macro_columns(["ep", "bm", "ep_right", "bm_gw", *bare])["bm"] == "bm_gw"
-    assert schema.resolve_macro_columns([f"macro_{m}" for m in MACROS] + MACROS)["dp"] == "macro_dp"
+    usual = [f"macro_{m}" for m in MACROS]
+    assert schema.resolve_macro_columns(usual + MACROS)["dp"] == "macro_dp"
+    own = {"dp": ["dividend_price", "dp_y"], "ep": "earnings"}
+    assert schema.resolve_macro_columns([*usual, "dp_y", "earnings"], names=own)["dp"] == "dp_y"
+    assert schema.resolve_macro_columns([*usual, "dp_y", "earnings"], names=own)["ep"] == "earnings"
     with pytest.raises(ValueError, match=r"\['ep', 'bm'\].*bm"):
-        schema.resolve_macro_columns(["ep", "bm", *bare])
+        schema.resolve_macro_columns(["ep", "bm", *[c for c in usual if c not in ("macro_ep", "macro_bm")]])
+
+
+def test_an_interrupted_conversion_is_written_again(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("a,RET\n1,0.5\n")
+    (tmp_path / "s.parquet" / "_temporary").mkdir(parents=True)
+    stored = tables.csv_to_parquet(spark, {"s": str(tmp_path / "s.csv")}, str(tmp_path))["s"]
+    assert [tuple(r) for r in spark.read.parquet(stored).collect()] == [("1", 0.5)]
+    (tmp_path / "s.csv").write_text("a,RET\n2,0.5\n")
+    tables.csv_to_parquet(spark, {"s": str(tmp_path / "s.csv")}, str(tmp_path))
+    assert spark.read.parquet(stored).first()["a"] == "1"
 
 
 def test_constants():

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from workload.queries import (GAP, HUBER_SHARE, K, LINEAR, MACROS, TEST_YEARS, WIDE, WIDE_NAMES)
-from workload.tables import FEATURES, FIRST_TARGET, LAST_TARGET
+from workload.tables import CHARACTERISTICS, FEATURES, FIRST_TARGET, LAST_TARGET
 
 # raw text of the lenient-cast queries
 CODED = """CASE l_linenumber
@@ -101,9 +101,9 @@ USABLE = "isfinite(y) AND prediction IS NOT NULL AND isfinite(prediction)"
 R2 = (f"100e0 * (1e0 - sum((y - prediction) * (y - prediction)) FILTER (WHERE {USABLE}) "
       f"/ nullif(sum(y * y) FILTER (WHERE {USABLE}), 0))")
 WINDOWS_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({t}, {t - GAP})" for t in TEST_YEARS) + ") w(test_year, train_end)"
-X1, X2 = (f"{c}_rank" for c in LINEAR)
+XS = [f"{c}_rank" for c in LINEAR]
 TRAIN = f"""SELECT CAST(test_year AS BIGINT) AS test_year, CAST(train_end AS BIGINT) AS train_end, y,
-        {X1} AS x1, {X2} AS x2 FROM ranked JOIN windows ON target_year <= train_end"""
+        {', '.join(f'{x} AS x{i}' for i, x in enumerate(XS, 1))} FROM ranked JOIN windows ON target_year <= train_end"""
 
 
 def rounded(columns, digits=9):
@@ -115,19 +115,27 @@ def with_ctes(final, extra=None):
     return "WITH " + ",\n".join(parts) + "\n" + final
 
 
-def _huber_steps(share, steps=25):
-    """Reweighted least squares, unrolled: two features and an intercept, solved by elimination."""
+def _huber_steps(share, steps=9):
+    """Reweighted least squares, unrolled: three features and an intercept, solved by cofactors of the covariances."""
+    pairs = [(i, j) for i in (1, 2, 3) for j in (1, 2, 3) if i <= j]
+    cofactors = """c22 * c33 - c23 * c23 AS k11, c13 * c23 - c12 * c33 AS k12, c12 * c23 - c13 * c22 AS k13,
+        c11 * c33 - c13 * c13 AS k22, c12 * c13 - c11 * c23 AS k23, c11 * c22 - c12 * c12 AS k33"""
+
     def solve(source, weight):
-        return f"""SELECT test_year, my - b1 * m1 - b2 * m2 AS b0, b1, b2, n, train_end, xi FROM (
-            SELECT *, (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) AS b1,
-                (c2y * c11 - c1y * c12) / (c11 * c22 - c12 * c12) AS b2 FROM (
-            SELECT test_year, n, train_end, xi, m1, m2, my, s11 / w - m1 * m1 AS c11, s22 / w - m2 * m2 AS c22,
-                s12 / w - m1 * m2 AS c12, s1y / w - m1 * my AS c1y, s2y / w - m2 * my AS c2y FROM (
-            SELECT *, s1 / w AS m1, s2 / w AS m2, sy / w AS my FROM (
+        sums = ", ".join([f"sum(w * x{i}) AS s{i}, sum(w * x{i} * y) AS s{i}y" for i in (1, 2, 3)]
+                         + [f"sum(w * x{i} * x{j}) AS s{i}{j}" for i, j in pairs])
+        means = ", ".join(f"s{i} / w AS m{i}" for i in (1, 2, 3))
+        spreads = ", ".join([f"s{i}{j} / w - m{i} * m{j} AS c{i}{j}" for i, j in pairs]
+                            + [f"s{i}y / w - m{i} * my AS c{i}y" for i in (1, 2, 3)])
+        return f"""SELECT test_year, my - b1 * m1 - b2 * m2 - b3 * m3 AS b0, b1, b2, b3, n, train_end, xi FROM (
+            SELECT *, (k11 * c1y + k12 * c2y + k13 * c3y) / det AS b1, (k12 * c1y + k22 * c2y + k23 * c3y) / det AS b2,
+                (k13 * c1y + k23 * c2y + k33 * c3y) / det AS b3 FROM (
+            SELECT *, c11 * k11 + c12 * k12 + c13 * k13 AS det FROM (SELECT *, {cofactors} FROM (
+            SELECT test_year, n, train_end, xi, m1, m2, m3, my, {spreads} FROM (
+            SELECT *, {means}, sy / w AS my FROM (
             SELECT test_year, count(*) AS n, any_value(train_end) AS train_end, any_value(xi) AS xi, sum(w) AS w,
-                sum(w * x1) AS s1, sum(w * x2) AS s2, sum(w * y) AS sy, sum(w * x1 * x1) AS s11,
-                sum(w * x2 * x2) AS s22, sum(w * x1 * x2) AS s12, sum(w * x1 * y) AS s1y, sum(w * x2 * y) AS s2y
-            FROM (SELECT *, {weight} AS w FROM {source}) GROUP BY test_year))))"""
+                sum(w * y) AS sy, {sums}
+            FROM (SELECT *, {weight} AS w FROM {source}) GROUP BY test_year))))))"""
 
     parts = {
         "windows": WINDOWS_SQL, "train0": TRAIN,
@@ -136,8 +144,8 @@ def _huber_steps(share, steps=25):
         "fit0": solve("train", "1e0"),
     }
     for i in range(1, steps + 1):
-        rows = (f"(SELECT train.*, abs(y - b0 - b1 * x1 - b2 * x2) AS e FROM train "
-                f"JOIN (SELECT test_year, b0, b1, b2 FROM fit{i - 1}) USING (test_year))")
+        rows = (f"(SELECT train.*, abs(y - b0 - b1 * x1 - b2 * x2 - b3 * x3) AS e FROM train "
+                f"JOIN (SELECT test_year, b0, b1, b2, b3 FROM fit{i - 1}) USING (test_year))")
         parts[f"fit{i}"] = solve(rows, "CASE WHEN e <= xi THEN 1e0 ELSE xi / e END")
     return parts, f"fit{steps}"
 
@@ -172,8 +180,7 @@ def oracle_sql():
     out["prediction_store"] = with_ctes(
         f"SELECT permno, month_id, target_year, {rounded(['prediction'])} FROM preds")
     out["prediction_concat"] = with_ctes(
-        f"""SELECT target_year, count(*) AS n, round(sum(prediction), 6) + 0e0 AS total FROM preds
-        WHERE target_year BETWEEN {min(TEST_YEARS)} AND {max(TEST_YEARS)} GROUP BY 1""")
+        """SELECT target_year, count(*) AS n, round(sum(prediction), 6) + 0e0 AS total FROM preds GROUP BY 1""")
     out["delist_adjusted_return"] = with_ctes("SELECT permno, month_id, ret, dlret, ret_adj FROM security")
     out["market_cap"] = with_ctes("SELECT permno, month_id, price_abs, mktcap FROM security")
     out["security_codes"] = with_ctes(
@@ -206,6 +213,10 @@ def oracle_sql():
     out["month_median_fill"] = with_ctes(f"SELECT permno, month_id, _n_month, {rounded(filled)} FROM filled")
     out["rank_transform"] = with_ctes(f"SELECT permno, month_id, {rounded(ranks)} FROM ranked")
     out["rank_transform_split"] = out["rank_transform"]
+    out["ranks_with_nulls"] = with_ctes("SELECT permno, month_id, " + ", ".join(
+        f"CASE WHEN {c} IS NOT NULL THEN rank() OVER (PARTITION BY month_id ORDER BY {c} NULLS LAST) "
+        f"+ (count(*) OVER (PARTITION BY month_id, {c}) - 1) / 2e0 END AS {c}_place" for c in FEATURES) + " FROM target")
+    out["ranks_with_nulls_split"] = out["ranks_with_nulls"]
     narrow = {"narrow_filled": _filled(FEATURES, "target", "FLOAT"),
               "narrow": _ranked(FEATURES, "narrow_filled", "FLOAT")}
     out["rank_transform_float"] = with_ctes("SELECT permno, month_id, " + ", ".join(
@@ -269,10 +280,15 @@ def oracle_sql():
         corr(y, prediction) AS corr_y_pred, sum((y - prediction) ** 2) AS sse, sum(y ** 2) AS sst
         FROM preds GROUP BY 1)""")
     spots = [("y", "y"), ("prediction", "pred")]
-    for name, function in (("forecast_quantiles", "quantile_disc"), ("forecast_quantiles_split", "quantile_cont")):
+    for name, function in (("forecast_quantiles_disc", "quantile_disc"), ("forecast_quantiles_linear", "quantile_cont")):
         out[name] = with_ctes("SELECT " + ", ".join(
             f"round({function}({c}, {p / 100}), 9) + 0e0 AS {short}_p{p:02d}" for c, short in spots
             for p in (1, 50, 99)) + " FROM preds")
+    out["forecast_quantiles"] = with_ctes("SELECT " + ", ".join(
+        f"(SELECT round({c}, 9) + 0e0 FROM placed WHERE {c}_row = CAST(floor({p / 100} * (n - 1) + 0.5) AS BIGINT)) AS {short}_p{p:02d}"
+        for c, short in spots for p in (1, 50, 99)), {"placed": "SELECT *, count(*) OVER () AS n, " + ", ".join(
+            f"row_number() OVER (ORDER BY {c}) - 1 AS {c}_row" for c, _ in spots) + " FROM preds"})
+    out["forecast_quantiles_split"] = out["forecast_quantiles"]
     out["drift_table"] = with_ctes("""SELECT CAST(test_year AS BIGINT) AS test_year,
         CAST(train_end AS BIGINT) AS train_end,
         round(avg(y) FILTER (WHERE target_year <= train_end), 8) + 0e0 AS train_y_mean,
@@ -290,7 +306,7 @@ def oracle_sql():
 
     steps, last = _huber_steps(HUBER_SHARE)
     held = ["ranked", *steps]
-    coef = f"round(b0, {{0}}) + 0e0 AS intercept, round(b1, {{0}}) + 0e0 AS {X1}, round(b2, {{0}}) + 0e0 AS {X2}"
+    coef = "round(b0, {0}) + 0e0 AS intercept, " + ", ".join(f"round(b{i}, {{0}}) + 0e0 AS {x}" for i, x in enumerate(XS, 1))
     ols = {k: steps[k] for k in ("windows", "train0", "xi", "train", "fit0")}
     out["expanding_window_ols"] = with_ctes(
         f"SELECT test_year, train_end, n AS n_train, {coef.format(8)} FROM fit0", ols)
@@ -298,10 +314,22 @@ def oracle_sql():
         FROM train0 GROUP BY 1""", {"windows": WINDOWS_SQL, "train0": TRAIN})
     out["huber_coefficients"] = _materialized(with_ctes(
         f"SELECT test_year, train_end, n AS n_train, round(xi, 7) AS xi, {coef.format(7)} FROM {last}", steps), held)
-    scored = {**steps, "linear": f"""SELECT ranked.*, b0 + b1 * {X1} + b2 * {X2} AS prediction,
+    scored = {**steps, "linear": f"""SELECT ranked.*, b0 + {' + '.join(f'b{i} * {x}' for i, x in enumerate(XS, 1))} AS prediction,
         f.train_end AS train_end_year FROM ranked JOIN {last} f ON target_year = f.test_year"""}
     out["huber_walkforward"] = _materialized(with_ctes(f"""SELECT permno, month_id, target_month_id, target_year,
         {rounded(['y', 'prediction'], 7)}, 'OLS3_Huber' AS model, CAST(train_end_year AS INTEGER) AS train_end_year
         FROM linear""", scored), held)
     out["huber_r2"] = _materialized(summary("linear", "OLS3_Huber", 4, "", scored), held)
+    checked = """CAST(target_year AS BIGINT) AS target_year, count(*) AS n, max(w.train_end) AS train_end, count(*) AS n_finite,
+        count(DISTINCT permno) AS n_entities"""
+    tested = "FROM target JOIN windows w ON target_year = w.test_year GROUP BY target_year"
+    windows = {"windows": "SELECT CAST(test_year AS BIGINT) AS test_year, CAST(train_end AS BIGINT) AS train_end FROM (" + WINDOWS_SQL + ")"}
+    out["gbt_walkforward"] = with_ctes(f"SELECT {checked} {tested}", windows)
+    out["forest_walkforward"] = with_ctes(f"SELECT {checked}, count(*) AS n_within {tested}", windows)
+    out["gbt_base_value"] = with_ctes("""SELECT test_year, train_end,
+        round(sum(y / sqrt(1 + y * y)) / sum(pow(1 + y * y, -1.5e0)), 9) + 0e0 AS base
+        FROM target JOIN windows ON target_year <= train_end GROUP BY ALL""", windows)
+    out["forest_features"] = with_ctes(f"""SELECT {len(CHARACTERISTICS) * 9} + count(*) OVER () AS n_features, sic2 AS code,
+        count(*) AS n_rows FROM target WHERE sic2 IS NOT NULL GROUP BY sic2""")
+    out["run_report"] = out["drift_table"]
     return out

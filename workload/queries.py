@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.constants import MACROS
+from panelloom.constants import LINEAR_CHARACTERISTICS, MACROS
 from panelloom.functions import cleaning as clean
 from panelloom.functions import finance
 from panelloom.operators import evaluate as ev
 from panelloom.operators import features as ft
 from panelloom.operators import regression as rg
+from panelloom.operators.orderstats import average_ranks
 from panelloom.operators.timeseries import duplicate_keys
-from panelloom.operators.trees import BoostSettings, ForestSettings
+from panelloom.operators.trees import BoostSettings, fit_boosted_trees
 from panelloom.plans import walkforward as wf
 from panelloom.plans.panel import clean_macro, clean_risk_free, clean_securities
 from panelloom.plans.prepare import prepare_panel, target_panel
@@ -26,7 +27,7 @@ TEST_YEARS = range(1998, 2002)
 GAP = 2
 WINDOWS = wf.walk_forward_windows(TEST_YEARS, GAP)
 K = 20
-LINEAR = ["bm", "mom12m"]
+LINEAR = LINEAR_CHARACTERISTICS
 LINEAR_RANKS = [f"{c}_rank" for c in LINEAR]
 HUBER_SHARE = 0.99
 # conditional sums that make a wide panel out of the lines
@@ -127,7 +128,7 @@ def prediction_store(spark, sf_dir):
 def prediction_concat(spark, sf_dir):
     """Yearly forecasts put together in one parquet table."""
     preds = materialize(_trivial_forecast(spark, sf_dir), "forecast")
-    years = [wf.split(preds, test_year=t) for t in TEST_YEARS]
+    years = [wf.split(preds, test_year=r[0]) for r in preds.select("target_year").distinct().orderBy("target_year").collect()]
     whole = years[0]
     for part in years[1:]:
         whole = whole.unionByName(part)
@@ -225,9 +226,8 @@ def month_median_fill(spark, sf_dir):
     return _round_all(filled.select("permno", "month_id", "_n_month", *names), names)
 
 
-def _ranked(spark, sf_dir, precision="double"):
-    filled = ft.fill_with_median(_sample(spark, sf_dir), tb.FEATURES, precision=precision)
-    return ft.rank_transform(filled, tb.FEATURES, precision=precision)
+def _ranked(spark, sf_dir, precision="double", **size):
+    return ft.ranked_features(_sample(spark, sf_dir), tb.FEATURES, precision=precision, **size)
 
 
 def rank_transform(spark, sf_dir):
@@ -255,25 +255,37 @@ def _wide(spark, sf_dir):
 
 def wide_rank_transform(spark, sf_dir):
     """84 columns filled and ranked per month."""
-    filled = ft.fill_with_median(_wide(spark, sf_dir), WIDE_NAMES)
     names = [f"{c}_rank" for c in WIDE_NAMES]
-    return _round_all(ft.rank_transform(filled, WIDE_NAMES).select("permno", "month_id", *names), names)
+    return _round_all(ft.ranked_features(_wide(spark, sf_dir), WIDE_NAMES).select("permno", "month_id", *names), names)
 
 
 def wide_rank_transform_split(spark, sf_dir):
     """The same with every month too large for one task: columns apart, some of them cut."""
-    filled = ft.fill_with_median(_wide(spark, sf_dir), WIDE_NAMES, values_per_task=60)
     names = [f"{c}_rank" for c in WIDE_NAMES]
-    return _round_all(ft.rank_transform(filled, WIDE_NAMES, values_per_task=60)
+    return _round_all(ft.ranked_features(_wide(spark, sf_dir), WIDE_NAMES, values_per_task=60)
                         .select("permno", "month_id", *names), names)
 
 
 def rank_transform_split(spark, sf_dir):
     """The same ranks with every month treated as too large for one task."""
-    filled = ft.fill_with_median(_sample(spark, sf_dir), tb.FEATURES, values_per_task=16)
     names = [f"{c}_rank" for c in tb.FEATURES]
-    return _round_all(ft.rank_transform(filled, tb.FEATURES, values_per_task=16)
-                        .select("permno", "month_id", *names), names)
+    return _round_all(_ranked(spark, sf_dir, values_per_task=16).select("permno", "month_id", *names), names)
+
+
+def _null_ranks(spark, sf_dir, values_per_task):
+    """Ranks of unfilled values: a missing one has none and counts in nobody's."""
+    sample = _sample(spark, sf_dir).select("permno", "month_id", *tb.FEATURES)
+    ranked = average_ranks(sample, ft.KEY, ft.GROUP, tb.FEATURES, "_place", values_per_task)
+    return ranked.select("permno", "month_id", *[f"{c}_place" for c in tb.FEATURES])
+
+
+def ranks_with_nulls(spark, sf_dir):
+    return _null_ranks(spark, sf_dir, 1_000_000)
+
+
+def ranks_with_nulls_split(spark, sf_dir):
+    """The same with every month too large for one task."""
+    return _null_ranks(spark, sf_dir, 16)
 
 
 def _macro_sample(spark, sf_dir):
@@ -296,8 +308,8 @@ def macro_expanding_fill(spark, sf_dir):
 
 def macro_interactions(spark, sf_dir):
     sample, found = _macro_sample(spark, sf_dir)
-    filled = ft.fill_with_median(sample, LINEAR, precision="float")
-    ranked = ft.fill_macros_expanding(ft.rank_transform(filled, LINEAR, precision="float"), found)
+    narrow = sample.select("permno", "month_id", *LINEAR, *found.values())
+    ranked = ft.fill_macros_expanding(ft.ranked_features(narrow, LINEAR, precision="float"), found)
     crossed = ft.add_interactions(ranked, LINEAR)
     return crossed.select("permno", "month_id", *[
         rounded(F.col(c).cast("double"), 6).alias(c) for c in ft.interaction_names(LINEAR)])
@@ -361,6 +373,17 @@ def forecast_quantiles(spark, sf_dir):
 
 
 def forecast_quantiles_split(spark, sf_dir):
+    """The same with the whole sample treated as too large for one task."""
+    table = ev.forecast_quantiles(materialize(_trivial_forecast(spark, sf_dir), "forecast"), values_per_task=500)
+    return _round_all(table, table.columns)
+
+
+def forecast_quantiles_disc(spark, sf_dir):
+    table = ev.forecast_quantiles(materialize(_trivial_forecast(spark, sf_dir), "forecast"), method="disc")
+    return _round_all(table, table.columns)
+
+
+def forecast_quantiles_linear(spark, sf_dir):
     """Interpolated, with the whole sample treated as too large for one task."""
     table = ev.forecast_quantiles(materialize(_trivial_forecast(spark, sf_dir), "forecast"), method="linear",
                                   values_per_task=500)
@@ -420,16 +443,67 @@ def huber_r2(spark, sf_dir):
                       ["r2_all_pct", f"r2_top{K}_pct", f"r2_bottom{K}_pct"], 4)
 
 
+def _tree_table(spark, sf_dir):
+    return prepare_panel(tb.panel(spark, sf_dir), tb.CHARACTERISTICS, precision="float",
+                         first=tb.FIRST_TARGET, last=tb.LAST_TARGET)
+
+
+def _forest_table(spark, sf_dir):
+    return prepare_panel(tb.panel(spark, sf_dir), tb.CHARACTERISTICS, macros=MACROS, precision="float",
+                         first=tb.FIRST_TARGET, last=tb.LAST_TARGET, industry="sic2")
+
+
+def _checked(preds):
+    """Per test year: forecasts, last training year, and how many forecasts are finite."""
+    return preds.groupBy("target_year").agg(
+        F.count(F.lit(1)).alias("n"), F.max("train_end_year").cast("bigint").alias("train_end"),
+        F.count_if(clean.is_finite(F.col("prediction"))).alias("n_finite"), F.count_distinct("permno").alias("n_entities"))
+
+
 def gbt_walkforward(spark, sf_dir):
-    table, features = prepare_panel(tb.panel(spark, sf_dir), tb.CHARACTERISTICS, precision="float",
-                                    first=tb.FIRST_TARGET, last=tb.LAST_TARGET)
-    return wf.boosted_walk_forward(table, features, WINDOWS[-2:], settings=BoostSettings(trees=5, min_child_weight=50))
+    """All windows with the model's own settings."""
+    table, features = _tree_table(spark, sf_dir)
+    return _checked(materialize(wf.boosted_walk_forward(table, features, WINDOWS), "boosted"))
+
+
+def gbt_base_value(spark, sf_dir):
+    """Where boosting starts, per window."""
+    table, features = _tree_table(spark, sf_dir)
+    bases = [(t, e, fit_boosted_trees(wf.split(table, train_max_year=e), features, BoostSettings(trees=0)).base) for t, e in WINDOWS]
+    return _round_all(spark.createDataFrame(bases, "test_year bigint, train_end bigint, base double"), ["base"])
 
 
 def forest_walkforward(spark, sf_dir):
-    table, features = prepare_panel(tb.panel(spark, sf_dir), tb.FEATURES, macros=MACROS, precision="float",
-                                    first=tb.FIRST_TARGET, last=tb.LAST_TARGET)
-    return wf.forest_walk_forward(table, features, WINDOWS[-2:], settings=ForestSettings(trees=20, min_child_weight=50))
+    """All windows with the model's own settings; leaves are shrunk means, so forecasts stay within the targets."""
+    table, features = _forest_table(spark, sf_dir)
+    preds = materialize(wf.forest_walk_forward(table, features, WINDOWS), "forest")
+    seen = [wf.split(table, train_max_year=e).agg(F.lit(t).cast("bigint").alias("target_year"), F.min("y").alias("least"), F.max("y").alias("most"))
+            for t, e in WINDOWS]
+    ranges = seen[0]
+    for r in seen[1:]:
+        ranges = ranges.unionByName(r)
+    inside = preds.join(ranges, "target_year").groupBy("target_year").agg(
+        F.count_if(F.col("prediction").between(F.col("least") - 1e-6, F.col("most") + 1e-6)).alias("n_within"))
+    return _checked(preds).join(inside, "target_year")
+
+
+def forest_features(spark, sf_dir):
+    """Ranks, interactions and industry dummies that the forest sees: the number of features, and each dummy's rows."""
+    table, features = _forest_table(spark, sf_dir)
+    dummies = [c for c in features if c.startswith("sic_")]
+    sums = table.agg(F.array(*[F.struct(F.lit(int(c[4:])).cast("bigint").alias("code"), F.sum(c).cast("bigint").alias("n_rows"))
+                               for c in dummies]).alias("all"))
+    return sums.select(F.lit(len(features)).cast("bigint").alias("n_features"), F.inline("all"))
+
+
+def run_report(spark, sf_dir):
+    """A whole linear run stored and reported; the yearly table of its report, read back."""
+    folder = scratch_path(spark, "run")
+    wf.run_linear(tb.panel(spark, sf_dir), folder, test_years=TEST_YEARS, gap=GAP, first=tb.FIRST_TARGET, last=tb.LAST_TARGET)
+    back = read_csv_clean(spark, f"{folder}/drift_OLS3_Huber_next_month.csv")
+    numbers = ["train_y_mean", "train_y_std", "test_y_mean", "test_y_std"]
+    return back.select(*[clean.strict_long(F.col(c)).alias(c) for c in ("test_year", "train_end", "n_train", "n_test")],
+                       *[rounded(clean.strict_double(F.col(c)), 8).alias(c) for c in numbers])
 
 
 QUERIES = {f.__name__: f for f in [
@@ -437,7 +511,8 @@ QUERIES = {f.__name__: f for f in [
     prediction_store, prediction_concat, summary_csv, delist_adjusted_return, market_cap, security_codes, lag_by_row,
     risk_free, macro_predictors, master_panel, excess_return, macro_resolution, key_uniqueness, panel_qa,
     panel_coverage, next_month_target, same_month_target, month_median_fill, rank_transform, rank_transform_float,
-    rank_transform_split, wide_rank_transform, wide_rank_transform_split, macro_global_fill,
+    rank_transform_split, ranks_with_nulls, ranks_with_nulls_split, wide_rank_transform, wide_rank_transform_split, macro_global_fill,
     macro_expanding_fill, macro_interactions, industry_dummies, finite_pairs, top_bottom_k, oos_r2_summary, yearly_r2, yearly_diagnostics, forecast_quantiles,
-    forecast_quantiles_split, drift_table, huber_loss_terms, expanding_window_ols, huber_thresholds,
-    huber_coefficients, huber_walkforward, huber_r2, gbt_walkforward, forest_walkforward]}
+    forecast_quantiles_split, forecast_quantiles_disc, forecast_quantiles_linear, drift_table, huber_loss_terms, expanding_window_ols, huber_thresholds,
+    huber_coefficients, huber_walkforward, huber_r2, gbt_walkforward, gbt_base_value,
+    forest_walkforward, forest_features, run_report]}
