@@ -20,15 +20,16 @@ def r2_against_zero(y: Column, prediction: Column) -> Column:
     return F.lit(1.0) - F.try_divide(sse, sst)
 
 
-def first_in_group(df: DataFrame, group: list[str], order: list[Column], k: int, parts: int = 256,
+def first_in_group(df: DataFrame, group: list[str], order: list[Column], k: int, parts: int | None = None,
                    rank: str = "size_rank") -> DataFrame:
     """The first `k` rows of each group in `order`, numbered from 1 in column `rank`.
 
     Two rounds. Rows are sliced by the task that reads them, which leaves at most `k` per group and
-    task to shuffle (Spark trims them beforehand) and shares a large group out over `parts` tasks;
-    the second round then sees at most `k * parts` rows of any group. How rows are sliced does not
+    task to shuffle (Spark trims them beforehand) and shares a large group out over `parts` tasks
+    (as many as the session's shuffle partitions unless given, 256 at least); the second round then sees at most `k * parts` rows of any group. How rows are sliced does not
     matter to the result. `order` must be total for a repeatable one.
     """
+    parts = parts or max(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     slices = df.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(parts)))
     within = W.partitionBy(*group, "_part").orderBy(*order)
     short = slices.withColumn("_row", F.row_number().over(within)).filter(F.col("_row") <= k)

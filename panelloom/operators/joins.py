@@ -18,18 +18,20 @@ def fits_broadcast(df: DataFrame, max_cells: int = BROADCAST_CELLS, cells_per_ro
 
 
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
-               max_cells: int = BROADCAST_CELLS, cells_per_row: int | None = None, salts: int = 32) -> DataFrame:
+               max_cells: int = BROADCAST_CELLS, cells_per_row: int | None = None, salts: int | None = None) -> DataFrame:
     """Join the rows of `left` to a right side that should be small.
 
     Within `max_cells` the right side is broadcast and `left` does not move. A larger one is
     repeated `salts` times and joined on (key, salt), so that a key holding a large share of
-    `left` is spread over `salts` tasks. Both give the same rows. The right side is counted first,
+    `left` is spread over `salts` tasks: an eighth of the session's shuffle partitions unless given, 32 at least.
+    Both give the same rows. The right side is counted first,
     so store it if it is costly to compute.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
     if fits_broadcast(right, max_cells, cells_per_row):
         return left.join(F.broadcast(right), on, how)
+    salts = salts or max(32, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
     spread = [F.col(c) for c in left.columns]
     salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -143,8 +143,21 @@ def securities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_securities(raw_securities(cells(spark, sf_dir)))
 
 
+#: Where a benchmark keeps the panels it has built, by application and folder; None: every query builds its own.
+kept: dict[tuple[str, str], DataFrame] | None = None
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The master panel over the whole tables; text is parsed once, into stored typed sources."""
+    if kept is None:
+        return _built_panel(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in kept:
+        kept[key] = materialize(_built_panel(spark, sf_dir), "panel")
+    return kept[key]
+
+
+def _built_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell, months = stored_cells(spark, sf_dir), stored_months(spark, sf_dir)
     author = clean_characteristics(raw_characteristics(cell, table(spark, sf_dir, "supplier")), CHARACTERISTICS)
     return master_panel(
