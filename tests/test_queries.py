@@ -6,6 +6,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from workload import tables
 from workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -19,6 +20,14 @@ def con():
     return oracle.connect(SF)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_panel():
+    """The panel is built once for all queries."""
+    tables.kept = {}
+    yield
+    tables.kept = None
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, con, name):
     df = entry.queries()[name](spark, SF)
