@@ -116,3 +116,52 @@ def test_run(spark):
         i = own.doc_id.iloc[0]
         if not re.search(pii.MARK, docs[i]):
             assert own.doc_tokens.iloc[0] == own.length.sum() == len(encoder().library().encode(docs[i], add_special_tokens=False).ids) + 1
+
+
+def groups_of(count, pairs):
+    parent = list(range(count))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in pairs:
+        parent[top(i)] = top(j)
+    return [top(i) for i in range(count)]
+
+
+@pytest.mark.parametrize("bucket", [1 << 12, 64])
+def test_a_large_group_of_copies_against_all_pairs(spark, words, monkeypatch, bucket):
+    monkeypatch.setattr(similar, "BUCKET", bucket)
+    rng = random.Random(21)
+    base = [rng.choice(words) for _ in range(200)]
+    texts = [" ".join(base)]
+    while len(texts) < 1000:
+        near = (base if rng.random() < 0.5 else texts[rng.randrange(len(texts))].split())[:]
+        for _ in range(rng.randint(3, 9)):
+            near[rng.randrange(len(near))] = rng.choice(words)
+        texts.append(" ".join(near))
+    sets = [shingles(t) for t in texts]
+    want = groups_of(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8])
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(4)
+    got = {r["doc_id"] for r in similar.one_of_each(docs).collect()}
+    least = {g: min(i for i in range(len(texts)) if want[i] == g) for g in set(want)}
+    assert len(least) > 20 and set(least.values()) <= got and len(got) <= len(least) + 1
+
+
+def test_appended_and_block_edits_at_the_threshold(spark, words):
+    rng = random.Random(5)
+    texts = []
+    for k in range(400):
+        base = [rng.choice(words) for _ in range(rng.randint(150, 500))]
+        n = len(base) - 4
+        more = int(n / 0.8) - n if k % 2 else int(n / 9) - 4
+        fresh = [rng.choice(words) for _ in range(more)]
+        at = rng.randrange(len(base) - more)
+        texts += [" ".join(base), " ".join(base + fresh if k % 2 else base[:at] + fresh + base[at + more:])]
+    near = [(i, i + 1) for i in range(0, len(texts), 2) if 0.8 <= jaccard(shingles(texts[i]), shingles(texts[i + 1]))]
+    assert len(near) > 380 and sum(jaccard(shingles(texts[i]), shingles(texts[j])) < 0.82 for i, j in near) > 300
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"] for r in similar.one_of_each(docs).collect()}
+    assert sum(j in got for _, j in near) <= 0.01 * len(near)
