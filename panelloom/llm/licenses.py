@@ -1,7 +1,7 @@
 """Licence scan by sentence rules: known sentences have identifiers, licences are ordered lists of identifiers.
 
-A text is cut into sentences twice, once with every line end as a boundary (short notices without a full stop before
-them) and once across lines (wrapped licence texts). Sentences are normalised to lower-case letters and digits and
+A text is cut into sentences three times, once with every line end as a boundary (short notices without a full stop before
+them), once across lines (wrapped licence texts) and once across lines with the ends of colons and list marks. Sentences are normalised to lower-case letters and digits and
 looked up; what is left of a document is a short sequence of identifiers, in which every rule is searched as an ordered
 subsequence. All of it is one projection of DataFrame functions: no shuffle, no Python on the executors.
 """
@@ -78,11 +78,19 @@ RULES = [
     ("CC-BY-NC-4.0", ["cc.bync.long"]), ("CC0-1.0", ["cc.zero"]), ("Unlicense", ["unlicense.intro"]),
     ("all-rights-reserved", ["reserved"]),
 ]
-#: Each known sentence holds at least one of these, so a text without any has no known sentence.
-TRIGGERS = ["licens", "permission", "redistribut", "warrant", "liable", "rights reserved", "public domain", "copyright"]
+#: Each known sentence holds at least one of these, parts of single words, so a text without any has no known sentence.
+TRIGGERS = ["licens", "permission", "redistribut", "warrant", "liable", "reserved", "unencumbered", "copyright"]
 #: Sentence ends with line ends, and sentence ends across lines (blank lines still end a sentence).
 BY_LINE = r"[.!?]+[ \t\r\f]+|\n"
 ACROSS = r"[.!?]+[ \t\r\n\f]+|\n[ \t\r]*\n"
+#: The same for texts in comments: a line without letters and digits is blank, an address is between sentences, 'v.' ends none;
+#: and, in the last cut, a colon before a line end ends a sentence, and the mark of a list entry too.
+_STOP = r"(?<![ \t\n,(][vV])[.!?]+"
+COMMENT_LINE = _STOP + r"[ \t\r\f]+|\n"
+COMMENT_ACROSS = _STOP + r"[ \t\r\n\f]+|\n[^a-zA-Z0-9\n]*(?=\n)|[ \t\r\n]+[^a-zA-Z0-9\n]*https?://[^ \t\r\n]+"
+COMMENT_LIST = COMMENT_ACROSS + r"|:[ \t\r]*(?:\*/|-->)?[ \t\r]*\n|\n[^a-zA-Z0-9\n]*[0-9a-zA-Z]{1,2}[.)][ \t]+"
+#: Words that begin comment lines.
+_COMMENT_WORD = r"(?im)^[ \t]*@?(?:dnl|rem)\b"
 _OTHER = "[^a-z0-9]+"
 
 
@@ -126,14 +134,17 @@ def scan(docs: DataFrame) -> DataFrame:
     for t in TRIGGERS:
         any_trigger = any_trigger | F.contains(low, F.lit(t))
     some = docs.select("doc_id", F.when(any_trigger, F.col("text")).alias("_text"))
-    found = some.select("doc_id", _sequence(F.col("_text"), BY_LINE, known).alias("_lines"),
-                        _sequence(F.col("_text"), ACROSS, known).alias("_across"))
+    some = some.withColumn("_text", F.regexp_replace("_text", _COMMENT_WORD, ""))
+    found = some.select("doc_id", *[_sequence(F.col("_text"), cut, known).alias(name) for name, cut in
+                                    (("_lines", COMMENT_LINE), ("_across", COMMENT_ACROSS), ("_lists", COMMENT_LIST))])
     table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(" ".join(ids)).alias("ids"), F.lit(rule_pattern(ids)).alias("pattern"),
                                F.array(*[F.lit(" ".join(c)) for c in covered(ids)]).cast("array<string>").alias("covers"))
                       for name, ids in RULES])
-    hits = F.filter(table, lambda r: F.rlike("_lines", r["pattern"]) | F.rlike("_across", r["pattern"]))
-    empty = (F.col("_lines") == "  ") & (F.col("_across") == "  ")
+    hits = F.filter(table, lambda r: F.rlike("_lines", r["pattern"]) | F.rlike("_across", r["pattern"]) | F.rlike("_lists", r["pattern"]))
+    empty = (F.col("_lines") == "  ") & (F.col("_across") == "  ") & (F.col("_lists") == "  ")
     found = found.withColumn("_hits", F.when(F.col("_lines").isNotNull() & ~empty, hits))
+    count = lambda c: F.size(F.split(c, " "))
+    found = found.withColumn("_across", F.when(count("_lists") > count("_across"), F.col("_lists")).otherwise(F.col("_across")))
     kept = F.filter("_hits", lambda r: ~F.exists("_hits", lambda o: F.array_contains(o["covers"], r["ids"])))
     found = found.withColumn("_kept", kept)
     names = F.array_join(F.array_sort(F.array_distinct(F.transform("_kept", lambda r: r["name"]))), ",")

@@ -46,3 +46,21 @@ def test_no_shuffle_and_no_python(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Arrow" not in plan and "Python" not in plan
+
+
+def test_every_rule_plain_and_in_comments(spark):
+    rows, want = [], {}
+    for name, ids in licenses.RULES:
+        for prefix in ("", "# ", " * ", "// ", "dnl ", "-- "):
+            for gap in ("blank", "none", "list"):
+                lines = []
+                for n, i in enumerate(ids):
+                    lines += textwrap.wrap((f"{n}. " if gap == "list" and n else "") + S[i] + ("" if S[i][-1] == ":" or i == "apache.copy" else "."), 70)
+                    lines += [""] if gap == "blank" and n + 1 < len(ids) else []
+                    lines += ["    https://www.example.org/LICENSE-2.0"] if i == "apache.copy" else []
+                rows.append((len(rows), "\n".join((prefix + line).rstrip() if not line else prefix + line for line in lines)))
+                want[rows[-1][0]] = name
+    rows += [(len(rows), "# " + S["mpl.grant"].replace("Public ", "Public\n# ") + ". If a copy\n# of the MPL was not distributed")]
+    want[rows[-1][0]] = "MPL-2.0"
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: (got[i], want[i], rows[i][1]) for i in got if want[i] not in got[i].split(",")} == {}
