@@ -1,19 +1,19 @@
-"""Benchmark passages in documents within an edit distance: CGK embedding, bit-sampling LSH, exact verification.
+"""Benchmark passages in documents within an edit distance: counts of shared grams, exact verification.
 
-The CGK embedding (Chakraborty, Goldenberg, Koucky 2016) walks over a string: at step j it emits the symbol under the
-pointer and moves on if a random bit of (j, symbol) says so. Two strings few edits apart fall into step again and again,
-so their emitted strings differ in few places: edit distance has become Hamming distance, and sampling a few places of
-the emitted string is a locality-sensitive hash. An item-sized window is embedded in stretches of SPAN bytes from word
-starts; a window is a candidate if one stretch agrees with the item's in all sampled places of one repetition. The number
-of repetitions is found on randomly edited items so that the target recall is reached. Candidates are verified exactly:
-the best alignment of the item inside the window, grown by the allowed distance, by bit-parallel dynamic programming.
+An edit destroys at most GRAM of the grams (substrings of GRAM bytes) that an item and its copy share, and the grams left
+lie on diagonals (place in the text less place in the item) that differ by no more than the edits. All grams of a text are
+looked up among those of the items and counted by item and strip of diagonals; a place is a candidate where a strip has as
+many as the item asks for. Items of LONG bytes or more ask for a share of grams that is found on randomly edited copies with all the
+edits that are allowed, so that the target recall is reached; shorter ones ask for the number that no such copy falls below.
+Candidates are verified exactly: the best alignment of the item inside the window, grown by the allowed distance, by
+bit-parallel dynamic programming.
 
+Every byte begins a gram, so text without spaces and passages behind punctuation are searched like any other.
 Benchmark items are a stated query set: blocks of BLOCK items go to the tasks, which read every document whole.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,43 +25,29 @@ from pyspark.sql import types as T
 
 from panelloom.llm.common import ship, slices, utf8
 
-#: Edits allowed, as a share of the item's bytes; and the recall sought among items with half as many random edits.
+#: Edits allowed, as a share of the item's bytes; and the recall sought among items with so many random edits.
 RATE = 0.2
 RECALL = 0.95
-MOST_REPETITIONS = 24
+#: Calibration asks for fewer shared grams than this for each span.
+MOST_REPETITIONS = 256
 #: Items sent to the tasks at once.
 BLOCK = 4096
-#: A stretch for long and for short items; items under the short one are compared in one stretch of their own length.
-SPANS = (64, 24)
-#: Stretches begin at words of so many bytes.
-LONG = 5
-_STRATA = (0.04, 0.13, 0.22, 0.3, 0.38, 0.48, 0.58, 0.7, 0.82, 0.95)  # one sampled step in each interval, as shares of the span
-_TABLE = 16
-#: Starts walked together: few enough for their text to stay in a processor's cache.
-_CHUNK = 1 << 15
+#: Length classes, calibrated each for itself; items under the last are a class for each length.
+SPANS = (256, 160, 112, 88, 64, 24)
+#: Items of so many bytes are searched by calibrated counts of long grams.
+LONG = 64
+GRAM = 6
+#: Places looked up together, and diagonals by items counted together, at most.
+_CHUNK = 1 << 18
+_CELLS = 1 << 23
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+_LANE = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-@dataclass
-class Walk:
-    """One repetition: a random bit for each step and symbol, and the sampled steps."""
-
-    bits: np.ndarray
-    steps: list[int]
-
-
-def walks(span: int, repetitions: int, seed: int = 42) -> list[Walk]:
-    rng = np.random.default_rng(seed)
-    cuts = sorted({round(s * span) for s in _STRATA})
-    return [Walk(rng.integers(0, 2, (span, 256)).astype(np.int32), [int(rng.integers(a, b)) for a, b in zip(cuts, cuts[1:])])
-            for _ in range(repetitions)]
-
-
 def normalise(raw: np.ndarray, at: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-case bytes with single spaces, `gap` zero bytes after each text; its bounds, each byte's place in raw."""
     space = _SPACE[raw]
@@ -82,13 +68,9 @@ def normalise(raw: np.ndarray, at: np.ndarray, gap: int) -> tuple[np.ndarray, np
     return out, begin, begin + np.diff(count), origin
 
 
-def words(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, lengths and keys (the first 8 bytes at most) of the words of text, whose end is padded by 8 zero bytes."""
-    solid = text > 32
-    starts = np.flatnonzero(solid & ~np.append(False, solid[:-1]))
-    sizes = np.flatnonzero(solid & ~np.append(solid[1:], False)) + 1 - starts
-    lanes = np.ndarray(max(0, len(text) - 7), "<u8", text, strides=(1,))
-    return starts, sizes, lanes[starts] & _FIRST[np.minimum(sizes, 8)]
+def grams(text: np.ndarray, size: int) -> np.ndarray:
+    """The bytes from each place on as a number, `size` (at most 8) of them; the end of text is padded by 8 zero bytes."""
+    return np.ndarray(max(0, len(text) - 7), "<u8", text, strides=(1,)) & _LANE[size]
 
 
 def plain(text: str | None) -> bytes:
@@ -97,91 +79,127 @@ def plain(text: str | None) -> bytes:
 
 @dataclass
 class Queries:
-    """Items of one block and one span: texts, stretches (item, offset) and each repetition's keys of the stretches."""
+    """Items of one block and one span: their grams, where each occurs, how many a place must share; strips as shifts."""
 
-    span: int
+    size: int
     ids: list
     texts: list[bytes]
+    length: np.ndarray
+    needed: np.ndarray
+    shift: np.ndarray
+    keys: np.ndarray
+    first: np.ndarray
     item: np.ndarray
     offset: np.ndarray
-    walks: list[Walk]
-    keys: list[tuple[np.ndarray, np.ndarray]]
-    tables: list[list[np.ndarray]]
-    first: np.ndarray
-
-
-def _slot(key: np.ndarray) -> np.ndarray:
-    return (key * _MIX) >> np.uint64(64 - _TABLE)
-
-
-def embed(text: np.ndarray, starts: np.ndarray, walk: Walk, tables: list[np.ndarray] | None):
-    """Keys of the sampled symbols of the walks from `starts`: with `tables` only of walks whose prefixes are in them,
-    and which; without, the keys of all prefixes."""
-    which, prefixes = np.arange(len(starts), dtype=np.int32), []
-    at = starts.astype(np.int32)
-    key, sampled = np.zeros(len(starts), np.uint64), 0
-    for step in range(walk.steps[-1] + 1):
-        symbol = text.take(at)
-        if step == walk.steps[sampled]:
-            key = key * _MIX + (symbol.astype(np.uint64) + np.uint64(1))
-            if tables is None:
-                prefixes.append(key)
-            else:
-                own = tables[sampled][_slot(key)]
-                which, at, key, symbol = which[own], at[own], key[own], symbol[own]
-            sampled += 1
-        at += walk.bits[step].take(symbol)
-    return prefixes if tables is None else (which, key)
-
-
-def prepare(ids: list, texts: list[bytes], span: int, repetitions: int) -> Queries:
-    """Stretches start at the item's words of LONG bytes or more that leave room for `span` bytes, or else at any word."""
-    item, offset = [], []
-    begin = np.cumsum([0] + [len(t) + span for t in texts])
-    text = np.frombuffer(b"".join(t + bytes(span) for t in texts) + bytes(8), np.uint8)
-    for i, t in enumerate(texts):
-        starts, sizes, _ = words(np.frombuffer(t + bytes(8), np.uint8))
-        fits = starts + span <= len(t)
-        own = starts[fits & (sizes >= LONG)]
-        own = own if len(own) else starts[fits] if fits.any() else starts[:1]
-        item += [i] * len(own)
-        offset += own.tolist()
-    item, offset = np.array(item, np.int64), np.array(offset, np.int64)
-    starts, _, word = words(text)
-    first = np.zeros(1 << _TABLE, bool)
-    first[_slot(word[np.searchsorted(starts, begin[item] + offset)])] = True
-    used = walks(span, repetitions)
-    keys, tables = [], []
-    for walk in used:
-        prefixes = embed(text, begin[item] + offset, walk, None)
-        order = np.argsort(prefixes[-1])
-        keys.append((prefixes[-1][order], order))
-        levels = []
-        for prefix in prefixes:
-            table = np.zeros(1 << _TABLE, bool)
-            table[_slot(prefix)] = True
-            levels.append(table)
-        tables.append(levels)
-    return Queries(span, ids, texts, item, offset, used, keys, tables, first)
-
-
-def candidates(text: np.ndarray, q: Queries, known: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(item, start of its window in text) wherever one stretch agrees in all sampled symbols of one repetition.
-
-    Walks begin at words that begin a stretch of some item, a look at the first symbols that all repetitions share.
+    tables: list[tuple[np.uint64, np.uint64, np.ndarray]]
+
+
+def gram_size(span: int, rate: float) -> int:
+    """Long items: GRAM. Short ones: so short that every copy within the allowed edits shares a gram."""
+    if span >= LONG:
+        return GRAM
+    length = LONG - 1 if span == SPANS[-1] else span
+    return max(1, min(4 if span >= SPANS[-1] else 3 if span >= 10 else 2 if span >= 5 else span, length // (int(rate * length) + 1)))
+
+
+def _tables(keys: np.ndarray) -> list[tuple[np.uint64, np.uint64, np.ndarray]]:
+    """Hash tables of places in `keys`; a key whose slot is taken goes to the next table."""
+    tables, left, factor = [], np.arange(len(keys)), int(_MIX)
+    while len(left):
+        bits = min(22, max(10, int(len(left)).bit_length() + 5))
+        shift, odd = np.uint64(64 - bits), np.uint64(factor)
+        table = np.full(1 << bits, -1, np.int32)
+        slot = (keys[left] * odd) >> shift
+        table[slot] = left
+        tables.append((odd, shift, table))
+        left = left[table[slot] != left]
+        factor = factor * 0xD1342543DE82EF95 % (1 << 64) | 1
+    return tables
+
+
+def _lookup(q: Queries, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of `key` that are grams of an item, and which."""
+    at, which, rest = [], [], None
+    for odd, shift, table in q.tables:
+        own = key if rest is None else key[rest]
+        slot = table[(own * odd) >> shift]
+        taken = np.flatnonzero(slot >= 0)
+        slot = slot[taken]
+        place = taken if rest is None else rest[taken]
+        same = q.keys[slot] == key[place]
+        at.append(place[same])
+        which.append(slot[same])
+        rest = place[~same]
+        if not len(rest):
+            break
+    return (np.concatenate(at), np.concatenate(which)) if at else (np.zeros(0, np.int64),) * 2
+
+
+def prepare(ids: list, texts: list[bytes], span: int, repetitions: int, rate: float = RATE) -> Queries:
+    """`repetitions`: grams asked for in each `span` bytes of a long item; short ones ask for what no copy falls below."""
+    size = gram_size(span, rate)
+    length = np.array([len(t) for t in texts], np.int64)
+    slack = (rate * length).astype(np.int64)
+    needed = repetitions * length // span if span >= LONG else length - size + 1 - slack * size
+    begin = np.append(0, np.cumsum(length + size))
+    keys = grams(np.frombuffer(b"".join(t + bytes(size) for t in texts) + bytes(8), np.uint8), size)
+    at = np.concatenate([np.arange(max(0, n - size + 1)) + b for n, b in zip(length.tolist(), begin.tolist())])
+    at = at[np.argsort(keys[at], kind="stable")]
+    item = np.searchsorted(begin, at, side="right") - 1
+    different, first = np.unique(keys[at], return_index=True)
+    shift = np.ceil(np.log2(slack + 1)).astype(np.int64)
+    return Queries(size, ids, texts, length, np.maximum(needed, 1), shift, different, np.append(first, len(at)), item, at - begin[item], _tables(different))
+
+
+def candidates(text: np.ndarray, q: Queries, begin: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(item, text, first and last diagonal) wherever an item shares as many grams as it needs within two strips of diagonals.
+
+    Texts are told apart by the places of the shared grams themselves.
     """
-    starts, _, word = known or words(text)
-    starts = starts[q.first[_slot(word)]]
-    items, windows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    some = [starts[k: k + _CHUNK] for k in range(0, len(starts), _CHUNK)]
-    for starts, (walk, (keys, order), tables) in itertools.product(some, list(zip(q.walks, q.keys, q.tables))):
-        which, key = embed(text, starts, walk, tables)
-        lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
-        n = hi - lo
-        stretch = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        items.append(q.item[stretch])
-        windows.append(np.repeat(starts[which], n) - q.offset[stretch])
-    return np.concatenate(items), np.concatenate(windows)
+    reach = int((q.length + (1 << q.shift)).max())
+    most = max(4 * reach, min(_CHUNK, _CELLS // max(1, int((1.0 / (1 << q.shift)).sum()))))
+    keys = grams(text, q.size)
+    for low in range(0, max(1, len(keys) - reach), most - reach):
+        at, which = _lookup(q, keys[low: low + most])
+        n = q.first[which + 1] - q.first[which]
+        total = int(n.sum())
+        if not total:
+            continue
+        use = np.repeat(q.first[which] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(total)
+        item = q.item[use]
+        diagonal = np.repeat(at, n) - q.offset[use] + q.length[item]
+        wide = ((most + q.length) >> q.shift) + 2
+        base = np.append(0, np.cumsum(wide))
+        cell = base[item] + (diagonal >> q.shift[item])
+        count = np.bincount(cell, minlength=base[-1] + 1)
+        needed = np.repeat(q.needed, wide)
+        enough = np.flatnonzero(count[:-1] + count[1:] >= needed)
+        if not len(enough):
+            continue
+        in_one = np.zeros(base[-1] + 1, bool)
+        in_one[enough] = in_one[enough + 1] = True
+        hit = np.flatnonzero(in_one[cell])
+        lit = np.zeros(base[-1] + 1, bool)
+        lit[enough] = True
+        place = np.repeat(at, n)[hit] + low
+        doc = np.searchsorted(begin, place, side="right") - 1
+        for back in (0, 1):  # a gram counts for the pair of strips that begins with its own, and for the one before
+            own = np.flatnonzero(lit[cell[hit] - back] & (cell[hit] - back >= base[item[hit]]))
+            group = np.stack([cell[hit][own] - back, doc[own]])
+            if back == 0:
+                groups, diagonals = [group], [diagonal[hit][own]]
+            else:
+                groups.append(group)
+                diagonals.append(diagonal[hit][own])
+        group, line = np.concatenate(groups, axis=1), np.concatenate(diagonals)
+        order = np.lexsort((line, group[1], group[0]))
+        group, line = group[:, order], line[order]
+        edge = np.flatnonzero(np.append(True, (group[:, 1:] != group[:, :-1]).any(axis=0)))
+        last = np.append(edge[1:], len(line)) - 1
+        whose = np.searchsorted(base, group[0, edge], side="right") - 1
+        shifted = low - q.length[whose]
+        enough = last - edge + 1 >= q.needed[whose]
+        yield from zip(*(x[enough].tolist() for x in (whose, group[1, edge], line[edge] + shifted, line[last] + shifted)))
 
 
 def best_alignment(item: bytes, text: bytes) -> tuple[int, int]:
@@ -208,22 +226,31 @@ def best_alignment(item: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+def _merged(found: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """Candidates of one item and text whose diagonals overlap are one."""
+    now = None
+    for i, doc, low, high in found:
+        if now and now[:2] == (i, doc) and low <= now[3]:
+            now = (i, doc, now[2], max(high, now[3]))
+        else:
+            if now:
+                yield now
+            now = (i, doc, low, high)
+    if now:
+        yield now
+
+
 def find(raw: np.ndarray, at: np.ndarray, queries: list[Queries], rate: float) -> list[tuple[int, object, int, int, int]]:
     """(text, item id, distance, first and last byte in the text) of each item's best window in each text."""
-    gap = max(q.span for q in queries)
-    text, begin, end, origin = normalise(raw, at, gap)
-    known, data, out = words(text), text.tobytes(), {}
+    text, begin, end, origin = normalise(raw, at, 8)
+    data, out = text.tobytes(), {}
     for q in queries:
-        items, windows = candidates(text, q, known)
-        near = np.minimum(np.searchsorted(begin, windows, side="right") - 1, len(begin) - 1)
-        # a window whose estimated start lies before its text's: the text is the one its end is in
-        near = np.where((near + 1 < len(begin)) & (windows >= end[np.maximum(near, 0)]), near + 1, np.maximum(near, 0))
-        for doc, i, w in sorted(set(zip(near.tolist(), items.tolist(), windows.tolist()))):
+        for i, doc, low, high in _merged(sorted(set(candidates(text, q, begin)))):
             item, best = q.texts[i], out.get((doc, q.ids[i]))
             slack = int(rate * len(item))
             if best and best[0] == 0:
                 continue
-            a, b = max(begin[doc], w - slack), min(end[doc], w + len(item) + slack)
+            a, b = max(begin[doc], low - slack), min(end[doc], high + len(item) + slack)
             if b - a < len(item) - slack:
                 continue
             window = data[a:b]
@@ -251,24 +278,29 @@ def edited(text: bytes, rate: float, rng: np.random.Generator) -> bytes:
 
 
 def calibrate(texts: list[bytes], span: int, rate: float, recall: float, most: int = MOST_REPETITIONS, trials: int = 400) -> int:
-    """Repetitions after which `recall` of items with half the allowed edits, at random places, are candidates."""
+    """The most shared grams for each `span` bytes (under `most`) that `recall` of items with all allowed edits, at random places, have.
+
+    Raises ValueError if even one is too many. Short items (span under LONG) need none: what they ask for loses no copy.
+    """
+    if span < LONG:
+        return 0
     rng = np.random.default_rng(7)
+    size, shared, length = gram_size(span, rate), [], []
     some = [texts[k] for k in rng.permutation(len(texts))[:trials]]
-    copies = [edited(some[k % len(some)], rate / 2, rng) for k in range(trials)]
-    pad = b" zz "
-    data = np.frombuffer(b"".join(pad + c + pad + bytes(span) for c in copies) + bytes(8), np.uint8)
-    begin = np.cumsum([0] + [len(c) + 2 * len(pad) + span for c in copies])
-    found = np.zeros(trials, bool)
-    for n in range(1, most + 1):
-        q = prepare(list(range(len(some))), some, span, n)
-        q.walks, q.keys, q.tables = q.walks[-1:], q.keys[-1:], q.tables[-1:]
-        items, windows = candidates(data, q)
-        copy = np.clip(np.searchsorted(begin, windows + len(pad), side="right") - 1, 0, trials - 1)
-        right = copy % len(some) == items
-        found[copy[right]] = True
-        if found.mean() >= recall:
+    for k in range(trials):
+        item = some[k % len(some)]
+        copy = edited(item, rate, rng)
+        own, other = (grams(np.frombuffer(t + bytes(8), np.uint8), size)[: len(t) - size + 1] for t in (item, copy))
+        place, offset = np.nonzero(other[:, None] == own)
+        strip = (place - offset + len(item)) >> int(np.ceil(np.log2(int(rate * len(item)) + 1)))
+        count = np.append(np.bincount(strip), 0) if len(strip) else np.zeros(2, np.int64)
+        shared.append(int((count[:-1] + count[1:]).max()))
+        length.append(len(item))
+    shared, length = np.array(shared), np.array(length)
+    for n in range(most - 1, 0, -1):
+        if (shared >= np.maximum(1, n * length // span)).mean() >= recall:
             return n
-    return most
+    raise ValueError(f"recall {recall} is out of reach for items of {span} bytes or more with {rate} of them edited")
 
 
 def _schema(id_type: T.DataType, item_type: T.DataType) -> T.StructType:
@@ -290,7 +322,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: flo
 
     doc_id, item_id, distance (edits between the item and its best place, both in lower case with single spaces) and the
     place, start and end in UTF-8 bytes of the text as it is; the start is exact up to the distance. Found are places
-    with at most rate * length edits; the search is a hash with a calibrated recall, the distance is exact. Null and empty texts and
+    with at most rate * length edits; the search is a count of shared grams with a recall calibrated at that many edits, the distance is exact. Null and empty texts and
     items hold and are nothing; repeated rows count each, items of one id together; null ids stay null; other columns are ignored; empty
     tables give no rows.
     """
@@ -311,7 +343,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, rec
         plans = _plans(block, recall, rate)
 
         def clean(batches: Iterator[pa.RecordBatch], plans=plans) -> Iterator[pa.RecordBatch]:
-            queries = [prepare(ids, texts, span, n) for span, ids, texts, n in plans]
+            queries = [prepare(ids, texts, span, n, rate) for span, ids, texts, n in plans]
             for batch in batches:
                 for first, last in slices(batch.column(where)):
                     part = batch.slice(first, last - first)
@@ -325,7 +357,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, rec
 
 
 def _plans(items: list[tuple[object, bytes]], recall: float, rate: float) -> list[tuple]:
-    """For each span its item ids, texts and repetitions."""
+    """For each span its item ids, texts and shared grams."""
     groups: dict[int, list[tuple[object, bytes]]] = {}
     for item_id, text in items:
         if text:
@@ -338,7 +370,7 @@ def _search(docs: DataFrame, items: list[tuple[object, bytes]], rate: float, rec
     item_type = schema["item_id"].dataType
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = [prepare(ids, texts, span, n) for span, ids, texts, n in plans]
+        queries = [prepare(ids, texts, span, n, rate) for span, ids, texts, n in plans]
         if not queries:
             return
         arrow_item = pa.int64() if isinstance(item_type, T.LongType) else None

@@ -85,3 +85,40 @@ def test_leaks(spark, words, monkeypatch):
         assert got == [(-1, -1, 0), (1, 10, 0), (1, 10, 0), (2, 11, 0), (3, 12, 0), (8, 10, 0)]
     assert dec.leaks(frame.limit(0), benchmark).count() == 0
     assert dec.leaks(frame, benchmark.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rate", [0.13, 0.16, 0.2])
+def test_recall_up_to_the_allowed_edits(words, rate):
+    rng, nrng = random.Random(6), np.random.default_rng(6)
+    items = [dec.plain(sentence(rng, rng.randint(14, 60), words)) for _ in range(200)] + [dec.plain(sentence(rng, 6, words)) for _ in range(40)]
+    queries = [dec.prepare(i, t, s, n) for s, i, t, n in dec._plans(list(enumerate(items)), dec.RECALL, dec.RATE)]
+    copies = [dec.edited(t, rate, nrng) for t in items]
+    docs = [f"{sentence(rng, 60, words)} {c.decode('utf8', 'ignore')} {sentence(rng, 60, words)}" for c in copies]
+    truth = {(d, d) for d in range(len(items)) if plain_alignment(items[d], dec.plain(docs[d]))[0] <= dec.RATE * len(items[d])}
+    got = {(r[0], r[1]) for r in dec.find(*utf8(pa.array(docs)), queries, dec.RATE)}
+    for few in (range(200), range(200, 240)):
+        own = {k for k in truth if k[0] in few}
+        assert len(own & got) >= 0.93 * len(own)
+
+
+def test_text_without_spaces_and_behind_punctuation(words):
+    rng = random.Random(7)
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
+    run = lambda n: "".join(rng.choice(signs) for _ in range(n))
+    items = [run(60) for _ in range(20)] + ["abc " + sentence(rng, 3, words) for _ in range(20)] + [sentence(rng, 20, words) for _ in range(20)]
+    queries = [dec.prepare(i, t, s, n) for s, i, t, n in dec._plans([(k, dec.plain(t)) for k, t in enumerate(items)], dec.RECALL, dec.RATE)]
+    docs = [run(300) + t + run(300) if k < 20 else f"{sentence(rng, 30, words)} <b>\"{t}\"</b> {sentence(rng, 30, words)}" for k, t in enumerate(items)]
+    got = {(r[0], r[1]): r[2] for r in dec.find(*utf8(pa.array(docs)), queries, dec.RATE)}
+    assert [got.get((k, k)) for k in range(60)] == [0] * 60
+
+
+def test_an_items_tail_at_the_start_of_a_document(words):
+    rng = random.Random(8)
+    item = dec.plain(sentence(rng, 150, words))[:600]
+    queries = [dec.prepare(i, t, s, n) for s, i, t, n in dec._plans([(0, item)], dec.RECALL, dec.RATE)]
+    docs = [sentence(rng, 200, words), item[100:].decode("utf8", "ignore") + " " + sentence(rng, 50, words)]
+    want = plain_alignment(item, dec.plain(docs[1]))[0]
+    assert want <= 120
+    for first in (0, 1):
+        found = [r[:3] for r in dec.find(*utf8(pa.array(docs[first:])), queries, dec.RATE)]
+        assert found == [(1 - first, 0, want)]
