@@ -39,7 +39,7 @@ LONG = 64
 GRAM = 6
 #: Places looked up together, and diagonals by items counted together, at most.
 _CHUNK = 1 << 18
-_CELLS = 1 << 23
+_CELLS = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -171,8 +171,8 @@ def candidates(text: np.ndarray, q: Queries, begin: np.ndarray) -> Iterator[tupl
         wide = ((most + q.length) >> q.shift) + 2
         base = np.append(0, np.cumsum(wide))
         cell = base[item] + (diagonal >> q.shift[item])
-        count = np.bincount(cell, minlength=base[-1] + 1)
-        needed = np.repeat(q.needed, wide)
+        count = np.bincount(cell, minlength=base[-1] + 1).astype(np.int32)
+        needed = np.repeat(q.needed.astype(np.int32), wide)
         enough = np.flatnonzero(count[:-1] + count[1:] >= needed)
         if not len(enough):
             continue
