@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import decontaminate, langid, licenses, packing, pii, quality, repeats, sharding, simhash, warc
+from panelloom.llm import decontaminate, exact, langid, licenses, packing, pii, quality, repeats, sharding, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,11 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_langid": op2_langid,
@@ -72,10 +77,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_licenses": op9_licenses,
     "op10_repeats": op10_repeats,
+    "op11_exact": op11_exact,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op9_licenses": licenses.oracle_sql(),
+    "op11_exact": exact.ORACLE_SQL,
     "op3_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
         d AS (SELECT page_id, octet_length(raw)::BIGINT AS payload_bytes, sha256(raw) AS payload_digest FROM p),

@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
     "op9_licenses": "doc_id bigint, licenses string, rules string, sentences string, n_sentences bigint",
     "op10_repeats": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op11_exact": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
 }
 
 
