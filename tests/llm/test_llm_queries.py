@@ -22,6 +22,7 @@ COLUMNS = {
     "op9_licenses": "doc_id bigint, licenses string, rules string, sentences string, n_sentences bigint",
     "op10_repeats": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
     "op11_exact": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    "op12_clustering": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
 }
 
 
