@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import decontaminate, exact, langid, licenses, packing, pii, quality, repeats, sharding, simhash, simplex, warc
+from panelloom.llm import decontaminate, exact, langid, licenses, packing, pii, quality, repair, repeats, sharding, simhash, simplex, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simplex.cluster(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.with_digests(*repair.repair(repair.damaged(_table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_langid": op2_langid,
@@ -83,12 +87,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_repeats": op10_repeats,
     "op11_exact": op11_exact,
     "op12_clustering": op12_clustering,
+    "op13_repair": op13_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op9_licenses": licenses.oracle_sql(),
     "op11_exact": exact.ORACLE_SQL,
     "op12_clustering": simplex.oracle_sql(),
+    "op13_repair": repair.oracle_sql(),
     "op3_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
         d AS (SELECT page_id, octet_length(raw)::BIGINT AS payload_bytes, sha256(raw) AS payload_digest FROM p),

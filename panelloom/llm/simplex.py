@@ -182,7 +182,7 @@ def cluster(vectors: DataFrame, centroids: int = CENTROIDS, rounds: int = ROUNDS
 def oracle_sql(centroids: int = CENTROIDS, rounds: int = ROUNDS, components: int = COMPONENTS) -> str:
     """The same by comparing every vector with every centroid."""
     ctes = [f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE len(embedding) = {components}
-        AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
+        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
             f"""q AS MATERIALIZED (SELECT r, j, CAST(floor({SCALE} * CAST(embedding[j] AS DOUBLE)) AS BIGINT) AS x
         FROM kept CROSS JOIN (SELECT CAST(unnest(range(1, {components + 1})) AS BIGINT) AS j))""",
             f"""c0 AS MATERIALIZED (SELECT c, j, x FROM (SELECT r, row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) - 1 AS c FROM kept
