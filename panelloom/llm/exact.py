@@ -23,16 +23,18 @@ from panelloom.sources.storage import materialize, scratch_path
 TRIGGER_BYTES = 1 << 40
 
 _STATE = "spark.sql.streaming.stateStore"
-#: RocksDB on the executors' disks, changes in the shared folder after every trigger; memory bounded for each executor.
+#: RocksDB on the executors' disks, changes in the shared folder after every trigger; memory bounded for each executor, no
+#: space taken in advance (some MB for each of many small partitions).
 _SETTINGS = {f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
              f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true",
+             f"{_STATE}.rocksdb.allowFAllocate": "false",
              f"{_STATE}.rocksdb.boundedMemoryUsage": "true",
              f"{_STATE}.rocksdb.maxMemoryUsageMB": "256"}
 
 
 @contextmanager
 def _settings(spark: SparkSession) -> Iterator[None]:
-    """The state's settings, for the streams that start inside the block."""
+    """The state's settings, for what writes or reads it inside the block."""
     before = {name: spark.conf.get(name, None) for name in _SETTINGS}
     for name, value in _SETTINGS.items():
         spark.conf.set(name, value)
@@ -82,13 +84,14 @@ def remember(spark: SparkSession, path: str, state: str, digest: Callable[[Colum
 
 
 def remembered(spark: SparkSession, state: str) -> DataFrame:
-    """What the state holds: digest, keep_id, keep_file, keep_row and the number n of rows."""
+    """What the state holds, stored as a table: digest, keep_id, keep_file, keep_row and the number n of rows."""
     with _settings(spark):
         held = spark.read.format("statestore").load(state)
-    keep, n = held.schema["value"].dataType.names
-    keep = F.col("value")[keep]
-    return held.select(F.col("key.digest").alias("digest"), keep["doc_id"].alias("keep_id"), keep["file"].alias("keep_file"),
-                       keep["row"].alias("keep_row"), F.col("value")[n].alias("n"))
+        keep, n = held.schema["value"].dataType.names
+        keep = F.col("value")[keep]
+        return materialize(held.select(
+            F.col("key.digest").alias("digest"), keep["doc_id"].alias("keep_id"), keep["file"].alias("keep_file"),
+            keep["row"].alias("keep_row"), F.col("value")[n].alias("n")), "seen-groups")
 
 
 def exact_duplicates(spark: SparkSession, path: str, state: str | None = None, digest: Callable[[Column], Column] = sha256,
@@ -105,7 +108,7 @@ def exact_duplicates(spark: SparkSession, path: str, state: str | None = None, d
     """
     state = state or scratch_path(spark, "seen-texts")
     remember(spark, path, state, digest, trigger_bytes)
-    groups = materialize(remembered(spark, state), "seen-groups")
+    groups = remembered(spark, state)
     several = groups.filter("n > 1")
     flagged = maybe_in(_located(spark.read.parquet(path), digest), several.select("digest"), "digest", "hit")
     rows = materialize(flagged.select("doc_id", "digest", "file", "row", F.sha2("text", 256).alias("text_sha256"),
