@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from panelloom.constants import FEW_COLUMNS, VALUES_PER_TASK
 from panelloom.operators.joins import join_small
+from panelloom.sources.shipping import ship
 from panelloom.sources.storage import materialize
 
 
@@ -254,6 +255,7 @@ def _ranks_by_group(df: DataFrame, group: list[str], values: list[str], suffix:
             table = table.append_column(v + suffix, pa.array(ranks, mask=~there))
         return table
 
+    ship(df.sparkSession)
     return df.groupBy(*group).applyInArrow(rank_all, schema)
 
 
@@ -301,6 +303,7 @@ def fill_and_rank(df: DataFrame, group: list[str], values: list[str], precision:
             columns.append(pa.array(spread.astype(number)))
         return pa.Table.from_arrays(columns, schema.names)
 
+    ship(df.sparkSession)
     return df.groupBy(*group).applyInArrow(both, schema)
 
 

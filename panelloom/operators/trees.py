@@ -1,21 +1,29 @@
-"""Tree ensembles on Spark ML: boosted trees with the pseudo-Huber loss, and random forests."""
+"""Tree ensembles from histograms: second-order boosting with the pseudo-Huber loss, and random forests.
+
+All windows and, in a forest, all trees grow together, level by level: one pass over the binned rows of `histograms` gives the
+sums of slope and curvature by node, feature and bin, and the driver picks the splits. A window is the last year it trains on;
+windows share their cut points, so that a year's bins are computed once.
+"""
 
 from __future__ import annotations
 
 import random
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.functions.cleaning import is_finite
+from panelloom.operators import histograms as hg
 from panelloom.sources.storage import delete, scratch_path
 
 #: Boosting stores the running score after so many trees.
 STORE_EVERY = 10
+#: A split has to gain more than this.
+LEAST_GAIN = 1e-6
+#: Gains that differ by less than this share are equal: the first feature and the lowest cut win.
+SAME = 1e-9
 
 
 @dataclass(frozen=True)
@@ -40,12 +48,10 @@ class ForestSettings:
     row_share: float = 0.7
     column_share: float = 0.7
     node_share: float = 0.2
-    min_child_weight: int = 500
+    min_child_weight: float = 500
     bins: int = 32
     shrinkage: float = 10.0
     seed: int = 42
-    # Draws of column_share of the columns; the trees of a draw grow together in the same passes over the data.
-    draws: int = 10
 
 
 # -- a fitted tree as columns --------------------------------------------------------------
@@ -54,24 +60,6 @@ class ForestSettings:
 Node = int | tuple[str, float, "Node", "Node"]
 
 
-def read_tree(model, columns: list[str]) -> tuple[Node, int]:
-    """The nodes of a fitted Spark ML tree over vectors of `columns`, and its number of leaves.
-
-    Leaves are numbered from left to right, as in the model's own leaf column.
-    """
-    leaves = 0
-
-    def read(node) -> Node:
-        nonlocal leaves
-        if node.numDescendants() == 0:
-            leaves += 1
-            return leaves - 1
-        split = node.split()
-        return (columns[split.featureIndex()], float(split.threshold()), read(node.leftChild()), read(node.rightChild()))
-
-    return read(model._java_obj.rootNode()), leaves
-
-
 def choose(node: Node, values: list[float]) -> Column:
     """The value of the leaf that a row falls into."""
     if isinstance(node, int):
@@ -82,29 +70,51 @@ def choose(node: Node, values: list[float]) -> Column:
 
 @dataclass
 class Tree:
+    """Nested nodes; leaves are numbered from left to right."""
+
     root: Node
     values: list[float]
 
     def score(self) -> Column:
         return choose(self.root, self.values)
 
+    def lines(self) -> list[tuple[int, str | None, float | None, float | None]]:
+        """(node, column, threshold, value) of every node; the children of node n are 2n and 2n + 1, the root is 1."""
+        found = []
 
-# -- boosting ------------------------------------------------------------------------------
+        def walk(node: Node, number: int) -> None:
+            if isinstance(node, int):
+                found.append((number, None, None, float(self.values[node])))
+            else:
+                found.append((number, node[0], float(node[1]), None))
+                walk(node[2], 2 * number)
+                walk(node[3], 2 * number + 1)
 
-def pseudo_huber_slope(error: Column) -> Column:
-    return error / F.sqrt(1 + error * error)
+        walk(self.root, 1)
+        return found
 
 
-def pseudo_huber_curvature(error: Column) -> Column:
-    return F.pow(1 + error * error, F.lit(-1.5))
+@dataclass
+class BoostedTrees:
+    base: float
+    trees: list[Tree]
 
 
 @dataclass
-class BoostedTrees:
+class Forest:
+    """The mean of its trees over the base value; leaves are shrunk towards the base."""
+
     base: float
     trees: list[Tree]
 
 
+def model_table(spark: SparkSession, models: dict[int, BoostedTrees | Forest]) -> DataFrame:
+    """Fitted models by a number (the test year) as rows: model, tree, node, feature, threshold, value. Node 0 has the base value."""
+    rows = [(int(n), -1, 0, None, None, float(m.base)) for n, m in models.items()]
+    rows += [(int(n), k, *line) for n, m in models.items() for k, tree in enumerate(m.trees) for line in tree.lines()]
+    return spark.createDataFrame(rows, "model bigint, tree bigint, node bigint, feature string, threshold double, value double")
+
+
 def with_score(df: DataFrame, base: float | Column, trees: list[Tree], name: str, block: int = 10) -> DataFrame:
     """Adds `name`: the base plus a leaf of every tree, in one projection for each block of trees.
 
@@ -119,62 +129,191 @@ def with_score(df: DataFrame, base: float | Column, trees: list[Tree], name: str
     return df
 
 
-def _chosen(key: list[str], share: float, seed: int) -> Column:
-    """A repeatable sample of rows, independent of how they are partitioned."""
-    return F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+# -- a tree that grows ---------------------------------------------------------------------
+
+@dataclass
+class Growing:
+    """Splits by node (the children of node n are 2n and 2n + 1): a feature's number, -1 for none, and the last bin that goes left."""
+
+    depth: int
+    feature: np.ndarray = field(init=False)
+    last: np.ndarray = field(init=False)
+    value: np.ndarray = field(init=False)
+    sums: dict[int, tuple[float, float]] = field(default_factory=dict)
+
+    def __post_init__(self):
+        size = 2 << self.depth
+        self.feature, self.last, self.value = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size)
+
+    def node_of(self, x: np.ndarray, levels: int) -> np.ndarray:
+        node, row = np.ones(len(x), np.int64), np.arange(len(x))
+        for _ in range(levels):
+            feature = self.feature[node]
+            right = x[row, feature] > self.last[node]
+            node = np.where(feature >= 0, 2 * node + right, node)
+        return node
+
+    def split(self, node: int, one: np.ndarray, two: np.ndarray, columns: list[int], cuts: list[np.ndarray], shrinkage: float, least: float) -> None:
+        """Splits `node` where that gains most; its sums by feature and bin say what the children hold."""
+        left, weight = one.cumsum(axis=1), two.cumsum(axis=1)
+        total, whole = left[:, -1:], weight[:, -1:]
+        self.sums.setdefault(node, (float(total[0, 0]), float(whole[0, 0])))
+        right, rest = total - left, whole - weight
+        usable = (weight >= least) & (rest >= least) & (np.arange(left.shape[1]) < np.array([len(cuts[c]) for c in columns])[:, None])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = left ** 2 / (weight + shrinkage) + right ** 2 / (rest + shrinkage) - total ** 2 / (whole + shrinkage)
+        gain = np.where(usable, gain, -np.inf)
+        most = gain.max(initial=-np.inf)
+        if not most > LEAST_GAIN:
+            return
+        row, cut = np.argwhere(gain >= most * (1 - SAME))[0]
+        self.feature[node], self.last[node] = columns[row], cut
+        self.sums[2 * node] = (float(left[row, cut]), float(weight[row, cut]))
+        self.sums[2 * node + 1] = (float(right[row, cut]), float(rest[row, cut]))
+
+    def open(self, level: int) -> list[int]:
+        """Nodes of a level that may be split: the root, and below it the children of split nodes."""
+        return [1] if level == 0 else [n for n in range(1 << level, 2 << level) if self.feature[n // 2] >= 0]
+
+    def tree(self, features: list[str], cuts: list[np.ndarray]) -> Tree:
+        values: list[float] = []
+
+        def read(node: int) -> Node:
+            c = self.feature[node]
+            if c < 0:
+                values.append(float(self.value[node]))
+                return len(values) - 1
+            return (features[c], float(cuts[c][self.last[node]]), read(2 * node), read(2 * node + 1))
+
+        return Tree(read(1), values)
+
+
+def _cuts(table: DataFrame, features: list[str], bins: int, given: dict[str, np.ndarray] | None, year: Column, first: int) -> list[np.ndarray]:
+    """Cut points common to all windows; those not given are sketched over the years that every window trains on."""
+    given = given or {}
+    others = [c for c in features if c not in given]
+    found = hg.sketched_cuts(table.filter(year <= first), others, bins) if others else {}
+    return [np.asarray(given[c] if c in given else found[c], float) for c in features]
+
+
+def _yearly(rows: DataFrame, ends: list[int], *sums: Column) -> list[tuple]:
+    """For each window the number of its rows and their sums, added up from those of the years."""
+    lines = rows.groupBy("year").agg(F.count(F.lit(1)).alias("n"), *[s.alias(f"s{i}") for i, s in enumerate(sums)]).collect()
+    found = []
+    for end in ends:
+        own = [r for r in lines if r["year"] <= end]
+        if not own:
+            raise ValueError(f"No usable training rows up to {end}")
+        found.append((sum(r["n"] for r in own), *(sum(r[f"s{i}"] for r in own) for i in range(len(sums)))))
+    return found
+
+
+def _drawn_columns(seed: int, tree: int, count: int, share: float) -> list[int]:
+    return sorted(random.Random(f"{seed} {tree}").sample(range(count), max(1, int(share * count))))
+
+
+def node_columns(seed: int, tree: int, node: int, columns: list[int], share: float) -> list[int]:
+    """The columns a node may split on, drawn from those of its tree."""
+    return sorted(random.Random(f"{seed} {tree} {node}").sample(columns, max(1, int(share * len(columns)))))
+
 
+# -- boosting ------------------------------------------------------------------------------
 
-def fit_boosted_trees(train: DataFrame, features: list[str], settings: BoostSettings = BoostSettings(),
-                      y: str = "y", key: list[str] = ("permno", "month_id")) -> BoostedTrees:
-    """Second-order boosting: each tree is fitted to -slope / curvature with curvature as weight.
+def fit_boosted_windows(table: DataFrame, features: list[str], ends: list[int], settings: BoostSettings = BoostSettings(), y: str = "y",
+                        key: list[str] = ("permno", "month_id"), year: str | None = "target_year", cuts: dict[str, np.ndarray] | None = None) -> list[BoostedTrees]:
+    """A model for each last training year in `ends`, all fitted in the same passes: one for each level of each tree.
 
-    Its leaves are then set to -slope sum / (curvature sum + shrinkage). Split search ignores the
-    shrinkage term and counts rows where the limit is on curvature (which is below one per row).
-    The feature vectors are stored once; the running score is stored anew every few trees, so that a tree scores
-    only the few before it, and the copy before is deleted.
+    Split gain and leaves are those of second-order boosting: slope sums squared over curvature sums plus shrinkage, children of at least
+    min_child_weight curvature. `cuts` gives bin ends by feature; others are sketched over the earliest window's rows.
+    The bins are stored with each window's running score, which is stored anew every few trees; the copy before is deleted.
     """
-    spark = train.sparkSession
-    chooser = random.Random(settings.seed)
-    rows = train.filter(is_finite(F.col(y))).select(
-        *key, F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in features])
-
-    def sloped(df: DataFrame, score: str) -> DataFrame:
-        error = F.col(score) - F.col("_y")
-        return df.withColumn("_g", pseudo_huber_slope(error)).withColumn("_h", pseudo_huber_curvature(error))
-
-    start = sloped(rows.withColumn("_s", F.lit(0.0)), "_s").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h")).first()
-    if start["h"] is None:
-        raise ValueError("No usable training rows")
-    model = BoostedTrees(-start["g"] / start["h"], [])
-    n_columns = max(1, int(settings.column_share * len(features)))
-    path = scratch_path(spark, "boosting")
-    rows.withColumn("_score", F.lit(model.base)).write.parquet(path)
-    stored, since = spark.read.parquet(path), 0
+    when = F.lit(0) if year is None else F.col(year)
+    table = table.filter(when <= max(ends))
+    ends_of = _cuts(table, features, settings.bins, cuts, when, min(ends))
+    spark, path = table.sparkSession, scratch_path(table.sparkSession, "boosting")
+    hg.binned(table, features, ends_of, y, key, when).write.parquet(path)
+    rows = spark.read.parquet(path)
+    root = F.sqrt(1 + F.col("y") * F.col("y"))
+    sums = _yearly(rows, ends, F.sum(F.col("y") / root), F.sum(F.pow(root, F.lit(-3))))
+    bases = [s / h for _, s, h in sums]
+    rows = rows.withColumn("score", F.array(*[F.lit(float(b)) for b in bases]))
+    models = [BoostedTrees(b, []) for b in bases]
+    since: list[list[Growing]] = [[] for _ in ends]
     for turn in range(settings.trees):
-        if turn - since >= STORE_EVERY:
+        if len(since[0]) >= STORE_EVERY:
             fresh = scratch_path(spark, "boosting")
-            with_score(stored, F.col("_score"), model.trees[since:], "_score").write.parquet(fresh)
+            _rescored(rows, since, len(features)).write.parquet(fresh)
             delete(spark, path)
-            path, stored, since = fresh, spark.read.parquet(fresh), turn
-        columns = [features[i] for i in sorted(chooser.sample(range(len(features)), n_columns))]
-        scored = with_score(stored.filter(_chosen(key, settings.row_share, settings.seed + turn)), F.col("_score"),
-                            model.trees[since:], "_now")
-        sample = sloped(scored, "_now")
-        assembled = VectorAssembler(inputCols=columns, outputCol="_x").transform(sample).select(
-            "_x", "_g", "_h", (-F.col("_g") / F.col("_h")).alias("_goal"))
-        learner = DecisionTreeRegressor(
-            featuresCol="_x", labelCol="_goal", weightCol="_h", leafCol="_leaf", maxDepth=settings.depth, maxBins=settings.bins,
-            minInstancesPerNode=max(1, int(settings.min_child_weight)), seed=settings.seed + turn)
-        fitted = learner.fit(assembled)
-        root, leaves = read_tree(fitted, columns)
-        sums = fitted.transform(assembled).groupBy(F.col("_leaf").cast("int").alias("leaf")).agg(
-            F.sum("_g").alias("g"), F.sum("_h").alias("h")).collect()
-        values = [0.0] * leaves
-        for r in sums:
-            values[r["leaf"]] = -settings.rate * r["g"] / (r["h"] + settings.shrinkage)
-        model.trees.append(Tree(root, values))
+            path, rows, since = fresh, spark.read.parquet(fresh), [[] for _ in ends]
+        columns = _drawn_columns(settings.seed, turn, len(features), settings.column_share)
+        growing = [Growing(settings.depth) for _ in ends]
+        for level in range(settings.depth):
+            if any(g.open(level) for g in growing):
+                _boost_level(rows, since, growing, level, ends, columns, ends_of, settings, turn)
+        for w, grown in enumerate(growing):
+            for node, (slope, curvature) in grown.sums.items():
+                grown.value[node] = -settings.rate * slope / (curvature + settings.shrinkage)
+            since[w].append(grown)
+            models[w].trees.append(grown.tree(features, ends_of))
     delete(spark, path)
-    return model
+    return models
+
+
+def _scores(batch: pa.RecordBatch, x: np.ndarray, since: list[list[Growing]], window: int, rows: np.ndarray) -> np.ndarray:
+    score = _stored(batch)[rows, window]
+    for grown in since[window]:
+        score = score + grown.value[grown.node_of(x, grown.depth)]
+    return score
+
+
+def _stored(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _rescored(rows: DataFrame, since: list[list[Growing]], width: int) -> DataFrame:
+    def each(batches):
+        for batch in batches:
+            x, all_rows = hg.matrix(batch.column(3), width), np.arange(batch.num_rows)
+            scores = np.stack([_scores(batch, x, since, w, all_rows) for w in range(len(since))], axis=1)
+            lists = pa.ListArray.from_arrays(np.arange(0, scores.size + 1, len(since), np.int32), scores.ravel())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists], batch.schema.names)
+
+    return rows.select("year", "draw", "y", "x", "score").mapInArrow(each, rows.schema)
+
+
+def _boost_level(rows, since, growing, level, ends, columns, cuts, settings, turn) -> None:
+    """One pass: slope and curvature sums for the open nodes of all windows, and their splits."""
+    width, size, nodes = len(cuts), len(columns) * settings.bins, 1 << level
+    chosen = np.array(columns)
+
+    def add(batch: pa.RecordBatch, sums: hg.Sums) -> None:
+        year, draw, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        x = hg.matrix(batch.column(3), width)
+        taken = hg.drawn(draw, settings.seed + turn, settings.row_share)
+        for w, end in enumerate(ends):
+            own = np.flatnonzero(taken & (year <= end))
+            if not len(own) or not growing[w].open(level):
+                continue
+            mine = x[own]
+            error = _scores(batch, mine, since, w, own) - y[own]
+            square = 1 + error * error
+            slope, curvature = error / np.sqrt(square), square ** -1.5
+            node = growing[w].node_of(mine, level)
+            for n in growing[w].open(level):
+                at = node == n
+                sums.add((w * nodes + n - nodes) * size, mine[at][:, chosen], slope[at], curvature[at])
+
+    one, two = hg.gather(rows.select("year", "draw", "y", "x", "score"), len(ends) * nodes * size, settings.bins, add)
+    one, two = (a.reshape(len(ends), nodes, len(columns), settings.bins) for a in (one, two))
+    for w, grown in enumerate(growing):
+        for n in grown.open(level):
+            grown.split(n, one[w, n - nodes], two[w, n - nodes], columns, cuts, settings.shrinkage, settings.min_child_weight)
+
+
+def fit_boosted_trees(train: DataFrame, features: list[str], settings: BoostSettings = BoostSettings(), y: str = "y",
+                      key: list[str] = ("permno", "month_id"), cuts: dict[str, np.ndarray] | None = None) -> BoostedTrees:
+    """One window: all rows of `train`."""
+    return fit_boosted_windows(train, features, [0], settings, y, key, None, cuts)[0]
 
 
 def predict_boosted(df: DataFrame, model: BoostedTrees, precision: str = "float") -> DataFrame:
@@ -184,49 +323,81 @@ def predict_boosted(df: DataFrame, model: BoostedTrees, precision: str = "float"
 
 # -- forest --------------------------------------------------------------------------------
 
-@dataclass
-class Forest:
-    """The mean of its trees over the base value; leaves are shrunk towards the base."""
-
-    base: float
-    trees: list[Tree]
-
-
-def fit_forest(train: DataFrame, features: list[str], settings: ForestSettings = ForestSettings(), y: str = "y") -> Forest:
-    """Trees in groups that share a draw of the columns; the trees of a group grow together, level by level.
+def fit_forest_windows(table: DataFrame, features: list[str], ends: list[int], settings: ForestSettings = ForestSettings(), y: str = "y",
+                       key: list[str] = ("permno", "month_id"), year: str | None = "target_year", cuts: dict[str, np.ndarray] | None = None) -> list[Forest]:
+    """A forest for each last training year in `ends`. Every tree draws its own rows and columns, every node its own of those.
 
-    A tree sees column_share of the columns and every node node_share of those. Leaves are set from the sums of all
-    usable training rows: base + sum of (y - base) / (rows + shrinkage). The vectors are stored once.
+    The sums are of targets and rows, so that the root's don't depend on the window: they are gathered by the stretch of years
+    between two windows' ends and added up. A pass takes as many trees as its sums fit CELLS. Leaves are the base (the
+    window's mean) plus the sampled rows' summed differences from it over their number plus shrinkage.
     """
-    spark = train.sparkSession
-    path = scratch_path(spark, "forest")
-    train.filter(is_finite(F.col(y))).select(F.col(y).cast("double").alias("_y"), *features).write.parquet(path)
+    when = F.lit(0) if year is None else F.col(year)
+    table = table.filter(when <= max(ends))
+    ends_of = _cuts(table, features, settings.bins, cuts, when, min(ends))
+    spark, path = table.sparkSession, scratch_path(table.sparkSession, "forest")
+    hg.binned(table, features, ends_of, y, key, when).write.parquet(path)
     rows = spark.read.parquet(path)
-    base = rows.agg(F.avg("_y")).first()[0]
-    if base is None:
-        raise ValueError("No usable training rows")
-    chooser, found = random.Random(settings.seed), []
-    n_columns = max(1, int(settings.column_share * len(features)))
-    draws = min(settings.draws, settings.trees)
-    for draw in range(draws):
-        columns = [features[i] for i in sorted(chooser.sample(range(len(features)), n_columns))]
-        trees = settings.trees * (draw + 1) // draws - settings.trees * draw // draws
-        assembled = VectorAssembler(inputCols=columns, outputCol="_x").transform(rows).select("_x", "_y")
-        learner = RandomForestRegressor(
-            featuresCol="_x", labelCol="_y", leafCol="_leaf", numTrees=trees, maxDepth=settings.depth,
-            maxBins=settings.bins, subsamplingRate=settings.row_share, bootstrap=False,
-            featureSubsetStrategy=str(round(settings.node_share, 6)),
-            minInstancesPerNode=settings.min_child_weight, seed=settings.seed + draw)
-        fitted = learner.fit(assembled)
-        leaf = fitted.transform(assembled).select("_y", F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
-        sums = leaf.groupBy("tree", "leaf").agg(F.sum(F.col("_y") - base).alias("s"), F.count(F.lit(1)).alias("n")).collect()
-        shapes = [read_tree(tree, columns) for tree in fitted.trees]
-        values = [[base] * leaves for _, leaves in shapes]
-        for r in sums:
-            values[r["tree"]][int(r["leaf"])] = base + r["s"] / (r["n"] + settings.shrinkage)
-        found += [Tree(root, own) for (root, _), own in zip(shapes, values)]
+    bases = [s / n for n, s in _yearly(rows, ends, F.sum("y"))]
+    columns = [_drawn_columns(settings.seed, k, len(features), settings.column_share) for k in range(settings.trees)]
+    seen = max(1, int(settings.node_share * len(columns[0]))) if settings.trees else 1
+    grown = [[Growing(settings.depth) for _ in ends] for _ in range(settings.trees)]
+    for level in range(settings.depth):
+        block = len(ends) * (1 << level) * seen * settings.bins
+        step = max(1, hg.CELLS // block)
+        for first in range(0, settings.trees, step):
+            _forest_level(rows, grown, range(first, min(first + step, settings.trees)), level, ends, columns, ends_of, settings, seen, bases)
     delete(spark, path)
-    return Forest(base, found)
+    forests = [Forest(b, []) for b in bases]
+    for trees in grown:
+        for w, tree in enumerate(trees):
+            for node, (slope, count) in tree.sums.items():
+                tree.value[node] = bases[w] - slope / (count + settings.shrinkage)
+            forests[w].trees.append(tree.tree(features, ends_of))
+    return forests
+
+
+def _forest_level(rows, grown, group, level, ends, columns, cuts, settings, seen, bases) -> None:
+    """One pass: target sums and counts for the open nodes of a group of trees in all windows, and their splits."""
+    width, size, nodes, first = len(cuts), seen * settings.bins, 1 << level, group[0]
+    drawn_for = {(k, n): node_columns(settings.seed, k, n, columns[k], settings.node_share) for k in group for n in range(nodes, 2 * nodes)}
+    order = sorted(ends)
+
+    def add(batch: pa.RecordBatch, sums: hg.Sums) -> None:
+        year, draw, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        x = hg.matrix(batch.column(3), width)
+        stretch = np.searchsorted(order, year)
+        for k in group:
+            taken = np.flatnonzero(hg.drawn(draw, settings.seed + k, settings.row_share))
+            if level == 0:
+                chosen = np.array(drawn_for[k, 1])
+                mine, of, target = x[taken][:, chosen], stretch[taken], y[taken]
+                for s in range(len(order)):
+                    at = of == s
+                    sums.add(((k - first) * len(ends) + s) * size, mine[at], target[at], None)
+                continue
+            for w, end in enumerate(ends):
+                own = taken[year[taken] <= end]
+                node = grown[k][w].node_of(x[own], level)
+                for n in grown[k][w].open(level):
+                    at = own[node == n]
+                    sums.add((((k - first) * len(ends) + w) * nodes + n - nodes) * size, x[at][:, drawn_for[k, n]], y[at], None)
+
+    one, two = hg.gather(rows.select("year", "draw", "y", "x"), len(group) * len(ends) * nodes * size, settings.bins, add)
+    one, two = (a.reshape(len(group), len(ends), nodes, seen, settings.bins) for a in (one, two))
+    if level == 0:  # stretches of years add up to windows
+        place = [order.index(end) for end in ends]
+        one, two = (a.cumsum(axis=1)[:, place] for a in (one, two))
+    for k in group:
+        for w, base in enumerate(bases):
+            for n in grown[k][w].open(level):
+                total, count = one[k - first, w, n - nodes], two[k - first, w, n - nodes]
+                grown[k][w].split(n, base * count - total, count, drawn_for[k, n], cuts, settings.shrinkage, settings.min_child_weight)
+
+
+def fit_forest(train: DataFrame, features: list[str], settings: ForestSettings = ForestSettings(), y: str = "y",
+               key: list[str] = ("permno", "month_id"), cuts: dict[str, np.ndarray] | None = None) -> Forest:
+    """One window: all rows of `train`."""
+    return fit_forest_windows(train, features, [0], settings, y, key, None, cuts)[0]
 
 
 def predict_forest(df: DataFrame, model: Forest, features: list[str] | None = None, precision: str = "float") -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +15,14 @@ from panelloom.constants import (CHARACTERISTICS, HUBER_QUANTILE, ID_COLUMNS, LI
                                  TREE_TEST_YEARS)
 from panelloom.operators.evaluate import (drift_table, forecast_quantiles, r2_summary, yearly_diagnostics,
                                          yearly_r2)
+from panelloom.operators.histograms import even_cuts
 from panelloom.operators.regression import fit_huber, predict_linear
-from panelloom.operators.trees import (BoostSettings, ForestSettings, fit_boosted_trees, fit_forest,
-                                       predict_boosted, predict_forest)
+from panelloom.operators.trees import (BoostedTrees, BoostSettings, Forest, ForestSettings, fit_boosted_windows,
+                                       fit_forest_windows, predict_boosted, predict_forest)
 from panelloom.plans.prepare import prepare_panel
 from panelloom.sources.storage import materialize, scratch
 from panelloom.sources.tables import write_finished, write_parquet, write_summary_csv
 
-#: Windows fitted at the same time.
-WINDOWS_AT_ONCE = 4
-
 
 def walk_forward_windows(test_years: Iterable[int], gap: int = TRAIN_GAP) -> list[tuple[int, int]]:
     """(test year, last training year): the years in between are left out."""
@@ -56,44 +54,74 @@ def linear_walk_forward(features_table: DataFrame, features: list[str], windows:
     return label_predictions(predict_linear(features_table, fits, features), model)
 
 
-def _by_window(features_table: DataFrame, windows, forecast) -> DataFrame:
-    """Windows are fitted side by side: their small jobs share the cluster instead of waiting for each other."""
-    def one(window):
-        test_year, train_end = window
-        train = split(features_table, train_max_year=train_end)
-        if train.isEmpty():
-            raise ValueError(f"No usable training rows up to {train_end} for test year {test_year}")
-        return forecast(train, split(features_table, test_year=test_year), train_end)
+def rank_cuts(features: list[str], bins: int) -> dict[str, np.ndarray]:
+    """Bin ends of the features that are ranks within a month: those lie evenly in [-1, 1]."""
+    return {c: even_cuts(-1.0, 1.0, bins) for c in features if c.endswith("_rank")}
+
+
+def boosted_models(features_table: DataFrame, features: list[str], windows: list[tuple[int, int]],
+                   settings: BoostSettings = BoostSettings()) -> dict[int, BoostedTrees]:
+    """Test year -> model; all windows are fitted in the same passes."""
+    fits = fit_boosted_windows(features_table, features, [end for _, end in windows], settings, cuts=rank_cuts(features, settings.bins))
+    return {t: fit for (t, _), fit in zip(windows, fits)}
+
+
+def forest_models(features_table: DataFrame, features: list[str], windows: list[tuple[int, int]],
+                  settings: ForestSettings = ForestSettings()) -> dict[int, Forest]:
+    fits = fit_forest_windows(features_table, features, [end for _, end in windows], settings, cuts=rank_cuts(features, settings.bins))
+    return {t: fit for (t, _), fit in zip(windows, fits)}
+
 
-    with ThreadPoolExecutor(min(WINDOWS_AT_ONCE, len(windows))) as pool:
-        return reduce(DataFrame.unionByName, pool.map(one, windows))
+def forecasts(features_table: DataFrame, models: dict[int, BoostedTrees | Forest], windows: list[tuple[int, int]],
+              predict: Callable[..., DataFrame], model: str, precision: str = "float") -> DataFrame:
+    """Each test year's rows with the forecasts of its own model."""
+    parts = [label_predictions(predict(split(features_table, test_year=t), models[t], precision=precision), model, end) for t, end in windows]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def boosted_walk_forward(features_table: DataFrame, features: list[str], windows: list[tuple[int, int]],
                          model: str = "GBRT_94_huber", settings: BoostSettings = BoostSettings()) -> DataFrame:
-    def forecast(train, test, train_end):
-        fitted = fit_boosted_trees(train, features, settings)
-        return label_predictions(predict_boosted(test, fitted), model, train_end)
-
-    return _by_window(features_table, windows, forecast)
+    return forecasts(features_table, boosted_models(features_table, features, windows, settings), windows, predict_boosted, model)
 
 
 def forest_walk_forward(features_table: DataFrame, features: list[str], windows: list[tuple[int, int]],
                         model: str = "RF_macro", settings: ForestSettings = ForestSettings()) -> DataFrame:
-    def forecast(train, test, train_end):
-        fitted = fit_forest(train, features, settings)
-        return label_predictions(predict_forest(test, fitted, features), model, train_end)
+    return forecasts(features_table, forest_models(features_table, features, windows, settings), windows, predict_forest, model)
+
+
+# -- stored runs ---------------------------------------------------------------------------
 
-    return _by_window(features_table, windows, forecast)
+def fingerprints(features_table: DataFrame, windows: list[tuple[int, int]], year: str = "target_year") -> dict[int, str]:
+    """Test year -> what its window reads, as a digest of the content: rows of its training years and of its test year.
+
+    Rows count with their values in every column, nulls included, and whatever their order; rows of later years than a window's don't
+    change it. Sums by year come to the driver.
+    """
+    columns = [F.col(f"`{c}`") for c in features_table.columns]
+    row = F.xxhash64(*columns, F.array(*[c.isNull() for c in columns])).cast("decimal(38,0)")
+    lines = features_table.groupBy(F.col(year).alias("year")).agg(F.count(F.lit(1)).alias("n"), F.sum(row).alias("sum")).collect()
+    years = sorted((r["year"], r["n"], int(r["sum"])) for r in lines if r["year"] is not None)
+    names = sorted(features_table.dtypes)
+    return {t: hashlib.sha256(repr((names, end, [y for y in years if y[0] <= end or y[0] == t])).encode()).hexdigest() for t, end in windows}
 
 
-def stored_years(spark: SparkSession, path: str, run: str, windows: list[tuple[int, int]]) -> list[int]:
-    """Test years of `windows` whose forecasts a finished write of the same run has left at `path`."""
-    years = []
-    for test_year, _ in windows:
-        if write_finished(spark, f"{path}/run={run}/{test_year}"):
-            years.append(test_year)
-    return years
+def _manifest(spark: SparkSession, path: str, run: str, test_year: int) -> str | None:
+    """The fingerprint in a finished manifest; None where there is none."""
+    folder = f"{path}/run={run}/{test_year}"
+    if not (write_finished(spark, folder) and write_finished(spark, f"{folder}/_manifest")):
+        return None
+    return spark.read.parquet(f"{folder}/_manifest/part-*").first()["fingerprint"]
+
+
+def stored_years(spark: SparkSession, path: str, run: str, windows: list[tuple[int, int]],
+                 prints: dict[int, str] | None = None) -> list[int]:
+    """Test years of `windows` whose forecasts a finished write of the same run has left at `path`.
+
+    With `prints` only those whose manifest has the same fingerprint: forecasts of another panel count as missing.
+    """
+    if prints is None:
+        return [t for t, _ in windows if write_finished(spark, f"{path}/run={run}/{t}")]
+    return [t for t, _ in windows if _manifest(spark, path, run, t) == prints[t]]
 
 
 def read_forecasts(spark: SparkSession, path: str, run: str, windows: list[tuple[int, int]]) -> DataFrame:
@@ -101,8 +129,22 @@ def read_forecasts(spark: SparkSession, path: str, run: str, windows: list[tuple
     return spark.read.parquet(*[f"{path}/run={run}/{t}" for t, _ in windows])
 
 
-def _store(forecasts: DataFrame, path: str, run: str, test_year: int) -> None:
-    write_parquet(forecasts.filter(F.col("target_year") == test_year), f"{path}/run={run}/{test_year}")
+def _store(forecasts: DataFrame, path: str, run: str, test_year: int, manifest: dict | None = None) -> None:
+    """A test year's forecasts, and after them its manifest: the write counts from there on.
+
+    The manifest is a table of one row inside the year's folder, hidden from readers of the forecasts; a new write of the year
+    removes it first.
+    """
+    folder = f"{path}/run={run}/{test_year}"
+    write_parquet(forecasts.filter(F.col("target_year") == test_year), folder)
+    if manifest is not None:
+        line = [(run, manifest["settings"], test_year, manifest["train_end"], manifest["fingerprint"])]
+        write_parquet(forecasts.sparkSession.createDataFrame(line, "run string, settings string, test_year int, train_end int, fingerprint string").coalesce(1),
+                      f"{folder}/_manifest")
+
+
+def _manifests(settings: tuple, windows: list[tuple[int, int]], prints: dict[int, str]) -> dict[int, dict]:
+    return {t: {"settings": repr(settings), "train_end": end, "fingerprint": prints[t]} for t, end in windows}
 
 
 def run_name(*settings) -> str:
@@ -132,30 +174,33 @@ def run_linear(panel: DataFrame, folder: str, mode: str = "next_month",
                columns: list[str] = LINEAR_CHARACTERISTICS, test_years: Iterable[int] = LINEAR_TEST_YEARS,
                gap: int = TRAIN_GAP, **prepare) -> DataFrame:
     name, windows = "OLS3_Huber", walk_forward_windows(test_years, gap)
-    path, run = f"{folder.rstrip('/')}/predictions_{name}_{mode}.parquet", run_name(name, mode, columns, gap, prepare)
+    settings = (name, mode, columns, gap, prepare)
+    path, run = f"{folder.rstrip('/')}/predictions_{name}_{mode}.parquet", run_name(*settings)
     with scratch(panel.sparkSession):
         table, features = prepare_panel(panel, columns, mode, **prepare)
+        manifests = _manifests(settings, windows, fingerprints(table, windows))
         preds = materialize(linear_walk_forward(table, features, windows), "forecasts")
         for test_year, _ in windows:
-            _store(preds, path, run, test_year)
+            _store(preds, path, run, test_year, manifests[test_year])
         return report(read_forecasts(panel.sparkSession, path, run, windows), folder, name, mode, windows, table, path=path)
 
 
 def _run_trees(walk_forward, panel, folder, name, mode, columns, test_years, gap, settings, **prepare):
-    """Each window's forecasts are stored when they are done; a rerun with the same settings fits only missing years."""
+    """A rerun fits only test years without finished forecasts of the same settings over the same rows, all of them together."""
     spark, windows = panel.sparkSession, walk_forward_windows(test_years, gap)
     path = f"{folder.rstrip('/')}/predictions_{name}_{mode}.parquet"
-    run = run_name(name, mode, columns, gap, settings, prepare)
+    named = (name, mode, columns, gap, settings, prepare)
+    run = run_name(*named)
     with scratch(spark):
         table, features = prepare_panel(panel, columns, mode, precision="float", **prepare)
-        done = stored_years(spark, path, run, windows)
+        prints = fingerprints(table, windows)
+        manifests = _manifests(named, windows, prints)
+        done = stored_years(spark, path, run, windows, prints)
         missing = [w for w in windows if w[0] not in done]
-
-        def fit(window):
-            _store(walk_forward(table, features, [window], name, settings), path, run, window[0])
-
-        with ThreadPoolExecutor(WINDOWS_AT_ONCE) as pool:
-            list(pool.map(fit, missing))
+        if missing:
+            preds = walk_forward(table, features, missing, name, settings)
+            for test_year, _ in missing:
+                _store(preds, path, run, test_year, manifests[test_year])
         return report(read_forecasts(spark, path, run, windows), folder, name, mode, windows, table, n_features=len(features), path=path)
 
 

@@ -3,8 +3,6 @@ import datetime
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
 from panelloom.operators import regression as rg
@@ -100,16 +98,6 @@ def test_linear_predictions(sample, table):
     assert set(preds.target_year) == {1995, 2000}
 
 
-def test_a_tree_read_back_predicts_the_same(table):
-    assembled = VectorAssembler(inputCols=X, outputCol="v").transform(table)
-    model = DecisionTreeRegressor(featuresCol="v", labelCol="y", maxDepth=3, predictionCol="p").fit(assembled)
-    root, leaves = trees.read_tree(model, X)
-    leaf_values = [float(ln.split()[-1]) for ln in model.toDebugString.splitlines() if "Predict" in ln]
-    assert leaves == len(leaf_values) == 8
-    gap = model.transform(assembled).agg(F.max(F.abs(F.col("p") - trees.choose(root, leaf_values)))).first()[0]
-    assert gap == 0
-
-
 def test_first_boosting_step_by_hand(sample, table):
     """No sampling, one tree: base and leaves follow from slope and curvature sums."""
     settings = trees.BoostSettings(trees=1, depth=1, row_share=1.0, column_share=1.0, min_child_weight=10)
@@ -166,7 +154,7 @@ def test_running_score_is_stored_without_changing_the_trees(table, monkeypatch):
 
 def test_forest_leaves_are_shrunk_means(sample, table):
     """One tree, every row: leaves from sums of all rows, drawn towards the mean."""
-    settings = trees.ForestSettings(trees=1, depth=1, draws=1, row_share=1.0, column_share=1.0, node_share=1.0, min_child_weight=10)
+    settings = trees.ForestSettings(trees=1, depth=1, row_share=1.0, column_share=1.0, node_share=1.0, min_child_weight=10)
     forest = trees.fit_forest(table, X, settings)
     y = sample.y.to_numpy()
     assert forest.base == pytest.approx(y.mean())
