@@ -119,16 +119,21 @@ class Sums:
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(self.one[cell]), pa.array(self.two[cell])], ["cell", "one", "two"])
 
 
-def gather(rows: DataFrame, cells: int, bins: int, add: Callable[[pa.RecordBatch, Sums], None]) -> tuple[np.ndarray, np.ndarray]:
-    """The sums of all rows, which `add` puts into a task's `Sums` batch by batch."""
+def gather(rows: DataFrame, cells: int, bins: int, add: Callable[[pa.RecordBatch, Sums], None], tasks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of all rows, which `add` puts into a task's `Sums` batch by batch.
+
+    The lines of `tasks` tasks are added up by the driver where they are no more than CELLS together, which saves a shuffle for
+    each level of each tree; beyond that by the executors, so that only `cells` lines come.
+    """
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums(cells, bins)
         for batch in batches:
             add(batch, sums)
         yield from sums.lines()
 
-    found = rows.mapInArrow(each, "cell long, one double, two double").groupBy("cell").agg(F.sum("one").alias("one"), F.sum("two").alias("two")).toArrow()
-    one, two = np.zeros(cells), np.zeros(cells)
+    lines = rows.mapInArrow(each, "cell long, one double, two double")
+    if tasks * cells > CELLS:
+        lines = lines.groupBy("cell").agg(F.sum("one").alias("one"), F.sum("two").alias("two"))
+    found = lines.toArrow()
     at = found.column("cell").to_numpy()
-    one[at], two[at] = found.column("one").to_numpy(), found.column("two").to_numpy()
-    return one, two
+    return tuple(np.bincount(at, found.column(c).to_numpy(), cells) for c in ("one", "two"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.operators import histograms as hg
+from panelloom.sources.shipping import ship
 from panelloom.sources.storage import delete, scratch_path
 
 #: Boosting stores the running score after so many trees.
@@ -115,18 +116,46 @@ def model_table(spark: SparkSession, models: dict[int, BoostedTrees | Forest]) -
     return spark.createDataFrame(rows, "model bigint, tree bigint, node bigint, feature string, threshold double, value double")
 
 
-def with_score(df: DataFrame, base: float | Column, trees: list[Tree], name: str, block: int = 10) -> DataFrame:
-    """Adds `name`: the base plus a leaf of every tree, in one projection for each block of trees.
-
-    A block's sum is small enough to be compiled with its stage; one sum over all trees is not.
-    """
-    df = df.withColumn(name, base if isinstance(base, Column) else F.lit(float(base)))
-    for k in range(0, len(trees), block):
-        total = F.col(name)
-        for tree in trees[k: k + block]:
-            total = total + tree.score()
-        df = df.withColumn(name, total)
-    return df
+def with_score(df: DataFrame, base: float | Column, trees: list[Tree], name: str, compiled: int = 10) -> DataFrame:
+    """Adds `name`: the base plus a leaf of every tree. Up to `compiled` trees are column expressions; a sum over more
+    is too large to be compiled with its stage and is taken in numpy, over Arrow batches of the columns that the trees split on."""
+    start = base if isinstance(base, Column) else F.lit(float(base))
+    columns = sorted({line[1] for tree in trees for line in tree.lines() if line[1] is not None})
+    if len(trees) > compiled and columns:
+        ship(df.sparkSession)
+        values = F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
+        return df.withColumn(name, start + F.arrow_udf(_adder(trees, columns), "double")(values))
+    for tree in trees:
+        start = start + tree.score()
+    return df.withColumn(name, start)
+
+
+def _adder(trees: list[Tree], columns: list[str]):
+    """The sum of the trees' leaves for lists of the values of `columns`."""
+    place = {c: i for i, c in enumerate(columns)}
+    lines = [tree.lines() for tree in trees]
+    size = 1 + max(number for own in lines for number, *_ in own)
+    feature, threshold, value = (np.zeros((len(trees), size), t) for t in (np.int64, float, float))
+    feature -= 1
+    for k, own in enumerate(lines):
+        for number, column, cut, leaf in own:
+            feature[k, number], threshold[k, number], value[k, number] = (-1, 0, leaf) if column is None else (place[column], cut, 0)
+    levels = size.bit_length() - 1
+
+    def add(values: pa.Array) -> pa.Array:
+        x = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), len(columns))
+        total, row = np.zeros(len(x)), np.arange(len(x))
+        for k in range(len(trees)):
+            node = np.ones(len(x), np.int64)
+            for _ in range(levels):
+                at = feature[k][node]
+                left = x[row, at] <= threshold[k][node]
+                node = np.where(at >= 0, 2 * node + ~left, node)
+            total += value[k][node]
+        return pa.array(total)
+
+    add.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    return add
 
 
 # -- a tree that grows ---------------------------------------------------------------------
@@ -238,6 +267,7 @@ def fit_boosted_windows(table: DataFrame, features: list[str], ends: list[int],
     bases = [s / h for _, s, h in sums]
     rows = rows.withColumn("score", F.array(*[F.lit(float(b)) for b in bases]))
     models = [BoostedTrees(b, []) for b in bases]
+    tasks = rows.rdd.getNumPartitions()
     since: list[list[Growing]] = [[] for _ in ends]
     for turn in range(settings.trees):
         if len(since[0]) >= STORE_EVERY:
@@ -245,11 +275,12 @@ def fit_boosted_windows(table: DataFrame, features: list[str], ends: list[int],
             _rescored(rows, since, len(features)).write.parquet(fresh)
             delete(spark, path)
             path, rows, since = fresh, spark.read.parquet(fresh), [[] for _ in ends]
+            tasks = rows.rdd.getNumPartitions()
         columns = _drawn_columns(settings.seed, turn, len(features), settings.column_share)
         growing = [Growing(settings.depth) for _ in ends]
         for level in range(settings.depth):
             if any(g.open(level) for g in growing):
-                _boost_level(rows, since, growing, level, ends, columns, ends_of, settings, turn)
+                _boost_level(rows, tasks, since, growing, level, ends, columns, ends_of, settings, turn)
         for w, grown in enumerate(growing):
             for node, (slope, curvature) in grown.sums.items():
                 grown.value[node] = -settings.rate * slope / (curvature + settings.shrinkage)
@@ -281,7 +312,7 @@ def _rescored(rows: DataFrame, since: list[list[Growing]], width: int) -> DataFr
     return rows.select("year", "draw", "y", "x", "score").mapInArrow(each, rows.schema)
 
 
-def _boost_level(rows, since, growing, level, ends, columns, cuts, settings, turn) -> None:
+def _boost_level(rows, tasks, since, growing, level, ends, columns, cuts, settings, turn) -> None:
     """One pass: slope and curvature sums for the open nodes of all windows, and their splits."""
     width, size, nodes = len(cuts), len(columns) * settings.bins, 1 << level
     chosen = np.array(columns)
@@ -303,7 +334,7 @@ def _boost_level(rows, since, growing, level, ends, columns, cuts, settings, tur
                 at = node == n
                 sums.add((w * nodes + n - nodes) * size, mine[at][:, chosen], slope[at], curvature[at])
 
-    one, two = hg.gather(rows.select("year", "draw", "y", "x", "score"), len(ends) * nodes * size, settings.bins, add)
+    one, two = hg.gather(rows.select("year", "draw", "y", "x", "score"), len(ends) * nodes * size, settings.bins, add, tasks)
     one, two = (a.reshape(len(ends), nodes, len(columns), settings.bins) for a in (one, two))
     for w, grown in enumerate(growing):
         for n in grown.open(level):
@@ -337,6 +368,7 @@ def fit_forest_windows(table: DataFrame, features: list[str], ends: list[int], s
     spark, path = table.sparkSession, scratch_path(table.sparkSession, "forest")
     hg.binned(table, features, ends_of, y, key, when).write.parquet(path)
     rows = spark.read.parquet(path)
+    tasks = rows.rdd.getNumPartitions()
     bases = [s / n for n, s in _yearly(rows, ends, F.sum("y"))]
     columns = [_drawn_columns(settings.seed, k, len(features), settings.column_share) for k in range(settings.trees)]
     seen = max(1, int(settings.node_share * len(columns[0]))) if settings.trees else 1
@@ -345,7 +377,7 @@ def fit_forest_windows(table: DataFrame, features: list[str], ends: list[int], s
         block = len(ends) * (1 << level) * seen * settings.bins
         step = max(1, hg.CELLS // block)
         for first in range(0, settings.trees, step):
-            _forest_level(rows, grown, range(first, min(first + step, settings.trees)), level, ends, columns, ends_of, settings, seen, bases)
+            _forest_level(rows, tasks, grown, range(first, min(first + step, settings.trees)), level, ends, columns, ends_of, settings, seen, bases)
     delete(spark, path)
     forests = [Forest(b, []) for b in bases]
     for trees in grown:
@@ -356,7 +388,7 @@ def fit_forest_windows(table: DataFrame, features: list[str], ends: list[int], s
     return forests
 
 
-def _forest_level(rows, grown, group, level, ends, columns, cuts, settings, seen, bases) -> None:
+def _forest_level(rows, tasks, grown, group, level, ends, columns, cuts, settings, seen, bases) -> None:
     """One pass: target sums and counts for the open nodes of a group of trees in all windows, and their splits."""
     width, size, nodes, first = len(cuts), seen * settings.bins, 1 << level, group[0]
     drawn_for = {(k, n): node_columns(settings.seed, k, n, columns[k], settings.node_share) for k in group for n in range(nodes, 2 * nodes)}
@@ -382,7 +414,7 @@ def _forest_level(rows, grown, group, level, ends, columns, cuts, settings, seen
                     at = own[node == n]
                     sums.add((((k - first) * len(ends) + w) * nodes + n - nodes) * size, x[at][:, drawn_for[k, n]], y[at], None)
 
-    one, two = hg.gather(rows.select("year", "draw", "y", "x"), len(group) * len(ends) * nodes * size, settings.bins, add)
+    one, two = hg.gather(rows.select("year", "draw", "y", "x"), len(group) * len(ends) * nodes * size, settings.bins, add, tasks)
     one, two = (a.reshape(len(group), len(ends), nodes, seen, settings.bins) for a in (one, two))
     if level == 0:  # stretches of years add up to windows
         place = [order.index(end) for end in ends]

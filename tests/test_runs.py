@@ -72,3 +72,22 @@ def test_same_month_run_keeps_modes_apart(spark, panel, tmp_path):
     summary = wf.run_linear(panel, str(tmp_path), mode="same_month", **YEARS)
     assert summary.first()["target_mode"] == "same_month"
     assert os.path.isdir(f"{tmp_path}/predictions_OLS3_Huber_same_month.parquet")
+
+
+def test_a_changed_panel_is_fitted_anew_in_the_same_folder(spark, panel, tmp_path, monkeypatch):
+    settings = BoostSettings(trees=3, rate=0.5, min_child_weight=20)
+    run = lambda p: wf.run_boosted(p, str(tmp_path), columns=tb.FEATURES, settings=settings, **YEARS).first()
+    fitted = []
+    plain = wf.boosted_walk_forward
+    monkeypatch.setattr(wf, "boosted_walk_forward", lambda t, f, w, *a: fitted.extend(w) or plain(t, f, w, *a))
+    first = run(panel)
+    assert run(panel) == first and fitted == [(2000, 1998), (2001, 1999)]
+    turned = panel.withColumn("ret_excess", panel["ret_excess"] * -3)
+    other = run(turned)
+    assert len(fitted) == 4 and other["r2_all_pct"] != first["r2_all_pct"]
+    path = f"{tmp_path}/predictions_GBRT_94_huber_next_month.parquet"
+    name, = [d for d in os.listdir(path) if d.startswith("run=")]
+    line = spark.read.parquet(f"{path}/{name}/2000/_manifest/part-*").first()
+    assert line["train_end"] == 1998 and "next_month" in line["settings"] and name == f"run={line['run']}"
+    os.remove(f"{path}/{name}/2001/_manifest/_SUCCESS")  # a run killed before its commit
+    assert run(turned) == other and fitted[4:] == [(2001, 1999)]
