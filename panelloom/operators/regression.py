@@ -4,8 +4,9 @@ A window is (test year, last training year). All windows are fitted together and
 ever summed:
 
 * least squares needs one pass: sums of products per target year, added up over the years;
-* the Huber fit repeatedly reweights the rows whose residual exceeds the threshold. Their weight
-  differs from one, all others keep it, so a pass sums up the few exceeding rows and corrects the
+* the Huber fit takes Newton steps. Inside the threshold the loss is quadratic, beyond it linear, so a
+  step solves the least-squares system of the rows inside with a constant pull from those beyond; once the
+  same rows are beyond, the next point is the minimum. A pass sums up the few rows beyond and corrects the
   least-squares sums with them. Rows whose |y| cannot exceed the threshold in any window are left
   out by a filter that reaches the parquet scan.
 
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 
 from panelloom.constants import HUBER_FLOOR, HUBER_QUANTILE, VALUES_PER_TASK
 from panelloom.functions.cleaning import is_finite
-from panelloom.functions.finance import huber_weight
 from panelloom.operators.orderstats import group_quantiles
 from panelloom.sources.storage import materialize
 
@@ -42,6 +42,9 @@ class LinearFit:
     xi: float = math.inf
     passes: int = 0
     gradient: float = field(default=0.0)
+    #: The point that the next pass looks at, and the loss at `beta`.
+    trial: np.ndarray | None = None
+    loss: float = math.inf
 
 
 def usable_rows(df: DataFrame, features: list[str], year: str = "target_year", y: str = "y") -> DataFrame:
@@ -63,13 +66,12 @@ def _design(p: int) -> list[Column]:
     return [F.lit(1.0)] + [F.col(f"x{i + 1}") for i in range(p)]
 
 
-def _product_sums(p: int, weight: Column | None = None) -> list[Column]:
-    """Aggregates a_i_j (i <= j) and b_i: weighted sums of x_i x_j and x_i y."""
+def _product_sums(p: int) -> list[Column]:
+    """Aggregates a_i_j (i <= j) and b_i: sums of x_i x_j and x_i y."""
     x = _design(p)
-    w = F.lit(1.0) if weight is None else weight
     pairs = itertools.combinations_with_replacement(range(p + 1), 2)
-    return ([F.sum(w * x[i] * x[j]).alias(f"a_{i}_{j}") for i, j in pairs]
-            + [F.sum(w * x[i] * F.col("y")).alias(f"b_{i}") for i in range(p + 1)])
+    return ([F.sum(x[i] * x[j]).alias(f"a_{i}_{j}") for i, j in pairs]
+            + [F.sum(x[i] * F.col("y")).alias(f"b_{i}") for i in range(p + 1)])
 
 
 def _as_matrices(row, p: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +84,7 @@ def _as_matrices(row, p: int) -> tuple[np.ndarray, np.ndarray]:
 def yearly_product_sums(rows: DataFrame, p: int) -> DataFrame:
     """One line per year: counts, sums of products and the largest magnitude of every feature."""
     return rows.groupBy("year").agg(
-        F.count(F.lit(1)).alias("n"), *_product_sums(p),
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy"), *_product_sums(p),
         *[F.max(F.abs(f"x{i + 1}")).alias(f"top_{i + 1}") for i in range(p)])
 
 
@@ -168,45 +170,66 @@ def rows_beyond(rows: DataFrame, reach: float) -> DataFrame:
     return rows if reach <= 0 else rows.filter((F.col("y") > low) | (F.col("y") < -low))
 
 
-def _exceeding_sums(rows: DataFrame, active: list[LinearFit], p: int, top: np.ndarray) -> dict[int, tuple]:
-    """Per test year: product sums over rows beyond the threshold, weighted by what they lose."""
-    reach = min(f.xi - float(np.abs(f.beta) @ top) for f in active)
+@dataclass
+class _Beyond:
+    """Sums over the rows of a window whose residual is beyond the threshold: products, signed x, loss less squared residual."""
+    a: np.ndarray | float = 0.0
+    b: np.ndarray | float = 0.0
+    pull: np.ndarray | float = 0.0
+    excess: float = 0.0
+
+
+def _beyond_sums(rows: DataFrame, active: list[LinearFit], p: int, top: np.ndarray) -> dict[int, _Beyond]:
+    """Per test year, at the fits' trial points."""
+    reach = min(f.xi - float(np.abs(f.trial) @ top) for f in active)
     near = rows_beyond(rows, reach)
-    extra = {f.test_year: {"xi": f.xi, **{f"beta_{i}": v for i, v in enumerate(f.beta)}} for f in active}
+    extra = {f.test_year: {"xi": f.xi, **{f"beta_{i}": v for i, v in enumerate(f.trial)}} for f in active}
     spread = window_rows(near, [(f.test_year, f.train_end) for f in active], extra)
     fitted = sum((F.col(f"beta_{i}") * x for i, x in enumerate(_design(p))), F.lit(0.0))
-    beyond = spread.withColumn("residual", F.col("y") - fitted).filter(F.abs("residual") > F.col("xi"))
-    lost = 1 - huber_weight(F.col("residual"), F.col("xi"))
-    got = beyond.groupBy("test_year").agg(*_product_sums(p, lost)).collect()
-    return {r["test_year"]: _as_matrices(r, p) for r in got}
+    size, sign = F.abs("residual"), F.signum("residual")
+    beyond = spread.withColumn("residual", F.col("y") - fitted).filter(size > F.col("xi"))
+    got = beyond.groupBy("test_year").agg(
+        *_product_sums(p), *[F.sum(sign * x).alias(f"pull_{i}") for i, x in enumerate(_design(p))],
+        F.sum(2 * F.col("xi") * size - F.col("xi") * F.col("xi") - size * size).alias("excess")).collect()
+    return {r["test_year"]: _Beyond(*_as_matrices(r, p), np.array([r[f"pull_{i}"] for i in range(p + 1)]), r["excess"]) for r in got}
 
 
 def fit_huber(df: DataFrame, features: list[str], windows: list[Window], quantile: float = HUBER_QUANTILE,
-              tolerance: float = 1e-11, max_passes: int = 1000, year: str = "target_year", y: str = "y",
+              tolerance: float = 1e-11, max_passes: int = 100, year: str = "target_year", y: str = "y",
               values_per_task: int = VALUES_PER_TASK) -> list[LinearFit]:
     """Minimise the mean Huber loss per window, the threshold fixed beforehand.
 
-    The loss is convex: reweighting from the least-squares start never increases it and stops at
-    its minimum. `tolerance` bounds the largest slope of the mean loss, relative to the threshold.
+    Newton steps from the least-squares start, all windows in the same passes: a handful, reported in `passes`. A step that
+    doesn't lower the loss is halved. `tolerance` bounds the largest slope of the mean loss, relative to the threshold.
     """
     p = len(features)
     rows = _training_rows(df, features, windows, year, y)
     yearly = yearly_product_sums(rows, p).collect()
     sums = _window_sums(yearly, windows, p)
+    squares = {t: sum(r["yy"] for r in yearly if r["year"] <= end) for t, end in windows}
     top = np.array([1.0] + [max(r[f"top_{i + 1}"] for r in yearly) for i in range(p)])
     xi = huber_thresholds(rows, windows, quantile, values_per_task)
     fits = [LinearFit(t, e, sums[t][0], _solve(sums[t][1], sums[t][2]), xi[t]) for t, e in windows]
+    for f in fits:
+        f.trial = f.beta
     active = list(fits)
     for done in range(1, max_passes + 1):
-        exceeding = _exceeding_sums(rows, active, p, top)
+        found = _beyond_sums(rows, active, p, top)
         still = []
         for f in active:
             n, a, b = sums[f.test_year]
-            lost_a, lost_b = exceeding.get(f.test_year, (0.0, 0.0))
-            a, b = a - lost_a, b - lost_b
-            f.passes, f.gradient = done, float(np.abs(2 * (b - a @ f.beta)).max() / n)
+            beyond = found.get(f.test_year, _Beyond())
+            loss = squares[f.test_year] - 2 * float(b @ f.trial) + float(f.trial @ a @ f.trial) + beyond.excess
+            f.passes = done
+            if loss > f.loss + 1e-12 * squares[f.test_year]:
+                f.trial = (f.beta + f.trial) / 2
+                still.append(f)
+                continue
+            f.beta, f.loss = f.trial, loss
+            inside, goal = a - beyond.a, b - beyond.b + f.xi * beyond.pull
+            f.gradient = float(np.abs(2 * (goal - inside @ f.beta)).max() / n)
             if f.gradient > tolerance * f.xi:
-                f.beta = _solve(a, b)
+                f.trial = _solve(inside, goal)
                 still.append(f)
         active = still
         if not active:

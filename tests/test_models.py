@@ -54,6 +54,7 @@ def test_huber_fit_reaches_the_minimum(sample, table, share, limit):
         e = y - a @ fit.beta
         slope = -2 * a.T @ np.clip(e, -xi, xi) / len(y)
         assert np.abs(slope).max() < 1e-9
+        assert fit.passes <= 12
 
 
 def test_passes_read_only_training_years_and_rows_beyond_the_threshold(table):
@@ -63,6 +64,18 @@ def test_passes_read_only_training_years_and_rows_beyond_the_threshold(table):
     assert "Or(GreaterThan(y,1.9" in plan and "LessThan(y,-1" in plan  # the plan's text is cut off there
 
 
+def test_newton_steps_that_overshoot_are_halved(spark):
+    """Two clusters far apart and a threshold far below: the least-squares start has most rows beyond."""
+    rng = np.random.default_rng(2)
+    x = np.r_[rng.normal(size=60), rng.normal(size=40) * 30]
+    y = np.where(np.arange(100) < 60, 3 * x, -40 * x) + rng.normal(size=100)
+    frame = spark.createDataFrame([(1990, float(b), float(a), float(a * a)) for a, b in zip(x, y)], "target_year int, y double, x_rank double, z_rank double")
+    fit, = rg.fit_huber(frame, X, [(1995, 1992)], 0.05)
+    a = np.column_stack([np.ones(100), x, x * x])
+    slope = -2 * a.T @ np.clip(y - a @ fit.beta, -fit.xi, fit.xi) / 100
+    assert np.abs(slope).max() < 1e-9 * fit.xi and fit.passes < 60
+
+
 def test_least_squares_windows(sample, table):
     for fit in rg.fit_least_squares(table, X, [(1995, 1992), (2000, 1998)]):
         part = sample[sample.target_year <= fit.train_end]

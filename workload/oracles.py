@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from workload.queries import (GAP, HUBER_SHARE, K, LINEAR, MACROS, TEST_YEARS, WIDE, WIDE_NAMES)
+import random
+
+from workload.queries import (FEW_BOOSTED, FEW_FOREST, GAP, HUBER_SHARE, K, LINEAR, MACROS, REPORTS, TEST_YEARS, WIDE, WIDE_NAMES)
 from workload.tables import CHARACTERISTICS, FEATURES, FIRST_TARGET, LAST_TARGET
 
 # raw text of the lenient-cast queries
@@ -115,14 +117,17 @@ def with_ctes(final, extra=None):
     return "WITH " + ",\n".join(parts) + "\n" + final
 
 
-def _huber_steps(share, steps=9):
-    """Reweighted least squares, unrolled: three features and an intercept, solved by cofactors of the covariances."""
+def _huber_steps(share, steps=7):
+    """Newton steps on the Huber loss, unrolled: three features and an intercept, solved by cofactors of the covariances.
+
+    A row inside the threshold weighs one and pulls with its target; one beyond weighs nothing and pulls with the signed threshold.
+    """
     pairs = [(i, j) for i in (1, 2, 3) for j in (1, 2, 3) if i <= j]
     cofactors = """c22 * c33 - c23 * c23 AS k11, c13 * c23 - c12 * c33 AS k12, c12 * c23 - c13 * c22 AS k13,
         c11 * c33 - c13 * c13 AS k22, c12 * c13 - c11 * c23 AS k23, c11 * c22 - c12 * c12 AS k33"""
 
-    def solve(source, weight):
-        sums = ", ".join([f"sum(w * x{i}) AS s{i}, sum(w * x{i} * y) AS s{i}y" for i in (1, 2, 3)]
+    def solve(source, weight, pull):
+        sums = ", ".join([f"sum(w * x{i}) AS s{i}, sum(v * x{i}) AS s{i}y" for i in (1, 2, 3)]
                          + [f"sum(w * x{i} * x{j}) AS s{i}{j}" for i, j in pairs])
         means = ", ".join(f"s{i} / w AS m{i}" for i in (1, 2, 3))
         spreads = ", ".join([f"s{i}{j} / w - m{i} * m{j} AS c{i}{j}" for i, j in pairs]
@@ -134,22 +139,109 @@ def _huber_steps(share, steps=9):
             SELECT test_year, n, train_end, xi, m1, m2, m3, my, {spreads} FROM (
             SELECT *, {means}, sy / w AS my FROM (
             SELECT test_year, count(*) AS n, any_value(train_end) AS train_end, any_value(xi) AS xi, sum(w) AS w,
-                sum(w * y) AS sy, {sums}
-            FROM (SELECT *, {weight} AS w FROM {source}) GROUP BY test_year))))))"""
+                sum(v) AS sy, {sums}
+            FROM (SELECT *, {weight} AS w, {pull} AS v FROM {source}) GROUP BY test_year))))))"""
 
     parts = {
         "windows": WINDOWS_SQL, "train0": TRAIN,
         "xi": f"SELECT test_year, quantile_cont(abs(y), {share}) AS xi FROM train0 GROUP BY test_year",
         "train": "SELECT train0.*, xi FROM train0 JOIN xi USING (test_year)",
-        "fit0": solve("train", "1e0"),
+        "fit0": solve("train", "1e0", "y"),
     }
     for i in range(1, steps + 1):
-        rows = (f"(SELECT train.*, abs(y - b0 - b1 * x1 - b2 * x2 - b3 * x3) AS e FROM train "
+        rows = (f"(SELECT train.*, y - b0 - b1 * x1 - b2 * x2 - b3 * x3 AS e FROM train "
                 f"JOIN (SELECT test_year, b0, b1, b2, b3 FROM fit{i - 1}) USING (test_year))")
-        parts[f"fit{i}"] = solve(rows, "CASE WHEN e <= xi THEN 1e0 ELSE xi / e END")
+        parts[f"fit{i}"] = solve(rows, "CASE WHEN abs(e) <= xi THEN 1e0 ELSE 0e0 END", "CASE WHEN abs(e) <= xi THEN y ELSE xi * sign(e) END")
     return parts, f"fit{steps}"
 
 
+# -- trees by plain search over long tables -------------------------------------------------
+
+PRIME = (1 << 31) - 1
+TREE_RANKS = [f"{c}_rank" for c in CHARACTERISTICS]
+SPLIT_WINDOWS = "SELECT CAST(test_year AS BIGINT) AS test_year, CAST(train_end AS BIGINT) AS train_end FROM (" + WINDOWS_SQL + ")"
+
+
+def _sampled(share, seed):
+    mixed = f"((draw + ({seed}) * 7919773) % {PRIME})"
+    return f"(({mixed} * {mixed} % {PRIME}) * 48271 + 12345) % {PRIME} < {int(share * PRIME)}"
+
+
+def _tree_rows():
+    """b: each row's bins, one line for each feature; r: rows of each window, its training years and its test year."""
+    names, values = ", ".join(str(i) for i in range(len(TREE_RANKS))), ", ".join(f"CAST({c} AS DOUBLE)" for c in TREE_RANKS)
+    return {
+        "windows": SPLIT_WINDOWS, "tree_filled": _filled(CHARACTERISTICS, "target", "FLOAT"), "tree_ranked": _ranked(CHARACTERISTICS, "tree_filled", "FLOAT"),
+        "b": f"""SELECT permno, month_id, f, CAST(greatest(0, least(31, ceil((x + 1e0) * 16e0) - 1)) AS BIGINT) AS bin
+            FROM (SELECT permno, month_id, unnest([{names}]) AS f, unnest([{values}]) AS x FROM tree_ranked)""",
+        "r": f"""SELECT test_year AS w, train_end, permno, month_id, target_year, y, target_year <= train_end AS train, (permno * 1000003 + month_id) % {PRIME} AS draw
+            FROM tree_ranked JOIN windows ON target_year <= train_end OR target_year = test_year"""}
+
+
+def _grow(name, first, depth, keys, columns, only, least, shrinkage):
+    """Levels of splits from the table `first` (keys, row, used, g, h, node): tables {name}n1 ... with the rows' nodes, {name}p0 ... with the splits."""
+    parts, rows = {}, first
+    by = f"{keys}, node"
+    for level in range(depth):
+        parts[f"{name}h{level}"] = f"""SELECT {by}, f, bin, sum(g) AS g, sum(h) AS h FROM {rows} JOIN b USING (permno, month_id) {columns}
+            WHERE {only} AND used AND node >= {1 << level} GROUP BY {by}, f, bin"""
+        parts[f"{name}c{level}"] = f"""SELECT {by}, f, bin, sum(g) OVER up AS gl, sum(h) OVER up AS hl, sum(g) OVER (PARTITION BY {by}, f) AS gt,
+            sum(h) OVER (PARTITION BY {by}, f) AS ht FROM {name}h{level} WINDOW up AS (PARTITION BY {by}, f ORDER BY bin)"""
+        parts[f"{name}p{level}"] = f"""SELECT {by}, f, bin FROM (SELECT *, max(gain) OVER (PARTITION BY {by}) AS top FROM (
+            SELECT *, gl * gl / (hl + {shrinkage}) + (gt - gl) * (gt - gl) / (ht - hl + {shrinkage}) - gt * gt / (ht + {shrinkage}) AS gain
+            FROM {name}c{level} WHERE bin < 31 AND hl >= {least} AND ht - hl >= {least}))
+            WHERE top > 1e-6 AND gain >= top * (1 - 1e-9) QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY f, bin) = 1"""
+        parts[f"{name}n{level + 1}"] = f"""SELECT q.* REPLACE (CASE WHEN p.f IS NULL THEN q.node ELSE 2 * q.node + CASE WHEN b.bin > p.bin THEN 1 ELSE 0 END END AS node)
+            FROM {rows} q LEFT JOIN {name}p{level} p USING ({by}) LEFT JOIN b ON b.permno = q.permno AND b.month_id = q.month_id AND b.f = p.f"""
+        rows = f"{name}n{level + 1}"
+    return parts, rows
+
+
+def _boosted(settings):
+    parts = _tree_rows()
+    parts["s0"] = """SELECT r.*, base AS s FROM r JOIN (SELECT w, sum(y / sqrt(1 + y * y)) / sum(pow(1 + y * y, -1.5e0)) AS base FROM r WHERE train GROUP BY w) USING (w)"""
+    nodes = []
+    for t in range(settings.trees):
+        drawn = sorted(random.Random(f"{settings.seed} {t}").sample(range(len(TREE_RANKS)), max(1, int(settings.column_share * len(TREE_RANKS)))))
+        parts[f"t{t}g"] = f"""SELECT w, permno, month_id, train AND {_sampled(settings.row_share, settings.seed + t)} AS used, e / sqrt(1 + e * e) AS g,
+            pow(1 + e * e, -1.5e0) AS h, 1 AS node FROM (SELECT *, s - y AS e FROM s{t})"""
+        grown, last = _grow(f"t{t}", f"t{t}g", settings.depth, "w", "", f"f IN ({', '.join(map(str, drawn))})", settings.min_child_weight, settings.shrinkage)
+        parts |= grown
+        parts[f"t{t}l"] = f"SELECT w, node, -{settings.rate} * sum(g) / (sum(h) + {settings.shrinkage}) AS v FROM {last} WHERE used GROUP BY w, node"
+        parts[f"s{t + 1}"] = f"SELECT s.* REPLACE (s.s + coalesce(v, 0) AS s) FROM s{t} s JOIN {last} n USING (w, permno, month_id) LEFT JOIN t{t}l l ON l.w = s.w AND l.node = n.node"
+        nodes += [f"SELECT w, {t} AS t, node, f, bin, NULL AS v FROM t{t}p{level}" for level in range(settings.depth)] + [f"SELECT w, {t}, node, NULL, NULL, v FROM t{t}l"]
+    return parts, nodes, f"SELECT w, train_end, permno, month_id, target_year, s AS prediction FROM s{settings.trees} WHERE NOT train"
+
+
+def _forest(settings):
+    parts, columns = _tree_rows(), []
+    for t in range(settings.trees):
+        own = sorted(random.Random(f"{settings.seed} {t}").sample(range(len(TREE_RANKS)), max(1, int(settings.column_share * len(TREE_RANKS)))))
+        for node in range(1, 1 << settings.depth):
+            columns += [f"({t}, {node}, {f})" for f in random.Random(f"{settings.seed} {t} {node}").sample(own, max(1, int(settings.node_share * len(own))))]
+    parts["k"] = f"SELECT * FROM (VALUES {', '.join(columns)}) k(t, node, f)"
+    parts["base"] = "SELECT w, avg(y) AS base FROM r WHERE train GROUP BY w"
+    parts["g0"] = f"""SELECT w, t, permno, month_id, train AND {_sampled(settings.row_share, f'{settings.seed} + t')} AS used, base - y AS g, 1e0 AS h, 1 AS node
+        FROM r JOIN base USING (w), (SELECT CAST(unnest(range({settings.trees})) AS BIGINT) AS t)"""
+    grown, last = _grow("", "g0", settings.depth, "w, t", "JOIN k USING (t, node, f)", "true", settings.min_child_weight, settings.shrinkage)
+    parts |= grown
+    parts["l"] = f"SELECT w, t, node, base - sum(g) / (sum(h) + {settings.shrinkage}) AS v FROM {last} JOIN base USING (w) WHERE used GROUP BY w, t, node, base"
+    nodes = [f"SELECT w, t, node, f, bin, NULL AS v FROM p{level}" for level in range(settings.depth)] + ["SELECT w, t, node, NULL, NULL, v FROM l"]
+    final = f"""SELECT w, train_end, permno, month_id, target_year, avg(v) AS prediction FROM r JOIN (SELECT w, permno, month_id, v FROM {last} JOIN l USING (w, t, node))
+        USING (w, permno, month_id) WHERE NOT train GROUP BY ALL"""
+    return parts, nodes, final
+
+
+def _tree_oracles(out, name, settings, grow):
+    parts, nodes, final = grow(settings)
+    held = [k for k in parts if k != "windows"]
+    names = "[" + ", ".join(f"'{c}'" for c in TREE_RANKS) + "]"
+    out[f"{name}_trees"] = _materialized(with_ctes(f"""SELECT w AS model, CAST(t AS BIGINT) AS tree, CAST(node AS BIGINT) AS node, {names}[f + 1] AS feature,
+        (bin + 1) / 16e0 - 1e0 AS threshold, round(coalesce(v, 0e0), 7) + 0e0 AS value FROM ({' UNION ALL '.join(nodes)})""", parts), held)
+    out[f"{name}_forecasts"] = _materialized(with_ctes(f"""SELECT permno, month_id, target_year, CAST(train_end AS INTEGER) AS train_end_year,
+        round(prediction, 7) + 0e0 AS prediction FROM ({final})""", parts), held)
+
+
 def _materialized(sql, names):
     for n in names:
         sql = sql.replace(f"{n} AS (", f"{n} AS MATERIALIZED (", 1)
@@ -331,5 +423,37 @@ def oracle_sql():
         FROM target JOIN windows ON target_year <= train_end GROUP BY ALL""", windows)
     out["forest_features"] = with_ctes(f"""SELECT {len(CHARACTERISTICS) * 9} + count(*) OVER () AS n_features, sic2 AS code,
         count(*) AS n_rows FROM target WHERE sic2 IS NOT NULL GROUP BY sic2""")
-    out["run_report"] = out["drift_table"]
+    _tree_oracles(out, "gbt", FEW_BOOSTED, _boosted)
+    _tree_oracles(out, "forest", FEW_FOREST, _forest)
+    out["run_report"] = _run_report()
     return out
+
+
+def _run_report():
+    """Every number of a linear run's five reports, from the Newton fit of the default threshold."""
+    steps, last = _huber_steps(0.999)
+    scored = {**steps, "linear": f"""SELECT ranked.*, b0 + {' + '.join(f'b{i} * {x}' for i, x in enumerate(XS, 1))} AS prediction,
+        f.train_end AS train_end_year FROM ranked JOIN {last} f ON target_year = f.test_year""",
+              "ends": """SELECT *, row_number() OVER (PARTITION BY target_month_id ORDER BY size_for_ranking DESC, permno) AS big,
+        row_number() OVER (PARTITION BY target_month_id ORDER BY size_for_ranking, permno) AS small FROM linear WHERE size_for_ranking IS NOT NULL""",
+              "yearly": """SELECT target_year AS year, count(*) AS n, avg(y) AS y_mean, avg(prediction) AS pred_mean, stddev_samp(y) AS y_std,
+        stddev_samp(prediction) AS pred_std, corr(y, prediction) AS corr_y_pred, sum((y - prediction) ** 2) AS sse, sum(y * y) AS sst_zero,
+        100e0 * (1e0 - sum((y - prediction) ** 2) / nullif(sum(y * y), 0)) AS r2_pct FROM linear GROUP BY 1""",
+              "drift": """SELECT test_year AS year, train_end, avg(y) FILTER (WHERE target_year <= train_end) AS train_y_mean,
+        stddev_pop(y) FILTER (WHERE target_year <= train_end) AS train_y_std, avg(y) FILTER (WHERE target_year = test_year) AS test_y_mean,
+        stddev_pop(y) FILTER (WHERE target_year = test_year) AS test_y_std, count(*) FILTER (WHERE target_year <= train_end) AS n_train,
+        count(*) FILTER (WHERE target_year = test_year) AS n_test FROM target CROSS JOIN windows GROUP BY 1, 2""",
+              "placed": "SELECT *, count(*) OVER () AS n, " + ", ".join(f"row_number() OVER (ORDER BY {c}) - 1 AS {c}_row" for c in ("y", "prediction")) + " FROM linear"}
+    spots = {f"{short}_p{p:02d}": f"(SELECT {c} FROM placed WHERE {c}_row = CAST(floor({p / 100} * (n - 1) + 0.5) AS BIGINT))"
+             for c, short in (("y", "y"), ("prediction", "pred")) for p in (1, 50, 99)}
+    summary = {"r2_all_pct": f"(SELECT {R2} FROM linear)", "r2_top1000_pct": f"(SELECT {R2} FROM ends WHERE big <= 1000)",
+               "r2_bottom1000_pct": f"(SELECT {R2} FROM ends WHERE small <= 1000)", "n_obs": "(SELECT count(*) FROM linear)"}
+
+    def melted(name, source, year, values):
+        names, numbers = ", ".join(f"'{c}'" for c in values), ", ".join(f"CAST({v} AS DOUBLE)" for v in values.values())
+        return f"SELECT '{name}' AS report, {year} AS year, unnest([{names}]) AS measure, unnest([{numbers}]) AS value FROM {source}"
+
+    parts = [melted("drift", "drift", "year", {c: c for c in REPORTS["drift"][1]}), melted("yearly", "yearly", "year", {c: c for c in REPORTS["yearly"][1]}),
+             melted("yearly_r2", "yearly", "year", {"r2_pct": "r2_pct"}), melted("quantiles", "(SELECT 1)", "0", spots), melted("r2_summary", "(SELECT 1)", "0", summary)]
+    return _materialized(with_ctes(f"SELECT report, CAST(year AS BIGINT) AS year, measure, round(value, 4) + 0e0 AS value FROM ({' UNION ALL '.join(parts)})", scored),
+                         ["ranked", *steps, "linear", "ends", "yearly", "placed"])

@@ -13,7 +13,7 @@ from panelloom.operators import features as ft
 from panelloom.operators import regression as rg
 from panelloom.operators.orderstats import average_ranks
 from panelloom.operators.timeseries import duplicate_keys
-from panelloom.operators.trees import BoostSettings, fit_boosted_trees
+from panelloom.operators.trees import BoostSettings, ForestSettings, fit_boosted_windows, model_table, predict_boosted, predict_forest
 from panelloom.plans import walkforward as wf
 from panelloom.plans.panel import clean_macro, clean_risk_free, clean_securities
 from panelloom.plans.prepare import prepare_panel, target_panel
@@ -469,10 +469,48 @@ def gbt_walkforward(spark, sf_dir):
 def gbt_base_value(spark, sf_dir):
     """Where boosting starts, per window."""
     table, features = _tree_table(spark, sf_dir)
-    bases = [(t, e, fit_boosted_trees(wf.split(table, train_max_year=e), features, BoostSettings(trees=0)).base) for t, e in WINDOWS]
+    fits = fit_boosted_windows(table, features, [e for _, e in WINDOWS], BoostSettings(trees=0), cuts=wf.rank_cuts(features, 32))
+    bases = [(t, e, fit.base) for (t, e), fit in zip(WINDOWS, fits)]
     return _round_all(spark.createDataFrame(bases, "test_year bigint, train_end bigint, base double"), ["base"])
 
 
+#: Few trees, whose every split and leaf SQL can find too; children need not be as heavy as in the published settings.
+FEW_BOOSTED = BoostSettings(trees=6, rate=0.3, min_child_weight=60)
+FEW_FOREST = ForestSettings(trees=8, node_share=0.5, min_child_weight=60)
+
+
+def _model_lines(spark, models):
+    lines = model_table(spark, models)
+    return _round_all(lines.filter("tree >= 0").withColumn("value", F.coalesce("value", F.lit(0.0))), ["value"], 7)
+
+
+def _row_forecasts(table, models, predict):
+    preds = wf.forecasts(table, models, WINDOWS, predict, "few", "double")
+    return preds.select("permno", "month_id", "target_year", "train_end_year", rounded("prediction", 7).alias("prediction"))
+
+
+def gbt_trees(spark, sf_dir):
+    """Every node of a few boosted trees in every window: splits of second order, rows and columns drawn."""
+    table, features = _tree_table(spark, sf_dir)
+    return _model_lines(spark, wf.boosted_models(table, features, WINDOWS, FEW_BOOSTED))
+
+
+def gbt_forecasts(spark, sf_dir):
+    table, features = _tree_table(spark, sf_dir)
+    return _row_forecasts(table, wf.boosted_models(table, features, WINDOWS, FEW_BOOSTED), predict_boosted)
+
+
+def forest_trees(spark, sf_dir):
+    """Every node of a small forest in every window, each tree and node with columns of its own."""
+    table, features = _tree_table(spark, sf_dir)
+    return _model_lines(spark, wf.forest_models(table, features, WINDOWS, FEW_FOREST))
+
+
+def forest_forecasts(spark, sf_dir):
+    table, features = _tree_table(spark, sf_dir)
+    return _row_forecasts(table, wf.forest_models(table, features, WINDOWS, FEW_FOREST), predict_forest)
+
+
 def forest_walkforward(spark, sf_dir):
     """All windows with the model's own settings; leaves are shrunk means, so forecasts stay within the targets."""
     table, features = _forest_table(spark, sf_dir)
@@ -496,14 +534,27 @@ def forest_features(spark, sf_dir):
     return sums.select(F.lit(len(features)).cast("bigint").alias("n_features"), F.inline("all"))
 
 
+REPORTS = {
+    "drift": ("test_year", ["train_end", "n_train", "n_test", "train_y_mean", "train_y_std", "test_y_mean", "test_y_std"]),
+    "yearly": ("year", ["n", "y_mean", "pred_mean", "y_std", "pred_std", "corr_y_pred", "sse", "sst_zero", "r2_pct"]),
+    "yearly_r2": ("target_year", ["r2_pct"]),
+    "quantiles": (None, [f"{c}_p{p}" for c in ("y", "pred") for p in ("01", "50", "99")]),
+    "r2_summary": (None, ["r2_all_pct", "r2_top1000_pct", "r2_bottom1000_pct", "n_obs"]),
+}
+
+
 def run_report(spark, sf_dir):
-    """A whole linear run stored and reported; the yearly table of its report, read back."""
+    """A whole linear run stored and reported: every number of its five reports, read back from their files."""
     folder = scratch_path(spark, "run")
     wf.run_linear(tb.panel(spark, sf_dir), folder, test_years=TEST_YEARS, gap=GAP, first=tb.FIRST_TARGET, last=tb.LAST_TARGET)
-    back = read_csv_clean(spark, f"{folder}/drift_OLS3_Huber_next_month.csv")
-    numbers = ["train_y_mean", "train_y_std", "test_y_mean", "test_y_std"]
-    return back.select(*[clean.strict_long(F.col(c)).alias(c) for c in ("test_year", "train_end", "n_train", "n_test")],
-                       *[rounded(clean.strict_double(F.col(c)), 8).alias(c) for c in numbers])
+    found = None
+    for name, (key, measures) in REPORTS.items():
+        table = read_csv_clean(spark, f"{folder}/{name}_OLS3_Huber_next_month.csv")
+        numbers = F.array(*[F.struct(F.lit(c).alias("measure"), rounded(clean.strict_double(F.col(c)), 4).alias("value")) for c in measures])
+        year = clean.strict_long(F.col(key)) if key else F.lit(0).cast("bigint")
+        part = table.select(F.lit(name).alias("report"), year.alias("year"), F.inline(numbers))
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 QUERIES = {f.__name__: f for f in [
@@ -514,5 +565,5 @@ QUERIES = {f.__name__: f for f in [
     rank_transform_split, ranks_with_nulls, ranks_with_nulls_split, wide_rank_transform, wide_rank_transform_split, macro_global_fill,
     macro_expanding_fill, macro_interactions, industry_dummies, finite_pairs, top_bottom_k, oos_r2_summary, yearly_r2, yearly_diagnostics, forecast_quantiles,
     forecast_quantiles_split, forecast_quantiles_disc, forecast_quantiles_linear, drift_table, huber_loss_terms, expanding_window_ols, huber_thresholds,
-    huber_coefficients, huber_walkforward, huber_r2, gbt_walkforward, gbt_base_value,
+    huber_coefficients, huber_walkforward, huber_r2, gbt_walkforward, gbt_base_value, gbt_trees, gbt_forecasts, forest_trees, forest_forecasts,
     forest_walkforward, forest_features, run_report]}
