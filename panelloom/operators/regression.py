@@ -200,7 +200,8 @@ def fit_huber(df: DataFrame, features: list[str], windows: list[Window], quantil
     """Minimise the mean Huber loss per window, the threshold fixed beforehand.
 
     Newton steps from the least-squares start, all windows in the same passes: a handful, reported in `passes`. A step that
-    doesn't lower the loss is halved. `tolerance` bounds the largest slope of the mean loss, relative to the threshold.
+    doesn't lower the loss is halved. `tolerance` bounds the largest slope of the mean loss, relative to the threshold and
+    to the largest magnitude of the slope's feature.
     """
     p = len(features)
     rows = _training_rows(df, features, windows, year, y)
@@ -227,7 +228,7 @@ def fit_huber(df: DataFrame, features: list[str], windows: list[Window], quantil
                 continue
             f.beta, f.loss = f.trial, loss
             inside, goal = a - beyond.a, b - beyond.b + f.xi * beyond.pull
-            f.gradient = float(np.abs(2 * (goal - inside @ f.beta)).max() / n)
+            f.gradient = float((np.abs(2 * (goal - inside @ f.beta)) / np.maximum(top, 1)).max() / n)
             if f.gradient > tolerance * f.xi:
                 f.trial = _solve(inside, goal)
                 still.append(f)
