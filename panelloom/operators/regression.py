@@ -134,7 +134,7 @@ def huber_thresholds(rows: DataFrame, windows: list[Window], quantile: float = H
     """
     size = F.abs("y")
     accuracy = min(1_000_000, math.ceil(20 / (1 - quantile))) if quantile < 1 else 1_000_000
-    low = quantile - 0.25 * (1 - quantile)
+    low = max(0.0, quantile - 0.25 * (1 - quantile))
     yearly = rows.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(size, low, accuracy).alias("low")).collect()
     bound = min((r["low"] for r in yearly), default=0.0)
     total = {t: sum(r["n"] for r in yearly if r["year"] <= end) for t, end in windows}
