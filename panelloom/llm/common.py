@@ -2,42 +2,38 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import zipfile
+import contextlib
+import ctypes
+import gc
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.sources.shipping import ship
 from panelloom.sources.storage import materialize
 
+__all__ = ["HEAVY_SHARE", "crc32_of_text", "fresh_name", "join_groups", "maybe_in", "number_rows", "release", "ship", "slices", "utf8"]
+
 #: A group is heavy if it holds more than one row in this many; so many groups at most are heavy.
 HEAVY_SHARE = 1024
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this library's source to the executors' Python workers, once for an application."""
-    application = spark.sparkContext.applicationId
-    if application in _SHIPPED:
-        return
-    _SHIPPED.add(application)
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    folder = tempfile.mkdtemp(prefix="panelloom-")  # the driver serves the archive from here as long as it runs
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    archive = os.path.join(folder, "panelloom.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for where, _, names in os.walk(os.path.join(top, "panelloom")):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    path = os.path.join(where, name)
-                    out.write(path, os.path.relpath(path, top))
-    spark.sparkContext.addPyFile(archive)
+
+def release() -> None:
+    """Gives back what a finished task has freed: a Python worker that is used again by the next stage starts small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def fresh_name(columns: list[str], name: str) -> str:
+    """`name`, with underscores until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def number_rows(df: DataFrame, keys: list[str], name: str, label: str) -> DataFrame:

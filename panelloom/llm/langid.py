@@ -17,15 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelloom.llm.common import ship, slices, utf8
+from panelloom.llm.common import release, ship, slices, utf8
 
 WINDOW = 64
 HIDDEN = 8
 #: The training sample: about so many documents of each language, so many windows of each document.
 SAMPLE_DOCUMENTS = 800
 SAMPLE_WINDOWS = 4
-#: The most frequent labels are learned, so many at most.
-LANGUAGES = 64
+#: Documents in the sample at most, over all languages: with more than 64 of them each has fewer than SAMPLE_DOCUMENTS.
+SAMPLE_TOTAL = 64 * SAMPLE_DOCUMENTS
+#: Every label is learned; more than so many are an error.
+LANGUAGES = 4096
 UNKNOWN = "und"
 _BATCH = 4096
 
@@ -196,9 +198,12 @@ def training_windows(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, windows
     """(lang, text of a window) from about `documents` documents of each learned language, chosen by a hash of doc_id."""
     own = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0)
                       & ~held_out(F.col("doc_id")))
-    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("count")).limit(LANGUAGES + 1).collect()
     if not counts:
         return []
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} different values")
+    documents = min(documents, max(1, SAMPLE_TOTAL // len(counts)))
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, documents / r["count"]))])
     draw = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     some = own.filter(draw < F.try_element_at(share, F.col("lang")))
@@ -222,7 +227,8 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
 
     The score is the mean probability of the predicted language over all byte positions, position_share the share of
     positions that carry its label. Null texts and texts without a letter are 'und' with score 0, and so is everything
-    without a model. Repeated rows stay and agree; ties go to the first language by name; an empty table gives no rows.
+    without a model. Repeated rows stay and agree; ties go to the first language by name; an empty table gives no rows. Names in
+    `keep` must not be those of the columns added: rows with any names travel as one struct.
     """
     ship(docs.sparkSession)
     keep = keep or ["doc_id"]
@@ -246,6 +252,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[1: 1 + len(keep)], pa.array(names, pa.string()), pa.array(score), pa.array(np.minimum(share, 1.0))],
                     [*keep, "lang_pred", "score", "position_share"])
+        release()
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(lettered.alias("_lettered"), *keep, *([] if "text" in keep else ["text"]))

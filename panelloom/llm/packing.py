@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelloom.llm.common import number_rows, ship, slices
+from panelloom.llm.common import number_rows, release, ship, slices
 from panelloom.llm.tokens import encoder
 
 CAPACITY = 1024
@@ -111,8 +111,9 @@ def cut_documents(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = Fa
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last in slices(batch.column(1), 8 << 20):
+            for first, last in slices(batch.column(1)):
                 yield _pieces(batch.slice(first, last - first), capacity, keep_ids)
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(cut, T.StructType(fields))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelloom.llm.common import ship, slices
+from panelloom.llm.common import release, ship, slices
 
 #: The kinds, in the order of results.
 KINDS = ["email", "ip", "card", "phone"]
@@ -384,12 +384,14 @@ def scan(docs: DataFrame, tagger: Tagger | None, keep: list[str] | None = None,
 
     Counts and digest are of the pattern spans, spans lists all. Places are code points, ends exclusive. Null and empty
     texts have none (a redacted null stays null); repeated rows agree; a null doc_id stays null; an empty table gives no
-    rows. Texts without a digit or at sign do not reach Python.
+    rows. Names in `keep` must not be those of the columns added: rows with any names travel as one struct. Texts without a
+    digit or at sign do not reach Python, or are passed on as they are with `redact`.
     """
     ship(docs.sparkSession)
     keep = keep or ["doc_id"]
     marked = F.coalesce(F.col("text").rlike(MARK), F.lit(False))
-    rows = docs.select(F.when(marked, F.col("text")).alias("_text"), *keep, *([F.col("text").alias("_whole")] if redact else []))
+    sent = F.col("text") if redact else F.when(marked, F.col("text"))
+    rows = docs.select(sent.alias("_text"), marked.alias("_marked"), *keep)
     names = [f"n_{k}" for k in KINDS] + ["base_sha256", "spans"] + (["text"] if redact else [])
     types = [T.LongType()] * 4 + [T.StringType()] * (3 if redact else 2)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, t) for n, t in zip(names, types)])
@@ -398,15 +400,16 @@ def scan(docs: DataFrame, tagger: Tagger | None, keep: list[str] | None = None,
         for batch in batches:
             for first, last in slices(batch.column(0)):
                 part = batch.slice(first, last - first)
-                texts = part.column(0).to_pylist()
-                some = [n for n, t in enumerate(texts) if t]
+                texts, wanted = part.column(0).to_pylist(), part.column(1).to_pylist()
+                some = [n for n, t in enumerate(texts) if t and wanted[n]]
                 found = dict(zip(some, all_spans(tagger, [texts[n] for n in some])))
                 own = [found.get(n, ([], [])) for n in range(len(texts))]
                 counts = [pa.array([sum(s[2] == k for s in base) for base, _ in own], pa.int64()) for k in range(4)]
                 shas = [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in own]
-                columns = [*part.columns[1: 1 + len(keep)], *counts, pa.array(shas), pa.array([joined(s) for _, s in own])]
+                columns = [*part.columns[2:], *counts, pa.array(shas), pa.array([joined(s) for _, s in own])]
                 if redact:
-                    columns.append(pa.array([w if not s else redacted(w, s) for w, (_, s) in zip(part.column(part.num_columns - 1).to_pylist(), own)], pa.string()))
+                    columns.append(pa.array([w if not s else redacted(w, s) for w, (_, s) in zip(texts, own)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
+        release()
 
     return rows.mapInArrow(find, schema)

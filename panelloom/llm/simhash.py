@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelloom.llm.common import join_groups, ship, slices, utf8
+from panelloom.llm.common import fresh_name, join_groups, release, ship, slices, utf8
 from panelloom.llm.components import components
 from panelloom.sources.storage import materialize
 
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 text = raw.tobytes()
                 fps = np.array([fingerprint(text[a:b], shingle) for a, b in itertools.pairwise(at.tolist())], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        release()
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
     return docs.select("doc_id", "text").mapInArrow(each, schema)
@@ -195,3 +196,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     best = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     placed = materialize(joined.join(best, "component").select("fp", "n", "component_id"), "fingerprint-components")
     return join_groups(prints, placed, "fp", "n", prints.count())
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The rows of `docs` with all their columns, one of each component of `near_duplicates`.
+
+    That with the least doc_id stays, null ids after all others; of rows repeated with one doc_id exactly one. Null and empty texts
+    are near duplicates of each other. Columns may have any names; an empty table gives no rows.
+    """
+    row = fresh_name(docs.columns, "_row")
+    stored = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(row).alias("row"))
+    found = near_duplicates(stored.select(name.alias("doc_id"), "text"), shingle, distance)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id.row").alias(row))
+    return stored.join(kept, row, "left_semi").drop(row)

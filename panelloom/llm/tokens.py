@@ -22,7 +22,7 @@ _LANES = 4
 _MASKS = np.array([[(1 << (8 * min(8, max(0, n - 8 * k)))) - 1 for k in range(_LANES)] for n in range(8 * _LANES + 1)],
                   np.uint64)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-_CACHED = 200_000
+_CACHED = 1 << 16
 
 
 class Encoder:
