@@ -1,15 +1,17 @@
-"""Benchmark passages in documents within an edit distance: counts of shared grams, exact verification.
-
-An edit destroys at most GRAM of the grams (substrings of GRAM bytes) that an item and its copy share, and the grams left
-lie on diagonals (place in the text less place in the item) that differ by no more than the edits. All grams of a text are
-looked up among those of the items and counted by item and strip of diagonals; a place is a candidate where a strip has as
-many as the item asks for. Items of LONG bytes or more ask for a share of grams that is found on randomly edited copies with all the
-edits that are allowed, so that the target recall is reached; shorter ones ask for the number that no such copy falls below.
-Candidates are verified exactly: the best alignment of the item inside the window, grown by the allowed distance, by
-bit-parallel dynamic programming.
-
-Every byte begins a gram, so text without spaces and passages behind punctuation are searched like any other.
-Benchmark items are a stated query set: blocks of BLOCK items go to the tasks, which read every document whole.
+"""Benchmark passages in documents within an edit distance: CGK embedding, bit-sampling LSH, exact verification.
+
+The CGK embedding (Chakraborty, Goldenberg, Koucky 2016) walks over a string: at each step it emits the symbol under the
+pointer and moves on if a random bit of (step, symbol) says so. Two strings few edits apart fall into step again and again,
+so their emitted strings differ in few places: edit distance has become Hamming distance, and sampling a few places of
+the emitted string is a locality-sensitive hash. An item-sized window is embedded in stretches that begin at each of its bytes;
+a window is a candidate if one stretch agrees with the item's in all sampled places of one repetition. How many repetitions a
+length class takes is found on its items with all the edits that are allowed, so that the target recall is reached. Candidates are
+verified exactly: the best alignment of the item inside the window, grown by the allowed distance, by bit-parallel dynamic programming.
+
+A walk is taken from every byte of a text whose next few bytes are those of a stretch: text without spaces and passages behind
+punctuation are searched like any other. Items under LONG bytes are too short for walks; they are found by counts of shared grams that no
+copy within the allowed edits falls below. Benchmark items are a stated query set: blocks of BLOCK items go to the tasks, which read
+every document whole.
 """
 
 from __future__ import annotations
@@ -23,20 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelloom.llm.common import ship, slices, utf8
+from panelloom.llm.common import release, ship, slices, utf8
 
 #: Edits allowed, as a share of the item's bytes; and the recall sought among items with so many random edits.
-RATE = 0.2
+RATE = 0.15
 RECALL = 0.95
-#: Calibration asks for fewer shared grams than this for each span.
-MOST_REPETITIONS = 256
+#: Calibration raises an error where more repetitions would be needed.
+MOST_REPETITIONS = 64
 #: Items sent to the tasks at once.
 BLOCK = 4096
-#: Length classes, calibrated each for itself; items under the last are a class for each length.
-SPANS = (256, 160, 112, 88, 64, 24)
-#: Items of so many bytes are searched by calibrated counts of long grams.
-LONG = 64
-GRAM = 6
+#: Length classes, calibrated each for itself: the bytes a stretch begins with, its steps, and how many of them are sampled.
+STRETCHES = {256: (8, 72, 11), 160: (8, 64, 11), 112: (8, 56, 10), 88: (8, 48, 9), 64: (7, 44, 9), 24: (5, 24, 5)}
+SPANS = tuple(STRETCHES)
+#: Items of so many bytes are searched by walks; shorter ones are a class for each length.
+LONG = 24
+#: Hash tables of first bytes.
+_TABLE = 20
 #: Places looked up together, and diagonals by items counted together, at most.
 _CHUNK = 1 << 18
 _CELLS = 1 << 20
@@ -77,9 +81,120 @@ def plain(text: str | None) -> bytes:
     return b" ".join((text or "").encode().lower().split())
 
 
+# -- long items: walks ---------------------------------------------------------------------
+
+@dataclass
+class Walk:
+    """One repetition: a random bit for each step and symbol, and the sampled steps, all beyond the first bytes."""
+
+    bits: np.ndarray
+    steps: list[int]
+
+
+def walks(span: int, repetitions: int, seed: int = 42) -> list[Walk]:
+    first, steps, samples = STRETCHES[span]
+    rng, cuts = np.random.default_rng(seed), np.linspace(2 * first, steps, samples + 1).astype(int)
+    return [Walk(rng.integers(0, 2, (steps, 256)).astype(np.int32), [int(rng.integers(a, b)) for a, b in zip(cuts, cuts[1:])])
+            for _ in range(repetitions)]
+
+
+@dataclass
+class Stretches:
+    """Items of one block and one length class: stretches (item, offset), each repetition's sorted keys of them, and filters."""
+
+    span: int
+    ids: list
+    texts: list[bytes]
+    item: np.ndarray
+    offset: np.ndarray
+    walks: list[Walk]
+    keys: list[tuple[np.ndarray, np.ndarray]]
+    filters: list[list[np.ndarray]]
+    bits: int
+    first: np.ndarray
+
+
+def _slot(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key * _MIX) >> np.uint64(64 - bits)
+
+
+def embed(text: np.ndarray, starts: np.ndarray, walk: Walk, filters: list[np.ndarray] | None, bits: int) -> tuple[np.ndarray, np.ndarray] | list[np.ndarray]:
+    """Keys of the sampled symbols of the walks from `starts`: with `filters` only of walks whose prefixes are in them,
+    and which; without, the keys of all prefixes."""
+    which, prefixes = np.arange(len(starts), dtype=np.int32), []
+    at, key, sampled = starts.astype(np.int32), np.zeros(len(starts), np.uint64), 0
+    for step in range(walk.steps[-1] + 1):
+        symbol = text.take(at, mode="clip")
+        if step == walk.steps[sampled]:
+            key = key * _MIX + (symbol.astype(np.uint64) + np.uint64(1))
+            if filters is None:
+                prefixes.append(key)
+            else:
+                own = filters[sampled][_slot(key, bits)]
+                which, at, key, symbol = which[own], at[own], key[own], symbol[own]
+            sampled += 1
+        at += walk.bits[step].take(symbol)
+    return prefixes if filters is None else (which, key)
+
+
+def prepare_walks(ids: list, texts: list[bytes], span: int, used: list[Walk]) -> Stretches:
+    """A stretch begins at each byte of an item that leaves room for the bytes it covers on average."""
+    first, steps, _ = STRETCHES[span]
+    begin = np.append(0, np.cumsum([len(t) + steps for t in texts]))
+    text = np.frombuffer(b"".join(t + bytes(steps) for t in texts) + bytes(8), np.uint8)
+    count = [max(1, len(t) - steps // 2 + 1) for t in texts]
+    item = np.repeat(np.arange(len(texts)), count)
+    offset = np.concatenate([np.arange(n) for n in count])
+    starts = begin[item] + offset
+    heads = np.zeros(1 << _TABLE, bool)
+    heads[_slot(grams(text, first)[starts], _TABLE)] = True
+    bits = min(18, max(10, len(starts).bit_length() + 3))
+    keys, filters = [], []
+    for walk in used:
+        prefixes = embed(text, starts, walk, None, bits)
+        order = np.argsort(prefixes[-1])
+        keys.append((prefixes[-1][order], order))
+        levels = []
+        for prefix in prefixes:
+            level = np.zeros(1 << bits, bool)
+            level[_slot(prefix, bits)] = True
+            levels.append(level)
+        filters.append(levels)
+    return Stretches(span, ids, texts, item, offset, used, keys, filters, bits, heads)
+
+
+def walked(text: np.ndarray, queries: list[Stretches], begin: np.ndarray) -> Iterator[tuple[Stretches, tuple[int, int, int, int]]]:
+    """The query and (item, text, diagonal, diagonal) wherever one stretch agrees in all sampled symbols of one repetition.
+
+    A text is the one that the stretch itself is in, wherever the item's window would begin.
+    """
+    for size in sorted({STRETCHES[q.span][0] for q in queries}):
+        own = [q for q in queries if STRETCHES[q.span][0] == size]
+        heads = np.logical_or.reduce([q.first for q in own])
+        lanes = np.ndarray(max(0, len(text) - 7), "<u8", text, strides=(1,))
+        for low in range(0, len(lanes), _CHUNK):
+            slot = _slot(lanes[low: low + _CHUNK] & _LANE[size], _TABLE)
+            hit = np.flatnonzero(heads[slot])
+            for q in own:
+                starts = low + hit[q.first[slot[hit]]]
+                for walk, (keys, order), filters in zip(q.walks, q.keys, q.filters):
+                    which, key = embed(text, starts, walk, filters, q.bits)
+                    if not len(key):
+                        continue
+                    lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
+                    n = hi - lo
+                    stretch = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                    place = np.repeat(starts[which], n)
+                    doc = np.searchsorted(begin, place, side="right") - 1
+                    for i, d, line in zip(q.item[stretch].tolist(), doc.tolist(), (place - q.offset[stretch]).tolist()):
+                        yield q, (i, d, line, line)
+
+
+# -- short items: grams --------------------------------------------------------------------
+
 @dataclass
 class Queries:
-    """Items of one block and one span: their grams, where each occurs, how many a place must share; strips as shifts."""
+    """Short items of one block and one length: their grams, where each occurs, how many a place must share; strips as shifts."""
 
     size: int
     ids: list
@@ -94,12 +209,9 @@ class Queries:
     tables: list[tuple[np.uint64, np.uint64, np.ndarray]]
 
 
-def gram_size(span: int, rate: float) -> int:
-    """Long items: GRAM. Short ones: so short that every copy within the allowed edits shares a gram."""
-    if span >= LONG:
-        return GRAM
-    length = LONG - 1 if span == SPANS[-1] else span
-    return max(1, min(4 if span >= SPANS[-1] else 3 if span >= 10 else 2 if span >= 5 else span, length // (int(rate * length) + 1)))
+def gram_size(length: int, rate: float) -> int:
+    """So short that every copy within the allowed edits shares a gram."""
+    return max(1, min(3 if length >= 10 else 2 if length >= 5 else length, length // (int(rate * length) + 1)))
 
 
 def _tables(keys: np.ndarray) -> list[tuple[np.uint64, np.uint64, np.ndarray]]:
@@ -135,12 +247,13 @@ def _lookup(q: Queries, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(at), np.concatenate(which)) if at else (np.zeros(0, np.int64),) * 2
 
 
-def prepare(ids: list, texts: list[bytes], span: int, repetitions: int, rate: float = RATE) -> Queries:
-    """`repetitions`: grams asked for in each `span` bytes of a long item; short ones ask for what no copy falls below."""
+def prepare(ids: list, texts: list[bytes], span: int, repetitions: int, rate: float = RATE) -> Stretches | Queries:
+    """Walks of so many repetitions for a length class; for items shorter than all of them, grams."""
+    if span >= LONG:
+        return prepare_walks(ids, texts, span, walks(span, repetitions))
     size = gram_size(span, rate)
     length = np.array([len(t) for t in texts], np.int64)
     slack = (rate * length).astype(np.int64)
-    needed = repetitions * length // span if span >= LONG else length - size + 1 - slack * size
     begin = np.append(0, np.cumsum(length + size))
     keys = grams(np.frombuffer(b"".join(t + bytes(size) for t in texts) + bytes(8), np.uint8), size)
     at = np.concatenate([np.arange(max(0, n - size + 1)) + b for n, b in zip(length.tolist(), begin.tolist())])
@@ -148,7 +261,7 @@ def prepare(ids: list, texts: list[bytes], span: int, repetitions: int, rate: fl
     item = np.searchsorted(begin, at, side="right") - 1
     different, first = np.unique(keys[at], return_index=True)
     shift = np.ceil(np.log2(slack + 1)).astype(np.int64)
-    return Queries(size, ids, texts, length, np.maximum(needed, 1), shift, different, np.append(first, len(at)), item, at - begin[item], _tables(different))
+    return Queries(size, ids, texts, length, np.maximum(length - size + 1 - slack * size, 1), shift, different, np.append(first, len(at)), item, at - begin[item], _tables(different))
 
 
 def candidates(text: np.ndarray, q: Queries, begin: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -226,11 +339,11 @@ def best_alignment(item: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
-def _merged(found: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
-    """Candidates of one item and text whose diagonals overlap are one."""
+def _merged(found: list[tuple[int, int, int, int]], near: int = 16) -> Iterator[tuple[int, int, int, int]]:
+    """Candidates of one item and text whose diagonals overlap or lie near each other are one."""
     now = None
     for i, doc, low, high in found:
-        if now and now[:2] == (i, doc) and low <= now[3]:
+        if now and now[:2] == (i, doc) and low <= now[3] + near:
             now = (i, doc, now[2], max(high, now[3]))
         else:
             if now:
@@ -240,12 +353,15 @@ def _merged(found: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int,
         yield now
 
 
-def find(raw: np.ndarray, at: np.ndarray, queries: list[Queries], rate: float) -> list[tuple[int, object, int, int, int]]:
+def find(raw: np.ndarray, at: np.ndarray, queries: list[Stretches | Queries], rate: float) -> list[tuple[int, object, int, int, int]]:
     """(text, item id, distance, first and last byte in the text) of each item's best window in each text."""
     text, begin, end, origin = normalise(raw, at, 8)
     data, out = text.tobytes(), {}
+    proposed = {id(q): set(candidates(text, q, begin)) if isinstance(q, Queries) else set() for q in queries}
+    for q, place in walked(text, [q for q in queries if isinstance(q, Stretches)], begin):
+        proposed[id(q)].add(place)
     for q in queries:
-        for i, doc, low, high in _merged(sorted(set(candidates(text, q, begin)))):
+        for i, doc, low, high in _merged(sorted(proposed[id(q)])):
             item, best = q.texts[i], out.get((doc, q.ids[i]))
             slack = int(rate * len(item))
             if best and best[0] == 0:
@@ -278,27 +394,24 @@ def edited(text: bytes, rate: float, rng: np.random.Generator) -> bytes:
 
 
 def calibrate(texts: list[bytes], span: int, rate: float, recall: float, most: int = MOST_REPETITIONS, trials: int = 400) -> int:
-    """The most shared grams for each `span` bytes (under `most`) that `recall` of items with all allowed edits, at random places, have.
+    """Repetitions (at most `most`) after which `recall` of items with all allowed edits, at random places, are candidates.
 
-    Raises ValueError if even one is too many. Short items (span under LONG) need none: what they ask for loses no copy.
+    Raises ValueError if more would be needed. Short items (span under LONG) take none: what they ask for loses no copy.
     """
     if span < LONG:
         return 0
     rng = np.random.default_rng(7)
-    size, shared, length = gram_size(span, rate), [], []
     some = [texts[k] for k in rng.permutation(len(texts))[:trials]]
-    for k in range(trials):
-        item = some[k % len(some)]
-        copy = edited(item, rate, rng)
-        own, other = (grams(np.frombuffer(t + bytes(8), np.uint8), size)[: len(t) - size + 1] for t in (item, copy))
-        place, offset = np.nonzero(other[:, None] == own)
-        strip = (place - offset + len(item)) >> int(np.ceil(np.log2(int(rate * len(item)) + 1)))
-        count = np.append(np.bincount(strip), 0) if len(strip) else np.zeros(2, np.int64)
-        shared.append(int((count[:-1] + count[1:]).max()))
-        length.append(len(item))
-    shared, length = np.array(shared), np.array(length)
-    for n in range(most - 1, 0, -1):
-        if (shared >= np.maximum(1, n * length // span)).mean() >= recall:
+    copies = [edited(some[k % len(some)], rate, rng) for k in range(trials)]
+    pad = b" zz ".ljust(STRETCHES[span][1], b"~")
+    data = np.frombuffer(b"".join(c + pad for c in copies) + bytes(8), np.uint8)
+    begin = np.cumsum([0] + [len(c) + len(pad) for c in copies])[:-1]
+    found = np.zeros(trials, bool)
+    for n, walk in enumerate(walks(span, most), 1):
+        q = prepare_walks(list(range(len(some))), some, span, [walk])
+        for _, (i, copy, _, _) in walked(data, [q], begin):
+            found[copy] |= some[copy % len(some)] == some[i]
+        if found.mean() >= recall:
             return n
     raise ValueError(f"recall {recall} is out of reach for items of {span} bytes or more with {rate} of them edited")
 
@@ -322,7 +435,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: flo
 
     doc_id, item_id, distance (edits between the item and its best place, both in lower case with single spaces) and the
     place, start and end in UTF-8 bytes of the text as it is; the start is exact up to the distance. Found are places
-    with at most rate * length edits; the search is a count of shared grams with a recall calibrated at that many edits, the distance is exact. Null and empty texts and
+    with at most rate * length edits; the search is a hash with a recall calibrated at that many edits, the distance is exact. Null and empty texts and
     items hold and are nothing; repeated rows count each, items of one id together; null ids stay null; other columns are ignored; empty
     tables give no rows.
     """
@@ -351,13 +464,14 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, rec
                     if queries:
                         keep[[r[0] for r in find(*utf8(part.column(where)), queries, rate)]] = False
                     yield part.filter(pa.array(keep))
+            release()
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs
 
 
 def _plans(items: list[tuple[object, bytes]], recall: float, rate: float) -> list[tuple]:
-    """For each span its item ids, texts and shared grams."""
+    """For each length class its item ids, texts and repetitions."""
     groups: dict[int, list[tuple[object, bytes]]] = {}
     for item_id, text in items:
         if text:
