@@ -1,12 +1,14 @@
 """Quality rules with risk-controlled cutoffs.
 
 Every rule compares one measure of a text with a cutoff from a fixed ladder, lenient to strict. Labelled documents are
-split by a hash of their id. The tuning half says how far up its ladder a rule is worth going in each stratum; the
-holdout half must then certify it: step by step from the most lenient cutoff, the good documents that a step rejects
-give an exact (Clopper-Pearson) upper bound of its false rejection rate, and the first bound above `risk` ends the
-climb. Steps of one ladder are tested in a fixed order, which needs no correction among them; the error rate is divided
-by the number of rules and strata tested (Bonferroni). So with probability 1 - delta no rule rejects more than `risk` of
-any stratum's good documents. A stratum with too few labels to certify anything has no cutoffs and loses nothing.
+split by a hash of their id. The tuning third builds a chain for each stratum: at each link one rule takes one more step up
+its ladder, the rule that costs fewest good documents first, as long as what it adds is worth it. The holdout must then
+certify the chain link by link: the good documents that the rules reject together give an exact (Clopper-Pearson) upper
+bound of the stratum's false rejection rate, and the first bound above `risk` ends the climb. Links of a chain are tested in
+a fixed order, which needs no correction among them. The strata share the error rate by Holm's rule: it is divided by the
+number of chains not certified to their end, so that a finished chain leaves its part to the others. So with probability
+1 - delta no stratum loses more than `risk` of its good documents to all of its rules together. A stratum with too few
+labels to certify anything has no cutoffs and loses nothing.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelloom.llm.common import ship, utf8
+from panelloom.llm.common import ship, slices, utf8
 from panelloom.sources.storage import materialize
 
 WINDOW = 8
-RISK = 0.01
+#: Share of a stratum's good documents that all its rules together may reject.
+RISK = 0.02
 DELTA = 0.05
-#: A cutoff is worth its place if it rejects this many times the share of bad documents that it rejects of good ones.
+#: A step is worth its place if it adds this many times the share of bad documents that it adds of good ones.
 WORTH = 20
 #: Measure, sign (1: reject above the cutoff, -1: below) and the ladder of cutoffs, lenient first.
 RULES: dict[str, tuple[int, list[float]]] = {
@@ -68,16 +71,18 @@ def measures(text: bytes) -> tuple[int, ...]:
 
 
 def document_counts(docs: DataFrame, stratum: str) -> DataFrame:
-    """doc_id, the stratum and the COUNTS of every whole text; null and empty texts count 0."""
+    """doc_id, the stratum and the COUNTS of every whole text, a few MB at a time; null and empty texts count 0."""
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = utf8(batch.column(2))
-            text = memoryview(raw)
-            found = np.array([measures(bytes(text[a:b])) for a, b in itertools.pairwise(at.tolist())], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, found.reshape(-1, len(COUNTS)).T.copy())],
-                                             ["doc_id", "stratum", *COUNTS])
+            for first, last in slices(batch.column(2)):
+                part = batch.slice(first, last - first)
+                raw, at = utf8(part.column(2))
+                text = memoryview(raw)
+                found = np.array([measures(bytes(text[a:b])) for a, b in itertools.pairwise(at.tolist())], np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, found.reshape(-1, len(COUNTS)).T.copy())],
+                                                 ["doc_id", "stratum", *COUNTS])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("stratum", T.StringType())]
                           + [T.StructField(c, T.LongType()) for c in COUNTS])
@@ -114,54 +119,82 @@ def upper_bound(failures: int, trials: int, delta: float) -> float:
     return high
 
 
-def choose(counts: dict[tuple[str, str, bool, bool], np.ndarray], risk: float, delta: float) -> dict[tuple[str, str], int]:
-    """Certified steps by (stratum, rule) from `counts[stratum, rule, holdout, good]`: documents by steps they cross."""
-    tested = sorted({(s, r) for s, r, *_ in counts})
-    out = {}
-    for stratum, rule in tested:
-        steps = len(RULES[rule][1])
-        reject = {}
-        for half, good in itertools.product((False, True), repeat=2):
-            own = counts.get((stratum, rule, half, good), np.zeros(steps + 1, int))
-            reject[half, good] = own[::-1].cumsum()[::-1][1:], int(own.sum())  # at each step, and of all
-        (bad, n_bad), (lost, n_good) = reject[False, False], reject[False, True]
-        if not n_bad or not n_good:
-            continue
-        gain = bad / n_bad - WORTH * lost / n_good
-        goal = int(np.argmax(gain)) + 1 if gain.max() > 0 else 0
-        lost, n_good = reject[True, True]
-        certified = 0
-        while certified < goal and n_good and upper_bound(int(lost[certified]), n_good, delta / len(tested)) <= risk:
-            certified += 1
-        if certified:
-            out[stratum, rule] = certified
+#: Labelled documents of one kind: how many there are for each combination of ladder steps, in the order of RULES.
+Crossed = dict[tuple[int, ...], int]
+
+
+def rejected(documents: Crossed, state: tuple[int, ...]) -> int:
+    """Documents that at least one rule rejects, each rule at its step of `state` (0: not in use)."""
+    return sum(n for steps, n in documents.items() if any(0 < s <= x for s, x in zip(state, steps, strict=True)))
+
+
+def chain(good: Crossed, bad: Crossed) -> list[tuple[int, ...]]:
+    """States of growing strictness: each moves one rule to its next step that is worth it, least good documents lost first."""
+    n_good, n_bad = sum(good.values()), sum(bad.values())
+    out: list[tuple[int, ...]] = []
+    state = (0,) * len(RULES)
+    while n_good and n_bad:
+        lost, caught = rejected(good, state), rejected(bad, state)
+        moves = []
+        for i, (_, ladder) in enumerate(RULES.values()):
+            for step in range(state[i] + 1, len(ladder) + 1):
+                new = (*state[:i], step, *state[i + 1:])
+                more_lost, more = rejected(good, new) - lost, rejected(bad, new) - caught
+                if more / n_bad > WORTH * more_lost / n_good:
+                    moves.append((more_lost, -more, i, new))
+                    break
+        if not moves:
+            break
+        state = min(moves)[-1]
+        out.append(state)
     return out
 
 
+def choose(counts: dict[tuple[str, bool, bool], Crossed], risk: float, delta: float) -> dict[str, tuple[int, ...]]:
+    """The strictest certified state of each stratum that has one, from `counts[stratum, holdout, good]`."""
+    chains = {s: chain(counts.get((s, False, True), {}), counts.get((s, False, False), {})) for s in sorted({s for s, *_ in counts})}
+    waiting = {s for s, links in chains.items() if links}
+    certified = dict.fromkeys(waiting, 0)
+    while waiting:
+        level = delta / len(waiting)
+        for s in waiting:
+            good = counts.get((s, True, True), {})
+            trials = sum(good.values())
+            while certified[s] < len(chains[s]):
+                lost = rejected(good, chains[s][certified[s]])
+                if lost >= risk * trials or upper_bound(lost, trials, level) > risk:
+                    break
+                certified[s] += 1
+        ended = {s for s in waiting if certified[s] == len(chains[s])}
+        if not ended:
+            break
+        waiting -= ended
+    return {s: chains[s][n - 1] for s, n in certified.items() if n}
+
+
 def ladder_step(rule: str, measure: Column) -> Column:
     """How many cutoffs of its ladder a document crosses."""
     sign, ladder = RULES[rule]
     return sum((F.when(measure > c if sign > 0 else measure < c, 1).otherwise(0) for c in ladder), F.lit(0))
 
 
-def fit_cutoffs(counted: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[str, str], float]:
-    """Certified cutoffs by (stratum, rule), from all labelled documents that pass the base rules.
+def fit_cutoffs(counted: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[str, dict[str, float]]:
+    """Certified cutoffs by stratum and rule, from all labelled documents that pass the base rules.
 
     `labels` has doc_id and quality (1 good, 0 bad); documents with none, or with both, are left out. The driver gets
-    one line for each stratum, rule, half, label and step.
+    one line for each stratum, half, label and combination of steps that occurs: the ladders allow 18,144 of them.
     """
     label = (labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id")
              .agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).filter("quality = _most"))
     own = counted.filter(~base_failed()).join(label.select("doc_id", "quality"), "doc_id")
-    steps = F.array(*[F.struct(F.lit(r).alias("rule"), ladder_step(r, m).alias("step")) for r, m in rule_measures().items()])
-    rows = (own.select("stratum", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1).alias("holdout"), (F.col("quality") == 1).alias("good"),
-                       F.explode(steps).alias("x"))
-            .groupBy("stratum", "x.rule", "holdout", "good", "x.step").count().collect())
-    counts: dict[tuple[str, str, bool, bool], np.ndarray] = {}
+    steps = F.array(*[ladder_step(r, m) for r, m in rule_measures().items()])
+    rows = (own.select("stratum", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0).alias("holdout"), (F.col("quality") == 1).alias("good"),
+                       steps.alias("steps")).groupBy("stratum", "holdout", "good", "steps").count().collect())
+    counts: dict[tuple[str, bool, bool], Crossed] = {}
     for r in rows:
-        key = (r["stratum"], r["rule"], r["holdout"], r["good"])
-        counts.setdefault(key, np.zeros(len(RULES[r["rule"]][1]) + 1, int))[r["step"]] += r["count"]
-    return {k: RULES[k[1]][1][step - 1] for k, step in choose(counts, risk, delta).items()}
+        counts.setdefault((r["stratum"], r["holdout"], r["good"]), {})[tuple(r["steps"])] = r["count"]
+    return {s: {r: ladder[step - 1] for (r, (_, ladder)), step in zip(RULES.items(), state, strict=True) if step}
+            for s, state in choose(counts, risk, delta).items()}
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK,
@@ -173,9 +206,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
     only the base rules hold.
     """
     counted = materialize(document_counts(docs, stratum), "quality-counts")
-    cutoffs = fit_cutoffs(counted, labels, risk, delta)
     # one line for each stratum with a certified cutoff; Spark decides by its size how it meets the documents
-    lines = {s: {r: c for (t, r), c in cutoffs.items() if t == s} for s, _ in cutoffs}
+    lines = fit_cutoffs(counted, labels, risk, delta)
     table = docs.sparkSession.createDataFrame([(s, *[float(x[r]) if r in x else None for r in RULES]) for s, x in lines.items()],
                                               T.StructType([T.StructField("stratum", T.StringType())]
                                                            + [T.StructField(f"_{r}", T.DoubleType()) for r in RULES]))

@@ -44,22 +44,58 @@ def test_bound_is_exact(k, n, delta):
     assert tail == pytest.approx(delta, rel=1e-6)
 
 
-def test_false_rejections_stay_within_the_risk():
-    """Good documents cross the first steps at known rates; a step above the risk is certified in few of many draws."""
-    rng, wrong = np.random.default_rng(1), 0
-    cross = [0.004, 0.02]
+def place(rule, step):
+    return tuple(step if r == rule else 0 for r in quality.RULES)
+
+
+def draw(rng, good_rates, n_good, n_bad=100):
+    """Both halves of a stratum: good documents reach the given states at the given rates, bad ones every state."""
+    out = {}
+    for half in (False, True):
+        n = rng.multinomial(n_good, [*good_rates.values(), 1 - sum(good_rates.values())])
+        good = dict(zip([*good_rates, (0,) * len(quality.RULES)], map(int, n), strict=True))
+        bad = dict.fromkeys(good_rates, n_bad // len(good_rates))
+        out["s", half, True], out["s", half, False] = good, bad
+    return out
+
+
+def true_rate(rates, state):
+    return sum(p for steps, p in rates.items() if any(0 < s <= x for s, x in zip(state, steps, strict=True)))
+
+
+@pytest.mark.parametrize("rates", [
+    {place("duplicate_lines", 2): 0.004, place("duplicate_lines", 1): 0.016},
+    # each rule stays within the risk alone, the two together do not
+    {place("duplicate_lines", 1): 0.007, place("symbols_per_word", 1): 0.007},
+])
+def test_false_rejections_of_all_rules_together_stay_within_the_risk(rates):
+    rng, wrong, some = np.random.default_rng(1), 0, 0
     for _ in range(200):
-        counts = {}
-        for half in (False, True):
-            u = rng.random(2000)
-            good = np.zeros(len(quality.RULES["duplicate_lines"][1]) + 1, int)
-            good[2], good[1] = (u < cross[0]).sum(), ((u >= cross[0]) & (u < cross[1])).sum()
-            good[0] = 2000 - good[1] - good[2]
-            bad = np.zeros_like(good)
-            bad[-1] = 100
-            counts["s", "duplicate_lines", half, True], counts["s", "duplicate_lines", half, False] = good, bad
-        wrong += bool(quality.choose(counts, 0.01, 0.05))
+        found = quality.choose(draw(rng, rates, 2000), 0.01, 0.05)
+        wrong += bool(found) and true_rate(rates, found["s"]) > 0.01
+        some += bool(found)
     assert wrong <= 20
+    assert some or 0.007 not in rates.values()
+
+
+def test_chain_takes_the_cheapest_rule_first_and_leaves_what_is_not_worth_it():
+    a, b, c = place("duplicate_lines", 3), place("symbols_per_word", 1), place("chars_per_word", 2)
+    none = (0,) * len(quality.RULES)
+    links = quality.chain({none: 990, a: 1, c: 9}, {a: 50, b: 30, c: 15, none: 5})
+    assert links == [b, tuple(map(max, b, place("duplicate_lines", 1))) ]
+    assert quality.chain({none: 5}, {}) == quality.chain({}, {a: 3}) == quality.chain({none: 5}, {none: 5}) == []
+
+
+def test_holm_passes_the_level_of_a_finished_chain_on():
+    """160 good holdout documents certify 2 % at 5 %, not at half of that: only after the other stratum has ended."""
+    none, b = (0,) * len(quality.RULES), place("symbols_per_word", 1)
+
+    def stratum(name, n):
+        return {(name, False, True): {none: n}, (name, False, False): {b: 9}, (name, True, True): {none: n}, (name, True, False): {b: 9}}
+
+    assert 0.98**160 <= 0.05 and 0.98**160 > 0.025
+    assert quality.choose(stratum("big", 500) | stratum("small", 160), 0.02, 0.05) == {"big": b, "small": b}
+    assert quality.choose(stratum("other", 160) | stratum("small", 160), 0.02, 0.05) == {}
 
 
 def test_kept_documents(spark):
