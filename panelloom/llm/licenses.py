@@ -57,6 +57,32 @@ SENTENCES = {
     "cc.bysa.long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "cc.bync.long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     "cc.zero": "SPDX-License-Identifier: CC0-1.0",
+    "apache.full": "You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or without modifications, and in Source or Object form, provided that You meet the following conditions:",
+    "apache.full.copy": "You must give any other recipients of the Work or Derivative Works a copy of this License",
+    "apache.full.marks": "This License does not grant permission to use the trade names, trademarks, service marks, or product names of the Licensor, except as required for reasonable and customary use in describing the origin of the Work and reproducing the content of the NOTICE file",
+    "gpl.full.copies": "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed",
+    "gpl3.full.free": "The GNU General Public License is a free, copyleft license for software and other kinds of works",
+    "gpl3.full.share": "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users",
+    "gpl2.full.share": "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users",
+    "agpl.full.free": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software",
+    "lgpl3.full.terms": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below",
+    "lgpl2.full.libraries": "This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it",
+    "lgpl3.spdx": "SPDX-License-Identifier: LGPL-3.0-or-later",
+    "agpl.spdx": "SPDX-License-Identifier: AGPL-3.0-or-later",
+    "mpl.full.grant": "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license:",
+    "mpl.full.source": "All distribution of Covered Software in Source Code Form, including any Modifications that You create or to which You contribute, must be under the terms of this License",
+    "epl.notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "epl.spdx": "SPDX-License-Identifier: EPL-2.0",
+    "bsl.notice": "Distributed under the Boost Software License, Version 1.0",
+    "bsl.spdx": "SPDX-License-Identifier: BSL-1.0",
+    "bsl.grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "zlib.spdx": "SPDX-License-Identifier: Zlib",
+    "zlib.warranty": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib.liable": "In no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib.grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "0bsd.grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "cc.by.accept": "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public License (\"Public License\")",
+    "cc.bysa.accept": "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International Public License (\"Public License\")",
     "unlicense.intro": "This is free and unencumbered software released into the public domain",
     "reserved": "All rights reserved",
 }
@@ -77,14 +103,20 @@ RULES = [
     ("CC-BY-NC-ND-4.0", ["cc.byncnd"]), ("CC-BY-4.0", ["cc.by.long"]), ("CC-BY-SA-4.0", ["cc.bysa.long"]),
     ("CC-BY-NC-4.0", ["cc.bync.long"]), ("CC0-1.0", ["cc.zero"]), ("Unlicense", ["unlicense.intro"]),
     ("all-rights-reserved", ["reserved"]),
+    ("Apache-2.0", ["apache.full", "apache.full.copy", "apache.full.marks"]),
+    ("GPL-3.0", ["gpl.full.copies", "gpl3.full.free", "gpl3.full.share"]), ("GPL-2.0", ["gpl.full.copies", "gpl2.full.share"]),
+    ("AGPL-3.0", ["gpl.full.copies", "agpl.full.free"]), ("AGPL-3.0", ["agpl.spdx"]),
+    ("LGPL-3.0", ["gpl.full.copies", "lgpl3.full.terms"]), ("LGPL-3.0", ["lgpl3.spdx"]),
+    ("LGPL-2.1", ["gpl.full.copies", "lgpl2.full.libraries"]),
+    ("MPL-2.0", ["mpl.full.grant", "mpl.full.source"]), ("EPL-2.0", ["epl.notice"]), ("EPL-2.0", ["epl.spdx"]),
+    ("BSL-1.0", ["bsl.notice"]), ("BSL-1.0", ["bsl.spdx"]), ("BSL-1.0", ["bsl.grant"]),
+    ("Zlib", ["zlib.spdx"]), ("Zlib", ["zlib.warranty", "zlib.liable", "zlib.grant"]), ("0BSD", ["0bsd.grant", "isc.warranty"]),
+    ("CC-BY-4.0", ["cc.by.accept"]), ("CC-BY-SA-4.0", ["cc.bysa.accept"]),
 ]
 #: Each known sentence holds at least one of these, parts of single words, so a text without any has no known sentence.
-TRIGGERS = ["licens", "permission", "redistribut", "warrant", "liable", "reserved", "unencumbered", "copyright"]
-#: Sentence ends with line ends, and sentence ends across lines (blank lines still end a sentence).
-BY_LINE = r"[.!?]+[ \t\r\f]+|\n"
-ACROSS = r"[.!?]+[ \t\r\n\f]+|\n[ \t\r]*\n"
-#: The same for texts in comments: a line without letters and digits is blank, an address is between sentences, 'v.' ends none;
-#: and, in the last cut, a colon before a line end ends a sentence, and the mark of a list entry too.
+TRIGGERS = ["licens", "derivative", "permission", "redistribut", "warrant", "liable", "reserved", "unencumbered", "copyright"]
+#: Sentence ends: with line ends; across lines; and across lines with the ends of colons and list marks. A line without letters
+#: and digits is blank, an address is between sentences, 'v.' ends none; a colon before a line end ends a sentence in the last cut.
 _STOP = r"(?<![ \t\n,(][vV])[.!?]+"
 COMMENT_LINE = _STOP + r"[ \t\r\f]+|\n"
 COMMENT_ACROSS = _STOP + r"[ \t\r\n\f]+|\n[^a-zA-Z0-9\n]*(?=\n)|[ \t\r\n]+[^a-zA-Z0-9\n]*https?://[^ \t\r\n]+"
@@ -143,7 +175,7 @@ def scan(docs: DataFrame) -> DataFrame:
     hits = F.filter(table, lambda r: F.rlike("_lines", r["pattern"]) | F.rlike("_across", r["pattern"]) | F.rlike("_lists", r["pattern"]))
     empty = (F.col("_lines") == "  ") & (F.col("_across") == "  ") & (F.col("_lists") == "  ")
     found = found.withColumn("_hits", F.when(F.col("_lines").isNotNull() & ~empty, hits))
-    count = lambda c: F.size(F.split(c, " "))
+    count = lambda c: F.size(F.array_remove(F.split(c, " "), ""))
     found = found.withColumn("_across", F.when(count("_lists") > count("_across"), F.col("_lists")).otherwise(F.col("_across")))
     kept = F.filter("_hits", lambda r: ~F.exists("_hits", lambda o: F.array_contains(o["covers"], r["ids"])))
     found = found.withColumn("_kept", kept)
@@ -151,22 +183,37 @@ def scan(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.coalesce(names, F.lit("")).alias("licenses"),
                         F.coalesce(F.array_join(F.transform("_kept", lambda r: r["ids"]), ","), F.lit("")).alias("rules"),
                         F.coalesce(F.trim("_across"), F.lit("")).alias("sentences"),
-                        F.coalesce(F.size(F.filter(F.split(F.trim("_across"), " "), lambda x: x != "")), F.lit(0))
-                        .cast("long").alias("n_sentences"))
+                        F.when(F.col("_across").isNotNull(), count("_across")).otherwise(0).cast("long").alias("n_sentences"))
+
+
+#: The same cuts for an engine without lookaround, on text in which LINE_END stands before each line end and KEPT_STOP or KEPT_MARK
+#: for the stop after a 'v': a blank line is cut from its own line end up to the next LINE_END, and leaves the next line end in place.
+KEPT_STOP, KEPT_MARK, LINE_END = "\x01", "\x02", "\x05"
+SQL_LINE = r"[.!?]+[ \t\r\f]+|\n"
+SQL_ACROSS = (r"[.!?]+[ \t\r\n\f\x05]+|\n[^a-zA-Z0-9\n\x05]*\x05|[ \t\r\n\x05]+[^a-zA-Z0-9\n\x05]*https?://[^ \t\r\n\x05]+")
+SQL_LIST = SQL_ACROSS + r"|:[ \t\r]*(\*/|-->)?[ \t\r]*\x05\n|\n[^a-zA-Z0-9\n\x05]*[0-9a-zA-Z]{1,2}[.)\x01][ \t]+"
 
 
 def oracle_sql() -> str:
     """The scan as DuckDB SQL, from the same tables: sentences are rows, joined to the known ones and listed again."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
+    mark = lambda s: f"chr({ord(s)})"
     known = ", ".join(f"({quote(normalised(s))}, {quote(i)})" for i, s in SENTENCES.items())
     rules = ", ".join(f"({n}, {quote(name)}, {quote(' '.join(ids))}, {quote(rule_pattern(ids))}, "
                       f"[{', '.join(quote(' '.join(c)) for c in covered(ids))}]::VARCHAR[])" for n, (name, ids) in enumerate(RULES))
-    cut = lambda mode, boundary: (
+    after_v = r"([ \t\n,(][vV])"
+    plain = (f"translate(text, {mark(KEPT_STOP)} || {mark(KEPT_MARK)} || {mark(LINE_END)}, repeat(chr(3), 3))")
+    plain = rf"regexp_replace({plain}, '(?i)(^|[\n\r\x{{85}}\x{{2028}}\x{{2029}}])[ \t]*@?(dnl|rem)\b', '\1', 'g')"
+    plain = rf"regexp_replace({plain}, '{after_v}\.', '\1' || {mark(KEPT_STOP)}, 'g')"
+    plain = rf"regexp_replace({plain}, '{after_v}[!?]', '\1' || {mark(KEPT_MARK)}, 'g')"
+    cut = lambda mode, boundary, text: (
         f"SELECT doc_id, {mode} AS mode, generate_subscripts(parts, 1) AS pos, unnest(parts) AS part FROM "
-        f"(SELECT doc_id, regexp_split_to_array(text, {quote(boundary)}) AS parts FROM documents WHERE text IS NOT NULL)")
+        f"(SELECT doc_id, regexp_split_to_array({text}, {quote(boundary)}) AS parts FROM plain)")
+    ended = f"replace(text, chr(10), {mark(LINE_END)} || chr(10))"
     return f"""
         WITH known(sentence, id) AS (VALUES {known}), rules(n, name, ids, pattern, covers) AS (VALUES {rules}),
-        parts AS ({cut(0, BY_LINE)} UNION ALL {cut(1, ACROSS)}),
+        plain AS (SELECT doc_id, {plain} AS text FROM documents WHERE text IS NOT NULL),
+        parts AS ({cut(0, SQL_LINE, 'text')} UNION ALL {cut(1, SQL_ACROSS, ended)} UNION ALL {cut(2, SQL_LIST, ended)}),
         found AS (SELECT doc_id, mode, pos, id FROM parts JOIN known
                   ON trim(regexp_replace(lower(part), '{_OTHER}', ' ', 'g')) = sentence),
         sequences AS (SELECT doc_id, mode, string_agg(id, ' ' ORDER BY pos) AS seq, count(*) AS n FROM found GROUP BY ALL),
@@ -175,8 +222,8 @@ def oracle_sql() -> str:
         kept AS (SELECT * FROM hits h WHERE NOT EXISTS
                  (SELECT 1 FROM hits o WHERE o.doc_id = h.doc_id AND list_contains(o.covers, h.ids))),
         named AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(name))), ',') AS licenses,
-                         string_agg(ids, ',' ORDER BY n) AS rules FROM kept GROUP BY doc_id)
+                         string_agg(ids, ',' ORDER BY n) AS rules FROM kept GROUP BY doc_id),
+        longest AS (SELECT doc_id, arg_max(seq, 10 * n - mode) AS seq, max(n) AS n FROM sequences WHERE mode > 0 GROUP BY doc_id)
         SELECT d.doc_id, coalesce(licenses, '') AS licenses, coalesce(named.rules, '') AS rules, coalesce(seq, '') AS sentences,
                coalesce(s.n, 0)::BIGINT AS n_sentences
-        FROM documents d LEFT JOIN named USING (doc_id)
-        LEFT JOIN (SELECT * FROM sequences WHERE mode = 1) s USING (doc_id)"""
+        FROM documents d LEFT JOIN named USING (doc_id) LEFT JOIN longest s USING (doc_id)"""

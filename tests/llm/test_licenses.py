@@ -1,7 +1,11 @@
 """Licence rules on whole licence texts, notices, wrapped and decorated lines."""
 
+import random
 import textwrap
 
+import duckdb
+import pyarrow as pa
+
 from panelloom.llm import licenses
 
 S = licenses.SENTENCES
@@ -64,3 +68,29 @@ def test_every_rule_plain_and_in_comments(spark):
     want[rows[-1][0]] = "MPL-2.0"
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: (got[i], want[i], rows[i][1]) for i in got if want[i] not in got[i].split(",")} == {}
+
+
+def test_sql_cuts_alike(spark):
+    """Known sentences glued by every kind of boundary, comment mark, list mark and odd character, against the SQL."""
+    rng = random.Random(11)
+    glue = [". ", ".\n", "\n", "\n\n", "\n \n", "\n# \n# ", "\n * ", ": \n", ":\n1. ", "\n(b) ", "\n2.\t", "\n\n  https://e.org/x ", " http://e.org ", "! ",
+            "?\r\n", "\r", "\f", " */\n", ": */\n", ":-->\n", "\ndnl ", "\n@rem ", "\r\nREM ", " v. ", "\nv. ", ",V! ", "(v.", "\x01", "1\x02 ", "\x05\n",
+            "\n\n\n", "\u2028dnl ", "\u00e9 ", "..."]
+    sentences = [*S.values(), "words", "v. 2", "x", ""]
+    texts = []
+    for _ in range(1200):
+        own = rng.choice(licenses.RULES)[1]
+        parts = [S[i] for i in own] if rng.random() < 0.7 else rng.choices(sentences, k=rng.randint(1, 5))
+        text = "".join(p + "".join(rng.choices(glue, k=rng.randint(1, 3))) for p in parts)
+        for _ in range(rng.randint(0, 3)):
+            at = text.find(" ", rng.randrange(len(text) + 1))
+            text = text if at < 0 else text[:at] + rng.choice(["\n", "\n# ", "\n * ", " "]) + text[at + 1:]
+        texts.append(text)
+    rows = [*enumerate(texts), (-1, None), (-2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in licenses.scan(docs).collect())
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [i for i, _ in rows], "text": pa.array([t for _, t in rows], pa.string())}))
+    want = sorted(con.execute(licenses.oracle_sql()).fetchall())
+    assert [(a, b, rows[a[0]][1]) for a, b in zip(got, want, strict=True) if a != b][:3] == []
+    assert sum(bool(r[1]) for r in got) > 500
