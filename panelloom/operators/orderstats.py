@@ -8,14 +8,15 @@ too long is never sorted or held in one place but cut at split values:
    and are written down once so that every later pass sees the same ones;
 2. counting rows per bucket gives the number of rows below each bucket. A split value is a
    bucket of its own, so heavily tied values are resolved by counting alone;
-3. only rows strictly between two neighbouring splits are ever sorted: all of them for ranks,
-   the one bucket that holds the wanted position for quantiles.
+3. only rows of the one bucket that holds the wanted position are ever sorted.
+
+Ranks of such columns are taken in ranges of the sorted values, and shifted by what lies in earlier ranges.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -126,14 +127,15 @@ def _row_position(p: float, n: Column, method: str) -> Column:
 
 
 def _plain_quantiles(long: DataFrame, keys: list[str], probs: list[float], method: str) -> DataFrame:
-    """One map of values and counts for each key; the probabilities share it."""
+    """Interpolated: one map of values and counts for each key, shared by the probabilities. Else: the rows in order."""
     if method == "linear":
         return long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
                                        F.percentile("value", F.array(*map(F.lit, probs))).alias("q"))
-    # the exact share of a position, so that interpolation meets an observed value
-    counted = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("value")).alias("_all"))
-    return counted.select(*keys, "n", F.array(*[F.get("_all", _row_position(p, F.col("n"), method).cast("int"))
-                                                for p in probs]).alias("q"))
+    # the exact share of a position, so that interpolation meets an observed value; sorted rows spill, an array of them would not
+    spots = [_row_position(p, F.col("n"), method) for p in probs]
+    placed = (long.withColumn("_row", F.row_number().over(W.partitionBy(*keys).orderBy("value")) - 1)
+              .withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*keys))))
+    return placed.groupBy(*keys).agg(F.max("n").alias("n"), F.array(*[F.max(F.when(F.col("_row") == at, F.col("value"))) for at in spots]).alias("q"))
 
 
 def _wanted_positions(offsets: DataFrame, keys: list[str], probs: list[float], method: str) -> DataFrame:
@@ -307,31 +309,79 @@ def fill_and_rank(df: DataFrame, group: list[str], values: list[str], precision:
     return df.groupBy(*group).applyInArrow(both, schema)
 
 
-def _ranks_by_reshaping(df: DataFrame, key: list[str], group: list[str], values: list[str],
-                        suffix: str, values_per_task: int) -> DataFrame:
-    """All columns as one long table, spread over (group, feature) and, where cut, over buckets."""
+def _sorted_runs(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For a partition sorted by `keys` and value: adds `_local`, the average rank among its own rows of a key, `_first` and
+    `_ties`, the place and length of a row's run of equal values there, and `_edge`: 1 in the partition's first run, 2 in its last, else 0.
+    """
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        n = table.num_rows
+        new_key = np.zeros(n, bool)
+        new_key[0] = True
+        for k in keys:
+            codes = table.column(k).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+            new_key[1:] |= codes[1:] != codes[:-1]
+        value = table.column("value").to_numpy()
+        new_run = new_key.copy()
+        new_run[1:] |= (value[1:] != value[:-1]) & ~(np.isnan(value[1:]) & np.isnan(value[:-1]))
+        starts = np.flatnonzero(new_run)
+        lengths = np.diff(np.append(starts, n))
+        key_start = np.maximum.accumulate(np.where(new_key, np.arange(n), 0))
+        first = starts - key_start[starts]
+        edge = np.zeros(len(starts), np.int8)
+        edge[-1], edge[0] = 2, 1
+        for name, per_run in (("_local", first + (lengths + 1) / 2), ("_first", first), ("_ties", lengths), ("_edge", edge)):
+            table = table.append_column(name, pa.array(np.repeat(per_run, lengths)))
+        yield from table.to_batches(max_chunksize=1 << 16)
+
+    return mark
+
+
+def _rank_shifts(marked: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, `_part`, `_edge` and what the ranks there lack: rows of the key in earlier partitions, and ties on the far side of a border.
+
+    Every partition continues one key at most and has two edges, so there are at most three lines for each.
+    """
+    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    pieces = (marked.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
+    run = W.partitionBy(*keys, "value")
+    edges = (marked.filter("_edge > 0").select(*keys, "_part", "_edge", "value", "_first", "_ties", "_local").distinct()
+             .join(pieces, [*keys, "_part"])
+             .withColumn("_rank", F.min(F.col("_before") + F.col("_first")).over(run) + (F.sum("_ties").over(run) + 1) / F.lit(2.0))
+             .select(*keys, "_part", "_edge", (F.col("_rank") - F.col("_local")).alias("_shift")))
+    inner = pieces.select(*keys, "_part", F.lit(0).cast("byte").alias("_edge"), F.col("_before").cast("double").alias("_shift"))
+    return materialize(edges.unionByName(inner).filter("_shift != 0"), "rank-shifts")
+
+
+def _ranks_by_range(df: DataFrame, key: list[str], group: list[str], values: list[str],
+                    suffix: str, values_per_task: int) -> DataFrame:
+    """All columns as one long table in the order of (group, feature, value, key), cut into ranges of about `values_per_task`.
+
+    Ranks are taken inside a range and shifted by what lies in others, ties across borders included: the key in the order lets
+    any number of equal values be cut. Two shuffles: one into ranges, one that brings a row's ranks back to its other columns.
+    """
     ids = key + [c for c in group if c not in key]
     keys = group + ["feature"]
-    largest = largest_group(df, group)
-    if largest <= values_per_task:
-        ranked = to_long(df, ids, values).withColumn("_rank", _local_rank(keys, "value"))
-    else:
-        buckets = _bucket_count(largest, values_per_task)
-        long = to_long(df, ids, values).filter(F.col("value").isNotNull())
-        splits = _split_values(long, keys, buckets)
-        bucketed = _with_bucket(long, splits, keys, buckets)
-        placed = join_small(bucketed, _bucket_offsets(bucketed, keys), keys + ["bucket"], "inner")
-        # all rows of a split's own bucket are equal, so they need no common task
-        at_split = F.col("bucket") % 2 == 1
-        parts = F.ceil(F.col("bucket_rows") / F.lit(values_per_task))
-        placed = placed.withColumn("_part", F.when(at_split, F.pmod(F.xxhash64(*key), parts)).otherwise(F.lit(0)))
-        local = _local_rank([*keys, "bucket", "_part"], "value")
-        ranked = placed.withColumn("_rank", F.when(at_split, F.col("below_rows") + (F.col("bucket_rows") + 1) / 2.0)
-                                              .otherwise(F.col("below_rows") + local))
+    parts = df.count() * len(values) // values_per_task + 1
+    order = [*keys, "value", *[c for c in key if c not in group]]
+    long = (to_long(df, ids, values).filter(F.col("value").isNotNull()).withColumn("value", F.col("value") + F.lit(0.0))  # no -0.0
+            .repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    ship(df.sparkSession)
+    schema = T.StructType([*long.schema.fields, T.StructField("_local", T.DoubleType()), T.StructField("_first", T.LongType()),
+                           T.StructField("_ties", T.LongType()), T.StructField("_edge", T.ByteType())])
+    marked = materialize(long.mapInArrow(_sorted_runs(keys), schema).withColumn("_part", F.spark_partition_id()), "ranges")
+    shifted = join_small(marked, _rank_shifts(marked, keys), [*keys, "_part", "_edge"], "left")
+    rank = F.struct("feature", (F.col("_local") + F.coalesce("_shift", F.lit(0.0))).alias("rank"))
+    whole = F.struct(*[F.col(quoted(c)) for c in df.columns])
+    both = (shifted.select(*key, rank.alias("_rank")).withColumn("_row", F.lit(None).cast(df.schema))
+            .unionByName(df.select(*key, whole.alias("_row")).withColumn("_rank", F.lit(None).cast("struct<feature:int,rank:double>"))))
     # a repeated key would repeat a feature, which the map refuses
-    back = ranked.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("feature", "_rank"))).alias("_ranks"))
-    joined = df.join(back, key, "left")
-    return joined.selectExpr(*map(quoted, df.columns), *[
+    back = both.groupBy(*key).agg(F.first("_row", ignorenulls=True).alias("_row"), F.map_from_entries(F.collect_list("_rank")).alias("_ranks"))
+    return back.selectExpr(*[f"_row.{quoted(c)} AS {quoted(c)}" for c in df.columns], *[
         f"try_element_at(_ranks, {i}) AS {quoted(v + suffix)}" for i, v in enumerate(values)])
 
 
@@ -350,4 +400,4 @@ def average_ranks(df: DataFrame, key: list[str], group: list[str], values: list[
     ranked = whole(small, group, values, suffix)
     if large is None:
         return ranked
-    return ranked.unionByName(_ranks_by_reshaping(large, key, group, values, suffix, values_per_task))
+    return ranked.unionByName(_ranks_by_range(large, key, group, values, suffix, values_per_task))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelloom.functions.cleaning import blank_tokens, lenient_double
+from panelloom.sources.storage import delete
 
 # Columns that hold returns mixed with letter codes.
 RETURN_COLUMNS = ["RET", "DLRET"]
@@ -77,6 +79,22 @@ def write_by_year(df: DataFrame, path: str, year: str = "target_year") -> str:
 
 
 def write_summary_csv(df: DataFrame, path: str) -> str:
-    """A report of a few rows as a single CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A report of a few rows as one CSV file with a header, at `path` itself.
+
+    Spark writes its one part into a folder beside it; moving that part is the commit. Until then `path` holds the report of
+    the last run or nothing, so a killed job leaves no half-written report.
+    """
+    spark = df.sparkSession
+    side = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    try:
+        df.coalesce(1).write.option("header", True).csv(side)
+        paths = spark._jvm.org.apache.hadoop.fs
+        target = paths.Path(path)
+        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        part, = [f.getPath() for f in files.listStatus(paths.Path(side)) if f.getPath().getName().startswith("part-")]
+        files.delete(target, True)
+        if not files.rename(part, target):
+            raise OSError(f"could not move the report to {path}")
+    finally:
+        delete(spark, side)
     return path

@@ -105,6 +105,39 @@ def test_a_cut_month_is_spread_over_tasks(skewed):
     assert sizes[sizes.bucket % 2 == 1].bucket_rows.max() > sizes.bucket_rows.sum() / 3  # the tied value
 
 
+def test_ranks_over_ranges_take_two_shuffles_and_carry_ties_across_borders(spark, monkeypatch):
+    """A value that fills several ranges, runs that end at borders, -0.0, infinities and NaN; text columns pass through."""
+    rng = np.random.default_rng(8)
+    n = 1200
+    pdf = pd.DataFrame({"permno": rng.permutation(n), "month_id": np.where(rng.random(n) < 0.7, 7, 8),
+                        "a": np.where(rng.random(n) < 0.6, 0.5, rng.integers(-3, 3, n)),
+                        "b": rng.choice([0.0, -0.0, np.inf, -np.inf, 1.5], n), "name": [f"n{i}" for i in range(n)]})
+    df = materialize(spark.createDataFrame(pdf).withColumn("b", F.when(F.col("permno") % 11 > 0, F.col("b")).otherwise(float("nan"))), "t")
+    plans = []
+
+    def watched(table, label, *rest):
+        plans.append(table._jdf.queryExecution().executedPlan().toString())
+        return materialize(table, label, *rest)
+
+    monkeypatch.setattr(orderstats, "materialize", watched)
+    got = orderstats._ranks_by_range(df, ["permno"], ["month_id"], ["a", "b"], "_r", 50)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert plans[0].count("Exchange") == plans[0].count("Exchange rangepartitioning") == 1
+    assert plans[-1].count("Exchange") - plans[-1].count("BroadcastExchange") == 1
+    got = got.toPandas().set_index("permno").sort_index()
+    want = pdf.assign(b=pdf.b.where(pdf.permno % 11 > 0, np.float64(1e308) * 1.7)).set_index("permno").sort_index()
+    want["b"] = want.b.replace(np.inf, 1e307)  # infinity stands below NaN
+    ranks = want.groupby("month_id")[["a", "b"]].rank("average")
+    assert list(got["name"]) == list(want["name"])
+    assert np.array_equal(got[["a_r", "b_r"]].to_numpy(), ranks.to_numpy())
+
+
+def test_a_repeated_key_is_refused_by_the_ranges(spark):
+    df = materialize(spark.createDataFrame([(1, 7, 0.5), (1, 7, 0.25), (2, 7, 1.0)], "permno int, month_id int, a double"), "t")
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        orderstats._ranks_by_range(df, ["permno"], ["month_id"], ["a"], "_r", 2).collect()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(-3, 3).map(float), st.floats(allow_infinity=True, allow_nan=False)), min_size=1))
 def test_shared_ranks(values):

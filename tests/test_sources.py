@@ -42,8 +42,19 @@ def test_a_rerun_replaces_only_its_years(spark, tmp_path):
 
 
 def test_summary_is_one_csv_file(spark, tmp_path):
-    path = tables.write_summary_csv(spark.range(3), str(tmp_path / "s.csv"))
-    assert len(glob.glob(path + "/part-*")) == 1
+    """A plain file, replaced by the next report and by nothing else; an older folder in its place goes."""
+    path = str(tmp_path / "s.csv")
+    (tmp_path / "s.csv").mkdir()
+    for n in (3, 2, 0):
+        assert tables.write_summary_csv(spark.range(n), path) == path
+        with open(path) as f:
+            assert f.read().split() == ["id", *map(str, range(n))]
+        assert [f for f in os.listdir(tmp_path) if not f.startswith(".")] == ["s.csv"]
+        assert spark.read.option("header", True).csv(path).count() == n
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        tables.write_summary_csv(spark.range(3).select(F.expr("1 / (id - id)").alias("id")), path)
+    assert open(path).read().split() == ["id"]
+    assert [f for f in os.listdir(tmp_path) if not f.startswith(".")] == ["s.csv"]
 
 
 def test_stored_tables_prune_partitions_and_go_to_the_shared_folder(spark):
