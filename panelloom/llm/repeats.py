@@ -5,12 +5,17 @@ name equal anchors at equal places. Consecutive windows with one anchor form a p
 the search falls apart into groups of pieces with equal anchors, and pieces with an anchor of their own are done. Equal
 pieces are counted; only different pieces with equal anchors need their bytes.
 
-These go through the column-wise construction of a collection's Burrows-Wheeler transform (Bauer, Cox, Rosone 2013; with
-common prefixes: Bauer, Cox, Rosone, Sciortino 2012): round by round one symbol of every piece is put in front of its
-suffix, from the right end of the pieces to the left; the suffixes are kept in order by a stable sort on the new symbol
-and the last order, and the common prefixes of neighbours follow from the last ones by range minima. Pieces are aligned
+One anchor may lie in a passage that very many texts share, with other bytes around it. Its pieces are told apart before
+they are ordered: windows whose anchor is `lo` to `hi` bytes behind their start have the bytes from `lo` before the anchor
+in common, LENGTH - (hi - lo) of them, if they are equal. So a piece falls into parts of at most STEP windows each, and
+only parts that agree in these bytes form a group. Equal parts are counted, and parts that no other agrees with are done.
+
+Groups of different parts go through the column-wise construction of a collection's Burrows-Wheeler transform (Bauer, Cox, Rosone 2013; with
+common prefixes: Bauer, Cox, Rosone, Sciortino 2012): round by round one symbol of every part is put in front of its
+suffix, from the right end of the parts to the left; the suffixes are kept in order by a stable sort on the new symbol
+and the last order, and the common prefixes of neighbours follow from the last ones by range minima. Parts are aligned
 at their anchors, so that windows that may be equal start in the same round, and only a round's own suffixes are kept:
-one a piece, bounded memory and no files. A window is repeated if a neighbour shares LENGTH bytes.
+one a part, bounded memory and no files. A window is repeated if a neighbour shares LENGTH bytes.
 """
 
 from __future__ import annotations
@@ -29,8 +34,12 @@ from panelloom.sources.storage import materialize
 
 LENGTH = 400
 GRAM = 32
-#: Different pieces with one anchor that go through the construction together; more are compared by window digests.
-GROUP = 1 << 13
+#: Windows of a part, by the distance from their start to their anchor.
+STEP = 93
+#: Different parts of a group that go through the construction together; more are compared by window digests.
+GROUP = 1 << 10
+#: Parts, of whole groups, that one construction holds at least before it starts: with GROUP more at most.
+AT_ONCE = 1 << 12
 #: Windows cut into pieces at once; longer texts are cut in several goes.
 _CHUNK = 1 << 21
 _PLACE = np.uint64(24)
@@ -109,21 +118,20 @@ def piece_table(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("digest", "copy", "text").mapInArrow(cut, schema)
 
 
-def repeated_windows(group: np.ndarray, data: list[bytes], anchor: np.ndarray, length: int) -> list[np.ndarray]:
-    """For different pieces, groups in order: which windows of each also start in another piece of its group.
+def repeated_windows(group: np.ndarray, data: list[bytes], anchor: np.ndarray, length: int, reach: int) -> list[np.ndarray]:
+    """For different strings, groups in order: which windows of each also start in another string of its group.
 
-    Rounds run over columns, places relative to the anchor, from right to left; a piece without a symbol in a column
-    takes part with one that agrees with nothing.
+    Rounds run over columns, places relative to `anchor` (0 to `reach`), from right to left; a string without a symbol in a
+    column takes part with one that agrees with nothing.
     """
     n = len(data)
     sizes = np.array([len(d) for d in data])
-    reach = length - GRAM  # an anchor is at most so far behind a window's start
     columns = reach + length
     raw = np.frombuffer(b"".join(data), np.uint8)
     base = np.cumsum(sizes) - sizes
     place = np.arange(columns) - reach + anchor[:, None]
     there = (place >= 0) & (place < sizes[:, None])
-    symbols = np.where(there, raw[np.clip(base[:, None] + place, 0, len(raw) - 1)].astype(np.int64), 256).T.copy()
+    symbols = np.where(there, raw[np.clip(base[:, None] + place, 0, len(raw) - 1)].astype(np.int16), np.int16(256)).T.copy()
     there = there.T
     shared = np.zeros((n, reach + 1), bool)
     order, common = np.arange(n), np.zeros(n + 1, np.int64)
@@ -152,33 +160,50 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+def part_table(data: DataFrame, length: int) -> DataFrame:
+    """The parts of pieces (mark, piece, anchor, data): mark, piece, group, part, start (its first window in the piece),
+    windows, offset (where the bytes that its group shares begin in it) and its bytes.
+
+    Equal windows are in parts of one group at equal distance from `offset`: both name a group by the bytes from
+    `lo` before the anchor that all windows of a part cover.
+    """
+    reach = length - GRAM
+    lo = F.col("_side") * STEP
+    hi = F.least(lo + (STEP - 1), F.lit(reach))
+    start, last = F.greatest(F.lit(0), F.col("anchor") - hi), F.least(F.octet_length("data") - length, F.col("anchor") - lo)
+    sides = (data.withColumn("_side", F.explode(F.sequence(F.lit(0), F.lit(reach // STEP))))
+             .select("*", lo.alias("_lo"), hi.alias("_hi"), start.alias("start"), (last - start + 1).alias("windows")).filter("windows > 0"))
+    return sides.select(
+        "mark", "piece", "start", "windows", (F.col("anchor") - F.col("_lo") - F.col("start")).alias("offset"),
+        F.xxhash64("mark", "_side", F.substring("data", F.col("anchor") - F.col("_lo") + 1, length - (F.col("_hi") - F.col("_lo")))).alias("group"),
+        F.substring("data", F.col("start") + 1, F.col("windows") + (length - 1)).alias("bytes")).withColumn("part", F.xxhash64("bytes"))
+
+
 def _constructed(rows: DataFrame, length: int) -> DataFrame:
-    """(mark, piece, first, last) runs of repeated windows of `rows` (mark, piece, anchor, data: different pieces)."""
+    """(group, part, first, last) runs of repeated windows of `rows` (group, part, offset, bytes: different parts)."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def solve(some: list[tuple]) -> pa.RecordBatch:
-            marks = np.array([r[0] for r in some], np.int64)
-            flags = repeated_windows(marks, [r[3] for r in some], np.array([r[2] for r in some], np.int64), length)
+            groups = np.array([r[0] for r in some], np.int64)
+            flags = repeated_windows(groups, [r[3] for r in some], np.array([r[2] for r in some], np.int64), length, STEP - 1)
             found = [(r[0], r[1], a, b) for r, f in zip(some, flags) for a, b in runs(f)]
             columns = list(zip(*found)) or [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
                                                pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())],
-                                              ["mark", "piece", "first", "last"])
+                                              ["group", "part", "first", "last"])
 
         for batch in batches:
-            held += zip(*(c.to_pylist() for c in batch.columns))
-            whole = len(held)
-            while whole and held[whole - 1][0] == held[-1][0]:
-                whole -= 1  # the last group may go on
-            if whole >= GROUP:
-                yield solve(held[:whole])
-                held = held[whole:]
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(held) >= AT_ONCE and row[0] != held[-1][0]:
+                    yield solve(held)
+                    held = []
+                held.append(row)
         if held:
             yield solve(held)
 
-    ordered = rows.select("mark", "piece", "anchor", "data").repartition("mark").sortWithinPartitions("mark", "piece")
-    return ordered.mapInArrow(each, "mark long, piece long, first int, last int")
+    ordered = rows.select("group", "part", "offset", "bytes").repartition("group").sortWithinPartitions("group", "part")
+    return ordered.mapInArrow(each, "group long, part long, first int, last int")
 
 
 def _by_digests(rows: DataFrame, length: int) -> DataFrame:
@@ -187,16 +212,37 @@ def _by_digests(rows: DataFrame, length: int) -> DataFrame:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            for mark, piece, _, data in zip(*(c.to_pylist() for c in batch.columns)):
+            found = []
+            for group, part, _, data in zip(*(c.to_pylist() for c in batch.columns)):
                 view = memoryview(data)
-                count = len(data) - length + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([mark] * count, pa.int64()), pa.array([piece] * count, pa.int64()), pa.array(np.arange(count, dtype=np.int32)),
-                     pa.array([xxh3_128_digest(view[k: k + length]) for k in range(count)], pa.binary())], ["mark", "piece", "first", "window"])
+                found += [(group, part, k, xxh3_128_digest(view[k: k + length])) for k in range(len(data) - length + 1)]
+            columns = list(zip(*found)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
+                                              pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary())],
+                                             ["group", "part", "first", "window"])
 
-    windows = rows.select("mark", "piece", "anchor", "data").mapInArrow(each, "mark long, piece long, first int, window binary")
+    windows = rows.select("group", "part", "offset", "bytes").mapInArrow(each, "group long, part long, first int, window binary")
     twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("window")
-    return windows.join(twice, "window").select("mark", "piece", "first", (F.col("first") + 1).cast("int").alias("last"))
+    return windows.join(twice, "window").select("group", "part", "first", (F.col("first") + 1).cast("int").alias("last"))
+
+
+def _shared(data: DataFrame, length: int) -> DataFrame:
+    """(mark, piece, first, last): runs of windows of different pieces (mark, piece, anchor, data) that other pieces hold too."""
+    cut = part_table(data, length)
+    parts = materialize(cut.drop("bytes"), "parts")
+    kinds = parts.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n"), F.max("windows").alias("windows"),
+                                               F.min(F.struct("mark", "piece", "start")).alias("one"), F.max("offset").alias("offset"))
+    kinds = materialize(kinds, "part-kinds")
+    whole = kinds.filter("n > 1").select("group", "part", F.lit(0).alias("first"), F.col("windows").alias("last"))
+    groups = kinds.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").withColumn("many", F.col("_n") > GROUP)
+    wanted = join_groups(kinds, materialize(groups, "part-groups"), "group", "_n", kinds.count())
+    wanted = wanted.select("group", "part", "many", "offset", "windows", F.col("one.mark").alias("mark"), F.col("one.piece").alias("piece"),
+                           F.col("one.start").alias("start"))
+    rows = materialize(wanted.join(data.select("mark", "piece", "data"), ["mark", "piece"]).select(
+        "group", "part", "many", "offset", F.substring("data", F.col("start") + 1, F.col("windows") + (length - 1)).alias("bytes")), "part-bytes")
+    found = whole.unionByName(_constructed(rows.filter("NOT many"), length)).unionByName(_by_digests(rows.filter("many"), length))
+    return parts.join(found, ["group", "part"]).select(
+        "mark", "piece", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -215,11 +261,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kinds = materialize(known.groupBy("mark", "piece", "differ").agg(
         F.sum("n").alias("n"), F.min(F.struct("digest", "copy", "start", "windows", "anchor")).alias("one")), "piece-kinds")
     each = kinds.filter("n > 1").select("mark", "piece", F.lit(0).alias("first"), F.col("one.windows").alias("last"))
-    data = _fetch(kinds.filter("differ").select("mark", "piece", "one.*"), texts, length)
-    sizes = kinds.filter("differ").groupBy("mark").agg(F.count(F.lit(1)).alias("_n"))
-    large = materialize(sizes.filter(F.col("_n") > GROUP).select("mark"), "large-groups")
-    data = materialize(data, "piece-data")
-    found = _constructed(data.join(large, "mark", "left_anti"), length).unionByName(_by_digests(data.join(large, "mark"), length))
+    data = materialize(_fetch(kinds.filter("differ").select("mark", "piece", "one.*"), texts, length), "piece-data")
+    found = _shared(data, length)
     spans = known.join(each.unionByName(found), ["mark", "piece"]).select(
         "digest", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") - 1 + length).alias("b"))
     return spans.groupBy("digest").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # bounded by the text's length

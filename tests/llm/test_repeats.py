@@ -50,7 +50,7 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("group", [1 << 13, 3])
+@pytest.mark.parametrize("group", [1 << 10, 3])
 def test_removed_bytes(spark, texts, monkeypatch, group):
     monkeypatch.setattr(repeats, "GROUP", group)
     rows = [(i if i != 8 else None, t, 0) for i, t in enumerate(texts)]
@@ -100,9 +100,58 @@ def test_construction_on_random_groups():
                 group.append(g)
                 data.append(bytes(piece))
                 anchor.append(o)
-        got = repeats.repeated_windows(np.array(group), data, np.array(anchor), 400)
+        got = repeats.repeated_windows(np.array(group), data, np.array(anchor), 400, 368)
         for i in range(len(data)):
             others = {(data[j][k: k + 400], k - anchor[j]) for j in range(len(data)) if j != i and group[j] == group[i]
                       for k in range(len(data[j]) - 399)}
             want = [(data[i][k: k + 400], k - anchor[i]) in others for k in range(len(data[i]) - 399)]
             assert got[i].tolist() == want
+
+
+def test_equal_windows_share_a_group(spark):
+    rng = np.random.default_rng(5)
+    core = bytes(rng.integers(97, 123, 800).tolist())
+    rows = []
+    for i in range(60):  # pieces of one anchor at place 400 of the core, with bytes of their own on either side
+        anchor = int(rng.integers(0, 369))
+        windows = int(rng.integers(1, anchor + 2))
+        piece = bytearray(core[400 - anchor: 400 - anchor + windows + 399])
+        for side in (slice(0, max(0, anchor - int(rng.integers(0, 369)))), slice(anchor + 32 + int(rng.integers(0, 369)), None)):
+            piece[side] = bytes(rng.integers(97, 123, len(piece[side])).tolist())
+        rows.append((7, i, anchor, bytes(piece)))
+    frame = spark.createDataFrame(rows, "mark long, piece long, anchor int, data binary")
+    parts = repeats.part_table(frame, 400).collect()
+    seen, covered = collections.defaultdict(set), collections.Counter()
+    for r in parts:
+        assert r["windows"] <= repeats.STEP and len(r["bytes"]) == r["windows"] + 399 and 0 <= r["offset"] < repeats.STEP
+        for k in range(r["windows"]):
+            covered[r["piece"], r["start"] + k] += 1
+            seen[bytes(r["bytes"][k: k + 400])].add((r["group"], r["offset"] - k))
+    assert covered == {(i, k): 1 for _, i, _, d in rows for k in range(len(d) - 399)}
+    assert all(len(v) == 1 for v in seen.values())
+    held = collections.defaultdict(set)
+    for _, i, _, d in rows:
+        for k in range(len(d) - 399):
+            held[d[k: k + 400]].add((i, k))
+    want = {x for v in held.values() if len({i for i, _ in v}) > 1 for x in v}
+    assert want
+    got = {(r["piece"], k) for r in repeats._shared(frame, 400).collect() for k in range(r["first"], r["last"])}
+    assert got == want
+
+
+def test_a_passage_of_very_many_texts_falls_apart(spark):
+    rng = random.Random(9)
+
+    def text(n):
+        return "".join(rng.choice("abcdefgh ") for _ in range(n))
+
+    passage, longer = text(300), text(420)
+    texts = [text(500) + passage + text(500) for _ in range(150)] + [text(500) + longer + text(500) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in repeats.remove_repeats(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == plain(texts, 400)
+    assert sum(g[1] > 0 for g in got.values()) == 30
+    least = lambda raw: np.argmin(repeats.gram_hashes(np.frombuffer(raw, np.uint8)[-300:]))
+    rows = [(0, i, 100 + int(least(passage.encode())), (t[400:500] + passage + t[800:900]).encode()) for i, t in enumerate(texts[:150])]
+    groups = repeats.part_table(spark.createDataFrame(rows, "mark long, piece long, anchor int, data binary"), 400).groupBy("group").count()
+    assert groups.agg({"count": "max"}).first()[0] == 1
