@@ -1,12 +1,14 @@
 """Personal data: fixed patterns, and a character BiLSTM with a CRF on top for forms that the patterns do not know.
 
-The network reads characters in overlapping windows and scores begin/inside/outside tags of the four kinds; the CRF adds
-learned transitions between tags, and Viterbi finds the best tags of each window. Where windows overlap, a character
-keeps the tag from the window it lies deepest in. It is trained in numpy, by the CRF's exact gradient through both LSTMs,
+The network reads characters in overlapping windows and scores begin/inside/outside tags of the four kinds and of a
+fifth that no pattern finds, secrets (keys, tokens, passwords); the CRF adds learned transitions between tags, and Viterbi
+finds the best tags of each window. Where windows overlap, a character keeps the tag from the window it lies deepest in. A
+span that reaches the end of what has been read is followed into the next windows. It is trained in numpy, by the CRF's exact gradient through both LSTMs,
 on labelled spans: corpus snippets with forms put into them, whose places are therefore known, and with numbers, dates
-and hashes that are nothing. A span that the network adds must hold what its kind needs and may not touch a pattern's.
+and hashes that are nothing. A span that the network adds must hold what its kind needs and may not touch a pattern's. A
+secret is a whole word of letters and digits, 16 or more, that something is set to.
 
-Each kind holds a digit or an at sign (or its word), so windows without any of these are known to be outside.
+Each kind holds a digit or an at sign (or the words at, dot), so windows without any of these are known to be outside.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ from pyspark.sql import types as T
 
 from panelloom.llm.common import release, ship, slices
 
-#: The kinds, in the order of results.
+#: The kinds that have patterns, in the order of results, and all.
 KINDS = ["email", "ip", "card", "phone"]
-TAGS = ["O"] + [f"{b}-{k}" for k in KINDS for b in "BI"]
+ALL_KINDS = [*KINDS, "secret"]
+TAGS = ["O"] + [f"{b}-{k}" for k in ALL_KINDS for b in "BI"]
 WINDOW = 48
 HIDDEN = 12
 #: Corpus snippets around which training examples are made.
@@ -36,9 +39,15 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_MARK = re.compile(r"[0-9@]| at |[\[(]at[\])]")
-MARK = r"[0-9@]| at |[\[(]at[\])]"
-_WRITTEN = re.compile(r"[A-Za-z0-9._%+-]+(?:@| ?[\[(]?\bat\b[\])]? ?)")
+MARK = r"[0-9@]|(?i: at | dot |[\[(](?:at|dot)[\])])"
+_MARK = re.compile(MARK)
+_AT = r"(?:@| ?[\[(](?i:at)[\])] ?| (?i:at) )"
+_DOT = r"(?:\.| ?\[\.\] ?| ?[\[(](?i:dot)[\])] ?| (?i:dot) )"
+_WRITTEN = re.compile(rf"[A-Za-z0-9._%+-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+")
+_IN_SECRET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-+/")
+_SET_TO = re.compile(r"(?:[=:][\x20]?[\"'`]?|(?i:bearer)[\x20])\Z")
+#: A span with a tag among so many last characters of what has been read is followed further.
+_BORDER = 4
 _OTHER = 128
 
 
@@ -81,7 +90,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], s[2])))
+    return ",".join(f"{ALL_KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], s[2])))
 
 
 def encode(text: str) -> np.ndarray:
@@ -212,13 +221,15 @@ def _word(rng) -> str:
 
 def example(rng: np.random.Generator) -> tuple[str, int]:
     """A form and its kind number, or -1 for something that is nothing."""
-    pick = int(rng.integers(13))
+    pick = int(rng.integers(17))
     name, host, end = f"{_word(rng)}{rng.choice(['', '.', '_', '7'])}{_word(rng)}", _word(rng), str(rng.choice(["com", "org", "net", "de"]))
+    for _ in range(int(rng.choice([0, 0, 0, 1, 2, 3]))):
+        host += f"{rng.choice(['-', '', ''])}{_word(rng)}"
     if pick == 0:
         return f"{name}@{host}.{end}", 0
     if pick == 1:
         at, dot = rng.choice(["at", "[at]", "(at)"]), rng.choice(["dot", "[dot]", "(dot)"])
-        return f"{name} {at} {host} {dot} {end}", 0
+        return (f"{name} {at} {host} {dot} {end}", f"{name} {at} {host} {dot} {end}".upper())[int(rng.integers(4) == 0)], 0
     if pick == 2:
         return f"{name}@{host}[.]{end}", 0
     if pick == 3:
@@ -235,12 +246,27 @@ def example(rng: np.random.Generator) -> tuple[str, int]:
     if pick == 8:
         return f"{rng.integers(1900, 2030)}-{rng.integers(1, 13):02}-{rng.integers(1, 29):02}", -1
     if pick == 9:
-        return "".join(rng.choice(list("0123456789abcdef"), int(rng.integers(8, 41)))), -1
+        said = str(rng.choice(["", "", "commit ", "commit: ", "sha256: ", "digest = ", "id="]))
+        return said + _drawn(rng, "0123456789abcdef", int(rng.integers(8, 65))), -1
     if pick == 10:
         return _number(rng, int(rng.integers(1, 14))), -1
     if pick == 11:
         return f"{rng.integers(0, 30)}.{rng.integers(0, 30)}" + (f".{rng.integers(0, 30)}" if rng.integers(2) else ""), -1
-    return f"{_word(rng)} at {_word(rng)}", -1
+    if pick == 12:
+        return f"{_word(rng)} at {_word(rng)}", -1
+    letters = "0123456789abcdef" if rng.integers(2) else "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_-"
+    return _drawn(rng, letters, int(rng.choice([20, 24, 32, 40, 40, 48, 64]))), 4
+
+
+def _drawn(rng, letters: str, n: int) -> str:
+    return "".join(rng.choice(list(letters), n))
+
+
+def setting(rng: np.random.Generator) -> tuple[str, str]:
+    """What stands before and behind a secret."""
+    name = str(rng.choice(["key", "api_key", "apikey", "token", "access_token", "secret", "client_secret", "password", "passwd", "auth"]))
+    quote = str(rng.choice(['"', "'", ""]))
+    return f"{name}{rng.choice([' = ', '=', ': ', ':'])}{quote}", quote
 
 
 def training_windows(snippets: list[str], count: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -253,8 +279,9 @@ def training_windows(snippets: list[str], count: int, rng: np.random.Generator)
             cut = int(rng.integers(0, max(1, len(around) - 20)))
             lead = around[cut: cut + int(rng.integers(2, 24))]
             form, kind = example(rng)
-            text += f"{lead} {form}"
-            tags += [0] * (len(lead) + 1) + ([2 * kind + 1] + [2 * kind + 2] * (len(form) - 1) if kind >= 0 else [0] * len(form))
+            before, behind = setting(rng) if kind == 4 else ("", "")
+            text += f"{lead} {before}{form}{behind}"
+            tags += [0] * (len(lead) + 1 + len(before)) + ([2 * kind + 1] + [2 * kind + 2] * (len(form) - 1) if kind >= 0 else [0] * len(form)) + [0] * len(behind)
         tail = str(rng.choice(snippets))[:WINDOW] if snippets else _word(rng)
         text, tags = f"{text} {tail}", tags + [0] * (len(tail) + 1)
         start = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
@@ -285,7 +312,9 @@ def train(snippets: list[str], steps: int = 400, batch: int = 96, seed: int = 0)
 def passes(kind: int, text: str) -> bool:
     """What a span added by the network must hold."""
     if kind == 0:
-        return bool(re.search(r"@|\bat\b", text)) and bool(re.search(r"[.]|\bdot\b", text))
+        return bool(re.search(r"@|\b(?i:at)\b", text)) and bool(re.search(r"[.]|\b(?i:dot)\b", text))
+    if kind == 4:
+        return len(text) >= 16 and bool(digits(text)) and any(c.isalpha() for c in text) and not set(text) - _IN_SECRET
     number = digits(text)
     if kind == 1:
         parts = text.split(".")
@@ -298,34 +327,49 @@ def passes(kind: int, text: str) -> bool:
 def tag_texts(tagger: Tagger, texts: list[str], batch: int = 2048) -> list[list[tuple[int, int, int]]]:
     """Spans (start, end, kind) of the network in each text, from overlapping windows around marks."""
     step = WINDOW // 2
-    codes, windows = [], []
+    codes = [encode(text) for text in texts]
+    tags = [np.zeros(len(c), np.int64) for c in codes]
+    depth = [np.full(len(c), -1) for c in codes]
+    wanted = set()
     for n, text in enumerate(texts):
-        codes.append(encode(text))
-        wanted = set()
         for m in _MARK.finditer(text):
             k = m.start() // step
-            wanted.update((k - 1, k))  # both windows that hold the place
-        windows += [(n, max(0, k) * step) for k in sorted({max(0, k) for k in wanted})]
-    tags = [np.zeros(len(c), np.int64) for c in codes]
-    depth = [np.full(len(c), -1) for c in codes]
-    own_depth = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
-    for k in range(0, len(windows), batch):
-        part = windows[k: k + batch]
-        x = np.zeros((len(part), WINDOW), np.uint8)
-        for row, (n, at) in zip(x, part):
-            piece = codes[n][at: at + WINDOW]
-            row[: len(piece)] = piece
-        best = viterbi(tagger.weights, emissions(tagger.weights, np.ascontiguousarray(x.T))[0]).T
-        for row, (n, at) in zip(best, part):
-            size = min(WINDOW, len(codes[n]) - at)
-            # the text's own ends are no window edges
-            deep = np.where(np.arange(size) < step, own_depth[:size] if at else WINDOW, own_depth[:size])
-            deeper = deep > depth[n][at: at + size]
-            tags[n][at: at + size][deeper] = row[:size][deeper]
-            depth[n][at: at + size][deeper] = deep[deeper]
+            wanted.update(((n, max(0, k - 1)), (n, k)))  # both windows that hold the place
+    read: set[tuple[int, int]] = set()
+    while wanted:
+        windows = [(n, k * step) for n, k in sorted(wanted)]
+        for k in range(0, len(windows), batch):
+            _decode(tagger, windows[k: k + batch], codes, tags, depth)
+        read |= wanted
+        further = set()
+        for n, at in windows:  # spans that go on where nothing has been read
+            end, k = min(at + WINDOW, len(codes[n])), at // step
+            if end < len(codes[n]) and depth[n][end] < 0 and tags[n][end - _BORDER: end].any():
+                further.update(((n, end // step - 1), (n, end // step)))
+            if at and depth[n][at - 1] < 0 and tags[n][at: at + _BORDER].any():
+                further.update(((n, k - 1), (n, max(0, k - 2))))
+        wanted = further - read
     return [_spans_of(t) for t in tags]
 
 
+def _decode(tagger: Tagger, windows: list[tuple[int, int]], codes: list, tags: list, depth: list) -> None:
+    """Writes the best tags of the windows (text, place) into `tags` wherever they lie deeper than `depth`."""
+    step = WINDOW // 2
+    own_depth = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
+    x = np.zeros((len(windows), WINDOW), np.uint8)
+    for row, (n, at) in zip(x, windows):
+        piece = codes[n][at: at + WINDOW]
+        row[: len(piece)] = piece
+    best = viterbi(tagger.weights, emissions(tagger.weights, np.ascontiguousarray(x.T))[0]).T
+    for row, (n, at) in zip(best, windows):
+        size = min(WINDOW, len(codes[n]) - at)
+        # the text's own ends are no window edges
+        deep = np.where(np.arange(size) < step, own_depth[:size] if at else WINDOW, own_depth[:size])
+        deeper = deep > depth[n][at: at + size]
+        tags[n][at: at + size][deeper] = row[:size][deeper]
+        depth[n][at: at + size][deeper] = deep[deeper]
+
+
 def _spans_of(tags: np.ndarray) -> list[tuple[int, int, int]]:
     kind = (tags - 1) // 2
     kind[tags == 0] = -1
@@ -349,21 +393,43 @@ def all_spans(tagger: Tagger | None, texts: list[str]) -> list[tuple[list, list]
         for a, b, k in more:
             piece = text[a:b]
             a, b = a + len(piece) - len(piece.lstrip()), b - (len(piece) - len(piece.rstrip()))
-            if k == 0 and (m := _WRITTEN.search(text, a, b)):
-                a = m.start()  # the local part is one word
-            whole = not (text[a - 1: a].isdigit() and a) and not text[b: b + 1].isdigit()
+            if k == 0:
+                a, b = _whole_address(text, a, b)
+            if k == 4:
+                a, b = _whole_word(text, a, b)
+                if not _SET_TO.search(text, max(0, a - 8), a):
+                    continue
+            whole = k == 4 or not (text[a - 1: a].isdigit() and a) and not text[b: b + 1].isdigit()
             if a < b and whole and passes(k, text[a:b]) and all(b <= s or e <= a for s, e, _ in spans):
                 spans.append((a, b, k))
         out.append((own, sorted(spans, key=lambda s: (s[0], s[2]))))
     return out
 
 
+def _whole_address(text: str, a: int, b: int) -> tuple[int, int]:
+    """The written address that text[a:b] is a part of, or a, b: a local part has 64 characters at most, a domain 255."""
+    for m in _WRITTEN.finditer(text, max(0, a - 64), b + 255):
+        if m.start() < b and a < m.end():
+            return m.span()
+    return a, b
+
+
+def _whole_word(text: str, a: int, b: int) -> tuple[int, int]:
+    """The word of a secret's characters that holds the middle of text[a:b]; empty where that is another character."""
+    a = b = (a + b) // 2
+    while a and text[a - 1] in _IN_SECRET:
+        a -= 1
+    while b < len(text) and text[b] in _IN_SECRET:
+        b += 1
+    return a, b
+
+
 def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     """The text with every span, overlapping ones merged, replaced by its first kind in brackets."""
     out, free = [], 0
     for a, b, k in spans:
         if a >= free:
-            out += [text[free:a], f"[{KINDS[k].upper()}]"]
+            out += [text[free:a], f"[{ALL_KINDS[k].upper()}]"]
         free = max(free, b)
     return "".join(out) + text[free:]
 
@@ -382,7 +448,7 @@ def scan(docs: DataFrame, tagger: Tagger | None, keep: list[str] | None = None,
     """Per row of `docs` (doc_id, text): the columns `keep` (doc_id), n_email, n_ip, n_card, n_phone, base_sha256, spans,
     and with `redact` the text with its spans replaced.
 
-    Counts and digest are of the pattern spans, spans lists all. Places are code points, ends exclusive. Null and empty
+    Counts and digest are of the pattern spans, spans lists all, secrets too. Places are code points, ends exclusive. Null and empty
     texts have none (a redacted null stays null); repeated rows agree; a null doc_id stays null; an empty table gives no
     rows. Names in `keep` must not be those of the columns added: rows with any names travel as one struct. Texts without a
     digit or at sign do not reach Python, or are passed on as they are with `redact`.

@@ -92,6 +92,43 @@ def test_overlapping_windows_agree_on_places(tagger):
     assert found >= 35  # of 43
 
 
+def test_secrets_are_whole_words_that_something_is_set_to(tagger):
+    model, _ = tagger
+    rng = random.Random(4)
+    found = wrong = 0
+    for n in range(60):
+        value = "".join(rng.choice("0123456789abcdef") for _ in range((32, 40, 64)[n % 3]))
+        lead = "in the tern rest " * (n % 5) + "at " * (n % 7)
+        text = f'{lead}{("token", "api_key", "secret")[n % 3]} = "{value}" and rest'
+        a = text.index(value)
+        spans = pii.all_spans(model, [text])[0][1]
+        found += (a, a + len(value), 4) in spans
+        wrong += any(k == 4 and (s, e) != (a, a + len(value)) for s, e, k in spans)
+        wrong += any(k == 4 for _, _, k in pii.all_spans(model, [f"{lead}rest {value} in the tern"])[0][1])
+    assert found >= 54 and wrong == 0
+
+
+def test_spans_are_followed_into_windows_without_a_mark(tagger):
+    model, _ = tagger
+    texts = [f"{'rest in ' * n}anna.stern [at] {'ternstri' * 6} [dot] com rest in tern" for n in range(12)]
+    texts += [f"{'rest in ' * n}ANNA.STERN AT TERNSTRIN DOT COM rest in tern" for n in range(12)]
+    spans = [[t[a:b].lower() for a, b, k in own if k == 0] for t, (_, own) in zip(texts, pii.all_spans(model, texts))]
+    whole = [len(x) == 1 and x[0].startswith("anna.stern") and x[0].endswith("com") for x in spans]
+    assert sum(whole[:12]) >= 8 and sum(whole) >= 18
+
+
+def test_a_word_of_any_length_is_followed_to_its_end():
+    class Always:  # says that every character lies in a secret
+        weights = pii.initial(np.random.default_rng(0)).weights
+    Always.weights["S"][:] = -100
+    Always.weights["S"][9] = 100
+    Always.weights["A"][:] = -100
+    Always.weights["A"][9:, 10] = 100
+    text = "1" + "x" * 500
+    assert pii.tag_texts(Always, [text])[0][-1][1] == len(text)
+    assert pii.tag_texts(Always, ["x" * 300 + "1", "", "x"])[0][0][0] == 0
+
+
 def test_scan(spark, tagger):
     model, _ = tagger
     texts = ["mail a.b@c.de and 1.2.3.4", None, "", "clean words only", "é é +49 (30) 1234-5678", "x " * 60_000 + "4539 1488 0343 6467",
