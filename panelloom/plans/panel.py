@@ -11,7 +11,8 @@ from panelloom.functions import finance
 from panelloom.operators.evaluate import panel_coverage, panel_qa
 from panelloom.operators.joins import join_small
 from panelloom.operators.timeseries import lag_by_row, require_unique
-from panelloom.sources.tables import csv_to_parquet, read_parquet, write_parquet, write_summary_csv
+from panelloom.sources.colocated import joins_by_entity, read_colocated, write_colocated
+from panelloom.sources.tables import csv_to_parquet, write_summary_csv
 
 
 def clean_characteristics(raw: DataFrame, columns: list[str] = CHARACTERISTICS) -> DataFrame:
@@ -23,24 +24,30 @@ def clean_characteristics(raw: DataFrame, columns: list[str] = CHARACTERISTICS)
         *[clean.lenient_double(F.col(c)).alias(c) for c in columns])
 
 
+def with_key(df: DataFrame) -> DataFrame:
+    """Rows with an entity and a month; others match nothing later on, and together they would all go to one task."""
+    return df.filter(F.col("permno").isNotNull() & F.col("month_id").isNotNull())
+
+
 def clean_securities(raw: DataFrame) -> DataFrame:
     """Returns, prices and codes per security and month, with the cap of the previous row."""
+    return add_security_measures(typed_securities(raw))
+
+
+def typed_securities(raw: DataFrame) -> DataFrame:
     number, code = clean.lenient_double, clean.lenient_long
-    typed = raw.select(
+    return raw.select(
         clean.strict_long(F.col("PERMNO")).alias("permno"),
         clean.month_index(clean.date_from_slashes(F.col("date"))).alias("month_id"),
         number(F.col("RET")).alias("ret"), number(F.col("DLRET")).alias("dlret"),
         number(F.col("PRC")).alias("prc"), number(F.col("SHROUT")).alias("shrout"),
         number(F.col("VOL")).alias("vol"), code(F.col("SHRCD")).alias("shrcd"),
         code(F.col("EXCHCD")).alias("exchcd"), code(F.col("SICCD")).alias("siccd_crsp"))
-    return add_security_measures(typed)
 
 
 def add_security_measures(typed: DataFrame) -> DataFrame:
     """Adjusted return, price, cap and lagged cap from typed security rows."""
-    # rows without a key match nothing later on; together they would all go to one task of the lag
-    keyed = typed.filter(F.col("permno").isNotNull() & F.col("month_id").isNotNull())
-    measured = keyed.select(
+    measured = with_key(typed).select(
         "*", finance.delisting_adjusted(F.col("ret"), F.col("dlret")).alias("ret_adj"),
         finance.absolute_price(F.col("prc")).alias("price_abs"),
         finance.market_cap(F.col("prc"), F.col("shrout")).alias("mktcap"))
@@ -82,22 +89,30 @@ def master_panel(characteristics: DataFrame, securities: DataFrame, risk_free: D
     return joined.select(*ordered, finance.excess_return(F.col("ret_adj"), F.col("rf")).alias("ret_excess"))
 
 
+def write_master_panel(characteristics: DataFrame, securities: DataFrame, risk_free: DataFrame, macro: DataFrame, path: str,
+                       first_year: int = PANEL_FIRST_YEAR, last_year: int = PANEL_LAST_YEAR) -> str:
+    """The panel of two co-located sources, joined bucket by bucket and stored as they lie."""
+    with joins_by_entity(characteristics.sparkSession):
+        return write_colocated(master_panel(characteristics, securities, risk_free, macro, first_year, last_year), path, in_place=True)
+
+
 def build_master_panel(spark: SparkSession, csv_sources: dict[str, str], folder: str) -> str:
     """CSV files (author, wrds, ff3mom, goyal; others are only converted) to a stored master panel and its QA.
 
     Each source is read as text once and kept typed, so the joins start from columns that filters
-    and pruning reach. Sources stored by an earlier run are left alone. A security with two rows in one month is an
+    and pruning reach. The two large ones and the panel lie in buckets of the entity (`read_colocated`): each of the two is
+    shuffled once, as it is stored, and the lag, the check of its keys, the join and next month's look-ahead move nothing. Sources stored by an earlier run are left alone. A security with two rows in one month is an
     error: its previous row would depend on their order. Beside the panel go `panel_qa.csv` and `panel_coverage.csv`.
     Returns the panel's path.
     """
-    cleaners = {"author": clean_characteristics, "wrds": clean_securities, "ff3mom": clean_risk_free,
-                "goyal": clean_macro}
-    stored = csv_to_parquet(spark, csv_sources, folder, cleaners)
-    author, wrds, ff3mom, goyal = (read_parquet(spark, stored[name]) for name in cleaners)
+    cleaners = {"author": lambda raw: with_key(clean_characteristics(raw)), "wrds": lambda raw: with_key(typed_securities(raw)),
+                "ff3mom": clean_risk_free, "goyal": clean_macro}
+    stored = csv_to_parquet(spark, csv_sources, folder, cleaners, {"author": write_colocated, "wrds": write_colocated})
+    author, wrds, ff3mom, goyal = (read_colocated(spark, stored[name]) for name in cleaners)
     require_unique(wrds, ["permno", "month_id"])
     folder = folder.rstrip("/")
-    path = write_parquet(master_panel(author, wrds, ff3mom, goyal), f"{folder}/master_panel.parquet")
-    panel = read_parquet(spark, path)
+    path = write_master_panel(author, add_security_measures(wrds), ff3mom, goyal, f"{folder}/master_panel.parquet")
+    panel = read_colocated(spark, path)
     write_summary_csv(panel_qa(panel), f"{folder}/panel_qa.csv")
     write_summary_csv(panel_coverage(panel), f"{folder}/panel_coverage.csv")
     return path

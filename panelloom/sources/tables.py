@@ -41,10 +41,12 @@ def numbers_where_present(columns: list[str] = RETURN_COLUMNS) -> Callable[[Data
 
 
 def csv_to_parquet(spark: SparkSession, sources: Mapping[str, str], folder: str,
-                   cleaners: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None) -> dict[str, str]:
+                   cleaners: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None,
+                   writers: Mapping[str, Callable[[DataFrame, str], str]] | None = None) -> dict[str, str]:
     """Convert each named CSV once; an output that was written to its end is left alone.
 
-    A source without a cleaner of its own keeps its columns as text, return columns as numbers. An output without
+    A source without a cleaner of its own keeps its columns as text, return columns as numbers; one without a writer
+    becomes a plain parquet folder. An output without
     the mark of a finished write, left by a killed job, is written again.
     """
     written = {}
@@ -52,7 +54,7 @@ def csv_to_parquet(spark: SparkSession, sources: Mapping[str, str], folder: str,
         written[name] = f"{folder.rstrip('/')}/{name}.parquet"
         if not write_finished(spark, written[name]):
             typed = (cleaners or {}).get(name, numbers_where_present())(read_csv_strings(spark, path))
-            write_parquet(typed, written[name])
+            (writers or {}).get(name, write_parquet)(typed, written[name])
     return written
 
 

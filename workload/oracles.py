@@ -296,6 +296,7 @@ def oracle_sql():
         count(DISTINCT permno) AS n_stocks FROM panel GROUP BY 1""")
     out["next_month_target"] = with_ctes("""SELECT permno, month_id, target_month, target_month_id, target_year,
         y, size_for_ranking FROM target""")
+    out["colocated_panel"], out["colocated_target"] = out["master_panel"], out["next_month_target"]
     out["same_month_target"] = with_ctes(f"""SELECT permno, month_id, month AS target_month,
         month_id AS target_month_id, CAST(year(month) AS BIGINT) AS target_year,
         ret_excess AS y, mktcap_lag AS size_for_ranking

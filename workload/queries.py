@@ -216,6 +216,15 @@ def next_month_target(spark, sf_dir):
     return _sample(spark, sf_dir).select(TARGET_COLUMNS)
 
 
+def colocated_panel(spark, sf_dir):
+    return _round_all(tb.colocated_panel(spark, sf_dir), ["macro_dp", "macro_ep"])
+
+
+def colocated_target(spark, sf_dir):
+    panel = tb.colocated_panel(spark, sf_dir)
+    return target_panel(panel, tb.FEATURES, "next_month", tb.FIRST_TARGET, tb.LAST_TARGET).select(TARGET_COLUMNS)
+
+
 def same_month_target(spark, sf_dir):
     return _sample(spark, sf_dir, "same_month").select(TARGET_COLUMNS)
 
@@ -561,7 +570,7 @@ QUERIES = {f.__name__: f for f in [
     null_tokens_trim, lenient_cast, strict_cast, parse_dates, month_index, yyyymm_split, csv_parquet_roundtrip,
     prediction_store, prediction_concat, summary_csv, delist_adjusted_return, market_cap, security_codes, lag_by_row,
     risk_free, macro_predictors, master_panel, excess_return, macro_resolution, key_uniqueness, panel_qa,
-    panel_coverage, next_month_target, same_month_target, month_median_fill, rank_transform, rank_transform_float,
+    panel_coverage, next_month_target, colocated_panel, colocated_target, same_month_target, month_median_fill, rank_transform, rank_transform_float,
     rank_transform_split, ranks_with_nulls, ranks_with_nulls_split, wide_rank_transform, wide_rank_transform_split, macro_global_fill,
     macro_expanding_fill, macro_interactions, industry_dummies, finite_pairs, top_bottom_k, oos_r2_summary, yearly_r2, yearly_diagnostics, forecast_quantiles,
     forecast_quantiles_split, forecast_quantiles_disc, forecast_quantiles_linear, drift_table, huber_loss_terms, expanding_window_ols, huber_thresholds,

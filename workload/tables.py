@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.cleaning import month_index
 from panelloom.operators.timeseries import lag_by_row
-from panelloom.plans.panel import (clean_characteristics, clean_macro, clean_risk_free, clean_securities,
-                                   master_panel)
-from panelloom.sources.storage import materialize
+from panelloom.plans.panel import (add_security_measures, clean_characteristics, clean_macro, clean_risk_free, clean_securities,
+                                   master_panel, typed_securities, with_key, write_master_panel)
+from panelloom.sources.colocated import read_colocated, write_colocated
+from panelloom.sources.storage import materialize, scratch_path
 
 FEATURES = ["mvel1", "bm", "mom12m"]
 CHARACTERISTICS = FEATURES + ["turn", "retvol", "dolvol"]
@@ -163,3 +164,14 @@ def _built_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return master_panel(
         materialize(author, "characteristics"), materialize(clean_securities(raw_securities(cell)), "securities"),
         clean_risk_free(raw_risk_free(months)), clean_macro(raw_macro(months)), FIRST_YEAR, LAST_YEAR)
+
+
+def colocated_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same panel from sources that lie in buckets of the entity, stored in buckets itself."""
+    cell, months = stored_cells(spark, sf_dir), stored_months(spark, sf_dir)
+    author = with_key(clean_characteristics(raw_characteristics(cell, table(spark, sf_dir, "supplier")), CHARACTERISTICS))
+    wrds = with_key(typed_securities(raw_securities(cell)))
+    author, wrds = (read_colocated(spark, write_colocated(df, scratch_path(spark, "colocated"))) for df in (author, wrds))
+    path = write_master_panel(author, add_security_measures(wrds), clean_risk_free(raw_risk_free(months)),
+                              clean_macro(raw_macro(months)), scratch_path(spark, "colocated-panel"), FIRST_YEAR, LAST_YEAR)
+    return read_colocated(spark, path)
