@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from panelloom.operators import orderstats
+from panelloom.operators import features, orderstats
 from panelloom.operators.features import ranked_features
 from panelloom.operators.joins import join_small
 from panelloom.sources.storage import materialize
@@ -132,6 +132,69 @@ def test_ranks_over_ranges_take_two_shuffles_and_carry_ties_across_borders(spark
     assert np.array_equal(got[["a_r", "b_r"]].to_numpy(), ranks.to_numpy())
 
 
+def test_ranges_are_no_more_than_tasks_of_a_shuffle(spark, skewed):
+    assert orderstats._range_count(18_000_000, 16, 24) == 25
+    assert orderstats._range_count(1_000_000_000, 16, 24) == 251
+    assert orderstats._range_count(100, 60, 24) == 2
+    _, df = skewed
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    seen = []
+
+    def watched(table, label, *rest):
+        made = materialize(table, label, *rest)
+        if label == "ranges":
+            seen.append(made.select("_part").distinct().count())
+        return made
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(orderstats, "materialize", watched)
+        orderstats.average_ranks(df, ["permno"], ["month_id"], NAMES, "_r", 16)
+    assert seen and max(seen) <= tasks + 1
+
+
+def test_ranges_are_read_batch_by_batch(spark, skewed):
+    """Runs of equal values go on over batches and over ranges."""
+    pdf, df = skewed
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = orderstats.average_ranks(df, ["permno"], ["month_id"], NAMES, "_r", 60).toPandas().set_index("permno").sort_index()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = pdf.groupby("month_id")[NAMES].rank("average")
+    assert np.array_equal(got[["a_r", "b_r"]].to_numpy(float), want.to_numpy(), equal_nan=True)
+
+
+@pytest.mark.parametrize("precision", ["double", "float"])
+def test_a_month_whose_columns_fit_is_ranked_in_blocks(skewed, precision, monkeypatch):
+    pdf, df = skewed
+    whole = ranked_features(df, NAMES, ["permno"], ["month_id"], precision).toPandas().set_index("permno").sort_index()
+
+    def refused(*_):
+        raise AssertionError("the long way")
+
+    monkeypatch.setattr(features, "fill_with_median", refused)
+    got = ranked_features(df, NAMES, ["permno"], ["month_id"], precision, values_per_task=1500)
+    assert sorted(got.dtypes) == sorted(ranked_features(df, NAMES, ["permno"], ["month_id"], precision).dtypes)
+    got = got.toPandas().set_index("permno").sort_index()
+    assert np.array_equal(got[["a_rank", "b_rank"]].to_numpy(), whole[["a_rank", "b_rank"]].to_numpy())
+
+
+@pytest.mark.parametrize("method", ["linear", "nearest"])
+def test_long_buckets_are_cut_again(skewed, method, monkeypatch):
+    """The number of buckets of a round is bounded; positions are found all the same."""
+    pdf, df = skewed
+    want = orderstats.group_quantiles(df, [], NAMES, [0.01, 0.5, 0.999], method).orderBy("feature").collect()
+    made = []
+    split_values = orderstats._split_values
+    monkeypatch.setattr(orderstats, "MOST_BUCKETS", 5)
+    monkeypatch.setattr(orderstats, "_split_values", lambda rows, keys, buckets: made.append(buckets) or split_values(rows, keys, buckets))
+    got = orderstats.group_quantiles(df, [], NAMES, [0.01, 0.5, 0.999], method, 20).orderBy("feature").collect()
+    assert [(r["feature"], r["n"]) for r in got] == [(r["feature"], r["n"]) for r in want]
+    assert np.allclose([r["q"] for r in got], [r["q"] for r in want], atol=1e-12)
+    assert len(made) > 1 and max(made) <= 5
+
+
 def test_a_repeated_key_is_refused_by_the_ranges(spark):
     df = materialize(spark.createDataFrame([(1, 7, 0.5), (1, 7, 0.25), (2, 7, 1.0)], "permno int, month_id int, a double"), "t")
     with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
