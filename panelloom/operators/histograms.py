@@ -19,8 +19,10 @@ from panelloom.sources.shipping import ship
 
 #: Sums that a pass gathers at most.
 CELLS = 1 << 21
-#: Row numbers in the arrays of a task at a time, times features.
-_AT_ONCE = 1 << 20
+#: Pairs of bins that two features may have to be counted together.
+_PAIRS = 1 << 12
+#: Rows that a task adds up at a time.
+ROWS = 1 << 15
 #: Lines of sums in one batch.
 _LINES = 1 << 16
 #: Features sketched in one aggregation.
@@ -57,9 +59,15 @@ def drawn(draw: np.ndarray, seed: int, share: float) -> np.ndarray:
     """A repeatable sample of rows: the same whatever the engine and however the rows are partitioned."""
     if share >= 1:
         return np.ones(len(draw), bool)
-    mixed = (draw + seed * 7_919_773) % PRIME
-    mixed = mixed * mixed % PRIME
-    return (mixed * 48_271 + 12_345) % PRIME < int(share * PRIME)
+    mixed = _below_prime(draw + seed * 7_919_773 % PRIME)
+    mixed = _below_prime(mixed * mixed)
+    return _below_prime(mixed * 48_271 + 12_345) < int(share * PRIME)
+
+
+def _below_prime(value: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 to 2^62 modulo PRIME, without a division: 2^31 is 1 there."""
+    folded = (value & PRIME) + (value >> 31)
+    return folded - (folded >= PRIME) * PRIME
 
 
 def binned(table: DataFrame, features: list[str], cuts: list[np.ndarray], y: str, key: list[str], year: Column) -> DataFrame:
@@ -87,11 +95,11 @@ def binned(table: DataFrame, features: list[str], cuts: list[np.ndarray], y: str
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """The bytes of a binary column of values of one length, a row each."""
+    """The bytes of a binary column of values of one length: a line for each feature, so that a feature's bins lie together."""
     _, offsets, data = column.buffers()
     first = np.frombuffer(offsets, np.int32)[column.offset] if len(column) else 0
     raw = np.frombuffer(data, np.uint8)[first: first + len(column) * width] if data is not None else np.zeros(0, np.uint8)
-    return raw.reshape(len(column), width)
+    return np.ascontiguousarray(raw.reshape(len(column), width).T)
 
 
 class Sums:
@@ -102,15 +110,21 @@ class Sums:
         self.one, self.two = np.zeros(cells), np.zeros(cells)
 
     def add(self, block: int, x: np.ndarray, one: np.ndarray, two: np.ndarray | None) -> None:
-        """Rows of bins `x` (row, feature) with their numbers; `two` None counts rows."""
-        width = x.shape[1]
-        size, step = width * self.bins, max(1, _AT_ONCE // max(1, width))
-        place = np.arange(width) * self.bins
-        for k in range(0, len(x), step):
-            cell = (x[k: k + step] + place).ravel()
-            self.one[block: block + size] += np.bincount(cell, np.repeat(one[k: k + step], width), size)
-            weights = None if two is None else np.repeat(two[k: k + step], width)
-            self.two[block: block + size] += np.bincount(cell, weights, size)
+        """Bins `x` (feature, row) of rows with their numbers; `two` None counts rows. Two features share a pass where their pairs of bins are few."""
+        bins, rows = self.bins, len(one)
+        step = 2 if bins * bins <= min(rows, _PAIRS) else 1
+        for j in range(0, len(x), step):
+            at = block + j * bins
+            if j + step > len(x) or step == 1:
+                cell = x[j].astype(np.intp)
+                self.one[at: at + bins] += np.bincount(cell, one, bins)
+                self.two[at: at + bins] += np.bincount(cell, two, bins)
+                continue
+            cell = (x[j].astype(np.uint16) * np.uint16(bins) + x[j + 1]).astype(np.intp)
+            for sums, weights in ((self.one, one), (self.two, two)):
+                both = np.bincount(cell, weights, bins * bins).reshape(bins, bins)
+                sums[at: at + bins] += both.sum(axis=1)
+                sums[at + bins: at + 2 * bins] += both.sum(axis=0)
 
     def lines(self) -> Iterator[pa.RecordBatch]:
         used = np.flatnonzero((self.one != 0) | (self.two != 0))
@@ -119,6 +133,19 @@ class Sums:
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(self.one[cell]), pa.array(self.two[cell])], ["cell", "one", "two"])
 
 
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ROWS or more, so that the cost of a numpy call is shared by many."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= ROWS:
+            yield pa.concat_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.concat_batches(held)
+
+
 def gather(rows: DataFrame, cells: int, bins: int, add: Callable[[pa.RecordBatch, Sums], None], tasks: int) -> tuple[np.ndarray, np.ndarray]:
     """The sums of all rows, which `add` puts into a task's `Sums` batch by batch.
 
@@ -127,7 +154,7 @@ def gather(rows: DataFrame, cells: int, bins: int, add: Callable[[pa.RecordBatch
     """
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums(cells, bins)
-        for batch in batches:
+        for batch in joined(batches):
             add(batch, sums)
         yield from sums.lines()
 

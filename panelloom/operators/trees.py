@@ -175,11 +175,13 @@ class Growing:
         self.feature, self.last, self.value = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size)
 
     def node_of(self, x: np.ndarray, levels: int) -> np.ndarray:
-        node, row = np.ones(len(x), np.int64), np.arange(len(x))
-        for _ in range(levels):
-            feature = self.feature[node]
-            right = x[row, feature] > self.last[node]
-            node = np.where(feature >= 0, 2 * node + right, node)
+        """Nodes of the rows of bins `x` (feature, row): a few comparisons of whole lines of bytes for each split."""
+        node = np.ones(x.shape[1], np.uint8 if levels < 8 else np.int64)
+        for parent in range(1, 1 << levels):
+            c = self.feature[parent]
+            if c >= 0:
+                child = np.add(2 * parent, x[c] > int(self.last[parent]), dtype=node.dtype)
+                node = child if parent == 1 else np.where(node == parent, child, node)
         return node
 
     def split(self, node: int, one: np.ndarray, two: np.ndarray, columns: list[int], cuts: list[np.ndarray], shrinkage: float, least: float) -> None:
@@ -290,10 +292,11 @@ def fit_boosted_windows(table: DataFrame, features: list[str], ends: list[int],
     return models
 
 
-def _scores(batch: pa.RecordBatch, x: np.ndarray, since: list[list[Growing]], window: int, rows: np.ndarray) -> np.ndarray:
-    score = _stored(batch)[rows, window]
-    for grown in since[window]:
-        score = score + grown.value[grown.node_of(x, grown.depth)]
+def _scores(stored: np.ndarray, x: np.ndarray, since: list[Growing]) -> np.ndarray:
+    """The stored score and the leaves of the trees since."""
+    score = stored.copy()
+    for grown in since:
+        score += grown.value.take(grown.node_of(x, grown.depth))
     return score
 
 
@@ -304,8 +307,8 @@ def _stored(batch: pa.RecordBatch) -> np.ndarray:
 def _rescored(rows: DataFrame, since: list[list[Growing]], width: int) -> DataFrame:
     def each(batches):
         for batch in batches:
-            x, all_rows = hg.matrix(batch.column(3), width), np.arange(batch.num_rows)
-            scores = np.stack([_scores(batch, x, since, w, all_rows) for w in range(len(since))], axis=1)
+            x, stored = hg.matrix(batch.column(3), width), _stored(batch)
+            scores = np.stack([_scores(stored[:, w], x, since[w]) for w in range(len(since))], axis=1)
             lists = pa.ListArray.from_arrays(np.arange(0, scores.size + 1, len(since), np.int32), scores.ravel())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists], batch.schema.names)
 
@@ -315,24 +318,29 @@ def _rescored(rows: DataFrame, since: list[list[Growing]], width: int) -> DataFr
 def _boost_level(rows, tasks, since, growing, level, ends, columns, cuts, settings, turn) -> None:
     """One pass: slope and curvature sums for the open nodes of all windows, and their splits."""
     width, size, nodes = len(cuts), len(columns) * settings.bins, 1 << level
-    chosen = np.array(columns)
+    used = [sorted({*columns, *(int(c) for grown in [*since[w], growing[w]] for c in grown.feature if c >= 0)}) for w in range(len(ends))]
 
     def add(batch: pa.RecordBatch, sums: hg.Sums) -> None:
         year, draw, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        x = hg.matrix(batch.column(3), width)
-        taken = hg.drawn(draw, settings.seed + turn, settings.row_share)
+        taken = np.flatnonzero(hg.drawn(draw, settings.seed + turn, settings.row_share))
+        x, year, y, stored = hg.matrix(batch.column(3), width).take(taken, axis=1), year[taken], y[taken], _stored(batch)[taken]
         for w, end in enumerate(ends):
-            own = np.flatnonzero(taken & (year <= end))
+            own = np.flatnonzero(year <= end)
             if not len(own) or not growing[w].open(level):
                 continue
-            mine = x[own]
-            error = _scores(batch, mine, since, w, own) - y[own]
+            mine = np.empty((width, len(own)), np.uint8)
+            for c in used[w]:
+                mine[c] = x[c].take(own, mode="clip")
+            error = _scores(stored[own, w], mine, since[w]) - y[own]
             square = 1 + error * error
-            slope, curvature = error / np.sqrt(square), square ** -1.5
+            root = np.sqrt(square)
+            slope, curvature = error / root, 1 / (square * root)
             node = growing[w].node_of(mine, level)
+            mine = mine[columns]
             for n in growing[w].open(level):
-                at = node == n
-                sums.add((w * nodes + n - nodes) * size, mine[at][:, chosen], slope[at], curvature[at])
+                at = np.flatnonzero(node == n)
+                part = (mine, slope, curvature) if len(at) == len(own) else (mine.take(at, axis=1), slope[at], curvature[at])
+                sums.add((w * nodes + n - nodes) * size, *part)
 
     one, two = hg.gather(rows.select("year", "draw", "y", "x", "score"), len(ends) * nodes * size, settings.bins, add, tasks)
     one, two = (a.reshape(len(ends), nodes, len(columns), settings.bins) for a in (one, two))
@@ -400,19 +408,23 @@ def _forest_level(rows, tasks, grown, group, level, ends, columns, cuts, setting
         stretch = np.searchsorted(order, year)
         for k in group:
             taken = np.flatnonzero(hg.drawn(draw, settings.seed + k, settings.row_share))
+            of, target = stretch[taken], y[taken]
             if level == 0:
-                chosen = np.array(drawn_for[k, 1])
-                mine, of, target = x[taken][:, chosen], stretch[taken], y[taken]
                 for s in range(len(order)):
-                    at = of == s
-                    sums.add(((k - first) * len(ends) + s) * size, mine[at], target[at], None)
+                    at = np.flatnonzero(of == s)
+                    here = taken[at]
+                    bins = np.stack([x[c].take(here, mode="clip") for c in drawn_for[k, 1]])
+                    sums.add(((k - first) * len(ends) + s) * size, bins, target[at], None)
                 continue
             for w, end in enumerate(ends):
-                own = taken[year[taken] <= end]
-                node = grown[k][w].node_of(x[own], level)
-                for n in grown[k][w].open(level):
-                    at = own[node == n]
-                    sums.add((((k - first) * len(ends) + w) * nodes + n - nodes) * size, x[at][:, drawn_for[k, n]], y[at], None)
+                tree = grown[k][w]
+                node = tree.node_of(x, level)[taken]
+                inside = of <= order.index(end)
+                for n in tree.open(level):
+                    at = np.flatnonzero((node == n) & inside)
+                    here = taken[at]
+                    bins = np.stack([x[c].take(here, mode="clip") for c in drawn_for[k, n]])
+                    sums.add((((k - first) * len(ends) + w) * nodes + n - nodes) * size, bins, target[at], None)
 
     one, two = hg.gather(rows.select("year", "draw", "y", "x"), len(group) * len(ends) * nodes * size, settings.bins, add, tasks)
     one, two = (a.reshape(len(group), len(ends), nodes, seen, settings.bins) for a in (one, two))

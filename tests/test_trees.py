@@ -1,6 +1,7 @@
 """The histogram learner against plain searches in numpy."""
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +190,47 @@ def test_a_changed_panel_is_not_taken_for_the_stored_one(table):
     changed, other = wf.fingerprints(late, windows), wf.fingerprints(swapped, windows)
     assert changed[1998] == first[1998] and changed[2000] != first[2000]
     assert other[1998] != first[1998] and other[2000] != first[2000]
+
+
+def test_sums_of_two_features_at_a_time_are_those_of_each():
+    rng = np.random.default_rng(5)
+    for rows, bins in ((5000, 32), (500, 32), (300, 200)):
+        x = rng.integers(0, bins, (5, rows)).astype(np.uint8)
+        one, two = rng.normal(size=rows), rng.random(rows)
+        for weights in (two, None):
+            sums = hg.Sums(5 * bins + 7, bins)
+            sums.add(7, x, one, weights)
+            want = [[np.bincount(c, w, bins) for c in x] for w in (one, weights)]
+            assert np.allclose(sums.one[7:].reshape(5, bins), want[0]) and np.allclose(sums.two[7:].reshape(5, bins), want[1])
+
+
+def test_row_draws_without_a_division():
+    draw = np.append(np.random.default_rng(6).integers(0, hg.PRIME, 10_000), [0, 1, hg.PRIME - 1])
+    for seed in (0, 42, 241, -3, 10 ** 9):
+        mixed = (draw + seed * 7_919_773) % hg.PRIME
+        mixed = mixed * mixed % hg.PRIME
+        assert np.array_equal(hg.drawn(draw, seed, 0.7), (mixed * 48_271 + 12_345) % hg.PRIME < int(0.7 * hg.PRIME))
+
+
+def test_a_task_adds_up_many_rows_at_a_time():
+    """Arrow hands over 10,000 rows at a time; a numpy call for each node, window and tree should see more."""
+    batches = [pa.RecordBatch.from_pydict({"y": np.arange(k, k + 10_000)}) for k in range(0, 100_000, 10_000)]
+    joined = list(hg.joined(iter(batches)))
+    assert min(b.num_rows for b in joined[:-1]) >= hg.ROWS
+    assert np.array_equal(np.concatenate([b.column(0).to_numpy() for b in joined]), np.arange(100_000))
+
+
+def test_nodes_line_by_line_are_those_of_each_row():
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 32, (6, 1000)).astype(np.uint8)
+    grown = trees.Growing(3)
+    grown.feature[[1, 2, 3, 5, 6]], grown.last[[1, 2, 3, 5, 6]] = [4, 0, 5, 4, 1], [15, 3, 20, 7, 30]
+    for levels in range(4):
+        want = []
+        for row in x.T:
+            node = 1
+            for _ in range(levels):
+                if grown.feature[node] >= 0:
+                    node = 2 * node + int(row[grown.feature[node]] > grown.last[node])
+            want.append(node)
+        assert list(grown.node_of(x, levels)) == want
