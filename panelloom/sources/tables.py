@@ -97,6 +97,8 @@ def write_summary_csv(df: DataFrame, path: str) -> str:
         files.delete(target, True)
         if not files.rename(part, target):
             raise OSError(f"could not move the report to {path}")
+        # a local folder's checksum came along; it would lie among the reports as a hidden file
+        files.delete(paths.Path(target.getParent(), f".{target.getName()}.crc"), False)
     finally:
         delete(spark, side)
     return path
