@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelloom.constants import MACROS, VALUES_PER_TASK
 from panelloom.operators.joins import join_small
-from panelloom.operators.orderstats import (average_ranks, fill_and_rank, fill_and_rank_in_blocks,
+from panelloom.operators.orderstats import (average_ranks, fill_and_rank, fill_and_rank_in_blocks, fill_and_rank_in_ranges,
                                             group_medians, group_quantiles, part_large_groups, quoted)
 from panelloom.operators.timeseries import attach_next_period
 from panelloom.sources.storage import materialize
@@ -81,11 +81,9 @@ def ranked_features(df: DataFrame, columns: list[str], key: list[str] = KEY, gro
                     precision: str = "double", values_per_task: int = VALUES_PER_TASK) -> DataFrame:
     """`fill_with_median` and `rank_transform` in one: the other columns of `df` and `<c>_rank`.
 
-    Months that fit a task take one shuffle; of larger ones a task takes a block of columns; those with a column too long
-    for that go the long way. The result is the same. `df` is read for the sizes and then for the work: pass a stored table.
+    Months that fit a task take one shuffle; of larger ones a task takes a block of columns; a column too long
+    for that is cut into ranges. The result is the same. `df` is read for the sizes and then for the work: pass a stored table.
     """
-    others = [c for c in df.columns if c not in columns]
-    names = [f"{c}_rank" for c in columns]
     small, large = part_large_groups(df, group, values_per_task // len(columns))
     made = fill_and_rank(small, group, columns, precision)
     if large is None:
@@ -94,10 +92,7 @@ def ranked_features(df: DataFrame, columns: list[str], key: list[str] = KEY, gro
     made = made.unionByName(fill_and_rank_in_blocks(middle, key, group, columns, precision, values_per_task))
     if large is None:
         return made
-    filled = fill_with_median(large, columns, group, precision, values_per_task)
-    narrow = filled.select(*others, "_n_month", *[f"{c}_filled" for c in columns])
-    wide = rank_transform(narrow, columns, key, group, precision, values_per_task)
-    return made.unionByName(wide.select(*others, *names))
+    return made.unionByName(fill_and_rank_in_ranges(large, key, group, columns, precision, values_per_task))
 
 
 # -- macro states --------------------------------------------------------------------------

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelloom.constants import FEW_COLUMNS, VALUES_PER_TASK
+from panelloom.constants import FEW_COLUMNS, SLICE_VALUES, VALUES_PER_TASK
 from panelloom.operators.joins import join_small
 from panelloom.sources.shipping import ship
 from panelloom.sources.storage import materialize
@@ -109,11 +109,15 @@ def _bucket_offsets(bucketed: DataFrame, keys: list[str]) -> DataFrame:
 def part_large_groups(df: DataFrame, group: list[str], max_rows: int) -> tuple[DataFrame, DataFrame | None]:
     """Rows of groups within `max_rows`, and rows of larger groups (None if there are none).
 
-    Larger groups are few, at most one per `max_rows` rows of `df`.
+    Larger groups are few, at most one per `max_rows` rows of `df`. Where all are larger, and none is NULL, `df` itself is returned as theirs.
     """
-    sizes = group_sizes(df, group)
-    if (sizes.agg(F.max("group_rows")).first()[0] or 0) <= max_rows:
+    sizes, rows = group_sizes(df, group), F.col("group_rows")
+    nameless = F.greatest(*[F.col(c).isNull().cast("int") for c in group], F.lit(0))
+    least, most, null = sizes.agg(F.min(rows), F.max(rows), F.max(nameless)).first()
+    if (most or 0) <= max_rows:
         return df, None
+    if least > max_rows and not null:
+        return df.limit(0), df
     large = materialize(sizes.filter(F.col("group_rows") > max_rows).select(*group, F.lit(True).alias("_large")),
                         "large-groups")
     marked = join_small(df, large, group, "left")
@@ -373,6 +377,207 @@ def fill_and_rank_in_blocks(df: DataFrame, key: list[str], group: list[str], val
         f"_parts[{k}][{j}] AS {quoted(v + '_rank')}" for k, block in enumerate(blocks) for j, v in enumerate(block)])
 
 
+def fill_and_rank_in_ranges(df: DataFrame, key: list[str], group: list[str], values: list[str], precision: str = "double",
+                            values_per_task: int = VALUES_PER_TASK) -> DataFrame:
+    """`fill_and_rank` for groups of which a task does not hold a column: ranges of a column's values at a time, as arrays.
+
+    1. The rows of a group are dealt by their key into slices of SLICE_VALUES (`_pack`). A slice keeps its rows with each value as a number among
+       the slice's distinct ones, and sends those out, sorted and counted: a line of arrays for each column and range. A value that any number
+       of rows share is so one entry of each slice.
+    2. The lines of a range meet in a task, which ranks them above the rows of lower ranges (`_rank_lines`). Equal values lie in one range.
+    3. The ranks return to their slice, are moved up by the missing values that the median fills, and looked up for its rows (`_spread_slices`).
+
+    A sample of rows proposes where to cut; that only balances the work. `key` identifies a row; a repeated one is refused. `df` is read
+    several times: pass a stored table.
+    """
+    others = [c for c in df.columns if c not in values]
+    tasks, rows = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("group_rows")
+    sizes = materialize(group_sizes(df, group), "group-sizes")
+    spare = max(1, tasks // max(1, sizes.count() * len(values)))
+    sizes = sizes.select(
+        *group, "group_rows", F.ceil(rows * len(values) / SLICE_VALUES).cast("int").alias("_slices"),
+        (F.least(F.floor(rows / values_per_task), F.greatest(F.lit(spare), F.floor(rows / VALUES_PER_TASK))) + 1).cast("int").alias("_ranges"))
+    doubles = df.selectExpr(*map(quoted, others), *[f"CAST({quoted(v)} AS DOUBLE) AS {quoted(v)}" for v in values])
+    sized = join_small(doubles, sizes, group, "inner")
+    ids = T.StructType([df.schema[c] for c in group])
+    names = [quoted(c) for c in [*others, *values]]
+    ship(df.sparkSession)
+
+    sample = sized.filter(F.pmod(F.xxhash64(*map(quoted, key)), rows) < F.greatest(F.lit(1000), 100 * F.col("_ranges")))
+    cuts = materialize(sample.groupBy(*group).applyInArrow(
+        _cuts(group, values, precision), T.StructType([*ids.fields, T.StructField("_cuts", T.ArrayType(T.ArrayType(T.DoubleType())))])), "cuts")
+    slices = (sizes.join(cuts, group, "left")
+              .select(*group, F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"), "_cuts"))
+    dealt = sized.select(F.pmod(F.hash(*map(quoted, key)), "_slices").alias("_slice"), *names)
+    line = [*ids.fields, *[T.StructField(c, T.IntegerType()) for c in ("_slice", "_feature", "_range")]]
+    packed = T.StructType([*line, T.StructField("_rows", T.LongType()), T.StructField("_values", T.ArrayType(T.DoubleType())),
+                           T.StructField("_counts", T.ArrayType(T.LongType())), T.StructField("_whole", T.BinaryType())])
+    lines = materialize(dealt.groupBy(*group, "_slice").cogroup(slices.groupBy(*group, "_slice")).applyInArrow(
+        _pack(key, group, others, values, precision), packed), "slices")
+
+    spot = [*group, "_feature", "_range"]
+    counts = lines.filter("_feature >= 0").groupBy(*spot).agg(F.sum("_rows").alias("_here"))
+    column = W.partitionBy(*group, "_feature")
+    lower = column.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = materialize(counts.select(*spot, F.coalesce(F.sum("_here").over(lower), F.lit(0)).alias("_below"),
+                                        F.sum("_here").over(column).alias("_n")), "offsets")
+    placed = join_small(lines.filter("_feature >= 0").drop("_whole", "_rows"), offsets, spot, "inner")
+    ranked = materialize(placed.groupBy(*spot).applyInArrow(
+        _rank_lines(precision), T.StructType([*line, T.StructField("_ranks", T.ArrayType(T.DoubleType()))])), "ranks")
+
+    marks = ranked.filter("_slice < 0").groupBy(*group).agg(F.collect_list(F.struct("_feature", "_ranks")).alias("_marks"))
+    whole = lines.filter("_feature < 0").select(*group, "_slice", "_whole")
+    whole = join_small(whole, materialize(sizes.select(*group, "group_rows").join(marks, group, "left"), "marks"), group, "inner",
+                       cells_per_row=21 * len(values))
+    kind = T.FloatType() if precision == "float" else T.DoubleType()
+    schema = T.StructType([*[df.schema[c] for c in others], *[T.StructField(f"{v}_rank", kind) for v in values]])
+    return whole.groupBy(*group, "_slice").cogroup(ranked.filter("_slice >= 0").groupBy(*group, "_slice")).applyInArrow(
+        _spread_slices(len(values), schema.names, precision), schema)
+
+
+def _cuts(group: list[str], values: list[str], precision: str) -> Callable[[pa.Table], pa.Table]:
+    """For a group's sample: where each column is cut, ascending and as narrow as the ranks; a range ends with its cut."""
+    number = np.float32 if precision == "float" else np.float64
+
+    def cut(table: pa.Table) -> pa.Table:
+        ranges, found = table.column("_ranges")[0].as_py(), []
+        for v in values:
+            seen = np.sort(table.column(v).drop_null().to_numpy().astype(number))
+            at = np.arange(1, ranges) * len(seen) // ranges
+            found.append(np.unique(seen[at]).astype(np.float64).tolist() if len(seen) else [])
+        return table.slice(0, 1).select(group).append_column("_cuts", pa.array([found], pa.list_(pa.list_(pa.float64()))))
+
+    return cut
+
+
+def _pack(key: list[str], group: list[str], others: list[str], values: list[str], precision: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For a slice: a line for each column and range with the distinct values there and their counts, and one (column -1) with its rows as
+    an Arrow stream, each value as its place among the distinct ones."""
+    number = np.float32 if precision == "float" else np.float64
+
+    def pack(table: pa.Table, cuts: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return nothing(cuts)
+        if table.select(key).group_by(key).aggregate([]).num_rows < table.num_rows:
+            raise ValueError(f"a repeated key of {key} within a group")
+        given = cuts.column("_cuts")[0].as_py() or [[]] * len(values)
+        whole, features, ranges, lengths, seen, counts = table.select(others), [-1], [-1], [0], [np.zeros(0)], [np.zeros(0, np.int64)]
+        for j, v in enumerate(values):
+            column = table.column(v).combine_chunks()
+            there = column.is_valid().to_numpy(zero_copy_only=False)
+            distinct, place, count = np.unique(column.drop_null().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+            places = np.zeros(len(there), np.int32)
+            places[there] = place
+            whole = whole.append_column(f"_{j}", pa.array(places, mask=~there))
+            ends = np.searchsorted(distinct.astype(number), np.array(given[j], number), side="right")
+            length = np.diff(np.concatenate([[0], ends, [len(distinct)]]))
+            some = np.flatnonzero(length)
+            features += [j] * len(some)
+            ranges += some.tolist()
+            lengths += length[some].tolist()
+            seen.append(distinct)
+            counts.append(count)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_table(whole)
+        ends, counts = np.cumsum([0, *lengths]).astype(np.int32), np.concatenate(counts)
+        rows, n = np.diff(np.append(0, np.cumsum(counts))[ends]), len(features)
+        first = table.slice(0, 1)
+        return pa.table({
+            **{c: first.column(c).take(np.zeros(n, np.int64)) for c in [*group, "_slice"]},
+            "_feature": pa.array(features, pa.int32()), "_range": pa.array(ranges, pa.int32()), "_rows": rows,
+            "_values": pa.ListArray.from_arrays(ends, np.concatenate(seen)), "_counts": pa.ListArray.from_arrays(ends, counts),
+            "_whole": pa.array([sink.getvalue().to_pybytes()] + [None] * (n - 1), pa.binary())})
+
+    def nothing(cuts: pa.Table) -> pa.Table:
+        types = {"_feature": pa.int32(), "_range": pa.int32(), "_rows": pa.int64(), "_values": pa.list_(pa.float64()),
+                 "_counts": pa.list_(pa.int64()), "_whole": pa.binary()}
+        return pa.table({**{c: cuts.column(c).slice(0, 0) for c in [*group, "_slice"]}, **{c: pa.array([], t) for c, t in types.items()}})
+
+    return pack
+
+
+def _rank_lines(precision: str) -> Callable[[pa.Table], pa.Table]:
+    """For the lines of a range: each entry's rank among the column's values that are there, as narrow as asked, in place of its value.
+
+    Further lines, of slice -1: for the two values in the column's middle and its largest one a number (0, 1, 2), the value, how many are
+    lower, how many equal, how many there are.
+    """
+    number = np.float32 if precision == "float" else np.float64
+
+    def rank(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lists, below, n = table.column("_values").combine_chunks(), table.column("_below")[0].as_py(), table.column("_n")[0].as_py()
+        value, count = lists.flatten().to_numpy(zero_copy_only=False), table.column("_counts").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(value, kind="stable")
+        upto, value = below + np.cumsum(count[order]), value[order]
+        narrow = value.astype(number)
+        new = np.append(True, (narrow[1:] != narrow[:-1]) & ~np.isnan(narrow[:-1]))
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(value)) - 1
+        lower = np.append(below, upto[last[:-1]])
+        equal = upto[last] - lower
+        ranks, run = np.empty(len(value)), np.cumsum(new) - 1
+        ranks[order] = (lower + (equal + 1) / 2.0)[run]
+        marks = []
+        for k, spot in enumerate(((n - 1) // 2, n // 2, n - 1)):
+            if below <= spot < upto[-1]:
+                at = np.searchsorted(upto, spot, side="right")
+                marks.append([k, value[at], lower[run[at]], equal[run[at]], n])
+        where = pa.array(np.append(np.arange(table.num_rows), np.zeros(len(marks), np.int64)))
+        ends = np.cumsum([0, *lists.value_lengths().to_pylist(), *[5] * len(marks)]).astype(np.int32)
+        made = table.drop_columns(["_values", "_counts", "_below", "_n"]).take(where)
+        slices = np.append(table.column("_slice").to_numpy(), np.full(len(marks), -1)).astype(np.int32)
+        made = made.set_column(made.schema.get_field_index("_slice"), "_slice", pa.array(slices))
+        return made.append_column("_ranks", pa.ListArray.from_arrays(ends, np.concatenate([ranks, *marks])))
+
+    return rank
+
+
+def _spread_slices(columns: int, names: list[str], precision: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For a slice's rows and the ranks of its distinct values: the rows with their ranks, filled values among them, spread over [-1, 1]."""
+    number = np.float32 if precision == "float" else np.float64
+
+    def spread(slices: pa.Table, lines: pa.Table) -> pa.Table:
+        rows, marks, pieces = slices.column("group_rows")[0].as_py(), {}, {}
+        for mark in slices.column("_marks")[0].as_py() or []:
+            marks.setdefault(mark["_feature"], {})[int(mark["_ranks"][0])] = mark["_ranks"][1:]
+        lists = lines.column("_ranks").combine_chunks()
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+        features, ranges = lines.column("_feature").to_numpy(), lines.column("_range").to_numpy()
+        for k in np.argsort(ranges, kind="stable"):
+            pieces.setdefault(features[k], []).append(flat[ends[k]: ends[k + 1]])
+        with pa.ipc.open_stream(slices.column("_whole")[0].as_buffer()) as stream:
+            whole = stream.read_all()
+        made = [whole.column(k) for k in range(whole.num_columns - columns)]
+        for j in range(columns):
+            lower, equal, missing = filled_at(marks.get(j), rows)
+            fill = lower + (equal + missing + 1) / 2.0
+            rank = np.concatenate(pieces.get(j, [np.zeros(0)]))
+            rank = np.where(rank > lower + equal, rank + missing, np.where(rank > lower, fill, rank))
+            places = whole.column(f"_{j}").combine_chunks()
+            there = places.is_valid().to_numpy(zero_copy_only=False)
+            full = np.full(len(there), fill)
+            full[there] = rank[places.drop_null().to_numpy(zero_copy_only=False)]
+            made.append(pa.array((2 * (full - 1) / (rows - 1) - 1 if rows > 1 else np.zeros(len(full))).astype(number)))
+        return pa.Table.from_arrays(made, names)
+
+    def filled_at(marks: dict[int, list[float]] | None, rows: int) -> tuple[float, float, float]:
+        """How many values of the column are below its median, how many equal it, and how many are missing."""
+        if marks is None:
+            return 0.0, 0.0, rows
+        (low, *_, n), (high, *_), (top, *_) = marks[0], marks[1], marks[2]
+        median = number(low if low == high else 0.5 * low + 0.5 * high)
+        if np.isnan(median):  # above every number
+            return *(marks[2][1:3] if np.isnan(top) else (n, 0.0)), rows - n
+        for value, lower, equal, _ in (marks[0], marks[1]):
+            if number(value) == median:
+                return lower, equal, rows - n
+        return marks[1][1], 0.0, rows - n
+
+    return spread
+
+
 def _back_to_rows(df: DataFrame, key: list[str], columns: list[str], parts: DataFrame) -> DataFrame:
     """key, `_row` (a struct of `columns` of `df`) and `_parts`, a map of the pairs `_part` that `parts` has for the key; a key that repeats one is refused."""
     whole = F.struct(*[F.col(quoted(c)) for c in columns])

@@ -180,6 +180,62 @@ def test_a_month_whose_columns_fit_is_ranked_in_blocks(skewed, precision, monkey
     assert np.array_equal(got[["a_rank", "b_rank"]].to_numpy(), whole[["a_rank", "b_rank"]].to_numpy())
 
 
+@pytest.mark.parametrize("precision", ["double", "float"])
+def test_a_column_too_long_is_ranked_as_arrays(spark, precision, monkeypatch):
+    """No row for each value: distinct values by slice and range. Ties over slices, a middle between two ranges, columns without values, one row."""
+    rng = np.random.default_rng(21)
+    n = 1000
+    pdf = pd.DataFrame({"permno": rng.permutation(n), "month_id": np.where(rng.random(n) < 0.6, 7, 8), "name": [f"n{i}" for i in range(n)],
+                        "a": np.where(rng.random(n) < 0.5, 0.25, 1 + rng.integers(0, 400, n) * 1e-9), "b": rng.choice([0.0, -0.0, 2.0, 1e300, -1e300], n),
+                        "c": np.where(rng.random(n) < 0.5, 1.0, 4.0), "d": np.full(n, np.nan)})
+    pdf.loc[n] = [n, 9, "alone", 0.5, 1.0, 1.0, np.nan]
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame(pdf).selectExpr("permno", "month_id", "name", *[f"if(isnan({c}) OR (permno + {i}) % 5 = 0, NULL, {c}) AS {c}" for i, c in enumerate(names)])
+    df = materialize(df, "t")
+    whole = ranked_features(df, names, ["permno"], ["month_id"], precision)
+    types, whole = whole.dtypes, whole.toPandas().set_index("permno").sort_index()
+
+    def refused(*_):
+        raise AssertionError("a row for each value")
+
+    monkeypatch.setattr(orderstats, "to_long", refused)
+    monkeypatch.setattr(orderstats, "SLICE_VALUES", 600)
+    labels = []
+    monkeypatch.setattr(orderstats, "materialize", lambda t, label, *rest: labels.append((label, made := materialize(t, label, *rest))) or made)
+    got = ranked_features(df, names, ["permno"], ["month_id"], precision, values_per_task=60)
+    assert sorted(got.dtypes) == sorted(types)
+    got = got.toPandas().set_index("permno").sort_index()
+    assert list(got["name"]) == list(whole["name"])
+    ranks = [f"{c}_rank" for c in names]
+    assert np.array_equal(got[ranks].to_numpy(), whole[ranks].to_numpy())
+    lines = dict(labels)["slices"].filter("_feature >= 0")
+    assert lines.select("_slice").distinct().count() > 3 and lines.filter("_feature = 0").select("_range").distinct().count() > 1
+    with pytest.raises(Exception, match="repeated key"):
+        ranked_features(df.union(df), names, ["permno"], ["month_id"], precision, values_per_task=60).collect()
+
+
+def test_nan_is_the_largest_value_of_a_column_too_long(spark):
+    """Infinities and NaN, also as the middle: as the quantiles and ranks of the long table have them."""
+    inf, nan = float("inf"), float("nan")
+    rows = [(i, 7, a, b, c) for i, (a, b, c) in enumerate(zip([1.0, nan, None, 2.0, nan, nan], [-inf, -inf, inf, inf, None, None], [-inf, inf, nan, None, -inf, nan]))]
+    df = materialize(spark.createDataFrame(rows, "permno int, month_id int, a double, b double, c double"), "t")
+    got = ranked_features(df, ["a", "b", "c"], ["permno"], ["month_id"], values_per_task=2)
+    filled = features.fill_with_median(df, ["a", "b", "c"], ["month_id"], values_per_task=2)
+    want = features.rank_transform(filled, ["a", "b", "c"], ["permno"], ["month_id"], values_per_task=2)
+    ranks = ["permno", "a_rank", "b_rank", "c_rank"]
+    assert sorted(map(tuple, got.select(ranks).collect())) == sorted(map(tuple, want.select(ranks).collect()))
+
+
+def test_groups_without_a_name_stay_with_the_small_ones(spark):
+    df = materialize(spark.createDataFrame([(i, m, float(i)) for i, m in enumerate([7, 7, 7, None, None, None])], "permno int, month_id int, a double"), "t")
+    small, large = orderstats.part_large_groups(df, ["month_id"], 2)
+    assert small.count() == large.count() == 3
+    small, large = orderstats.part_large_groups(df.filter("month_id = 7"), ["month_id"], 2)
+    assert small.count() == 0 and large.count() == 3
+    got = ranked_features(df, ["a"], ["permno"], ["month_id"], values_per_task=2).orderBy("permno").collect()
+    assert [r["a_rank"] for r in got] == [-1, 0, 1, -1, 0, 1]
+
+
 @pytest.mark.parametrize("method", ["linear", "nearest"])
 def test_long_buckets_are_cut_again(skewed, method, monkeypatch):
     """The number of buckets of a round is bounded; positions are found all the same."""

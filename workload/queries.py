@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Context, Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +51,32 @@ def _round_all(df: DataFrame, names: list[str], digits: int = 9) -> DataFrame:
     return df.selectExpr(*[f"round(`{c}`, {digits}) + 0D AS `{c}`" if c in names else f"`{c}`" for c in df.columns])
 
 
+def _round_many(df: DataFrame, names: list[str], digits: int = 9) -> DataFrame:
+    """`_round_all` for many double columns, in numpy: the same decimal rounding, halves away from zero, without a decimal object for each value."""
+    scale, step, wide = 10.0 ** digits, Decimal(1).scaleb(-digits), Context(prec=400)
+
+    def exact(value: float) -> float:
+        return float(Decimal(repr(value)).quantize(step, ROUND_HALF_UP, wide)) if np.isfinite(value) else value
+
+    def nearest(column: pa.Array) -> pa.Array:
+        value = column.fill_null(0.0).to_numpy()
+        with np.errstate(invalid="ignore", over="ignore"):
+            scaled = np.abs(value) * scale
+            found = np.copysign(np.floor(scaled + 0.5) / scale, value)
+            # too near to a half for what the product loses
+            open_ = np.flatnonzero(~(np.abs(scaled - np.floor(scaled) - 0.5) > 1e-15 * scaled))
+        if len(open_):
+            distinct, place = np.unique(value[open_], return_inverse=True)
+            found[open_] = np.array([exact(v) for v in distinct.tolist()])[place]
+        return pa.array(found + 0.0, mask=~column.is_valid().to_numpy(zero_copy_only=False))
+
+    def round_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([nearest(batch.column(c)) if c in names else batch.column(c) for c in batch.schema.names], batch.schema.names)
+
+    return df.mapInArrow(round_all, df.schema)
+
+
 # -- sources and scalar functions ----------------------------------------------------------
 
 def _coded_text() -> Column:
@@ -257,22 +288,20 @@ def _wide(spark, sf_dir):
         F.concat("l_linenumber", F.lower("l_returnflag")).alias("slot"),
         F.col("l_quantity").cast("bigint").alias("qty"), tb.hundredths(F.col("l_extendedprice")).alias("price"),
         tb.hundredths(F.col("l_discount")).alias("discount"), tb.hundredths(F.col("l_tax")).alias("tax"))
-    sums = [F.expr(f"sum(if(slot = '{line}{flag.lower()}', {m}, NULL)) AS {name}")
-            for name, (line, flag, m) in zip(WIDE_NAMES, WIDE)]
-    return materialize(lines.groupBy("permno", "month_id").agg(*sums), "wide")
+    return materialize(tb.sums_by_slot(lines, ["permno", "month_id"], "slot", list(zip(WIDE_NAMES, [(f"{line}{flag.lower()}", m) for line, flag, m in WIDE]))), "wide")
 
 
 def wide_rank_transform(spark, sf_dir):
     """84 columns filled and ranked per month."""
     names = [f"{c}_rank" for c in WIDE_NAMES]
-    return _round_all(ft.ranked_features(_wide(spark, sf_dir), WIDE_NAMES).select("permno", "month_id", *names), names)
+    return _round_many(ft.ranked_features(_wide(spark, sf_dir), WIDE_NAMES).select("permno", "month_id", *names), names)
 
 
 def wide_rank_transform_split(spark, sf_dir):
     """The same with every month too large for one task: columns apart, some of them cut."""
     names = [f"{c}_rank" for c in WIDE_NAMES]
-    return _round_all(ft.ranked_features(_wide(spark, sf_dir), WIDE_NAMES, values_per_task=60)
-                        .select("permno", "month_id", *names), names)
+    return _round_many(ft.ranked_features(_wide(spark, sf_dir), WIDE_NAMES, values_per_task=60)
+                         .select("permno", "month_id", *names), names)
 
 
 def rank_transform_split(spark, sf_dir):

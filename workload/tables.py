@@ -7,8 +7,13 @@ placed by rules on the number of lines `n`.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelloom.functions.cleaning import month_index
 from panelloom.operators.timeseries import lag_by_row
@@ -47,6 +52,61 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(returned).alias("returned"))
 
 
+def sums_by_slot(lines: DataFrame, keys: list[str], slot: str, wanted: list[tuple[str, tuple[str, str]]]) -> DataFrame:
+    """One row for each value of the (whole-number) `keys`, and for each (name, (slot, measure)) in `wanted` the sum of the measure over the key's lines of that
+    slot, NULL without a value.
+
+    The lines are shuffled as they are and added up in the order of their keys: as many conditional sums in one aggregate would shuffle a
+    wide row for nearly every line.
+    """
+    slots, measures = (list(dict.fromkeys(w[1][k] for w in wanted)) for k in (0, 1))
+    named = F.array(*[F.lit(s) for s in slots])
+    numbered = lines.select(*keys, (F.array_position(named, F.col(slot)) - 1).cast("int").alias("_slot"), *measures)
+    schema = T.StructType([*[lines.schema[k] for k in keys], *[T.StructField(name, T.LongType()) for name, _ in wanted]])
+    places = [(measures.index(m), slots.index(s)) for _, (s, m) in wanted]
+    ordered = numbered.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
+    return ordered.mapInArrow(_add_up(keys, measures, len(slots), places, schema.names), schema)
+
+
+def _add_up(keys: list[str], measures: list[str], slots: int, places: list[tuple[int, int]], names: list[str]
+            ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For a partition sorted by `keys`, a batch at a time: each key's sums by measure and slot. The last key of a batch waits for the next one."""
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for k in keys:
+                there, value = batch.column(k).is_valid().to_numpy(zero_copy_only=False), batch.column(k).fill_null(0).to_numpy()
+                new[1:] |= (value[1:] != value[:-1]) | (there[1:] != there[:-1])
+            goes_on = waiting is not None and all(batch.column(k)[0].as_py() == waiting[0].column(k)[0].as_py() for k in keys)
+            new[0] = not goes_on
+            row = np.cumsum(new) - (0 if goes_on else 1) + (waiting is not None and not goes_on)
+            heads = pa.Table.from_batches([batch]).select(keys).filter(pa.array(new))
+            sums, seen = np.zeros((2, len(measures), row[-1] + 1, slots), np.int64)
+            if waiting is not None:
+                heads = pa.concat_tables([waiting[0], heads])
+                sums[:, 0], seen[:, 0] = waiting[1:]
+            slot = batch.column("_slot").fill_null(-1).to_numpy()
+            for m, measure in enumerate(measures):
+                column = batch.column(measure)
+                some = column.is_valid().to_numpy(zero_copy_only=False) & (slot >= 0)
+                np.add.at(sums[m], (row[some], slot[some]), column.fill_null(0).to_numpy()[some])
+                seen[m][row[some], slot[some]] = 1
+            waiting = heads.slice(len(heads) - 1), sums[:, -1].copy(), seen[:, -1].copy()
+            if len(heads) > 1:
+                yield done(heads.slice(0, len(heads) - 1), sums[:, :-1], seen[:, :-1])
+        if waiting is not None:
+            yield done(waiting[0], waiting[1][:, None], waiting[2][:, None])
+
+    def done(heads: pa.Table, sums: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+        made = [pa.array(np.ascontiguousarray(sums[m, :, s]), mask=seen[m, :, s] == 0) for m, s in places]
+        return pa.RecordBatch.from_arrays([*[heads.column(k).combine_chunks() for k in keys], *made], names)
+
+    return add_up
+
+
 def _text(value: Column) -> Column:
     return value.cast("string")
 
