@@ -103,6 +103,12 @@ def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(a, b, rcond=None)[0]
 
 
+def _solve_closely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`_solve`, corrected once: a line of small sums would else keep the rounding of the largest ones, more than a fit's tolerance."""
+    found = _solve(a, b)
+    return found + _solve(a, b - a @ found)
+
+
 def fit_least_squares(df: DataFrame, features: list[str], windows: list[Window],
                       year: str = "target_year", y: str = "y") -> list[LinearFit]:
     p = len(features)
@@ -230,7 +236,7 @@ def fit_huber(df: DataFrame, features: list[str], windows: list[Window], quantil
             inside, goal = a - beyond.a, b - beyond.b + f.xi * beyond.pull
             f.gradient = float((np.abs(2 * (goal - inside @ f.beta)) / np.maximum(top, 1)).max() / n)
             if f.gradient > tolerance * f.xi:
-                f.trial = _solve(inside, goal)
+                f.trial = _solve_closely(inside, goal)
                 still.append(f)
         active = still
         if not active:

@@ -76,6 +76,25 @@ def test_newton_steps_that_overshoot_are_halved(spark):
     assert (np.abs(slope) / np.abs(a).max(axis=0)).max() < 1e-9 * fit.xi and 20 < fit.passes < 60
 
 
+def test_a_step_is_exact_in_lines_of_small_sums():
+    """Newton steps ended above the tolerance, or did not, by the order in which sums were added up."""
+    rng = np.random.default_rng(2)
+    left = 0
+    for _ in range(200):
+        x = np.r_[rng.normal(size=60), rng.normal(size=40) * 300]
+        design = np.column_stack([np.ones(100), x, x * x])
+        a, b = design.T @ design, design.T @ (-40 * x + rng.normal(size=100))
+
+        def small(beta):
+            return abs((b - a @ beta)[0]) / (np.abs(a[0]) @ np.abs(beta) + abs(b[0]))
+
+        left = max(left, small(rg._solve(a, b)))
+        assert small(rg._solve_closely(a, b)) < 1e-14
+    assert left > 1e-14
+    flat = np.outer([1.0, 2.0], [1.0, 2.0])
+    assert np.allclose(rg._solve_closely(flat, np.array([5.0, 10.0])), [1, 2])  # the shortest of many solutions
+
+
 def test_least_squares_windows(sample, table):
     for fit in rg.fit_least_squares(table, X, [(1995, 1992), (2000, 1998)]):
         part = sample[sample.target_year <= fit.train_end]
